@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The analysed workload is batch only: no watermark, event-time window, state
+store or late-data handling occurs in it, and login sessions are computed in
+batch (``tidemark.operators.sessions``).  Nothing here is built so that the
+library does not carry operators the workload never uses.
+"""
