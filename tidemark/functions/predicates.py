@@ -48,11 +48,16 @@ def threshold_flag(col: Column | str, threshold: float) -> Column:
     return as_flag(_c(col) > F.lit(threshold))
 
 
-def contains_flags(text: Column | str, names: Iterable[str], prefix: str = "is_") -> list[Column]:
-    """One 0/1 column per name: ``text ILIKE '%name%'``."""
+def contains_flags(text: Column | str, names: Iterable[str] | dict[str, str],
+                   prefix: str = "is_") -> list[Column]:
+    """One 0/1 column per signal: ``text ILIKE '%signal%'``.
+
+    ``names`` is a list of signals (column ``{prefix}{signal}``, lower-cased,
+    spaces -> ``_``) or a dict {output column: signal}."""
     c = _c(text)
-    return [as_flag(c.ilike(f"%{n}%")).alias(f"{prefix}{n.lower().replace(' ', '_')}")
-            for n in names]
+    pairs = (list(names.items()) if isinstance(names, dict)
+             else [(f"{prefix}{n.lower().replace(' ', '_')}", n) for n in names])
+    return [as_flag(c.ilike(f"%{sig}%")).alias(out) for out, sig in pairs]
 
 
 def branch_marker(name: str, value) -> Column:

@@ -8,6 +8,7 @@ exist because the source queries used four different predicates:
 * ``TT``   ``f >= a - N days``          and ``f <= date(a)`` (midnight: later same-day facts are out)
 * ``DT``   ``date(f) >= a - N days``    and ``date(f) <= date(a)``
 * ``OPEN`` ``date(f) <= date(a)``
+* ``OPEN_TS`` ``f <= a`` (to the anchor instant)
 
 Results follow SQL: SUM/AVG of an empty window are NULL, COUNT is 0, EXISTS is 0.
 
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RULES = ("DD", "TT", "DT", "OPEN")
+RULES = ("DD", "TT", "DT", "OPEN", "OPEN_TS")
 AGGS = ("sum", "avg", "count", "exists")
 
 
@@ -87,7 +88,7 @@ class Feature:
             raise ValueError(f"agg must be one of {AGGS}: {self.agg}")
         if self.rule not in RULES:
             raise ValueError(f"rule must be one of {RULES}: {self.rule}")
-        if self.rule != "OPEN" and (self.days is None or self.days < 0):
+        if not self.rule.startswith("OPEN") and (self.days is None or self.days < 0):
             raise ValueError(f"{self.name}: rule {self.rule} needs days >= 0")
         if self.agg in ("sum", "avg") and self.measure is None:
             raise ValueError(f"{self.name}: {self.agg} needs a measure")
@@ -185,6 +186,8 @@ def _in_window(ft: Feature, a: Column, t: Column, d: Column) -> Column:
         return (t >= _minus_days(a, n)) & (t <= a_day.cast("timestamp_ntz"))
     if ft.rule == "DT":
         return (d.cast("timestamp_ntz") >= _minus_days(a, n)) & (d <= a_day)
+    if ft.rule == "OPEN_TS":
+        return t <= a
     return d <= a_day
 
 
@@ -194,7 +197,7 @@ def _direct(a: DataFrame, f: DataFrame, keys: list[str], features: Sequence[Feat
     # Widest bounds in the ON clause; per-feature windows as conditional aggregates.
     a_ts, a_day = F.col("a._a"), F.to_date(F.col("a._a"))
     on = (F.col("a._e") == F.col("f._e")) & (F.col("f._d") <= a_day)
-    if all(ft.rule != "OPEN" for ft in features):
+    if all(not ft.rule.startswith("OPEN") for ft in features):
         n_max = max(ft.days for ft in features)
         on = on & (F.col("f._t") >= _minus_days(a_ts, n_max + 1))
     j = a.alias("a").join(fa, on, "left")
@@ -209,8 +212,9 @@ def _direct(a: DataFrame, f: DataFrame, keys: list[str], features: Sequence[Feat
 
 def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], features: Sequence[Feature],
               open_bucket_days: int) -> DataFrame:
-    windowed = [(i, ft) for i, ft in enumerate(features) if ft.rule != "OPEN"]
-    opened = [(i, ft) for i, ft in enumerate(features) if ft.rule == "OPEN"]
+    windowed = [(i, ft) for i, ft in enumerate(features) if not ft.rule.startswith("OPEN")]
+    opened = [(i, ft) for i, ft in enumerate(features) if ft.rule.startswith("OPEN")]
+    open_ts = [(i, ft) for i, ft in opened if ft.rule == "OPEN_TS"]
     tt = [(i, ft) for i, ft in windowed if ft.rule == "TT"]
     nfeat = len(features)
 
@@ -287,8 +291,21 @@ def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], features: Sequence[Fe
             dx.alias("d"),
             (F.col("a._e") == F.col("d._e")) & (F.col("a._ob") == F.col("d._ob"))
             & (F.col("d._dn") <= F.col("a._adn")), "inner")
+        before = F.col("d._dn") < F.col("a._adn")
         branches.append(j2.select(*[F.col(f"a.{k}") for k in keys], *contrib(
-            {i: (F.col(f"d.s{i}"), F.col(f"d.n{i}")) for i, _ in opened})))
+            {i: ((F.col(f"d.s{i}"), F.col(f"d.n{i}")) if ft.rule == "OPEN"
+                 else (F.when(before, F.col(f"d.s{i}")), F.when(before, F.col(f"d.n{i}"))))
+             for i, ft in opened})))
+        if open_ts:  # the anchor's own day, compared on time
+            je = a.alias("a").join(
+                f.alias("f"),
+                (F.col("a._e") == F.col("f._e")) & (F.col("a._ad") == F.col("f._d"))
+                & (F.col("f._t") <= F.col("a._a")), "inner")
+            parts = {}
+            for i, ft in open_ts:
+                x = F.col(f"f.{_value_col(i, ft)}")
+                parts[i] = (x, F.when(x.isNotNull(), F.lit(1)))
+            branches.append(je.select(*[F.col(f"a.{k}") for k in keys], *contrib(parts)))
 
     # 4. TT first-day facts with time of day, joined on (entity, day).
     if tt:

@@ -71,3 +71,11 @@ FX_RECURRING_CATEGORIES = ["PROMO", "ECONOMY"]
 FX_RESERVE_STATUS = "F"
 FX_INVOICE_STATUSES = ["F", "O", "P"]
 FX_USAGE_STATUSES = ["F", "O"]
+FX_LANGUAGE_FLAGS = {"is_english_user": "1", "is_spanish_user": "2", "is_african_user": "3"}
+FX_SIGNALS = {"is_k_key": "\"k\"", "is_nine": "9", "is_k_five": "k__ 5"}
+FX_RISKY_SCORE = 0.6
+FX_LIMIT_OVERRIDES = {7: 4200.0}
+FX_LOGIN_CUTOFF = "2024-01-20"
+FX_LABEL_FROM = "1996-01-01"
+FX_LABEL_TO = "1999-01-01"
+FX_LABEL_ENTITY_PRICE = 300000

@@ -60,6 +60,78 @@ def logins(spark: SparkSession, root: str) -> DataFrame:
             .select(F.col("user_id").alias("entity_id"), F.col("ts").alias("created_at")))
 
 
+def flagged_accounts(spark: SparkSession, root: str) -> DataFrame:
+    """Flagged-account sheet: users with an 'error' event of value > 200."""
+    return (table(spark, root, "events")
+            .where((F.col("event_type") == "error") & (F.col("value") > 200))
+            .select(F.col("user_id").alias("business_id"), F.col("ts").alias("flagged_at")))
+
+
+def segment_users(spark: SparkSession, root: str) -> DataFrame:
+    """User map: one internal and one external user per customer."""
+    return table(spark, root, "customer").select(
+        F.col("c_custkey").alias("business_id"),
+        (F.col("c_custkey") * 10).alias("user_id"),
+        F.col("c_custkey").alias("segment_user_id"))
+
+
+def login_events(spark: SparkSession, root: str) -> DataFrame:
+    """Login events: 'view' events with a status, a risk score, a languages text and
+    a client name."""
+    e = table(spark, root, "events").where(F.col("event_type") == "view")
+    return e.select(
+        "event_id",
+        F.col("user_id").alias("external_user_id"),
+        F.col("ts").alias("created_at"),
+        F.when(F.col("value") > 5, "login_succeeded").otherwise("login_failed").alias("status"),
+        (F.col("value") / 100.0).alias("risk_score"),
+        F.col("props").alias("languages"),
+        F.concat(F.lit("sdk-"), F.col("event_type"), F.lit("-v1")).alias("client_name"))
+
+
+def login_responses(spark: SparkSession, root: str) -> DataFrame:
+    """JSON login responses: 'click' events whose JSON ``k`` is below 50."""
+    e = table(spark, root, "events").where(F.col("event_type") == "click")
+    k = F.get_json_object(F.col("props"), "$.k").try_cast("int")
+    return e.where(k < 50).select(F.col("user_id").alias("external_user_id"),
+                                  F.col("ts").alias("created_at"))
+
+
+def draws(spark: SparkSession, root: str) -> DataFrame:
+    """Lending transactions: purchase events, amount in cents, soft-delete flag."""
+    e = table(spark, root, "events").where(F.col("event_type") == "purchase")
+    return e.select(
+        F.col("event_id").alias("transaction_id"),
+        F.col("user_id").alias("business_id"),
+        F.col("user_id").alias("lending_business_id"),
+        F.col("ts").alias("created_at"),
+        F.round(F.col("value") * 100).cast("bigint").alias("amount"),
+        F.when(F.col("value") > 10, "mca draw payout").otherwise("fee").alias("description"),
+        F.when(F.col("value") > 300, F.lit(True)).when(F.col("value") < 20, F.lit(None))
+         .otherwise(F.lit(False)).alias("deleted"))
+
+
+def decisions(spark: SparkSession, root: str) -> DataFrame:
+    """Decision history: signup events, limit in cents, trigger and soft-delete flag."""
+    e = table(spark, root, "events").where(F.col("event_type") == "signup")
+    return e.select(
+        F.col("user_id").alias("lending_business_id"),
+        F.col("ts").alias("created_at"),
+        F.round(F.col("value") * 1000).cast("bigint").alias("new_limit"),
+        F.when(F.col("value") < 10, "Lending Application Denied").otherwise("Limit Update")
+         .alias("trigger_event"),
+        F.when(F.col("value") > 340, F.lit(True)).alias("deleted"))
+
+
+def credit_profiles(spark: SparkSession, root: str) -> DataFrame:
+    """Credit profiles: signup events carry a JSON document and an update time."""
+    e = table(spark, root, "events").where(F.col("event_type") == "signup")
+    return e.select(F.col("user_id").alias("lending_business_id"),
+                    F.col("props").alias("aggregate_kpis"),
+                    F.col("value").alias("fico_score"),
+                    F.col("ts").alias("updated_at"))
+
+
 SQL_VIEWS = {
     "order_anchors": "SELECT o_orderkey, o_custkey, o_orderdate FROM orders",
     "purchase_anchors": ("SELECT event_id, user_id, ts FROM events "
@@ -78,6 +150,36 @@ SQL_VIEWS = {
         FROM orders""",
     "logins": ("SELECT user_id AS entity_id, ts AS created_at FROM events "
                "WHERE event_type = 'view'"),
+    "flagged_accounts": ("SELECT user_id AS business_id, ts AS flagged_at FROM events "
+                         "WHERE event_type = 'error' AND value > 200"),
+    "segment_users": ("SELECT c_custkey AS business_id, c_custkey * 10 AS user_id, "
+                      "c_custkey AS segment_user_id FROM customer"),
+    "login_events": """
+        SELECT event_id, user_id AS external_user_id, ts AS created_at,
+               CASE WHEN value > 5 THEN 'login_succeeded' ELSE 'login_failed' END AS status,
+               value / 100.0 AS risk_score, props AS languages,
+               'sdk-' || event_type || '-v1' AS client_name
+        FROM events WHERE event_type = 'view'""",
+    "login_responses": """
+        SELECT user_id AS external_user_id, ts AS created_at FROM events
+        WHERE event_type = 'click' AND TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) < 50""",
+    "draws": """
+        SELECT event_id AS transaction_id, user_id AS business_id, user_id AS lending_business_id,
+               ts AS created_at, CAST(ROUND(value * 100) AS BIGINT) AS amount,
+               CASE WHEN value > 10 THEN 'mca draw payout' ELSE 'fee' END AS description,
+               CASE WHEN value > 300 THEN TRUE WHEN value < 20 THEN NULL ELSE FALSE END AS deleted
+        FROM events WHERE event_type = 'purchase'""",
+    "decisions": """
+        SELECT user_id AS lending_business_id, ts AS created_at,
+               CAST(ROUND(value * 1000) AS BIGINT) AS new_limit,
+               CASE WHEN value < 10 THEN 'Lending Application Denied' ELSE 'Limit Update' END
+                 AS trigger_event,
+               CASE WHEN value > 340 THEN TRUE END AS deleted
+        FROM events WHERE event_type = 'signup'""",
+    "credit_profiles": """
+        SELECT user_id AS lending_business_id, props AS aggregate_kpis, value AS fico_score,
+               ts AS updated_at
+        FROM events WHERE event_type = 'signup'""",
 }
 
 
