@@ -13,7 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EPOCH = F.lit("1970-01-01").cast("date")
+def _epoch():
+    return F.lit("1970-01-01").cast("date")
 
 
 def _order_struct(cols: Sequence[str | Column], nulls_first_desc: bool) -> Column:
@@ -96,11 +97,11 @@ def asof_latest(left: DataFrame, right: DataFrame, left_key: str, right_key: str
                  F.struct(*[F.col(c) for c in o_cols]).alias("_o"),
                  F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in payload]).alias("_p"),
                  F.col(right_time).alias("_rt"))
-         .withColumn("_rdn", F.datediff(F.to_date("_rt"), _EPOCH))
+         .withColumn("_rdn", F.datediff(F.to_date("_rt"), _epoch()))
          .withColumn("_rb", F.floor(F.col("_rdn") / width)))
     lx = (left.withColumn("_lk", F.col(left_key))
               .withColumn("_lt", F.col(left_time))
-              .withColumn("_ldn", F.datediff(F.to_date("_lt"), _EPOCH))
+              .withColumn("_ldn", F.datediff(F.to_date("_lt"), _epoch()))
               .withColumn("_lb", F.floor(F.col("_ldn") / width)))
     daily = r.groupBy("_k", "_rdn", "_rb").agg(F.max_by("_p", "_o").alias("_p"),
                                                F.max("_o").alias("_o"))

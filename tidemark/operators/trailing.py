@@ -100,11 +100,12 @@ def _col(c: Column | str | None) -> Column | None:
     return F.col(c) if isinstance(c, str) else c
 
 
-_EPOCH = F.lit("1970-01-01").cast("date")
+def _epoch():
+    return F.lit("1970-01-01").cast("date")
 
 
 def _day_num(day: Column) -> Column:
-    return F.datediff(day, _EPOCH)
+    return F.datediff(day, _epoch())
 
 
 def _minus_days(ts: Column, n: int) -> Column:

@@ -79,3 +79,5 @@ FX_LOGIN_CUTOFF = "2024-01-20"
 FX_LABEL_FROM = "1996-01-01"
 FX_LABEL_TO = "1999-01-01"
 FX_LABEL_ENTITY_PRICE = 300000
+FX_BUSINESS_TYPE_ORDER = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4}
+FX_PAYMENT_SEGMENT = 250000.0

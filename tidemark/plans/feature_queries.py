@@ -92,6 +92,16 @@ def trailing_four_rules(spark, root, strategy: str = "bucketed"):
 # --------------------------------------------------------------------------- step 2
 
 
+TRANSACTION_FEATURE_NAMES = [
+    "total_credit_l3m", "avg_credit_l3m", "credit_txn_count_l3m",
+    "total_debit_l3m", "avg_debit_l3m", "debit_txn_count_l3m",
+    "total_credit_l1m", "avg_credit_l1m", "credit_txn_count_l1m",
+    "total_debit_l1m", "avg_debit_l1m", "debit_txn_count_l1m",
+    "card_total_l3m", "card_avg_l3m", "deposits_total_l3m", "deposits_avg_l3m",
+    "loan_repayment_l3m", "loan_repayment_l1m", "recurring_credit_l1m", "recurring_credit_l3m",
+]
+
+
 def transaction_features() -> list[Feature]:
     """All transaction-table windows of the feature set, fused into one join."""
     credit = F.col("txn_type") == "credit"
@@ -161,7 +171,7 @@ _LOANS = f"t.txn_type = 'debit' AND t.category = '{K.FX_LOAN_CATEGORY}'"
 _RECUR = ("t.txn_type = 'credit' AND t.category IN ("
           + ", ".join(f"'{c}'" for c in K.FX_RECURRING_CATEGORIES) + ")")
 
-SQL_TRAILING_FUSED = fx.with_views(f"""
+FUSED_BODY = f"""
 SELECT a.o_custkey, a.o_orderdate, a.o_orderkey,
   {_sql_sum('total_credit_l3m', _CREDIT, _dd(90))},
   {_sql_avg('avg_credit_l3m', _CREDIT, _dd(90))},
@@ -189,7 +199,8 @@ LEFT JOIN transactions t
  AND CAST(t.txn_ts AS DATE) >= CAST(a.o_orderdate AS DATE) - 91
  AND CAST(t.txn_ts AS DATE) <= CAST(a.o_orderdate AS DATE)
 GROUP BY a.o_custkey, a.o_orderdate, a.o_orderkey
-""", "order_anchors", "transactions")
+"""
+SQL_TRAILING_FUSED = fx.with_views(FUSED_BODY, "order_anchors", "transactions")
 
 
 @register("trailing_fused", SQL_TRAILING_FUSED)

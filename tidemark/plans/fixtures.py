@@ -132,6 +132,34 @@ def credit_profiles(spark: SparkSession, root: str) -> DataFrame:
                     F.col("ts").alias("updated_at"))
 
 
+def label_expr():
+    """Deterministic label: price share 0.6 + pseudo-random share 0.4 above 0.5."""
+    return F.when(F.col("o_totalprice") / F.lit(500000.0) * F.lit(0.6)
+                  + (F.col("o_orderkey") * 7919 % 1000) / F.lit(1000.0) * F.lit(0.4) > 0.5, 1
+                  ).otherwise(0)
+
+
+def score_expr():
+    return F.round(F.col("o_totalprice") / F.lit(500000.0), 3)
+
+
+def scored_orders(spark: SparkSession, root: str) -> DataFrame:
+    """Scored rows: one per order with label y and score p."""
+    return table(spark, root, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", label_expr().alias("y"),
+        score_expr().alias("p"))
+
+
+def businesses(spark: SparkSession, root: str) -> DataFrame:
+    """Entity attributes: customer x nation (state, business type, a text flag)."""
+    c = table(spark, root, "customer")
+    n = table(spark, root, "nation")
+    return c.join(n, c.c_nationkey == n.n_nationkey, "left").select(
+        F.col("c_custkey"), F.col("c_acctbal"), F.col("n_name").alias("state"),
+        F.col("c_mktsegment").alias("business_type"),
+        F.when(F.col("c_name").like("%0"), 1).otherwise(0).alias("email_flag"))
+
+
 SQL_VIEWS = {
     "order_anchors": "SELECT o_orderkey, o_custkey, o_orderdate FROM orders",
     "purchase_anchors": ("SELECT event_id, user_id, ts FROM events "
@@ -180,6 +208,16 @@ SQL_VIEWS = {
         SELECT user_id AS lending_business_id, props AS aggregate_kpis, value AS fico_score,
                ts AS updated_at
         FROM events WHERE event_type = 'signup'""",
+    "scored_orders": """
+        SELECT o_orderkey, o_custkey, o_totalprice,
+               CASE WHEN o_totalprice / 500000.0 * 0.6
+                         + ((o_orderkey * 7919) % 1000) / 1000.0 * 0.4 > 0.5 THEN 1 ELSE 0 END AS y,
+               ROUND(o_totalprice / 500000.0, 3) AS p
+        FROM orders""",
+    "businesses": """
+        SELECT c.c_custkey, c.c_acctbal, n.n_name AS state, c.c_mktsegment AS business_type,
+               CASE WHEN c.c_name LIKE '%0' THEN 1 ELSE 0 END AS email_flag
+        FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey""",
 }
 
 
