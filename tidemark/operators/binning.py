@@ -50,6 +50,17 @@ def bin_index(x: Column, edges: Column, max_edges: int = 11) -> Column:
     return F.when(x.isNotNull() & (n > 1) & (b < n) & (x >= F.get(edges, 0)), b)
 
 
+def bin_of_literals(x: Column, edges: list[float]) -> Column:
+    """Same rule as ``bin_index`` for edges known on the driver: a CASE chain of
+    literal comparisons (small generated code, no array access per row)."""
+    if len(edges) < 2:
+        return F.lit(None).cast("int")
+    out = F.when(x.isNull() | (x < F.lit(edges[0])) | (x > F.lit(edges[-1])), F.lit(None).cast("int"))
+    for b in range(1, len(edges)):
+        out = out.when(x <= F.lit(edges[b]), F.lit(b))
+    return out
+
+
 def bin_lower(edges: Column, b: Column) -> Column:
     return F.element_at(edges, b)
 

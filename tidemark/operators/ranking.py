@@ -83,15 +83,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
                .withColumn("_frac", F.col("_pos") - F.col("_lo")))
     t = targets.alias("t")
     c = cum.alias("c")
-    key = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in g]
-    in_rank = lambda r: (F.col(f"c._lo_rank") <= F.col(f"t.{r}")) & (F.col(f"t.{r}") < F.col("c.cum_n"))
-    cond_lo = in_rank("_lo")
-    cond_hi = in_rank("_hi")
-    for k in key:
-        cond_lo, cond_hi = cond_lo & k, cond_hi & k
-    lo = c.join(F.broadcast(t), cond_lo).select(*[F.col(f"t.{k}") for k in g], "t.p", "t._frac",
-                                                F.col(f"c.{value}").cast("double").alias("_vlo"))
-    hi = c.join(F.broadcast(t), cond_hi).select(*[F.col(f"t.{k}") for k in g], "t.p",
-                                                F.col(f"c.{value}").cast("double").alias("_vhi"))
-    q = lo.join(hi, [*g, "p"])
+    has = lambda r: (F.col("c._lo_rank") <= F.col(f"t.{r}")) & (F.col(f"t.{r}") < F.col("c.cum_n"))
+    cond = has("_lo") | has("_hi")
+    for k in g:
+        cond = cond & (F.col(f"t.{k}") == F.col(f"c.{k}"))
+    # targets: groups x len(probs) rows, a proven bound -> broadcast
+    m = c.join(F.broadcast(t), cond).select(
+        *[F.col(f"t.{k}").alias(k) for k in g], F.col("t.p").alias("p"), F.col("t._frac").alias("_frac"),
+        F.when(has("_lo"), F.col(f"c.{value}").cast("double")).alias("_vlo"),
+        F.when(has("_hi"), F.col(f"c.{value}").cast("double")).alias("_vhi"))
+    q = m.groupBy(*g, "p").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"),
+                               F.first("_frac").alias("_frac"))
     return q.select(*g, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.binning import bin_index, quantile_edges
+from tidemark.operators.binning import bin_of_literals, quantile_edges
 
 _INF = float("inf")
 
@@ -53,15 +53,15 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
     if numeric:
         lg = to_long(df.withColumn("_y", y), numeric, ["_y"]).where(
             F.col("value").isNotNull() & F.col("_y").isNotNull())
-        edges = quantile_edges(lg, "value", bins, ["feature"], approx_accuracy)
-        # edges: one row per feature (bounded by the schema width)
-        b = lg.join(F.broadcast(edges), "feature").withColumn(
-            "bin", bin_index(F.col("value"), F.col("edges"), bins + 1).cast("string"))
-        parts.append(b.select("feature", "bin", "_y"))
-    if text:
-        lt = to_long(df.withColumn("_y", y), text, ["_y"], "string").where(
-            F.col("value").isNotNull() & F.col("_y").isNotNull())
-        parts.append(lt.select("feature", F.col("value").alias("bin"), "_y"))
+        # one row per feature with <= bins+1 edges: bounded by the schema width
+        edges = {r.feature: list(r.edges) for r in
+                 quantile_edges(lg, "value", bins, ["feature"], approx_accuracy).collect()}
+        wide = df.where(y.isNotNull()).select(
+            y.alias("_y"), *[bin_of_literals(F.col(c).cast("double"), edges.get(c, [])).alias(f"_b{i}")
+                             for i, c in enumerate(numeric)])
+        pairs = ", ".join(f"'{c}', CAST(_b{i} AS STRING)" for i, c in enumerate(numeric))
+        parts.append(wide.select("_y", F.expr(f"stack({len(numeric)}, {pairs}) AS (feature, bin)"))
+                     .select("feature", "bin", "_y"))
     # features whose rows all dropped out still get a row (IV 0)
     names = df.sparkSession.createDataFrame([(c,) for c in features], "feature string")
     u = parts[0]
@@ -87,37 +87,41 @@ def low_iv_features(iv: DataFrame, threshold: float) -> list[str]:
     return [r.feature for r in iv.where(F.col("iv") < threshold).collect()]
 
 
+def correlation_matrix(df: DataFrame, features: Sequence[str]) -> list[list[float]]:
+    """k x k Pearson matrix from ONE distributed pass (Spark ML ``Correlation``, centred
+    covariance).  Only the k x k numbers come back (bounded by the schema width);
+    zero-variance columns give NaN.  Rows with a NULL feature must be filled first."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    va = VectorAssembler(inputCols=list(features), outputCol="_fv", handleInvalid="error")
+    vec = va.transform(df.select(*[F.col(c).cast("double").alias(c) for c in features]))
+    m = Correlation.corr(vec.select("_fv"), "_fv", "pearson").head()[0]
+    return m.toArray().tolist()
+
+
 def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Pearson correlation for every pair i < j (in the given order) in ONE aggregate
-    pass: (feature_i, feature_j, corr).  Zero variance -> NaN (no exception)."""
+    """(feature_i, feature_j, corr) for every pair i < j in the given order."""
+    m = correlation_matrix(df, features)
     k = len(features)
-    aggs = [F.stddev_samp(F.col(c).cast("double")).alias(f"_sd{i}") for i, c in enumerate(features)]
-    pairs = [(i, j) for i in range(k) for j in range(i + 1, k)]
-    aggs += [F.covar_samp(F.col(features[i]).cast("double"), F.col(features[j]).cast("double"))
-             .alias(f"_cv{i}_{j}") for i, j in pairs]
-    one = df.agg(*aggs)
-    nan = F.lit(float("nan"))
-    cols = []
-    for i, j in pairs:
-        sd = F.col(f"_sd{i}") * F.col(f"_sd{j}")
-        c = F.when(F.col(f"_cv{i}_{j}").isNull() | F.col(f"_sd{i}").isNull(), F.lit(None).cast("double")) \
-             .when(sd == 0, nan).otherwise(F.col(f"_cv{i}_{j}") / sd)
-        cols.append(F.struct(F.lit(features[i]).alias("feature_i"),
-                             F.lit(features[j]).alias("feature_j"), c.alias("corr")))
-    return one.select(F.explode(F.array(*cols)).alias("_p")).select("_p.*")
-
-
-def correlated_to_drop(pairs: DataFrame, features: Sequence[str], threshold: float) -> list[str]:
-    """Column j is dropped when corr(i, j) > threshold for some earlier i (signed, i
-    itself may be dropped).  Works on the k*(k-1)/2 pair rows only."""
+    rows = [(features[i], features[j], float(m[i][j])) for i in range(k) for j in range(i + 1, k)]
+    return df.sparkSession.createDataFrame(
+        rows, "feature_i string, feature_j string, corr double")
+
+
+def correlated_to_drop(features: Sequence[str], matrix: list[list[float]],
+                       threshold: float) -> list[str]:
+    """Column j is dropped when corr(i, j) > threshold for some earlier i (signed; i
+    itself may have been dropped; NaN never exceeds)."""
     drop = set()
-    for r in pairs.collect():
-        if r.corr is not None and not math.isnan(r.corr) and r.corr > threshold:
-            drop.add(r.feature_j)
+    for j in range(len(features)):
+        for i in range(j):
+            v = matrix[i][j]
+            if not math.isnan(v) and v > threshold:
+                drop.add(features[j])
     return [c for c in features if c in drop]
 
 
 def remove_correlated(df: DataFrame, features: Sequence[str], threshold: float
                       ) -> tuple[DataFrame, list[str]]:
-    dropped = correlated_to_drop(correlation_pairs(df, features), features, threshold)
+    dropped = correlated_to_drop(features, correlation_matrix(df, features), threshold)
     return df.drop(*dropped), dropped

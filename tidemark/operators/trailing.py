@@ -27,14 +27,15 @@ Two physical strategies produce identical results:
      the entity size, and a hot entity is spread over many (entity, bucket) keys;
   3. OPEN windows use per-(entity, bucket) totals for whole earlier buckets plus the
      daily rows of the anchor's own bucket (fan-out bounded by span/bucket + bucket);
-  4. TT needs time of day only on the first day of the window: those facts are
-     joined on (entity, day); all other days come from the daily table;
+  4. TT needs time of day only on the first day of the window, and only for
+     anchors not at midnight: those facts are joined on (entity, day); all other
+     days come from the daily table;
   5. the branches and the anchor list are unioned and aggregated once per anchor.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +53,7 @@ class AnchorSpec:
     entity: str
     ts: str
     keys: tuple[str, ...] = ()
+    unique: bool = False   # the key columns are already unique (e.g. include a primary key)
 
     @property
     def key_columns(self) -> list[str]:
@@ -74,7 +76,9 @@ class Feature:
              values are counted (None = rows); unused for ``exists``
     where    fact-side filter (Column), applied inside the window
     days     window length N (ignored for OPEN)
-    rule     DD | TT | DT | OPEN
+    rule     DD | TT | DT | OPEN | OPEN_TS
+    scale    sum/avg of an integer measure in units of 1/scale (e.g. cents, 100):
+             sums stay exact integers and are divided once at the end
     """
     name: str
     agg: str
@@ -82,6 +86,7 @@ class Feature:
     where: Column | None = None
     days: int | None = None
     rule: str = "DD"
+    scale: float | None = None
 
     def __post_init__(self):
         if self.agg not in AGGS:
@@ -118,11 +123,12 @@ def _minus_days(ts: Column, n: int) -> Column:
 def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
                       fact: FactSpec, features: Sequence[Feature],
                       strategy: str = "bucketed", dedupe_anchors: bool = True,
-                      open_bucket_days: int = 91, as_double: bool = True) -> DataFrame:
+                      open_bucket_days: int = 365, as_double: bool = True) -> DataFrame:
     """Anchor key columns + one column per feature, one row per distinct anchor key.
 
     ``dedupe_anchors`` drops duplicate anchor keys first (duplicates would
-    otherwise multiply window sums, as in a plain join + GROUP BY)."""
+    otherwise multiply window sums, as in a plain join + GROUP BY); it is skipped,
+    saving a shuffle, when the spec declares its key ``unique``."""
     if not features:
         raise ValueError("no features")
     names = [f.name for f in features]
@@ -130,188 +136,244 @@ def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
         raise ValueError("duplicate feature names")
     keys = anchor.key_columns
     a = anchors.select(*[F.col(k) for k in keys])
-    if dedupe_anchors:
+    if dedupe_anchors and not anchor.unique:
         a = a.dropDuplicates(keys)
     a = (a.withColumn("_e", F.col(anchor.entity))
           .withColumn("_a", F.col(anchor.ts).cast("timestamp_ntz")))
-    f = _prepare_facts(facts, fact, features)
+    plan = _Plan(features)
+    f = _prepare_facts(facts, fact, plan)
     if strategy == "direct":
-        agg = _direct(a, f, keys, features)
+        agg = _direct(a, f, keys, plan)
     elif strategy == "bucketed":
-        agg = _bucketed(a, f, keys, features, open_bucket_days)
+        agg = _bucketed(a, f, keys, plan, open_bucket_days)
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    return _finish(agg, keys, features, as_double)
+    return _finish(agg, keys, plan, as_double)
 
 
 # ------------------------------------------------------------------------ internals
 
 
-def _prepare_facts(facts: DataFrame, fact: FactSpec, features: Sequence[Feature]) -> DataFrame:
-    """(entity, ts, day) + per-feature measure ``_m{i}`` (sum/avg) or marker ``_c{i}``.
-
-    A column is NULL when the fact is outside the feature's filter, so plain
-    ``sum``/``count`` give the filtered aggregates; rows matching no feature are
-    dropped before any shuffle."""
-    cols = [F.col(fact.entity).alias("_e"),
-            F.col(fact.ts).cast("timestamp_ntz").alias("_t")]
-    conds = []
-    for i, ft in enumerate(features):
-        cond = ft.where if ft.where is not None else F.lit(True)
-        conds.append(cond)
-        if ft.agg in ("sum", "avg"):
-            cols.append(F.when(cond, _col(ft.measure)).alias(f"_m{i}"))
-        else:
-            counted = cond if ft.agg == "exists" or ft.measure is None else (
-                cond & _col(ft.measure).isNotNull())
-            cols.append(F.when(counted, F.lit(1)).alias(f"_c{i}"))
-    any_cond = conds[0]
-    for c in conds[1:]:
-        any_cond = any_cond | c
+class _Plan:
+    """Shared work: features with the same measure and filter share one value column
+    (``sig``); features with the same (value, rule, days) share one aggregate slot."""
+
+    def __init__(self, features: Sequence[Feature]):
+        self.features = list(features)
+        self.sigs: list[tuple[str, Column, Column | None]] = []   # (kind, value expr, where)
+        self.slots: list[tuple[int, str, int | None]] = []        # (sig, rule, days)
+        self.feature_slot: list[int] = []
+        sig_index: dict[str, int] = {}
+        slot_index: dict[tuple, int] = {}
+        for ft in self.features:
+            cond = ft.where if ft.where is not None else F.lit(True)
+            if ft.agg in ("sum", "avg"):
+                kind, value = "sum", F.when(cond, _col(ft.measure))
+            else:
+                counted = cond if ft.agg == "exists" or ft.measure is None else (
+                    cond & _col(ft.measure).isNotNull())
+                kind, value = "count", F.when(counted, F.lit(1))
+            key = f"{kind}|{value}"
+            if key not in sig_index:
+                sig_index[key] = len(self.sigs)
+                self.sigs.append((kind, value, cond))
+            sg = sig_index[key]
+            days = None if ft.rule.startswith("OPEN") else ft.days
+            skey = (sg, ft.rule, days)
+            if skey not in slot_index:
+                slot_index[skey] = len(self.slots)
+                self.slots.append(skey)
+            self.feature_slot.append(slot_index[skey])
+
+    def kind(self, slot: int) -> str:
+        return self.sigs[self.slots[slot][0]][0]
+
+    def slots_where(self, pred) -> list[int]:
+        return [k for k, (_, rule, _) in enumerate(self.slots) if pred(rule)]
+
+
+def _prepare_facts(facts: DataFrame, fact: FactSpec, plan: _Plan) -> DataFrame:
+    """(entity, ts, day) + one value column ``_v{sig}`` per distinct measure/filter:
+    the measure when the fact passes the filter, else NULL (count kinds: 1/NULL).
+    Rows passing no filter are dropped before any shuffle."""
+    cols = [F.col(fact.entity).alias("_e"), F.col(fact.ts).cast("timestamp_ntz").alias("_t")]
+    cols += [value.alias(f"_v{g}") for g, (_, value, _) in enumerate(plan.sigs)]
+    any_cond = None
+    for _, _, cond in plan.sigs:
+        any_cond = cond if any_cond is None else any_cond | cond
     out = facts.where(F.col(fact.entity).isNotNull() & F.col(fact.ts).isNotNull()
                       & F.coalesce(any_cond, F.lit(False))).select(*cols)
     return out.withColumn("_d", F.to_date("_t"))
 
 
-def _value_col(i: int, ft: Feature) -> str:
-    return f"_m{i}" if ft.agg in ("sum", "avg") else f"_c{i}"
-
-
-def _in_window(ft: Feature, a: Column, t: Column, d: Column) -> Column:
-    """Row-level window predicate for the direct strategy."""
+def _in_window(rule: str, n: int | None, a: Column, t: Column, d: Column) -> Column:
+    """Row-level window predicate (direct strategy)."""
     a_day = F.to_date(a)
-    n = ft.days
-    if ft.rule == "DD":
+    if rule == "DD":
         return (d >= F.date_sub(a_day, n)) & (d <= a_day)
-    if ft.rule == "TT":
+    if rule == "TT":
         return (t >= _minus_days(a, n)) & (t <= a_day.cast("timestamp_ntz"))
-    if ft.rule == "DT":
+    if rule == "DT":
         return (d.cast("timestamp_ntz") >= _minus_days(a, n)) & (d <= a_day)
-    if ft.rule == "OPEN_TS":
+    if rule == "OPEN_TS":
         return t <= a
     return d <= a_day
 
 
-def _direct(a: DataFrame, f: DataFrame, keys: list[str], features: Sequence[Feature]) -> DataFrame:
-    fa = f.alias("f")
-    anchor_cols = [F.col(f"a.{k}") for k in keys]
-    # Widest bounds in the ON clause; per-feature windows as conditional aggregates.
+def _direct(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan) -> DataFrame:
     a_ts, a_day = F.col("a._a"), F.to_date(F.col("a._a"))
     on = (F.col("a._e") == F.col("f._e")) & (F.col("f._d") <= a_day)
-    if all(not ft.rule.startswith("OPEN") for ft in features):
-        n_max = max(ft.days for ft in features)
+    if all(not rule.startswith("OPEN") for _, rule, _ in plan.slots):
+        n_max = max(days for _, _, days in plan.slots)
         on = on & (F.col("f._t") >= _minus_days(a_ts, n_max + 1))
-    j = a.alias("a").join(fa, on, "left")
+    j = a.alias("a").join(f.alias("f"), on, "left")
     aggs = []
-    for i, ft in enumerate(features):
-        v = F.col(f"f.{_value_col(i, ft)}")
-        w = _in_window(ft, a_ts, F.col("f._t"), F.col("f._d"))
-        x = F.when(w, v)
-        aggs += [F.sum(x).alias(f"_s{i}"), F.count(x).alias(f"_n{i}")]
-    return j.groupBy(*anchor_cols).agg(*aggs)
+    for k, (sg, rule, days) in enumerate(plan.slots):
+        x = F.when(_in_window(rule, days, a_ts, F.col("f._t"), F.col("f._d")), F.col(f"f._v{sg}"))
+        aggs += [F.sum(x).alias(f"_s{k}"), F.count(x).alias(f"_n{k}")]
+    return j.groupBy(*[F.col(f"a.{c}") for c in keys]).agg(*aggs)
 
 
-def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], features: Sequence[Feature],
+def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan,
               open_bucket_days: int) -> DataFrame:
-    windowed = [(i, ft) for i, ft in enumerate(features) if not ft.rule.startswith("OPEN")]
-    opened = [(i, ft) for i, ft in enumerate(features) if ft.rule.startswith("OPEN")]
-    open_ts = [(i, ft) for i, ft in opened if ft.rule == "OPEN_TS"]
-    tt = [(i, ft) for i, ft in windowed if ft.rule == "TT"]
-    nfeat = len(features)
-
-    # 1. daily pre-aggregate: one pass, all features, partial aggregation map-side.
+    windowed = plan.slots_where(lambda r: not r.startswith("OPEN"))
+    opened = plan.slots_where(lambda r: r.startswith("OPEN"))
+    open_ts = plan.slots_where(lambda r: r == "OPEN_TS")
+    tt = plan.slots_where(lambda r: r == "TT")
+    nslot = len(plan.slots)
+    tt_sigs = sorted({plan.slots[k][0] for k in tt})
+
+    # 1. daily pre-aggregate: one pass over the facts, every value column at once.
     f = f.withColumn("_dn", _day_num(F.col("_d")))
     daily_aggs = []
-    for i, ft in enumerate(features):
-        v = F.col(_value_col(i, ft))
-        daily_aggs += [F.sum(v).alias(f"s{i}"), F.count(v).alias(f"n{i}")]
-        if ft.rule == "TT":  # facts stamped exactly at midnight (the TT upper edge)
+    for g, (kind, _, _) in enumerate(plan.sigs):
+        v = F.col(f"_v{g}")
+        if kind == "sum":
+            daily_aggs.append(F.sum(v).alias(f"s{g}"))
+        daily_aggs.append(F.count(v).alias(f"n{g}"))
+        if g in tt_sigs:  # facts stamped exactly at midnight (the TT upper edge)
             vm = F.when(F.col("_t") == F.col("_d").cast("timestamp_ntz"), v)
-            daily_aggs += [F.sum(vm).alias(f"sm{i}"), F.count(vm).alias(f"nm{i}")]
+            if kind == "sum":
+                daily_aggs.append(F.sum(vm).alias(f"sm{g}"))
+            daily_aggs.append(F.count(vm).alias(f"nm{g}"))
     daily = f.groupBy("_e", "_d", "_dn").agg(*daily_aggs)
+    stype = {g: (daily.schema[f"s{g}"].dataType if kind == "sum" else T.LongType())
+             for g, (kind, _, _) in enumerate(plan.sigs)}
 
     a = (a.withColumn("_ad", F.to_date("_a"))
-          .withColumn("_adn", _day_num(F.col("_ad"))))
+          .withColumn("_adn", _day_num(F.col("_ad")))
+          .withColumn("_mid", F.col("_a") == F.col("_ad").cast("timestamp_ntz")))
 
-    stype = {i: daily.schema[f"s{i}"].dataType for i in range(nfeat)}
-
-    def contrib(parts: dict[int, tuple[Column, Column]]) -> list[Column]:
+    def contrib(parts: dict[int, tuple[Column | None, Column | None]]) -> list[Column]:
         out = []
-        for i in range(nfeat):
-            s, n = parts.get(i, (None, None))
-            out.append((s if s is not None else F.lit(None)).cast(stype[i]).alias(f"_s{i}"))
-            out.append((n if n is not None else F.lit(None)).cast("long").alias(f"_n{i}"))
+        for k in range(nslot):
+            s, n = parts.get(k, (None, None))
+            out.append((s if s is not None else F.lit(None)).cast(stype[plan.slots[k][0]])
+                       .alias(f"_s{k}"))
+            out.append((n if n is not None else F.lit(None)).cast("long").alias(f"_n{k}"))
         return out
 
+    def pair(kind: str, s: Column, n: Column, cond: Column) -> tuple[Column | None, Column]:
+        return (F.when(cond, s) if kind == "sum" else None, F.when(cond, n))
+
     branches = []
 
-    # 2. windowed rules through the (entity, bucket) equi-join.
+    # 2. windowed rules through the (entity, bucket) equi-join.  Every window bound is
+    #    an integer day number computed once per anchor, before the join.
     if windowed:
-        n_max = max(ft.days for _, ft in windowed)
+        n_max = max(plan.slots[k][2] for k in windowed)
         width = n_max + 1
-        ax = (a.withColumn("_lo", F.col("_adn") - F.lit(n_max))
-               .withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width),
-                                                      F.floor(F.col("_adn") / width)))))
+        bounds = {}
+        ax = a.withColumn("_lo", F.col("_adn") - F.lit(n_max))
+        for rule, days in sorted({(plan.slots[k][1], plan.slots[k][2]) for k in windowed}):
+            name = f"_w_{rule}_{days}"
+            t0 = _minus_days(F.col("_a"), days)
+            if rule == "DD":
+                expr = F.col("_adn") - F.lit(days)
+            elif rule == "DT":   # first day whose midnight is >= a - N
+                expr = _day_num(F.to_date(t0)) + F.when(
+                    t0 > F.to_date(t0).cast("timestamp_ntz"), 1).otherwise(0)
+            else:                # TT: the (partial) first day
+                expr = _day_num(F.to_date(t0))
+            ax = ax.withColumn(name, expr)
+            bounds[(rule, days)] = name
+        ax = ax.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width),
+                                                      F.floor(F.col("_adn") / width))))
         dx = daily.withColumn("_b", F.floor(F.col("_dn") / width))
         j = ax.alias("a").join(
             dx.alias("d"),
             (F.col("a._e") == F.col("d._e")) & (F.col("a._b") == F.col("d._b"))
             & F.col("d._dn").between(F.col("a._lo"), F.col("a._adn")), "inner")
-        dn, adn, a_ts = F.col("d._dn"), F.col("a._adn"), F.col("a._a")
+        dn, adn = F.col("d._dn"), F.col("a._adn")
         parts = {}
-        for i, ft in windowed:
-            s, n = F.col(f"d.s{i}"), F.col(f"d.n{i}")
-            if ft.rule == "DD":
-                w = dn >= adn - F.lit(ft.days)
-                parts[i] = (F.when(w, s), F.when(w, n))
-            elif ft.rule == "DT":
-                w = F.col("d._d").cast("timestamp_ntz") >= _minus_days(a_ts, ft.days)
-                parts[i] = (F.when(w, s), F.when(w, n))
-            else:  # TT: whole days strictly after the first window day, midnight of the last
-                first = _day_num(F.to_date(_minus_days(a_ts, ft.days)))
-                full = (dn > first) & (dn < adn)
-                last = (dn == adn) & (adn > first)
-                sm, nm = F.col(f"d.sm{i}"), F.col(f"d.nm{i}")
-                parts[i] = (F.when(full, s).when(last, sm), F.when(full, n).when(last, nm))
-        branches.append(j.select(*[F.col(f"a.{k}") for k in keys], *contrib(parts)))
+        for k in windowed:
+            sg, rule, days = plan.slots[k]
+            kind = plan.kind(k)
+            lo = F.col(f"a.{bounds[(rule, days)]}")
+            s = F.col(f"d.s{sg}") if kind == "sum" else None
+            n = F.col(f"d.n{sg}")
+            if rule in ("DD", "DT"):
+                parts[k] = pair(kind, s, n, dn >= lo)
+            else:  # TT: whole days after the first day (the first day too when the
+                #        anchor is at midnight); on the anchor day only midnight facts
+                mid = F.col("a._mid")
+                full = (((dn > lo) | ((dn == lo) & mid)) & (dn < adn))
+                last = (dn == adn) & ((adn > lo) | mid)
+                sm = F.col(f"d.sm{sg}") if kind == "sum" else None
+                nm = F.col(f"d.nm{sg}")
+                parts[k] = (F.when(full, s).when(last, sm) if kind == "sum" else None,
+                            F.when(full, n).when(last, nm))
+        branches.append(j.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
 
     # 3. OPEN: whole earlier buckets from bucket totals + the anchor's own bucket daily.
     if opened:
         width = max(1, open_bucket_days)
+        osigs = sorted({plan.slots[k][0] for k in opened})
         dx = daily.withColumn("_ob", F.floor(F.col("_dn") / width))
-        tot = dx.groupBy("_e", "_ob").agg(
-            *[F.sum(f"s{i}").alias(f"s{i}") for i, _ in opened],
-            *[F.sum(f"n{i}").alias(f"n{i}") for i, _ in opened])
+        tot_aggs = []
+        for g in osigs:
+            if plan.sigs[g][0] == "sum":
+                tot_aggs.append(F.sum(f"s{g}").alias(f"s{g}"))
+            tot_aggs.append(F.sum(f"n{g}").alias(f"n{g}"))
+        tot = dx.groupBy("_e", "_ob").agg(*tot_aggs)
         ao = a.withColumn("_ob", F.floor(F.col("_adn") / width))
         j1 = ao.alias("a").join(
             tot.alias("t"),
             (F.col("a._e") == F.col("t._e")) & (F.col("t._ob") < F.col("a._ob")), "inner")
-        branches.append(j1.select(*[F.col(f"a.{k}") for k in keys], *contrib(
-            {i: (F.col(f"t.s{i}"), F.col(f"t.n{i}")) for i, _ in opened})))
+        branches.append(j1.select(*[F.col(f"a.{c}") for c in keys], *contrib({
+            k: (F.col(f"t.s{plan.slots[k][0]}") if plan.kind(k) == "sum" else None,
+                F.col(f"t.n{plan.slots[k][0]}")) for k in opened})))
         j2 = ao.alias("a").join(
             dx.alias("d"),
             (F.col("a._e") == F.col("d._e")) & (F.col("a._ob") == F.col("d._ob"))
             & (F.col("d._dn") <= F.col("a._adn")), "inner")
         before = F.col("d._dn") < F.col("a._adn")
-        branches.append(j2.select(*[F.col(f"a.{k}") for k in keys], *contrib(
-            {i: ((F.col(f"d.s{i}"), F.col(f"d.n{i}")) if ft.rule == "OPEN"
-                 else (F.when(before, F.col(f"d.s{i}")), F.when(before, F.col(f"d.n{i}"))))
-             for i, ft in opened})))
+        parts = {}
+        for k in opened:
+            sg, rule, _ = plan.slots[k]
+            s = F.col(f"d.s{sg}") if plan.kind(k) == "sum" else None
+            n = F.col(f"d.n{sg}")
+            parts[k] = (s, n) if rule == "OPEN" else pair(plan.kind(k), s, n, before)
+        branches.append(j2.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
         if open_ts:  # the anchor's own day, compared on time
             je = a.alias("a").join(
                 f.alias("f"),
                 (F.col("a._e") == F.col("f._e")) & (F.col("a._ad") == F.col("f._d"))
                 & (F.col("f._t") <= F.col("a._a")), "inner")
             parts = {}
-            for i, ft in open_ts:
-                x = F.col(f"f.{_value_col(i, ft)}")
-                parts[i] = (x, F.when(x.isNotNull(), F.lit(1)))
-            branches.append(je.select(*[F.col(f"a.{k}") for k in keys], *contrib(parts)))
-
-    # 4. TT first-day facts with time of day, joined on (entity, day).
+            for k in open_ts:
+                x = F.col(f"f._v{plan.slots[k][0]}")
+                parts[k] = (x if plan.kind(k) == "sum" else None,
+                            F.when(x.isNotNull(), F.lit(1)))
+            branches.append(je.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
+
+    # 4. TT first-day facts with time of day, joined on (entity, day).  Only anchors
+    #    with a time of day need it; for date-grain anchors the branch is empty and
+    #    AQE removes its scan.
     if tt:
-        dist = sorted({ft.days for _, ft in tt})
-        at = (a.withColumn("_N", F.explode(F.array(*[F.lit(n) for n in dist])))
+        dist = sorted({plan.slots[k][2] for k in tt})
+        at = (a.where(~F.col("_mid"))
+               .withColumn("_N", F.explode(F.array(*[F.lit(n) for n in dist])))
                .withColumn("_t0", F.col("_a") - F.make_dt_interval(F.col("_N")))
                .withColumn("_fd", F.to_date("_t0")))
         j = at.alias("a").join(
@@ -320,33 +382,39 @@ def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], features: Sequence[Fe
             & (F.col("f._t") >= F.col("a._t0"))
             & (F.col("f._t") <= F.col("a._ad").cast("timestamp_ntz")), "inner")
         parts = {}
-        for i, ft in tt:
-            v = F.col(f"f.{_value_col(i, ft)}")
-            w = F.col("a._N") == F.lit(ft.days)
-            x = F.when(w, v)
-            parts[i] = (x, F.when(x.isNotNull(), F.lit(1).cast("long")))
-        branches.append(j.select(*[F.col(f"a.{k}") for k in keys], *contrib(parts)))
+        for k in tt:
+            sg, _, days = plan.slots[k]
+            x = F.when(F.col("a._N") == F.lit(days), F.col(f"f._v{sg}"))
+            parts[k] = (x if plan.kind(k) == "sum" else None,
+                        F.when(x.isNotNull(), F.lit(1)))
+        branches.append(j.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
 
     # 5. anchors themselves so that empty windows still produce a row.
-    branches.append(a.select(*[F.col(k) for k in keys], *contrib({})))
-
+    branches.append(a.select(*[F.col(c) for c in keys], *contrib({})))
     u = branches[0]
     for b in branches[1:]:
         u = u.unionByName(b)
-    return u.groupBy(*keys).agg(*[c for i in range(nfeat) for c in (
-        F.sum(f"_s{i}").alias(f"_s{i}"), F.sum(f"_n{i}").alias(f"_n{i}"))])
-
-
-def _finish(agg: DataFrame, keys: list[str], features: Sequence[Feature],
-            as_double: bool) -> DataFrame:
-    out = [F.col(k) for k in keys]
-    for i, ft in enumerate(features):
-        s, n = F.col(f"_s{i}"), F.coalesce(F.col(f"_n{i}"), F.lit(0))
-        if ft.agg == "sum":
-            v = F.when(n > 0, s)
-            out.append((v.cast("double") if as_double else v).alias(ft.name))
-        elif ft.agg == "avg":
-            out.append(F.when(n > 0, s.cast("double") / n.cast("double")).alias(ft.name))
+    aggs = []
+    for k in range(nslot):
+        if plan.kind(k) == "sum":
+            aggs.append(F.sum(f"_s{k}").alias(f"_s{k}"))
+        aggs.append(F.sum(f"_n{k}").alias(f"_n{k}"))
+    return u.groupBy(*keys).agg(*aggs)
+
+
+def _finish(agg: DataFrame, keys: list[str], plan: _Plan, as_double: bool) -> DataFrame:
+    out = [F.col(c) for c in keys]
+    for ft, k in zip(plan.features, plan.feature_slot):
+        n = F.coalesce(F.col(f"_n{k}"), F.lit(0))
+        if ft.agg in ("sum", "avg"):
+            s = F.col(f"_s{k}")
+            if ft.scale:
+                s = s.cast("double") / F.lit(float(ft.scale))
+            if ft.agg == "sum":
+                v = F.when(n > 0, s)
+                out.append((v.cast("double") if as_double else v).alias(ft.name))
+            else:
+                out.append(F.when(n > 0, s.cast("double") / n.cast("double")).alias(ft.name))
         elif ft.agg == "count":
             out.append(n.cast("long").alias(ft.name))
         else:

@@ -10,9 +10,11 @@ from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
 from tidemark.plans.registry import register
 
-ORDER_ANCHOR = AnchorSpec("o_custkey", "o_orderdate", ("o_orderkey",))
+ORDER_ANCHOR = AnchorSpec("o_custkey", "o_orderdate", ("o_orderkey",), unique=True)  # o_orderkey is the key
+EVENT_ANCHOR = AnchorSpec("user_id", "ts", ("event_id",), unique=True)  # event_id is the key
 TXN = FactSpec("entity_id", "txn_ts")
 BAL = FactSpec("entity_id", "created_at")
+CENTS = 100  # money columns of the fixtures are integer cents
 
 # --------------------------------------------------------------------------- step 1
 
@@ -33,8 +35,8 @@ GROUP BY a.o_custkey, a.o_orderdate, a.o_orderkey
 
 def credit_90d_features() -> list[Feature]:
     credit = F.col("txn_type") == "credit"
-    return [Feature("credit_sum_90d", "sum", F.abs("amount"), credit, 90, "DD"),
-            Feature("credit_avg_90d", "avg", F.abs("amount"), credit, 90, "DD"),
+    return [Feature("credit_sum_90d", "sum", F.abs("amount"), credit, 90, "DD", CENTS),
+            Feature("credit_avg_90d", "avg", F.abs("amount"), credit, 90, "DD", CENTS),
             Feature("credit_cnt_90d", "count", "txn_id", credit, 90, "DD")]
 
 
@@ -77,15 +79,15 @@ def trailing_four_rules(spark, root, strategy: str = "bucketed"):
     anchors = fx.purchase_anchors(spark, root)
     views = (fx.table(spark, root, "events").where(F.col("event_type") == "view")
              .select("event_id", "user_id", "ts",
-                     F.col("value").cast("decimal(18,2)").alias("value")))
+                     F.round(F.col("value") * 100).cast("bigint").alias("value")))
     feats = []
     for rule in ("DD", "TT", "DT", "OPEN"):
         suffix = "open" if rule == "OPEN" else f"{rule.lower()}_7d"
         days = None if rule == "OPEN" else 7
         feats += [Feature(f"views_{suffix}", "count", "event_id", None, days, rule),
-                  Feature(f"value_{suffix}", "sum", "value", None, days, rule)]
+                  Feature(f"value_{suffix}", "sum", "value", None, days, rule, CENTS)]
     feats = [f for f in feats if f.agg == "count"] + [f for f in feats if f.agg == "sum"]
-    return trailing_features(anchors, views, AnchorSpec("user_id", "ts", ("event_id",)),
+    return trailing_features(anchors, views, EVENT_ANCHOR,
                              FactSpec("user_id", "ts"), feats, strategy=strategy)
 
 
@@ -114,26 +116,26 @@ def transaction_features() -> list[Feature]:
     recurring = credit & F.col("category").isin(K.FX_RECURRING_CATEGORIES)
     amt = F.abs("amount")
     return [
-        Feature("total_credit_l3m", "sum", amt, credit, 90, "DD"),
-        Feature("avg_credit_l3m", "avg", amt, credit, 90, "DD"),
+        Feature("total_credit_l3m", "sum", amt, credit, 90, "DD", CENTS),
+        Feature("avg_credit_l3m", "avg", amt, credit, 90, "DD", CENTS),
         Feature("credit_txn_count_l3m", "count", "txn_id", credit, 90, "DD"),
-        Feature("total_debit_l3m", "sum", amt, debit, 90, "TT"),
-        Feature("avg_debit_l3m", "avg", amt, debit, 90, "TT"),
+        Feature("total_debit_l3m", "sum", amt, debit, 90, "TT", CENTS),
+        Feature("avg_debit_l3m", "avg", amt, debit, 90, "TT", CENTS),
         Feature("debit_txn_count_l3m", "count", "txn_id", debit, 90, "TT"),
-        Feature("total_credit_l1m", "sum", amt, credit, 30, "TT"),
-        Feature("avg_credit_l1m", "avg", amt, credit, 30, "TT"),
+        Feature("total_credit_l1m", "sum", amt, credit, 30, "TT", CENTS),
+        Feature("avg_credit_l1m", "avg", amt, credit, 30, "TT", CENTS),
         Feature("credit_txn_count_l1m", "count", "txn_id", credit, 30, "TT"),
-        Feature("total_debit_l1m", "sum", amt, debit, 30, "TT"),
-        Feature("avg_debit_l1m", "avg", amt, debit, 30, "TT"),
+        Feature("total_debit_l1m", "sum", amt, debit, 30, "TT", CENTS),
+        Feature("avg_debit_l1m", "avg", amt, debit, 30, "TT", CENTS),
         Feature("debit_txn_count_l1m", "count", "txn_id", debit, 30, "TT"),
-        Feature("card_total_l3m", "sum", amt, card, 90, "TT"),
-        Feature("card_avg_l3m", "avg", amt, card, 90, "TT"),
-        Feature("deposits_total_l3m", "sum", amt, deposits, 90, "TT"),
-        Feature("deposits_avg_l3m", "avg", amt, deposits, 90, "TT"),
-        Feature("loan_repayment_l3m", "sum", amt, loans, 90, "DD"),
-        Feature("loan_repayment_l1m", "sum", amt, loans, 30, "DD"),
-        Feature("recurring_credit_l1m", "sum", amt, recurring, 30, "DD"),
-        Feature("recurring_credit_l3m", "sum", amt, recurring, 90, "DD"),
+        Feature("card_total_l3m", "sum", amt, card, 90, "TT", CENTS),
+        Feature("card_avg_l3m", "avg", amt, card, 90, "TT", CENTS),
+        Feature("deposits_total_l3m", "sum", amt, deposits, 90, "TT", CENTS),
+        Feature("deposits_avg_l3m", "avg", amt, deposits, 90, "TT", CENTS),
+        Feature("loan_repayment_l3m", "sum", amt, loans, 90, "DD", CENTS),
+        Feature("loan_repayment_l1m", "sum", amt, loans, 30, "DD", CENTS),
+        Feature("recurring_credit_l1m", "sum", amt, recurring, 30, "DD", CENTS),
+        Feature("recurring_credit_l3m", "sum", amt, recurring, 90, "DD", CENTS),
     ]
 
 
@@ -227,7 +229,7 @@ def open_balance_to_date(spark, root, strategy: str = "bucketed"):
     return trailing_features(
         fx.order_anchors(spark, root), fx.account_balances(spark, root), ORDER_ANCHOR, BAL,
         [Feature("reserves_balance_sum", "sum", "balance",
-                 F.col("status") == K.FX_RESERVE_STATUS, None, "OPEN")], strategy=strategy)
+                 F.col("status") == K.FX_RESERVE_STATUS, None, "OPEN", CENTS)], strategy=strategy)
 
 
 _USAGE_IN = ", ".join(f"'{s}'" for s in K.FX_USAGE_STATUSES)
@@ -271,6 +273,6 @@ def invoice_window(spark, root, strategy: str = "bucketed"):
     cond = F.col("status").isin(K.FX_INVOICE_STATUSES)
     return trailing_features(
         fx.order_anchors(spark, root), fx.account_balances(spark, root), ORDER_ANCHOR, BAL,
-        [Feature("invoice_amount_sum_l3m", "sum", "balance", cond, 90, "DT"),
-         Feature("invoice_avg_txn_amt_l3m", "avg", "balance", cond, 90, "DT")],
+        [Feature("invoice_amount_sum_l3m", "sum", "balance", cond, 90, "DT", CENTS),
+         Feature("invoice_avg_txn_amt_l3m", "avg", "balance", cond, 90, "DT", CENTS)],
         strategy=strategy)

@@ -1,8 +1,9 @@
 """Role views over the driver tables (FIXTURES.md part 2).
 
 Each Spark view has a SQL twin (``SQL_VIEWS``) used by the DuckDB oracle, so the
-oracle queries start from the same inputs.  Money is DECIMAL(18,2) on both sides:
-sums are exact and therefore identical whatever the partitioning or engine.
+oracle queries start from the same inputs.  Money is held exactly: integer cents
+in Spark (primitive long sums, exact and independent of partitioning), DECIMAL(18,2)
+in the SQL twin; both give the same double once divided at the end.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def transactions(spark: SparkSession, root: str) -> DataFrame:
     li = table(spark, root, "lineitem")
     o = table(spark, root, "orders").select("o_orderkey", "o_custkey")
     p = table(spark, root, "part").select("p_partkey", "p_type", "p_name")
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    price = F.round(F.col("l_extendedprice") * 100).cast("bigint")  # cents
     return (li.join(o, li.l_orderkey == o.o_orderkey)
               .join(p, li.l_partkey == p.p_partkey)
               .select(F.col("l_orderkey").alias("txn_id"),
@@ -51,7 +52,7 @@ def account_balances(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "orders").select(
         F.col("o_custkey").alias("entity_id"),
         F.col("o_orderstatus").alias("status"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("balance"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("balance"),  # cents
         F.col("o_orderdate").alias("created_at"))
 
 

@@ -11,6 +11,7 @@ from tidemark.operators.sessions import login_base, login_sessions, segment_ids
 from tidemark.operators.trailing import AnchorSpec, FactSpec, Feature, trailing_features
 from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
+from tidemark.plans.feature_queries import EVENT_ANCHOR
 from tidemark.plans.registry import register
 
 
@@ -39,7 +40,7 @@ def pattern_include_exclude(spark, root):
     t = fx.transactions(spark, root)
     t = t.where(ilike_any("description", K.FX_DEPOSIT_INCLUDE)
                 & ilike_none("description", K.FX_DEPOSIT_EXCLUDE))
-    return t.groupBy("entity_id").agg(F.sum("amount").cast("double").alias("signed_amount"),
+    return t.groupBy("entity_id").agg((F.sum("amount") / 100.0).alias("signed_amount"),
                                       F.count(F.lit(1)).alias("matched_rows"))
 
 
@@ -204,7 +205,7 @@ def event_totals(spark, root, strategy: str = "bucketed"):
     d = fx.draws(spark, root)
     ok = F.col("description").ilike("%MCA DRAW%") & not_deleted("deleted")
     out = trailing_features(
-        fx.purchase_anchors(spark, root), d, AnchorSpec("user_id", "ts", ("event_id",)),
+        fx.purchase_anchors(spark, root), d, EVENT_ANCHOR,
         FactSpec("business_id", "created_at"),
         [Feature("total_draw_count", "count", "transaction_id", ok, None, "OPEN_TS"),
          Feature("total_amount_drawn", "sum", "amount", ok, None, "OPEN_TS")],
@@ -272,13 +273,13 @@ def labelled_transactions(spark, root):
             .where(labels.category.isNotNull())
             .join(anchors, t.entity_id == anchors._ent, "left_semi")
             .select(t.entity_id.alias("business_id"), t.txn_id.alias("transaction_id"),
-                    F.abs(t.amount).cast("double").alias("amount"), "txn_type", "description",
+                    (F.abs(t.amount) / 100.0).alias("amount"), "txn_type", "description",
                     t.txn_ts.alias("transaction_date"), labels.category.alias("txn_category"))
             .distinct())
     predicted = (not_in(t, "txn_id", labels, "transaction_id")
                  .select(F.col("entity_id").alias("business_id"),
                          F.col("txn_id").alias("transaction_id"),
-                         F.abs("amount").cast("double").alias("amount"),
+                         (F.abs("amount") / 100.0).alias("amount"),
                          "txn_type", "description", F.col("txn_ts").alias("transaction_date"),
                          F.col("category").alias("txn_category")))
     return lab.unionByName(predicted, allowMissingColumns=True)
@@ -416,6 +417,6 @@ def login_count_features() -> list[Feature]:
 def login_counts(spark, root, strategy: str = "bucketed"):
     """7/15/30-day login counts per anchor from the login base, fused in one pass."""
     return trailing_features(fx.purchase_anchors(spark, root), _login_base(spark, root),
-                             AnchorSpec("user_id", "ts", ("event_id",)),
+                             EVENT_ANCHOR,
                              FactSpec("business_id", "created_at"), login_count_features(),
                              strategy=strategy)

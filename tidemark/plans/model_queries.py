@@ -13,9 +13,10 @@ from tidemark.operators.selection import correlation_pairs, information_value
 from tidemark.operators.trailing import Feature, trailing_features
 from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
-from tidemark.plans.feature_queries import (BAL, FUSED_BODY, ORDER_ANCHOR,
+from tidemark.plans.feature_queries import (BAL, CENTS, FUSED_BODY, ORDER_ANCHOR,
                                             TRANSACTION_FEATURE_NAMES, transaction_features)
 from tidemark.plans.registry import register
+from tidemark.session import cut_lineage
 
 KEYS = ["o_custkey", "o_orderdate", "o_orderkey"]
 
@@ -39,11 +40,11 @@ BALANCE_FEATURE_NAMES = ["reserves_balance_sum", "invoice_usage_flag", "invoice_
 def balance_features() -> list[Feature]:
     return [
         Feature("reserves_balance_sum", "sum", "balance",
-                F.col("status") == K.FX_RESERVE_STATUS, None, "OPEN"),
+                F.col("status") == K.FX_RESERVE_STATUS, None, "OPEN", CENTS),
         Feature("invoice_usage_flag", "exists", None,
                 F.col("status").isin(K.FX_USAGE_STATUSES), None, "OPEN"),
         Feature("invoice_amount_sum_l3m", "sum", "balance",
-                F.col("status").isin(K.FX_INVOICE_STATUSES), 90, "DT"),
+                F.col("status").isin(K.FX_INVOICE_STATUSES), 90, "DT", CENTS),
     ]
 
 
@@ -218,6 +219,16 @@ def model_matrix_df(spark, root):
     return model_matrix(feature_table_df(spark, root), "y", MATRIX_DROP, MATRIX_KEEP)
 
 
+def model_matrix_cut(spark, root):
+    """Model matrix with its lineage cut (reliable checkpoint in the shared checkpoint
+    directory): every later multi-pass step reads it instead of recomputing features."""
+    return cut_lineage(model_matrix_df(spark, root))
+
+
+def feature_table_cut(spark, root):
+    return cut_lineage(feature_table_df(spark, root))
+
+
 def _matrix_features() -> list[str]:
     """Numeric feature columns of the model matrix, in feature-table order."""
     names = TRANSACTION_FEATURE_NAMES + BALANCE_FEATURE_NAMES
@@ -284,7 +295,7 @@ SQL_IV = fx.with_views("SELECT * FROM iv_table", *FT_VIEWS, extra=IV_CTES)
 @register("information_value", SQL_IV)
 def information_value_query(spark, root):
     """IV of every model-matrix feature on 10 quantile bins, no smoothing."""
-    mm = model_matrix_df(spark, root)
+    mm = model_matrix_cut(spark, root)
     iv = information_value(mm, "y", _matrix_features(), bins=K.IV_BINS)
     return iv.select("feature", F.round("iv", 10).alias("iv"))
 
@@ -321,7 +332,7 @@ SQL_CORR_PAIRS = fx.with_views(
 @register("correlation_pairs", SQL_CORR_PAIRS)
 def correlation_pairs_query(spark, root):
     """Pearson correlation of every feature pair, one aggregate pass (M1)."""
-    pairs = correlation_pairs(model_matrix_df(spark, root), _matrix_features())
+    pairs = correlation_pairs(model_matrix_cut(spark, root), _matrix_features())
     return pairs.select("feature_i", "feature_j", F.round("corr", 10).alias("corr"))
 
 
@@ -333,7 +344,7 @@ SQL_CORR_PRUNE = fx.with_views(
 @register("correlation_prune", SQL_CORR_PRUNE)
 def correlation_prune(spark, root):
     """Columns dropped by the signed upper-triangle rule corr(i<j) > threshold (M1)."""
-    pairs = correlation_pairs(model_matrix_df(spark, root), _matrix_features())
+    pairs = correlation_pairs(model_matrix_cut(spark, root), _matrix_features())
     return pairs.where(F.col("corr") > K.CORR_THRESHOLD).select(
         F.col("feature_j").alias("feature")).distinct()
 
@@ -365,7 +376,7 @@ SQL_PROFILE = fx.with_views("SELECT * FROM profile", *FT_VIEWS,
 @register("univariate_profile", SQL_PROFILE)
 def univariate_profile_query(spark, root):
     """Positive-value percentiles, mean, std, min/max and missing rate per column."""
-    prof = univariate_profile(feature_table_df(spark, root), _profile_columns())
+    prof = univariate_profile(feature_table_cut(spark, root), _profile_columns())
     rounded = ["mean", "std"] + [percentile_name(p) for p in _PCTS]
     return prof.select(*[F.round(c, 10).alias(c) if c in rounded else F.col(c)
                          for c in prof.columns])

@@ -30,6 +30,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     conf = dict(_DEFAULTS)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf["spark.driver.memory"] = os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g")
+    # Wide feature frames generate large methods; let the JIT compile them too.
+    conf["spark.driver.extraJavaOptions"] = "-XX:-DontCompileHugeMethods"
+    conf["spark.executor.extraJavaOptions"] = "-XX:-DontCompileHugeMethods"
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
