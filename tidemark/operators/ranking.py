@@ -1,8 +1,8 @@
 """Global order statistics without a single-partition window.
 
 ``global_cumsum`` gives inclusive running sums in (group, order) order over the
-whole frame: the frame is range-partitioned on (group, order), each partition
-gets its per-group totals, the offsets of earlier partitions come from a table
+whole frame: the frame is range-partitioned on (group, order) and the partition
+id fixed by a checkpoint, each partition gets its per-group totals, the offsets of earlier partitions come from a table
 of (#partitions x #groups-per-partition) rows, and the running sum inside a
 partition is a window over that partition's rows only.  Equal order values
 always land in the same range partition, so ties are never split.
@@ -18,6 +18,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 
 def _partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -33,7 +35,11 @@ def global_cumsum(df: DataFrame, order: Sequence[str], sums: Sequence[str],
     n = _partitions(df, num_partitions)
     g, o = list(groups), list(order)
     r = df.repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in g + o])
-    r = r.withColumn("_pid", F.spark_partition_id())
+    # The partition id is read by two branches (totals and running sums).  Range
+    # bounds come from sampling and AQE may coalesce each read differently, so the
+    # ids are fixed once by a reliable checkpoint (shared directory, survives
+    # executor loss) before branching.
+    r = cut_lineage(r.withColumn("_pid", F.spark_partition_id()))
     totals = r.groupBy("_pid", *g).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     w_prev = (Window.partitionBy(*g).orderBy("_pid")
               .rowsBetween(Window.unboundedPreceding, -1)) if g else (

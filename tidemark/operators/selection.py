@@ -125,3 +125,53 @@ def remove_correlated(df: DataFrame, features: Sequence[str], threshold: float
                       ) -> tuple[DataFrame, list[str]]:
     dropped = correlated_to_drop(features, correlation_matrix(df, features), threshold)
     return df.drop(*dropped), dropped
+
+
+def binomial_tail(hits: int, n: int, p: float = 0.5) -> float:
+    """P(X >= hits) for X ~ Binomial(n, p)."""
+    return float(sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(hits, n + 1)))
+
+
+def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: str,
+                     rounds: int = 10, seed: int = 0, num_trees: int = 50, max_depth: int = 5,
+                     alpha: float = 0.05) -> DataFrame:
+    """All-relevant selection against permuted "shadow" copies (M6).
+
+    Each round pairs every row with the feature values of another row (a hash
+    permutation of the row order, built from distributed prefix counts and an
+    equi-join on position, never collected), fits a random forest on features +
+    shadows and records a hit for each feature more important than the best
+    shadow.  A feature is accepted when P(X >= hits | Binomial(rounds, 1/2)) is
+    below alpha / k (Bonferroni).  Returns (feature, hits, p_value, accepted)."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    from tidemark.operators.ranking import global_cumsum
+
+    feats = list(features)
+    k = len(feats)
+    base = df.select(key, label, *feats).withColumn("_one", F.lit(1))
+    ordered = global_cumsum(base, [key], ["_one"]).withColumnRenamed("cum__one", "_pos").drop("_one")
+    hits = {f: 0 for f in feats}
+    shadows = [f"shadow_{i}" for i in range(k)]
+    for r in range(rounds):
+        h = F.xxhash64(F.col(key), F.lit(seed), F.lit(r))
+        perm = global_cumsum(base.withColumn("_h", h), ["_h", key], ["_one"]).select(
+            F.col("cum__one").alias("_pos"), *[F.col(f).alias(s) for f, s in zip(feats, shadows)])
+        data = ordered.join(perm, "_pos")
+        va = VectorAssembler(inputCols=feats + shadows, outputCol="_fv", handleInvalid="keep")
+        train = va.transform(data).select("_fv", F.col(label).cast("double").alias("_lbl")).persist()
+        model = RandomForestClassifier(featuresCol="_fv", labelCol="_lbl", numTrees=num_trees,
+                                       maxDepth=max_depth, seed=seed * 1000 + r).fit(train)
+        train.unpersist()
+        imp = model.featureImportances.toArray()
+        best_shadow = max(imp[k:]) if k else 0.0
+        for i, f in enumerate(feats):
+            if imp[i] > best_shadow:
+                hits[f] += 1
+    rows = []
+    for f in feats:
+        pv = binomial_tail(hits[f], rounds)
+        rows.append((f, hits[f], pv, bool(pv < alpha / max(k, 1))))
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, hits int, p_value double, accepted boolean")

@@ -1,6 +1,6 @@
 """All registered queries, in build order (importing a module registers its queries)."""
 
-from tidemark.plans import feature_queries, lookup_queries, model_queries  # noqa: F401
+from tidemark.plans import feature_queries, lookup_queries, ml_queries, model_queries  # noqa: F401
 from tidemark.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
