@@ -9,6 +9,7 @@ aggregate over ``feature``; only k x k correlation numbers and per-feature IVs
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.sql import DataFrame
@@ -138,7 +139,7 @@ def binomial_tail(hits: int, n: int, p: float = 0.5) -> float:
 
 def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: str,
                      rounds: int = 10, seed: int = 0, num_trees: int = 50, max_depth: int = 5,
-                     alpha: float = 0.05) -> DataFrame:
+                     alpha: float = 0.05, parallelism: int = 4) -> DataFrame:
     """All-relevant selection against permuted "shadow" copies (M6).
 
     Each round pairs every row with the feature values of another row (a hash
@@ -158,7 +159,8 @@ def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: st
     ordered = global_cumsum(base, [key], ["_one"]).withColumnRenamed("cum__one", "_pos").drop("_one")
     hits = {f: 0 for f in feats}
     shadows = [f"shadow_{i}" for i in range(k)]
-    for r in range(rounds):
+
+    def one_round(r: int) -> list[bool]:
         h = F.xxhash64(F.col(key), F.lit(seed), F.lit(r))
         perm = global_cumsum(base.withColumn("_h", h), ["_h", key], ["_one"]).select(
             F.col("cum__one").alias("_pos"), *[F.col(f).alias(s) for f, s in zip(feats, shadows)])
@@ -170,9 +172,13 @@ def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: st
         train.unpersist()
         imp = model.featureImportances.toArray()
         best_shadow = max(imp[k:]) if k else 0.0
-        for i, f in enumerate(feats):
-            if imp[i] > best_shadow:
-                hits[f] += 1
+        return [bool(imp[i] > best_shadow) for i in range(k)]
+
+    # rounds are independent Spark jobs: submit them concurrently
+    with ThreadPoolExecutor(max_workers=max(1, min(rounds, parallelism))) as ex:
+        for won in ex.map(one_round, range(rounds)):
+            for f, w in zip(feats, won):
+                hits[f] += int(w)
     rows = []
     for f in feats:
         pv = binomial_tail(hits[f], rounds)
