@@ -43,3 +43,10 @@ def test_select_first_and_json(spark):
     assert r[1].ab is None
     s = df.select(select_first([F.lit(False), F.lit(True)], ["x", "y"], "d").alias("s")).first().s
     assert s == "y"
+
+
+def test_replace_value(spark):
+    from tidemark.functions import replace_value
+    df = spark.createDataFrame([("0", 0), ("x", 5)], "s string, n long")
+    assert [r.s for r in replace_value(df, "s", 0, 100).collect()] == ["0", "x"]   # text: no-op
+    assert [r.n for r in replace_value(df, "n", 0, 100).collect()] == [100, 5]

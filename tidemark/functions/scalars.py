@@ -104,3 +104,12 @@ def round_doubles(df: DataFrame, digits: int, columns: Iterable[str] | None = No
         f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
     return df.select(*[F.round(F.col(c), digits).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
+
+
+def replace_value(df: DataFrame, col: str, old, new) -> DataFrame:
+    """Replace one value in a column (F14).  As in the source, a numeric ``old`` never
+    matches a text column (no implicit cast), so the call is then a no-op."""
+    dtype = df.schema[col].dataType
+    if isinstance(dtype, T.StringType) != isinstance(old, str):
+        return df
+    return df.withColumn(col, F.when(F.col(col) == F.lit(old), F.lit(new)).otherwise(F.col(col)))

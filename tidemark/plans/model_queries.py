@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions import day_diff, normalised_ratio, ordinal_map, ratio
+from tidemark.functions import day_diff, normalised_ratio, ordinal_map, ratio, replace_value
 from tidemark.operators.encode import label_encode, model_matrix
 from tidemark.operators.evaluate import cut_labels, ks_peak, ks_statistic, ks_table, roc_auc
 from tidemark.operators.profile import percentile_name, univariate_profile
@@ -88,7 +88,9 @@ def feature_table_df(spark, root, strategy: str = "bucketed"):
     orders = fx.scored_orders(spark, root).select("o_orderkey", "o_totalprice", "y", "p")
     first_order = (fx.table(spark, root, "orders").groupBy("o_custkey")
                    .agg(F.min("o_orderdate").alias("first_order_date")))
-    biz, _ = label_encode(fx.businesses(spark, root), "state", "state_encoded")
+    # state 0 -> 100 replacement of the source: a no-op on the text state column
+    biz, _ = label_encode(replace_value(fx.businesses(spark, root), "state", 0, 100),
+                          "state", "state_encoded")
     t = (feats.join(orders, "o_orderkey")
          .join(biz, feats.o_custkey == biz.c_custkey, "left").drop("c_custkey")
          .join(first_order, "o_custkey", "left"))
