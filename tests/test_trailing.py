@@ -87,3 +87,16 @@ def test_fused_equals_direct_on_fixture(spark):
     b = trailing_fused(spark, SF, strategy="direct")
     assert a.count() == b.count()
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_auto_strategy_checks_work(spark, monkeypatch):
+    import tidemark.operators.trailing as tr
+    anchors = spark.createDataFrame([(1, M, 1), (1, A, 2), (2, M, 3)], "e long, ts timestamp_ntz, k long")
+    a = anchors.withColumn("_e", F.col("e"))
+    f = _facts(spark).withColumn("_e", F.col("e"))
+    assert tr.direct_join_work(a, f) == (14, 15)          # entity 1: 2 x 7, entity 2: 1 x 1
+    spec = (AnchorSpec("e", "ts", ("k",)), FactSpec("e", "ts"), _feats())
+    auto = trailing_features(anchors, _facts(spark), *spec).collect()
+    monkeypatch.setattr(tr, "DIRECT_MAX_ENTITY_PAIRS", 1)    # forces the bucketed plan
+    forced = trailing_features(anchors, _facts(spark), *spec).collect()
+    assert sorted(map(tuple, auto)) == sorted(map(tuple, forced))

@@ -12,7 +12,9 @@ exist because the source queries used four different predicates:
 
 Results follow SQL: SUM/AVG of an empty window are NULL, COUNT is 0, EXISTS is 0.
 
-Two physical strategies produce identical results:
+Two physical strategies produce identical results (``strategy='auto'``, the
+default, measures the direct join's pair work first and uses ``direct`` only when
+it is bounded, for the hottest entity and in total):
 
 ``direct``   anchors LEFT JOIN facts ON entity AND window, GROUP BY anchor.  Simple,
              but the join emits every (anchor, fact) pair of an entity, so a hot
@@ -120,9 +122,24 @@ def _minus_days(ts: Column, n: int) -> Column:
 # --------------------------------------------------------------------------- public
 
 
+DIRECT_MAX_ENTITY_PAIRS = 2_000_000     # hottest entity: anchors_e x facts_e
+DIRECT_MAX_TOTAL_PAIRS = 200_000_000    # all entities together
+
+
+def direct_join_work(a: DataFrame, f: DataFrame) -> tuple[int, int]:
+    """(max over entities, sum over entities) of anchors_e x facts_e: the exact number
+    of row pairs the direct join evaluates.  One aggregate job; per-entity counts
+    combine map-side, only (entity, count) rows are shuffled."""
+    ac = a.groupBy("_e").agg(F.count(F.lit(1)).alias("_na"))
+    fc = f.groupBy("_e").agg(F.count(F.lit(1)).alias("_nf"))
+    pairs = F.col("_na") * F.col("_nf")
+    r = ac.join(fc, "_e").agg(F.max(pairs).alias("mx"), F.sum(pairs).alias("tot")).first()
+    return int(r.mx or 0), int(r.tot or 0)
+
+
 def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
                       fact: FactSpec, features: Sequence[Feature],
-                      strategy: str = "bucketed", dedupe_anchors: bool = True,
+                      strategy: str = "auto", dedupe_anchors: bool = True,
                       open_bucket_days: int = 365, as_double: bool = True) -> DataFrame:
     """Anchor key columns + one column per feature, one row per distinct anchor key.
 
@@ -142,6 +159,12 @@ def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
           .withColumn("_a", F.col(anchor.ts).cast("timestamp_ntz")))
     plan = _Plan(features)
     f = _prepare_facts(facts, fact, plan)
+    if strategy == "auto":
+        # direct only when its pair work is measured to be small, for the hottest
+        # entity and in total; otherwise the skew-safe bucketed plan
+        mx, tot = direct_join_work(a, f)
+        strategy = ("direct" if mx <= DIRECT_MAX_ENTITY_PAIRS and tot <= DIRECT_MAX_TOTAL_PAIRS
+                    else "bucketed")
     if strategy == "direct":
         agg = _direct(a, f, keys, plan)
     elif strategy == "bucketed":

@@ -41,7 +41,7 @@ def credit_90d_features() -> list[Feature]:
 
 
 @register("trailing_sum_90d", SQL_TRAILING_SUM_90D)
-def trailing_sum_90d(spark, root, strategy: str = "bucketed"):
+def trailing_sum_90d(spark, root, strategy: str = "auto"):
     """Credit sum/avg/count over 90 calendar days (rule DD) per order anchor."""
     return trailing_features(fx.order_anchors(spark, root), fx.transactions(spark, root),
                              ORDER_ANCHOR, TXN, credit_90d_features(), strategy=strategy)
@@ -74,7 +74,7 @@ GROUP BY a.user_id, a.ts, a.event_id
 
 
 @register("trailing_four_rules", SQL_TRAILING_FOUR_RULES)
-def trailing_four_rules(spark, root, strategy: str = "bucketed"):
+def trailing_four_rules(spark, root, strategy: str = "auto"):
     """The four boundary rules side by side on time-of-day data (views before purchases)."""
     anchors = fx.purchase_anchors(spark, root)
     views = (fx.table(spark, root, "events").where(F.col("event_type") == "view")
@@ -206,7 +206,7 @@ SQL_TRAILING_FUSED = fx.with_views(FUSED_BODY, "order_anchors", "transactions")
 
 
 @register("trailing_fused", SQL_TRAILING_FUSED)
-def trailing_fused(spark, root, strategy: str = "bucketed"):
+def trailing_fused(spark, root, strategy: str = "auto"):
     """Twenty transaction windows (three rules, two lengths, six filters) in one pass."""
     return trailing_features(fx.order_anchors(spark, root), fx.transactions(spark, root),
                              ORDER_ANCHOR, TXN, transaction_features(), strategy=strategy)
@@ -224,7 +224,7 @@ GROUP BY a.o_custkey, a.o_orderdate, a.o_orderkey
 
 
 @register("open_balance_to_date", SQL_OPEN_BALANCE)
-def open_balance_to_date(spark, root, strategy: str = "bucketed"):
+def open_balance_to_date(spark, root, strategy: str = "auto"):
     """Open-ended past sum (rule OPEN): balance of all earlier active rows."""
     return trailing_features(
         fx.order_anchors(spark, root), fx.account_balances(spark, root), ORDER_ANCHOR, BAL,
@@ -244,7 +244,7 @@ LEFT JOIN account_balances b
 
 
 @register("usage_flag", SQL_USAGE_FLAG)
-def usage_flag(spark, root, strategy: str = "bucketed"):
+def usage_flag(spark, root, strategy: str = "auto"):
     """0/1 existence of any earlier qualifying row (A3)."""
     return trailing_features(
         fx.order_anchors(spark, root), fx.account_balances(spark, root), ORDER_ANCHOR, BAL,
@@ -268,7 +268,7 @@ GROUP BY a.o_custkey, a.o_orderdate, a.o_orderkey
 
 
 @register("invoice_window", SQL_INVOICE_WINDOW)
-def invoice_window(spark, root, strategy: str = "bucketed"):
+def invoice_window(spark, root, strategy: str = "auto"):
     """Plain sum/avg over a date-vs-timestamp window (rule DT, A2)."""
     cond = F.col("status").isin(K.FX_INVOICE_STATUSES)
     return trailing_features(

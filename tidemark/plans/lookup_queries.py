@@ -197,7 +197,7 @@ GROUP BY a.user_id, a.ts, a.event_id
 
 
 @register("event_totals", SQL_EVENT_TOTALS)
-def event_totals(spark, root, strategy: str = "bucketed"):
+def event_totals(spark, root, strategy: str = "auto"):
     """Event-to-date count and amount per anchor, 0 when none.
 
     Keyed on the anchor (the windowed-aggregate form keyed on the fact side is not
@@ -414,7 +414,7 @@ def login_count_features() -> list[Feature]:
 
 
 @register("login_counts", SQL_LOGIN_COUNTS)
-def login_counts(spark, root, strategy: str = "bucketed"):
+def login_counts(spark, root, strategy: str = "auto"):
     """7/15/30-day login counts per anchor from the login base, fused in one pass."""
     return trailing_features(fx.purchase_anchors(spark, root), _login_base(spark, root),
                              EVENT_ANCHOR,

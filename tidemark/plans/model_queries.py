@@ -76,7 +76,7 @@ def _sql_ratio_cols() -> str:
 
 # --------------------------------------------------------------------------- step 6
 
-def feature_table_df(spark, root, strategy: str = "bucketed"):
+def feature_table_df(spark, root, strategy: str = "auto"):
     """Anchors + every trailing feature (transactions and balances fused into ONE join
     and ONE aggregation), entity attributes, encodings, account age and ratios."""
     txn = fx.transactions(spark, root)
@@ -146,7 +146,7 @@ SQL_FEATURE_TABLE = fx.with_views("SELECT * FROM feature_table", *FT_VIEWS, extr
 
 
 @register("feature_table", SQL_FEATURE_TABLE)
-def feature_table(spark, root, strategy: str = "bucketed"):
+def feature_table(spark, root, strategy: str = "auto"):
     """The assembled one-row-per-anchor feature table."""
     return feature_table_df(spark, root, strategy)
 
