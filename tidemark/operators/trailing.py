@@ -224,8 +224,10 @@ def _prepare_facts(facts: DataFrame, fact: FactSpec, plan: _Plan) -> DataFrame:
     any_cond = None
     for _, _, cond in plan.sigs:
         any_cond = cond if any_cond is None else any_cond | cond
+    # a NULL condition already drops the row in WHERE; no coalesce, so simple
+    # predicates on physical columns stay pushable into the Parquet scan
     out = facts.where(F.col(fact.entity).isNotNull() & F.col(fact.ts).isNotNull()
-                      & F.coalesce(any_cond, F.lit(False))).select(*cols)
+                      & any_cond).select(*cols)
     return out.withColumn("_d", F.to_date("_t"))
 
 
