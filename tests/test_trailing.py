@@ -100,3 +100,25 @@ def test_auto_strategy_checks_work(spark, monkeypatch):
     monkeypatch.setattr(tr, "DIRECT_MAX_ENTITY_PAIRS", 1)    # forces the bucketed plan
     forced = trailing_features(anchors, _facts(spark), *spec).collect()
     assert sorted(map(tuple, auto)) == sorted(map(tuple, forced))
+
+
+def test_hot_entity_goes_bucketed_and_matches(spark, monkeypatch):
+    import tidemark.operators.trailing as tr
+    base = dt.datetime(2023, 1, 1)
+    # entity 0 holds ~90% of facts and anchors (skew); others are light
+    facts = [(0 if i % 10 else i % 7 + 1, i, base + dt.timedelta(hours=7 * i), i % 13)
+             for i in range(3000)]
+    anchors = [(0 if i % 10 else i % 7 + 1, base + dt.timedelta(days=3 * i, hours=5), i)
+               for i in range(300)]
+    fdf = spark.createDataFrame(facts, "e long, fid long, ts timestamp_ntz, v long")
+    adf = spark.createDataFrame(anchors, "e long, ts timestamp_ntz, k long")
+    spec = (AnchorSpec("e", "ts", ("k",)), FactSpec("e", "ts"), _feats())
+    mx, _ = tr.direct_join_work(adf.withColumn("_e", F.col("e")), fdf.withColumn("_e", F.col("e")))
+    monkeypatch.setattr(tr, "DIRECT_MAX_ENTITY_PAIRS", mx - 1)   # hot entity over the bound
+    chosen = []
+    real = tr._bucketed
+    monkeypatch.setattr(tr, "_bucketed", lambda *a, **k: chosen.append(1) or real(*a, **k))
+    auto = trailing_features(adf, fdf, *spec).collect()
+    direct = trailing_features(adf, fdf, *spec, strategy="direct").collect()
+    assert chosen, "auto did not fall back to the bucketed plan"
+    assert sorted(map(tuple, auto)) == sorted(map(tuple, direct))
