@@ -4,8 +4,8 @@
 
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries", "sf"}.
 Each query is executed in full through the ``noop`` sink (every row computed,
-nothing collected to the driver).  A small warm-up on sf0.001 runs first and is
-not timed (JVM start, code generation).
+nothing collected to the driver).  A warm-up over the same code paths on sf0.001
+runs first and is not timed (JVM start, code generation, JIT).
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app="tidemark-bench")
     warm = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm):
-        for n in ("trailing_sum_90d", "roc_auc"):
+        for n in ("trailing_sum_90d", "trailing_fused", "information_value", "roc_auc"):
             QUERIES[n](spark, warm).write.format("noop").mode("overwrite").save()
     times = {}
     for n in names:
