@@ -13,7 +13,7 @@ from tidemark.operators.selection import correlation_pairs, information_value
 from tidemark.operators.trailing import Feature, trailing_features
 from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
-from tidemark.plans.feature_queries import (BAL, CENTS, FUSED_BODY, ORDER_ANCHOR,
+from tidemark.plans.feature_queries import (CENTS, FUSED_BODY, ORDER_ANCHOR, TXN,
                                             TRANSACTION_FEATURE_NAMES, transaction_features)
 from tidemark.plans.registry import register
 from tidemark.session import cut_lineage
@@ -83,7 +83,7 @@ def feature_table_df(spark, root, strategy: str = "auto"):
     bal = fx.account_balances(spark, root).withColumnRenamed("created_at", "txn_ts")
     facts = txn.unionByName(bal, allowMissingColumns=True)
     feats = trailing_features(fx.order_anchors(spark, root), facts, ORDER_ANCHOR,
-                              type(BAL)("entity_id", "txn_ts"),
+                              TXN,
                               transaction_features() + balance_features(), strategy=strategy)
     orders = fx.scored_orders(spark, root).select("o_orderkey", "o_totalprice", "y", "p")
     first_order = (fx.table(spark, root, "orders").groupBy("o_custkey")
@@ -160,7 +160,7 @@ SQL_RATIOS = fx.with_views(
 def ratios(spark, root):
     """Short/long window ratios with float semantics: x/0 = +-inf, 0/0 = NaN."""
     feats = trailing_features(fx.order_anchors(spark, root), fx.transactions(spark, root),
-                              ORDER_ANCHOR, type(BAL)("entity_id", "txn_ts"),
+                              ORDER_ANCHOR, TXN,
                               transaction_features())
     return feats.select(*KEYS, *ratio_columns())
 
