@@ -52,10 +52,18 @@ def stratified_split_query(spark, root):
     return stratified_split(s, "y", "o_orderkey", SEED, K.TEST_SHARE).select("o_orderkey", "y", "is_test")
 
 
+def stable(df, key: str = "o_orderkey"):
+    """Deterministic layout (hash partitions on the row key, sorted inside) cut by a
+    checkpoint: seeded model fits then see the same partitions and row order on
+    every run, whatever AQE did upstream."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    return cut_lineage(df.repartition(n, key).sortWithinPartitions(key))
+
+
 def _split_matrix(spark, root, seed=SEED):
     mm, feats = prefiltered(spark, root)
     sp = stratified_split(mm, "y", "o_orderkey", seed, K.TEST_SHARE)
-    data = cut_lineage(assemble(sp, feats, "y", keep=["o_orderkey", "is_test"]))
+    data = stable(assemble(sp, feats, "y", keep=["o_orderkey", "is_test"]))
     return data, feats
 
 
@@ -96,7 +104,7 @@ def segment_models(spark, root):
     for name in ("small", "large"):
         part = seg.where(F.col("segment") == name)
         sp = stratified_split(part, "y", "o_orderkey", SEED, K.TEST_SHARE)
-        data = cut_lineage(assemble(sp, feats, "y", keep=["o_orderkey", "is_test"]))
+        data = stable(assemble(sp, feats, "y", keep=["o_orderkey", "is_test"]))
         model = fit_gbt(data.where("is_test = 0"), DEFAULT_PARAMS, SEED)
         scored = score(model, data)
         aucs = roc_auc(scored, "label", "score", ["is_test"]).collect()   # two rows
@@ -117,7 +125,7 @@ _STABILITY_MEMO: dict = {}
 
 
 def seed_stability_df(spark, root, seeds=STABILITY_SEEDS, grid: dict | None = None,
-                      parallelism: int = 4):
+                      parallelism: int = 5):
     """Per seed: split, shadow selection on train, fit (fixed parameters, or the best
     of ``grid``), train/test AUC and the selected features (M18).  Seeds run
     concurrently (independent Spark jobs); the small result is kept per session so
@@ -131,7 +139,7 @@ def seed_stability_df(spark, root, seeds=STABILITY_SEEDS, grid: dict | None = No
             sel = shadow_selection(sp.where("is_test = 0"), feats, "y", "o_orderkey",
                                    rounds=SHADOW_ROUNDS, seed=seed)
             chosen = [r.feature for r in sel.where("accepted").collect()] or feats   # <= k rows
-            data = cut_lineage(assemble(sp, chosen, "y", keep=["o_orderkey", "is_test"]))
+            data = stable(assemble(sp, chosen, "y", keep=["o_orderkey", "is_test"]))
             train, test = data.where("is_test = 0"), data.where("is_test = 1")
             if grid:
                 model, _ = search(train, test, grid, seed)
@@ -176,7 +184,7 @@ def attribution_summary_query(spark, root):
     """Monte-Carlo Shapley attribution of the test rows' scores, mean |phi| per feature
     (M16).  Explained rows: the whole test split; background: the training split."""
     mm, feats = prefiltered(spark, root)
-    sp = cut_lineage(stratified_split(mm, "y", "o_orderkey", SEED, K.TEST_SHARE))
+    sp = stable(stratified_split(mm, "y", "o_orderkey", SEED, K.TEST_SHARE))
     data = assemble(sp, feats, "y", keep=["o_orderkey", "is_test"])
     model = fit_gbt(data.where("is_test = 0"), DEFAULT_PARAMS, SEED)
     phi = shapley_values(model, sp.where("is_test = 1"), sp.where("is_test = 0"), feats,
