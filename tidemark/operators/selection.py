@@ -164,7 +164,9 @@ def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: st
         h = F.xxhash64(F.col(key), F.lit(seed), F.lit(r))
         perm = global_cumsum(base.withColumn("_h", h), ["_h", key], ["_one"]).select(
             F.col("cum__one").alias("_pos"), *[F.col(f).alias(s) for f, s in zip(feats, shadows)])
-        data = ordered.join(perm, "_pos")
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+        # deterministic layout: the forest's per-partition sampling then repeats exactly
+        data = ordered.join(perm, "_pos").repartition(n, "_pos").sortWithinPartitions("_pos")
         va = VectorAssembler(inputCols=feats + shadows, outputCol="_fv", handleInvalid="keep")
         train = va.transform(data).select("_fv", F.col(label).cast("double").alias("_lbl")).persist()
         model = RandomForestClassifier(featuresCol="_fv", labelCol="_lbl", numTrees=num_trees,
