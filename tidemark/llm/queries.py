@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm._io import table
+from tidemark.llm.embedding_dedup import embedding_near_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_join
+from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.tokens import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +69,14 @@ SELECT doc_id, size, source_size, target,
             + greatest(0, least(size, budget % source_size - before)) ELSE 0 END AS taken
 FROM o
 """
+
+
+@_query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
