@@ -85,11 +85,12 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def chunks(texts: list, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts of about ``limit`` bytes each (at least one text)."""
+def chunks(texts: list, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive texts of about ``limit`` bytes and at most ``rows`` texts
+    each (at least one text)."""
     start = size = 0
     for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
+        if size and (size + len(t) > limit or i - start >= rows):
             yield start, i
             start, size = i, 0
         size += len(t) + 1
