@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm._io import table
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.embedding_dedup import embedding_near_dedup
+from tidemark.llm.html_text import extract_main_text
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.quality import grade_texts
@@ -80,6 +81,11 @@ FROM o
 """
 
 
+@_query
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
