@@ -11,6 +11,7 @@ from tidemark.llm._io import table
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.embedding_dedup import embedding_near_dedup
 from tidemark.llm.html_text import extract_main_text
+from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.quality import grade_texts
@@ -108,3 +109,34 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
+# levenshtein counts bytes there, so letters beyond ASCII are mapped to one byte first
+ORACLE["op10_line_dedup"] = """
+WITH l AS (
+  SELECT doc_id AS id, unnest(range(0, len(a))) AS no, trim(unnest(a), ' ' || chr(9) || chr(13)) AS line
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+e AS (SELECT * FROM l WHERE length(line) >= 24),
+r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY id, no) AS nth FROM e),
+d AS (SELECT id, no, line, length(line) AS n,
+             translate(line, 'ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúü', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)
+               ||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)
+               ||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)) AS t
+      FROM r WHERE nth = 1),
+p AS (SELECT id, no, line, t, unnest(range(n - 2, n + 3)) AS k FROM d),
+near AS (
+  SELECT DISTINCT p.line FROM p JOIN d ON d.n = p.k
+  WHERE (d.id < p.id OR (d.id = p.id AND d.no < p.no)) AND levenshtein(d.t, p.t) <= 2),
+g AS (SELECT r.id, r.no FROM r LEFT JOIN near USING (line) WHERE r.nth > 1 OR near.line IS NOT NULL),
+s AS (SELECT id, count(*) AS n, string_agg(CAST(no AS VARCHAR), ',' ORDER BY no) AS gone FROM g GROUP BY id)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(s.n, 0) AS BIGINT) AS n_removed, coalesce(s.gone, '') AS removed_lines
+FROM documents LEFT JOIN s ON s.id = doc_id
+"""
