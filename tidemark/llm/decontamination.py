@@ -131,8 +131,8 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _search(phrases, shard_words: int, last: bool, with_text: bool):
-    """One pass over (id, text, spans, items): adds the spans and items of a block of phrases."""
-    def emit(rows: list, p: Phrases):
+    """One pass over (id, text[, row][, spans, items]): adds the spans and items of a block of phrases."""
+    def emit(rows: list, carried: list, types: dict, p: Phrases):
         normals = [folded(t) for _, t, _, _ in rows]
         count, starts, which = _find(normals, p, shard_words)
         spans, items, hits, cleaned = [], [], [], []
@@ -153,11 +153,13 @@ def _search(phrases, shard_words: int, last: bool, with_text: bool):
             hits.append(sum(b - a for a, b in ranges))
             if last and with_text:
                 cleaned.append(cut_words(t, ranges).decode() if ranges else None)
-        ids = pa.array([r[0] for r in rows], rows_type[0])
-        cols, names = [ids], ["id"]
+        cols, names = [pa.array([r[0] for r in rows], types["id"])], ["id"]
         if not last:
             cols.append(pa.array([None if r[1] is None else r[1].decode() for r in rows], pa.string()))
             names.append("text")
+        if carried:
+            cols.append(pa.concat_arrays(carried))
+            names.append("row")
         cols += [pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
         names += ["spans", "items"]
         if last:
@@ -168,30 +170,35 @@ def _search(phrases, shard_words: int, last: bool, with_text: bool):
                 names.append("cleaned")
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    rows_type: list = [None]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
-        rows, size = [], 0
+        rows, carried, size, types = [], [], 0, {}
         for b in batches:
-            rows_type[0] = b.schema.field(0).type
-            ids, texts = b.column(0).to_pylist(), as_bytes(b.column(1))
-            spans, items = (b.column(k).to_pylist() if b.num_columns > k else [[]] * len(ids) for k in (2, 3))
-            for row in zip(ids, texts, spans, items):
+            types = {f.name: f.type for f in b.schema}
+            ids, texts = b.column("id").to_pylist(), as_bytes(b.column("text"))
+            spans, items = (b.column(c).to_pylist() if c in types else [[]] * len(ids) for c in ("spans", "items"))
+            begin = 0
+            for i, row in enumerate(zip(ids, texts, spans, items)):
                 rows.append(row)
                 size += len(row[1] or b"")
-                if size >= 7 * shard_words:                     # about one shard of words
-                    yield emit(rows, p)
-                    rows, size = [], 0
+                if size >= 7 * shard_words or i == len(ids) - 1:
+                    if "row" in types:
+                        carried.append(b.column("row")[begin:i + 1])
+                        begin = i + 1
+                    if size >= 7 * shard_words:                 # about one shard of words
+                        yield emit(rows, carried, types, p)
+                        rows, carried, size = [], [], 0
         if rows:
-            yield emit(rows, p)
+            yield emit(rows, carried, types, p)
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  shard_words: int = 1 << 20, block_words: int = 4_000_000, with_text: bool = False) -> DataFrame:
-    """(id, n_words, n_hit, spans, items, contaminated[, cleaned]), one row per row of ``docs``.
+                  shard_words: int = 1 << 20, block_words: int = 4_000_000, with_text: bool = False,
+                  carry: bool = False) -> DataFrame:
+    """(id, n_words, n_hit, spans, items, contaminated[, cleaned]), one row per row of ``docs``;
+    with ``carry`` the whole input row comes along as the struct ``row``.
 
     ``spans``: maximal runs of words (first, last) covered by occurrences of phrases;
     ``n_hit``: words in them; ``items``: sorted ids, as text, of the benchmark items with
@@ -207,9 +214,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.regexp_count(F.col("text"), F.lit(r"[^\s]+")))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    row = [F.struct("*").alias("row")] if carry else []
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row)
     kind = src.schema["id"].dataType.simpleString()
-    found = "spans array<struct<first:int,last:int>>, items array<string>"
+    found = (f"row {src.schema['row'].dataType.simpleString()}, " if carry else "")
+    found += "spans array<struct<first:int,last:int>>, items array<string>"
     out = src
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # <= block_words
@@ -221,4 +230,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
             f"id {kind}, " + ("" if last else "text string, ") + found + (tail if last else ""))
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans",
                       F.array_remove("items", "").alias("items"),
-                      (F.col("n_hit") > 0).alias("contaminated"), *(["cleaned"] if with_text else []))
+                      (F.col("n_hit") > 0).alias("contaminated"), *(["cleaned"] if with_text else []),
+                      *(["row"] if carry else []))

@@ -75,8 +75,10 @@ def signature(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col: str = "doc_id",
-               text_col: str = "text", block: int = 128, with_text: bool = False) -> DataFrame:
-    """(id, n_lines, removed[, kept]), one row per row of ``docs``.
+               text_col: str = "text", block: int = 128, with_text: bool = False,
+               carry: bool = False) -> DataFrame:
+    """(id, n_lines, removed[, kept]), one row per row of ``docs``; with ``carry`` the whole
+    input row comes along as the struct ``row``.
 
     Lines are the parts of a text between \\n, compared without blanks, tabs and
     carriage returns at their ends; lines of fewer than ``min_chars`` characters (at
@@ -134,14 +136,16 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
     gone = gone.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("removed"))
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long")
-    base = src.select("id", n_lines.alias("n_lines"), *(["text"] if with_text else []))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
+                       *([F.struct("*").alias("row")] if carry else []))
+    base = base.select("id", n_lines.alias("n_lines"), *(["text"] if with_text else []), *(["row"] if carry else []))
     out = base.join(gone, "id", "left").withColumn(
         "removed", F.coalesce("removed", F.array().cast("array<int>")))
     cols = [F.col("id").alias(id_col), "n_lines", "removed"]
     if with_text:
         left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
         cols.append(F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept"))
-    return out.select(*cols)
+    return out.select(*cols, *(["row"] if carry else []))
 
 
 def _crowded(index: DataFrame, probe: DataFrame, crowd: DataFrame, edits: int, block: int) -> DataFrame:

@@ -133,8 +133,9 @@ def learn_lexicon(train: DataFrame, max_entries: int = 4000, min_docs: int = 8)
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "toxic", max_fit_rows: int = 40_000, rounds: int = 20, depth: int = 3,
-                   seed: int = 5) -> DataFrame:
-    """(id, held_out, score, predicted), one row per row of ``docs``.
+                   seed: int = 5, carry: bool = False) -> DataFrame:
+    """(id, held_out, score, predicted), one row per row of ``docs``; with ``carry`` the
+    whole input row comes along as the struct ``row``.
 
     ``max_fit_rows`` bounds the labelled rows that are fitted on: a hash sample of
     the rows with remainder 1 to 4 if there are more.  Every text is scored whole.
@@ -162,9 +163,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for b in batches:
             rows = [features(t or "", weight) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["id", "x"])
+                [b.column(0), pa.array(rows, pa.list_(pa.float64())), *b.columns[2:]],
+                names=["id", "x", *b.schema.names[2:]])
 
     kind = src.schema["id"].dataType.simpleString()
+    every, row, row_type = src, [], ""
+    if carry:
+        every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+        row, row_type = ["row"], ", row " + every.schema["row"].dataType.simpleString()
     fit = cut_lineage(known.select("id", "text").mapInArrow(run, f"id {kind}, x array<double>")
                       .join(known.select("id", "label", "fold"), "id")
                       .select(array_to_vector("x").alias("features"), F.col("label").cast("double").alias("label"), "fold"))
@@ -173,16 +179,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     if len(kinds) < 2 or min(r["k"] for r in kinds) < 2:
         share = float(fit.agg(F.avg("label")).first()[0] or 0.0)
-        scored = src.select("id", F.lit(share).alias("score"))
+        scored = every.select("id", F.lit(share).alias("score"), *row)
     else:
         trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=64).fit(
             fit.where("fold <> 1"))
         margin = vector_to_array("rawPrediction")[1]
         iso = IsotonicRegression(featuresCol="margin", labelCol="label").fit(
             trees.transform(fit.where("fold = 1")).select(margin.alias("margin"), "label"))
-        x = src.select("id", "text").mapInArrow(run, f"id {kind}, x array<double>")
-        m = trees.transform(x.select("id", array_to_vector("x").alias("features"))).select("id", margin.alias("margin"))
+        x = every.mapInArrow(run, f"id {kind}, x array<double>{row_type}")
+        m = trees.transform(x.select("id", array_to_vector("x").alias("features"), *row)).select(
+            "id", margin.alias("margin"), *row)
         scored = iso.transform(m).select(
-            "id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("score"))
+            "id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("prediction"))).alias("score"), *row)
     return scored.select(F.col("id").alias(id_col), held_out.alias("held_out"), "score",
-                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"), *row)
