@@ -25,6 +25,7 @@ lose all windows, and only the smallest goes through steps 2 to 4.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,23 +80,30 @@ def _anchors(window: int, gram: int):
     return run
 
 
+def _tag(normal: bytes) -> int:
+    """Tells apart the texts of a repeated id; sits above the 32 bits of a start."""
+    return (zlib.crc32(normal) & 0x7FFFFFFF) << 32
+
+
 def _windows(window: int, gram: int):
-    """(id, text, seeds) -> (h, id, start) of the windows whose anchor is a seed of the text."""
+    """(id, text, seeds) -> (h, id, tag and start) of the windows whose anchor is a seed of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, texts = b.column(0).to_numpy(), as_bytes(b.column(1))
             seeds, bounds = _lists(b.column(2))
             for lo, hi in chunks([t or b"" for t in texts]):
-                words, off = word_hashes([normal_words(t) for t in texts[lo:hi]])
+                normals = [normal_words(t) for t in texts[lo:hi]]
+                words, off = word_hashes(normals)
                 start, text, low = window_anchors(words, off, window, gram)
                 if not len(start):
                     continue
                 wanted = np.unique(seeds[bounds[lo]:bounds[hi]].view(np.uint64))
                 near = wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low
                 start, text = start[near], text[near]
+                tags = np.fromiter(map(_tag, normals), np.int64, hi - lo)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(gram_hashes(words, window)[start].view(np.int64)),
-                    pa.array(ids[lo:hi][text]), pa.array((start - off[text]).astype(np.int32))],
+                    pa.array(ids[lo:hi][text]), pa.array(start - off[text] + tags[text])],
                     names=["h", "id", "start"])
     return run
 
@@ -125,8 +133,8 @@ def _cut(window: int, with_text: bool):
                 normal = normal_words(t)
                 whole.append(hashlib.sha256(normal).hexdigest())
                 n = n_words(normal)
-                starts = vals[off[i]:off[i + 1]]
-                mask = covered(n, starts[starts <= n - window], window)
+                marks = vals[off[i]:off[i + 1]] - _tag(normal)
+                mask = covered(n, marks[(marks >= 0) & (marks < 1 << 32)], window)
                 words = normal.split(b" ") if n else []
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
                 left = b" ".join(w for w, m in zip(words, mask) if not m)
@@ -170,7 +178,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, gram: int = 20, id_col: s
     per_doc = cut_lineage(anchors.join(seeds.select("h"), "h").groupBy("id").agg(
         F.collect_set("h").alias("seeds")))                    # at most one per word of the text
     near = src.join(per_doc, "id").select("id", "text", "seeds").mapInArrow(
-        _windows(window, gram), "h long, id long, start int")
+        _windows(window, gram), "h long, id long, start long")
     owner = near.groupBy("h").agg(F.min("id").alias("lo"))
     found = near.join(owner, "h").where("id > lo").groupBy("id").agg(F.collect_set("start").alias("starts"))
     hit = src.join(found, "id").select("id", "text", "starts")

@@ -76,7 +76,7 @@ def features(text: str, weight) -> list[float]:
     tokens = _TOKEN.findall(low)
     undone = 0
     for t in tokens:
-        w = _STRETCH.sub(r"\1", t.translate(_UNDO)).strip(",;:?\"'()")
+        w = _STRETCH.sub(r"\1", t.strip("!.,;:?\"'()*").translate(_UNDO))
         if w in INSULTS or weight(w):
             undone += 1
     upper = sum(map(str.isupper, text)) if low != text else 0
