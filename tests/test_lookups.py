@@ -59,3 +59,23 @@ def test_next_event_time(spark):
     assert sorted(by["u2"], key=lambda x: x[0]) == [(t, t + dt.timedelta(days=3)),
                                                     (t + dt.timedelta(days=3), None)]
     assert sorted(x[1] is None for x in by["u3"]) == [False, True]   # equal timestamps
+
+
+def test_asof_keeps_repeated_left_rows_and_null_payloads(spark):
+    import datetime as dt
+    d = dt.date(2023, 1, 10)
+    left = spark.createDataFrame([("a", d, 1), ("a", d, 1), ("a", d, 2), ("b", d, 3), (None, d, 4)], "k string, d date, n int")
+    right = spark.createDataFrame([("a", dt.datetime(2023, 1, 9), None), ("a", dt.datetime(2023, 1, 1), 5)],
+                                  "k string, ts timestamp_ntz, v int")
+    got = sorted((r.k or "", r.n, r.v, r.found) for r in asof_latest(left, right, "k", "k", "d", "ts", ["v"], flag="found").collect())
+    assert got == [("", 4, None, False), ("a", 1, None, True), ("a", 1, None, True), ("a", 2, None, True), ("b", 3, None, False)]
+
+
+def test_asof_timestamp_grain_and_ties(spark):
+    import datetime as dt
+    t = dt.datetime(2023, 1, 10, 12)
+    left = spark.createDataFrame([("a", t - dt.timedelta(hours=h), h) for h in (0, 1, 5, 30)], "k string, t timestamp_ntz, h int")
+    right = spark.createDataFrame([("a", t, 1), ("a", t, 7), ("a", t - dt.timedelta(hours=3), 2), ("a", t - dt.timedelta(days=200), 3)],
+                                  "k string, ts timestamp_ntz, v int")
+    got = {r.h: r.v for r in asof_latest(left, right, "k", "k", "t", "ts", ["v"], grain="timestamp").collect()}
+    assert got == {0: 7, 1: 2, 5: 3, 30: 3}          # equal times: the larger payload

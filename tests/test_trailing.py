@@ -89,21 +89,7 @@ def test_fused_equals_direct_on_fixture(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_auto_strategy_checks_work(spark, monkeypatch):
-    import tidemark.operators.trailing as tr
-    anchors = spark.createDataFrame([(1, M, 1), (1, A, 2), (2, M, 3)], "e long, ts timestamp_ntz, k long")
-    a = anchors.withColumn("_e", F.col("e"))
-    f = _facts(spark).withColumn("_e", F.col("e"))
-    assert tr.direct_join_work(a, f) == (14, 15)          # entity 1: 2 x 7, entity 2: 1 x 1
-    spec = (AnchorSpec("e", "ts", ("k",)), FactSpec("e", "ts"), _feats())
-    auto = trailing_features(anchors, _facts(spark), *spec).collect()
-    monkeypatch.setattr(tr, "DIRECT_MAX_ENTITY_PAIRS", 1)    # forces the bucketed plan
-    forced = trailing_features(anchors, _facts(spark), *spec).collect()
-    assert sorted(map(tuple, auto)) == sorted(map(tuple, forced))
-
-
-def test_hot_entity_goes_bucketed_and_matches(spark, monkeypatch):
-    import tidemark.operators.trailing as tr
+def test_hot_entity_matches_direct(spark):
     base = dt.datetime(2023, 1, 1)
     # entity 0 holds ~90% of facts and anchors (skew); others are light
     facts = [(0 if i % 10 else i % 7 + 1, i, base + dt.timedelta(hours=7 * i), i % 13)
@@ -113,12 +99,44 @@ def test_hot_entity_goes_bucketed_and_matches(spark, monkeypatch):
     fdf = spark.createDataFrame(facts, "e long, fid long, ts timestamp_ntz, v long")
     adf = spark.createDataFrame(anchors, "e long, ts timestamp_ntz, k long")
     spec = (AnchorSpec("e", "ts", ("k",)), FactSpec("e", "ts"), _feats())
-    mx, _ = tr.direct_join_work(adf.withColumn("_e", F.col("e")), fdf.withColumn("_e", F.col("e")))
-    monkeypatch.setattr(tr, "DIRECT_MAX_ENTITY_PAIRS", mx - 1)   # hot entity over the bound
-    chosen = []
-    real = tr._bucketed
-    monkeypatch.setattr(tr, "_bucketed", lambda *a, **k: chosen.append(1) or real(*a, **k))
-    auto = trailing_features(adf, fdf, *spec).collect()
+    got = trailing_features(adf, fdf, *spec).collect()
     direct = trailing_features(adf, fdf, *spec, strategy="direct").collect()
-    assert chosen, "auto did not fall back to the bucketed plan"
-    assert sorted(map(tuple, auto)) == sorted(map(tuple, direct))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, direct))
+
+
+def test_hot_entity_day_stays_linear(spark):
+    """10^4 facts and 10^3 anchors on one entity-day: no operator emits their pairs."""
+    day = dt.datetime(2023, 5, 5)
+    facts = spark.createDataFrame([(1, i, day + dt.timedelta(seconds=8 * i), i % 5) for i in range(10_000)],
+                                  "e long, fid long, ts timestamp_ntz, v long")
+    anchors = spark.createDataFrame(
+        [(1, day + dt.timedelta(days=d, seconds=11 + 80 * i), i) for i in range(500) for d in (0, 1)],
+        "e long, ts timestamp_ntz, k long")
+    feats = [Feature("upto", "sum", "v", None, None, "OPEN_TS"), Feature("tt", "sum", "v", None, 1, "TT"),
+             Feature("n", "count", "fid", None, 1, "TT")]
+    spec = (AnchorSpec("e", "ts", ("k",)), FactSpec("e", "ts"), feats)
+    df = trailing_features(anchors, facts, *spec)
+    got = sorted(map(tuple, df.collect()))
+    assert got == sorted(map(tuple, trailing_features(anchors, facts, *spec, strategy="direct").collect()))
+    assert max(_output_rows(df)) <= 50_000
+
+
+def _output_rows(df):
+    """'number of output rows' of every operator of the executed plan."""
+    out = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        m = node.metrics().get("numOutputRows")
+        if m.isDefined():
+            out.append(m.get().value())
+        kids = node.children()
+        for i in range(kids.size()):
+            walk(kids.apply(i))
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return out or [0]

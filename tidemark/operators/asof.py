@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def _epoch():
@@ -64,43 +64,49 @@ def not_in(left: DataFrame, left_col: str, right: DataFrame, right_col: str) ->
     """SQL ``left_col NOT IN (SELECT right_col FROM right)``, null-aware.
 
     Empty subquery -> every left row; a NULL in the subquery -> no rows; a NULL
-    left value -> dropped when the subquery is non-empty.  The two counts are
-    scalar subqueries (evaluated once, merged), not a join."""
-    n_all = right.select(F.count(F.lit(1))).scalar()
-    n_nonnull = right.select(F.count(F.col(right_col))).scalar()
+    left value -> dropped when the subquery is non-empty.  Both counts come from one
+    scalar subquery, not a join."""
+    c = right.agg(F.struct(F.count(F.lit(1)).alias("all"), F.count(F.col(right_col)).alias("known")).alias("c"))
+    counts = c.select("c").scalar()              # one aggregate, read once
     r = right.select(F.col(right_col).alias("_r")).where(F.col("_r").isNotNull())
     out = left.join(r, F.col(left_col) == F.col("_r"), "left_anti")
-    return out.where((n_all == 0) | ((n_nonnull == n_all) & F.col(left_col).isNotNull()))
+    return out.where((counts["all"] == 0) | ((counts["known"] == counts["all"]) & F.col(left_col).isNotNull()))
 
 
 def asof_latest(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                 left_time: str, right_time: str, payload: Sequence[str],
                 order: Sequence[str] = (), grain: str = "date",
-                bucket_days: int = 64, prefix: str = "") -> DataFrame:
+                bucket_days: int = 64, prefix: str = "", flag: str | None = None) -> DataFrame:
     """For every left row: payload of the latest right row with the same key and
     ``right_time <= left_time`` (compared as dates when ``grain='date'``), else NULLs.
 
     Plan (exact; no all-pairs, no whole-key window):
+      0. left reduced to its distinct (key, time) pairs; the result joins back to the
+         left rows at the end, so repeated left rows are all kept;
       1. right reduced to its latest row per (key, day) with ``max_by`` (map-side);
       2. left x daily rows of the same (key, bucket) up to the left day
          (fan-out <= bucket_days);
       3. left x per-(key, bucket) latest rows of earlier buckets
          (fan-out <= number of buckets);
-      4. ``grain='timestamp'``: same-day right rows are compared on time instead;
-      5. one aggregate per left row keeps the latest candidate.
-    ``order`` adds tie-breakers after ``right_time``.  Left rows must be distinct."""
+      4. ``grain='timestamp'``: same-day right rows, reduced to distinct times, are
+         merged with the left times of that (key, day) and carried forward in time
+         order (linear in rows, no pairs);
+      5. one aggregate per (key, time) keeps the latest candidate.
+    ``order`` adds tie-breakers after ``right_time``; right rows tied on all of these
+    are ranked by the payload, so one of them is returned and reruns agree.  ``flag``
+    names a boolean column that is true where a right row was found, which tells a
+    found row with NULL payload from none."""
     width = max(1, bucket_days)
-    lcols = left.columns
     o_cols = [right_time, *order]
     r = (right.where(F.col(right_key).isNotNull() & F.col(right_time).isNotNull())
          .select(F.col(right_key).alias("_k"),
-                 F.struct(*[F.col(c) for c in o_cols]).alias("_o"),
+                 F.struct(*[F.col(c) for c in [*o_cols, *payload]]).alias("_o"),
                  F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in payload]).alias("_p"),
                  F.col(right_time).alias("_rt"))
          .withColumn("_rdn", F.datediff(F.to_date("_rt"), _epoch()))
          .withColumn("_rb", F.floor(F.col("_rdn") / width)))
-    lx = (left.withColumn("_lk", F.col(left_key))
-              .withColumn("_lt", F.col(left_time))
+    lx = (left.select(F.col(left_key).alias("_lk"), F.col(left_time).alias("_lt"))
+              .where("_lk is not null and _lt is not null").distinct()
               .withColumn("_ldn", F.datediff(F.to_date("_lt"), _epoch()))
               .withColumn("_lb", F.floor(F.col("_ldn") / width)))
     daily = r.groupBy("_k", "_rdn", "_rb").agg(F.max_by("_p", "_o").alias("_p"),
@@ -108,28 +114,22 @@ def asof_latest(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     buckets = daily.groupBy("_k", "_rb").agg(F.max_by("_p", "_o").alias("_p"),
                                              F.max("_o").alias("_o"))
     same_day_ok = F.lit(True) if grain == "date" else F.lit(False)
-    b1 = lx.alias("l").join(
-        daily.alias("d"),
-        (F.col("l._lk") == F.col("d._k")) & (F.col("l._lb") == F.col("d._rb"))
-        & ((F.col("d._rdn") < F.col("l._ldn"))
-           | (same_day_ok & (F.col("d._rdn") == F.col("l._ldn")))), "inner")
-    b2 = lx.alias("l").join(
-        buckets.alias("b"),
-        (F.col("l._lk") == F.col("b._k")) & (F.col("b._rb") < F.col("l._lb")), "inner")
-    branches = [b1.select(*[F.col(f"l.{c}") for c in lcols], "d._p", "d._o"),
-                b2.select(*[F.col(f"l.{c}") for c in lcols], "b._p", "b._o")]
+    b1 = lx.join(daily, (F.col("_lk") == F.col("_k")) & (F.col("_lb") == F.col("_rb"))
+                 & ((F.col("_rdn") < F.col("_ldn")) | (same_day_ok & (F.col("_rdn") == F.col("_ldn")))))
+    b2 = lx.join(buckets, (F.col("_lk") == F.col("_k")) & (F.col("_rb") < F.col("_lb")))
+    u = b1.select("_lk", "_lt", "_p", "_o").unionByName(b2.select("_lk", "_lt", "_p", "_o"))
     if grain != "date":
-        b3 = lx.alias("l").join(
-            r.alias("r"),
-            (F.col("l._lk") == F.col("r._k")) & (F.col("l._ldn") == F.col("r._rdn"))
-            & (F.col("r._rt") <= F.col("l._lt")), "inner")
-        branches.append(b3.select(*[F.col(f"l.{c}") for c in lcols], "r._p", "r._o"))
-    typed = branches[0].schema
-    base = left.select(*[F.col(c) for c in lcols],
-                       F.lit(None).cast(typed["_p"].dataType).alias("_p"),
-                       F.lit(None).cast(typed["_o"].dataType).alias("_o"))
-    u = base
-    for b in branches:
-        u = u.unionByName(b)
-    agg = u.groupBy(*lcols).agg(F.max_by("_p", "_o").alias("_p"))
-    return agg.select(*lcols, *[F.col(f"_p.{prefix}{c}").alias(f"{prefix}{c}") for c in payload])
+        at = r.groupBy("_k", "_rdn", "_rt").agg(F.max_by("_p", "_o").alias("_p"), F.max("_o").alias("_o"))
+        seq = at.select("_k", F.col("_rdn").alias("_day"), F.col("_rt").alias("_t"),
+                        F.struct("_p", "_o").alias("_c"), F.lit(False).alias("_is"))
+        seq = seq.unionByName(lx.select(F.col("_lk").alias("_k"), F.col("_ldn").alias("_day"), F.col("_lt").alias("_t"),
+                                        F.lit(None).cast(seq.schema["_c"].dataType).alias("_c"), F.lit(True).alias("_is")))
+        # at equal times the right row (false) stands first
+        w = Window.partitionBy("_k", "_day").orderBy("_t", "_is").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        seq = seq.withColumn("_c", F.last("_c", ignorenulls=True).over(w)).where("_is and _c is not null")
+        u = u.unionByName(seq.select(F.col("_k").alias("_lk"), F.col("_t").alias("_lt"), "_c._p", "_c._o"))
+    best = u.groupBy("_lk", "_lt").agg(F.max_by("_p", "_o").alias("_p"))
+    out = left.join(best, (F.col(left_key) == F.col("_lk")) & (F.col(left_time) == F.col("_lt")), "left")
+    extra = [F.col("_lk").isNotNull().alias(flag)] if flag else []
+    return out.select(*left.columns, *[F.col(f"_p.{prefix}{c}").alias(f"{prefix}{c}") for c in payload], *extra)

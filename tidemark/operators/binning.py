@@ -55,7 +55,7 @@ def bin_of_literals(x: Column, edges: list[float]) -> Column:
     literal comparisons (small generated code, no array access per row)."""
     if len(edges) < 2:
         return F.lit(None).cast("int")
-    out = F.when(x.isNull() | (x < F.lit(edges[0])) | (x > F.lit(edges[-1])), F.lit(None).cast("int"))
+    out = F.when(x.isNull() | F.isnan(x) | (x < F.lit(edges[0])) | (x > F.lit(edges[-1])), F.lit(None).cast("int"))
     for b in range(1, len(edges)):
         out = out.when(x <= F.lit(edges[b]), F.lit(b))
     return out

@@ -30,7 +30,8 @@ def univariate_profile(df: DataFrame, columns: Sequence[str] | None = None,
     cols = [c for c in cols if c not in set(exclude)]
     total = df.select(F.count(F.lit(1)).alias("_rows"))
     lg = to_long(df, cols)
-    keep = F.col("value").isNotNull() & (F.col("value") > 0 if positive_only else F.lit(True))
+    # NaN is a missing value here, although NaN > 0 holds in SQL
+    keep = F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") > 0 if positive_only else F.lit(True))
     lg = lg.where(keep)
     stats = lg.groupBy("feature").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),

@@ -50,7 +50,7 @@ def global_cumsum(df: DataFrame, order: Sequence[str], sums: Sequence[str],
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = r.select("*", *[F.sum(c).over(w_in).alias(f"_in_{c}") for c in sums])
     # offsets has one row per (partition, group): bounded by partitions x groups.
-    r = r.join(F.broadcast(offsets), ["_pid", *g], "left")
+    r = r.join(offsets, ["_pid", *g], "left")
     return r.select(*df.columns, *[
         (F.col(f"_in_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0))).alias(f"{prefix}{c}")
         for c in sums])
@@ -94,7 +94,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     for k in g:
         cond = cond & (F.col(f"t.{k}") == F.col(f"c.{k}"))
     # targets: groups x len(probs) rows, a proven bound -> broadcast
-    m = c.join(F.broadcast(t), cond).select(
+    m = c.join(t, cond).select(
         *[F.col(f"t.{k}").alias(k) for k in g], F.col("t.p").alias("p"), F.col("t._frac").alias("_frac"),
         F.when(has("_lo"), F.col(f"c.{value}").cast("double")).alias("_vlo"),
         F.when(has("_hi"), F.col(f"c.{value}").cast("double")).alias("_vhi"))

@@ -41,7 +41,7 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
     """(feature, iv) with weight of evidence over quantile bins, no smoothing.
 
     Numeric features are binned (``quantile_edges``); string features use their
-    values as bins.  Rows with a NULL feature value or label are skipped for that
+    values as bins.  Rows with a NULL or NaN feature value or a NULL label are skipped for that
     feature.  A bin without events or without non-events makes IV +inf; a label
     with only one class gives IV 0."""
     if features is None:
@@ -53,7 +53,7 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
     parts = []
     if numeric:
         lg = to_long(df.withColumn("_y", y), numeric, ["_y"]).where(
-            F.col("value").isNotNull() & F.col("_y").isNotNull())
+            F.col("value").isNotNull() & ~F.isnan("value") & F.col("_y").isNotNull())
         # one row per feature with <= bins+1 edges: bounded by the schema width
         edges = {r.feature: list(r.edges) for r in
                  quantile_edges(lg, "value", bins, ["feature"], approx_accuracy).collect()}

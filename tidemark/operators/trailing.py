@@ -12,15 +12,9 @@ exist because the source queries used four different predicates:
 
 Results follow SQL: SUM/AVG of an empty window are NULL, COUNT is 0, EXISTS is 0.
 
-Two physical strategies produce identical results (``strategy='auto'``, the
-default, measures the direct join's pair work first and uses ``direct`` only when
-it is bounded, for the hottest entity and in total):
+Plan:
 
-``direct``   anchors LEFT JOIN facts ON entity AND window, GROUP BY anchor.  Simple,
-             but the join emits every (anchor, fact) pair of an entity, so a hot
-             entity produces anchors x facts rows in one task.
-
-``bucketed`` (default, built for skew and large fact tables)
+``bucketed`` (the plan that every query runs)
   1. facts are pre-aggregated per (entity, day) with one conditional sum/count per
      feature (partial aggregation happens map-side, before the shuffle);
   2. every anchor is exploded to the <= 2 day-buckets its widest window touches
@@ -29,10 +23,15 @@ it is bounded, for the hottest entity and in total):
      the entity size, and a hot entity is spread over many (entity, bucket) keys;
   3. OPEN windows use per-(entity, bucket) totals for whole earlier buckets plus the
      daily rows of the anchor's own bucket (fan-out bounded by span/bucket + bucket);
-  4. TT needs time of day only on the first day of the window, and only for
-     anchors not at midnight: those facts are joined on (entity, day); all other
-     days come from the daily table;
+  4. time of day matters on one day per anchor only (TT: the first day of the
+     window, for anchors not at midnight; OPEN_TS: the anchor's own day).  The facts of
+     those days are reduced to distinct times, and running totals over the merged
+     sequence of fact and anchor times give each anchor its part: work is linear in
+     facts + anchors of an entity-day, pairs never appear;
   5. the branches and the anchor list are unioned and aggregated once per anchor.
+
+``direct`` (anchors LEFT JOIN facts ON entity AND window, GROUP BY anchor) emits every
+(anchor, fact) pair of an entity; it exists as a plain second version for tests.
 """
 
 from __future__ import annotations
@@ -40,7 +39,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,24 +121,9 @@ def _minus_days(ts: Column, n: int) -> Column:
 # --------------------------------------------------------------------------- public
 
 
-DIRECT_MAX_ENTITY_PAIRS = 2_000_000     # hottest entity: anchors_e x facts_e
-DIRECT_MAX_TOTAL_PAIRS = 200_000_000    # all entities together
-
-
-def direct_join_work(a: DataFrame, f: DataFrame) -> tuple[int, int]:
-    """(max over entities, sum over entities) of anchors_e x facts_e: the exact number
-    of row pairs the direct join evaluates.  One aggregate job; per-entity counts
-    combine map-side, only (entity, count) rows are shuffled."""
-    ac = a.groupBy("_e").agg(F.count(F.lit(1)).alias("_na"))
-    fc = f.groupBy("_e").agg(F.count(F.lit(1)).alias("_nf"))
-    pairs = F.col("_na") * F.col("_nf")
-    r = ac.join(fc, "_e").agg(F.max(pairs).alias("mx"), F.sum(pairs).alias("tot")).first()
-    return int(r.mx or 0), int(r.tot or 0)
-
-
 def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
                       fact: FactSpec, features: Sequence[Feature],
-                      strategy: str = "auto", dedupe_anchors: bool = True,
+                      strategy: str = "bucketed", dedupe_anchors: bool = True,
                       open_bucket_days: int = 365, as_double: bool = True) -> DataFrame:
     """Anchor key columns + one column per feature, one row per distinct anchor key.
 
@@ -159,12 +143,6 @@ def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
           .withColumn("_a", F.col(anchor.ts).cast("timestamp_ntz")))
     plan = _Plan(features)
     f = _prepare_facts(facts, fact, plan)
-    if strategy == "auto":
-        # direct only when its pair work is measured to be small, for the hottest
-        # entity and in total; otherwise the skew-safe bucketed plan
-        mx, tot = direct_join_work(a, f)
-        strategy = ("direct" if mx <= DIRECT_MAX_ENTITY_PAIRS and tot <= DIRECT_MAX_TOTAL_PAIRS
-                    else "bucketed")
     if strategy == "direct":
         agg = _direct(a, f, keys, plan)
     elif strategy == "bucketed":
@@ -380,39 +358,29 @@ def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan,
             n = F.col(f"d.n{sg}")
             parts[k] = (s, n) if rule == "OPEN" else pair(plan.kind(k), s, n, before)
         branches.append(j2.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
-        if open_ts:  # the anchor's own day, compared on time
-            je = a.alias("a").join(
-                f.alias("f"),
-                (F.col("a._e") == F.col("f._e")) & (F.col("a._ad") == F.col("f._d"))
-                & (F.col("f._t") <= F.col("a._a")), "inner")
-            parts = {}
-            for k in open_ts:
-                x = F.col(f"f._v{plan.slots[k][0]}")
-                parts[k] = (x if plan.kind(k) == "sum" else None,
-                            F.when(x.isNotNull(), F.lit(1)))
-            branches.append(je.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
-
-    # 4. TT first-day facts with time of day, joined on (entity, day).  Only anchors
-    #    with a time of day need it; for date-grain anchors the branch is empty and
-    #    AQE removes its scan.
+        if open_ts:  # the anchor's own day, up to its time
+            sums = _day_prefix(a.withColumn("_day", F.col("_ad")).withColumn("_at", F.col("_a")), f, plan,
+                               sorted({plan.slots[k][0] for k in open_ts}), from_start=True)
+            branches.append(sums.select(*keys, *contrib({
+                k: (F.col(f"s{plan.slots[k][0]}") if plan.kind(k) == "sum" else None,
+                    F.col(f"n{plan.slots[k][0]}")) for k in open_ts})))
+
+    # 4. TT first-day facts, from the time of day on.  Only anchors with a time of day
+    #    need it; a window of 0 days has no such facts (its upper end is midnight).
     if tt:
-        dist = sorted({plan.slots[k][2] for k in tt})
-        at = (a.where(~F.col("_mid"))
-               .withColumn("_N", F.explode(F.array(*[F.lit(n) for n in dist])))
-               .withColumn("_t0", F.col("_a") - F.make_dt_interval(F.col("_N")))
-               .withColumn("_fd", F.to_date("_t0")))
-        j = at.alias("a").join(
-            f.alias("f"),
-            (F.col("a._e") == F.col("f._e")) & (F.col("a._fd") == F.col("f._d"))
-            & (F.col("f._t") >= F.col("a._t0"))
-            & (F.col("f._t") <= F.col("a._ad").cast("timestamp_ntz")), "inner")
-        parts = {}
-        for k in tt:
-            sg, _, days = plan.slots[k]
-            x = F.when(F.col("a._N") == F.lit(days), F.col(f"f._v{sg}"))
-            parts[k] = (x if plan.kind(k) == "sum" else None,
-                        F.when(x.isNotNull(), F.lit(1)))
-        branches.append(j.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
+        dist = sorted({plan.slots[k][2] for k in tt} - {0})
+        if dist:
+            at = (a.where(~F.col("_mid"))
+                   .withColumn("_N", F.explode(F.array(*[F.lit(n) for n in dist])))
+                   .withColumn("_at", F.col("_a") - F.make_dt_interval(F.col("_N")))
+                   .withColumn("_day", F.to_date("_at")))
+            sums = _day_prefix(at, f, plan, tt_sigs, from_start=False)
+            parts = {}
+            for k in tt:
+                sg, _, days = plan.slots[k]
+                parts[k] = pair(plan.kind(k), F.col(f"s{sg}") if plan.kind(k) == "sum" else F.lit(None),
+                                F.col(f"n{sg}"), F.col("_N") == F.lit(days))
+            branches.append(sums.select(*keys, *contrib(parts)))
 
     # 5. anchors themselves so that empty windows still produce a row.
     branches.append(a.select(*[F.col(c) for c in keys], *contrib({})))
@@ -427,6 +395,33 @@ def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan,
     return u.groupBy(*keys).agg(*aggs)
 
 
+def _day_prefix(at: DataFrame, f: DataFrame, plan: _Plan, sigs: list[int], from_start: bool) -> DataFrame:
+    """``at`` rows (_e, _day, _at, ...) + totals ``s{sig}``, ``n{sig}`` of the facts of that entity
+    and day with time <= ``_at`` (``from_start``) or >= ``_at``.
+
+    Facts are reduced to distinct times, unioned with the anchors and summed in time
+    order inside (entity, day): equal times are peers of the RANGE frame."""
+    cols = at.columns
+    days = at.select("_e", F.col("_day").alias("_d")).distinct()
+    aggs = []
+    for g in sigs:
+        if plan.sigs[g][0] == "sum":
+            aggs.append(F.sum(f"_v{g}").alias(f"_p{g}"))
+        aggs.append(F.count(f"_v{g}").alias(f"_q{g}"))
+    times = f.join(days, ["_e", "_d"], "left_semi").groupBy("_e", "_d", "_t").agg(*aggs)
+    facts = times.select(F.col("_e"), F.col("_d").alias("_day"), F.col("_t").alias("_at"),
+                         *[c for c in times.columns if c.startswith(("_p", "_q"))], F.lit(False).alias("_is"))
+    both = facts.unionByName(at.withColumn("_is", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy("_e", "_day").orderBy(F.col("_at").asc() if from_start else F.col("_at").desc()).rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    out = []
+    for g in sigs:
+        if plan.sigs[g][0] == "sum":
+            out.append(F.sum(f"_p{g}").over(w).alias(f"s{g}"))
+        out.append(F.sum(f"_q{g}").over(w).alias(f"n{g}"))
+    return both.select(*cols, "_is", *out).where("_is").drop("_is")
+
+
 def _finish(agg: DataFrame, keys: list[str], plan: _Plan, as_double: bool) -> DataFrame:
     out = [F.col(c) for c in keys]
     for ft, k in zip(plan.features, plan.feature_slot):

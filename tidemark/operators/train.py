@@ -40,7 +40,7 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int,
     d = df.withColumn("_h", split_key(key, seed)).withColumn("_one", F.lit(1))
     ranked = global_cumsum(d, ["_h", key], ["_one"], [label])
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))   # one row per class
-    out = ranked.join(F.broadcast(sizes), label).withColumn(
+    out = ranked.join(sizes, label).withColumn(
         "is_test", (F.col("cum__one") <= F.round(F.col("_n") * F.lit(test_share))).cast("int"))
     return out.drop("_h", "_one", "cum__one", "_n")
 

@@ -157,8 +157,8 @@ def asof_latest_query(spark, root):
         F.coalesce(ordinal_map("lending_business_id", K.FX_LIMIT_OVERRIDES),
                    F.col("new_limit").cast("double") / 100))
     j = asof_latest(fd, dec, "lending_business_id", "lending_business_id", "first_draw_date",
-                    "created_at", ["limit_value"], grain="date")
-    j = j.where(F.col("limit_value").isNotNull()).withColumnRenamed("limit_value", "credit_limit")
+                    "created_at", ["limit_value"], grain="date", flag="decided")
+    j = j.where("decided").drop("decided").withColumnRenamed("limit_value", "credit_limit")
     return j.withColumn("first_draw_utilisation", ratio("first_draw_amount", "credit_limit"))
 
 
@@ -197,7 +197,7 @@ GROUP BY a.user_id, a.ts, a.event_id
 
 
 @register("event_totals", SQL_EVENT_TOTALS)
-def event_totals(spark, root, strategy: str = "auto"):
+def event_totals(spark, root, strategy: str = "bucketed"):
     """Event-to-date count and amount per anchor, 0 when none.
 
     Keyed on the anchor (the windowed-aggregate form keyed on the fact side is not
@@ -414,7 +414,7 @@ def login_count_features() -> list[Feature]:
 
 
 @register("login_counts", SQL_LOGIN_COUNTS)
-def login_counts(spark, root, strategy: str = "auto"):
+def login_counts(spark, root, strategy: str = "bucketed"):
     """7/15/30-day login counts per anchor from the login base, fused in one pass."""
     return trailing_features(fx.purchase_anchors(spark, root), _login_base(spark, root),
                              EVENT_ANCHOR,

@@ -76,7 +76,7 @@ def _sql_ratio_cols() -> str:
 
 # --------------------------------------------------------------------------- step 6
 
-def feature_table_df(spark, root, strategy: str = "auto"):
+def feature_table_df(spark, root, strategy: str = "bucketed"):
     """Anchors + every trailing feature (transactions and balances fused into ONE join
     and ONE aggregation), entity attributes, encodings, account age and ratios."""
     txn = fx.transactions(spark, root)
@@ -146,7 +146,7 @@ SQL_FEATURE_TABLE = fx.with_views("SELECT * FROM feature_table", *FT_VIEWS, extr
 
 
 @register("feature_table", SQL_FEATURE_TABLE)
-def feature_table(spark, root, strategy: str = "auto"):
+def feature_table(spark, root, strategy: str = "bucketed"):
     """The assembled one-row-per-anchor feature table."""
     return feature_table_df(spark, root, strategy)
 
@@ -368,7 +368,7 @@ LEFT JOIN (
   FROM (SELECT feature, CAST(value AS DOUBLE) AS value
         FROM (UNPIVOT (SELECT {", ".join(_profile_columns())} FROM feature_table)
               ON {", ".join(_profile_columns())} INTO NAME feature VALUE value))
-  WHERE value > 0
+  WHERE value > 0 AND NOT isnan(value)
   GROUP BY feature) s USING (feature)"""
 
 SQL_PROFILE = fx.with_views("SELECT * FROM profile", *FT_VIEWS,

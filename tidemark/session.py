@@ -8,6 +8,7 @@ set solely when none is configured (local tests and the bench).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,11 +46,17 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint directory, setting a scratch one only if unset."""
+    """The shared checkpoint directory that the session names.
+
+    Where none is named a scratch folder is set on a local master only: the executors
+    of a cluster do not share it, so there it is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         d = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     sc = spark.sparkContext

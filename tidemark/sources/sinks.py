@@ -19,11 +19,5 @@ def append_table(df: DataFrame, path: str, partition_by: list[str] | None = None
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.write.mode("overwrite").format("parquet")
-         .partitionBy(*partition_by).save(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.write.mode("overwrite").format("parquet").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_by).save(path))
