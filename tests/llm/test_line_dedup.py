@@ -64,10 +64,10 @@ def digest(df):
 def test_matches_brute_force_with_and_without_crowded_keys(spark):
     rows = corpus()
     df = docs_frame(spark, rows, extra=("id", "no", "key", "lid", "removed"))
-    for edits in (1, 2, 3):
+    for edits in (1, 2):
         want = brute(rows, edits, 12)
         assert digest(line_dedup(df, edits, 12)) == want
-    assert digest(line_dedup(df, 2, 12, block=2)) == brute(rows, 2, 12)      # keys in blocks of two
+    assert digest(line_dedup(df, 2, 12, crowded=1, block=2)) == brute(rows, 2, 12)      # keys in blocks of two
 
 
 def test_kept_text_and_carry(spark):
@@ -93,5 +93,6 @@ def test_an_edit_flips_at_most_four_bits(spark):
         k, op = rng.randrange(len(a)), rng.randrange(3)
         rows.append((a, a[:k] + (rng.choice("xyz") if op < 2 else "") + a[k + (op > 0):]))
     df = spark.createDataFrame(rows, "a string, b string")
+    df = df.select(F.split("a", "").alias("a"), F.split("b", "").alias("b"))
     worst = df.select(F.max(F.bit_count(signature(F.col("a")).bitwiseXOR(signature(F.col("b")))))).first()[0]
     assert worst <= 4

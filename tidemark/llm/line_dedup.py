@@ -8,14 +8,18 @@ one; "earlier" is the order of (id, line number) of first occurrences.
 2. A line of length l is cut into max_edits + 1 even segments.  Two lines within
    max_edits edits share one segment unchanged, at a position that the length
    difference and the edits to its left and right allow (the multi-match window).
-   Every line sends its segments to an index keyed by (length, segment number,
-   content) and probes it, for each length from its own down to max_edits less,
-   with the few substrings that window leaves (for two edits 5, 4 and 3).
-3. Index and probes meet in an equi join on the key's hash.  A key with more than
-   ``block`` indexed lines emits no pairs: its lines are gathered in blocks of about
-   ``block`` lines, and the comparisons of two blocks happen inside one row, behind
-   a bigram signature that rules out most (an edit flips at most four of its bits).
-4. Candidates are verified by the banded edit distance with a threshold.
+   Every line is indexed under (length, segment number, content) of its segments
+   and probes, for each length from its own down to max_edits less, the few
+   substrings that window leaves (for two edits 5, 4 and 3).
+3. Index and probes meet in an equi join on the key's hash; only hashes and line
+   numbers are shuffled.  A key with more than ``crowded`` indexed lines emits no
+   pairs: its lines are gathered in blocks of about ``block`` lines, and two blocks are
+   compared inside one row, behind a bigram signature that rules out most pairs (an
+   edit flips at most four of its bits).
+4. The texts of the candidate lines, and of no others, are fetched: a bitmap of fixed
+   size over the ids of their documents (8 MB, broadcast) thins the scan, an equi join
+   on the line numbers makes it exact.
+5. Candidates are verified by the banded edit distance with a threshold.
 """
 
 from __future__ import annotations
@@ -28,54 +32,65 @@ from tidemark.session import cut_lineage
 BLANK = " \t\r"
 
 
-def _segment(length: Column, i: int, k: int) -> tuple[Column, Column]:
-    """(first position, length) of segment i of 1..k of a string of this length; the last
-    length % k segments are one longer."""
-    base, rest = F.floor(length / k).cast("int"), (length % k).cast("int")
-    longer_before = F.greatest(F.lit(0), F.lit(i - 1 - k) + rest)
-    return F.lit(i - 1) * base + longer_before + 1, base + (F.lit(i) > F.lit(k) - rest).cast("int")
-
-
-def _key(line: Column, length: Column, i: int, pos: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, pos, size))
-
-
-def index_keys(line: Column, edits: int) -> Column:
-    """Array of the keys of the segments of a line."""
-    n, k = F.char_length(line), edits + 1
-    return F.array(*[_key(line, n, i, *_segment(n, i, k)) for i in range(1, k + 1)])
-
-
-def probe_keys(line: Column, edits: int, min_chars: int) -> Column:
-    """Array of the keys under which an indexed line of equal or smaller length could lie."""
-    n, k = F.char_length(line), edits + 1
-    out = []
+def places(edits: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """(own, more): where the segments of an equal or shorter line can lie in a line, as
+    (characters less, segment 1..edits + 1, shift of its position).  A line's own segments,
+    (0, i, 0), are what it is indexed under; they are probes too."""
+    k, own, more = edits + 1, [], []
     for less in range(edits + 1):
-        m = n - less
         for i in range(1, k + 1):
-            pos, size = _segment(m, i, k)
             for shift in range(max(1 - i, less - (k - i)), min(i - 1, less + (k - i)) + 1):
-                p = pos + shift
-                fits = (m >= min_chars) & (p >= 1) & (p + size - 1 <= n)
-                out.append(F.when(fits, _key(line, m, i, p, size)))
-    return F.array_distinct(F.array_compact(F.array(*out)))
+                (more if less or shift else own).append((less, i, shift))
+    return own, more
+
+
+def with_keys(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """``lines`` (line, n, ...) + ``keys``: array of the hashed keys (length, segment, content)
+    at the places above, the line's own ``edits`` + 1 first; NULL where a place does not exist.
+
+    A string of length m has segments of m div k characters, the last m % k one longer.
+    Texts are held at four bytes a character here, so that a segment is cut out without
+    counting characters, and the arithmetic of a length is done once, in columns: spelled
+    out for every key, the generated code would be too long to be compiled.  Read the
+    array with ``explode_outer``: for ``explode`` the optimizer adds a filter on their
+    size, pushes it down to the scan and so works every key out again, from the text on."""
+    k, (own, more) = edits + 1, places(edits)
+    out = lines.withColumn("_wide", F.encode("line", "UTF-32"))
+    for d in range(edits + 1):
+        out = out.withColumn(f"_m{d}", F.col("n") - d)
+    for d in range(edits + 1):
+        out = out.withColumn(f"_b{d}", F.expr(f"cast(_m{d} div {k} AS int)")).withColumn(f"_r{d}", F.col(f"_m{d}") % k)
+
+    def keys(at):
+        cols = []
+        for d, i, shift in at:
+            m, base, rest = F.col(f"_m{d}"), F.col(f"_b{d}"), F.col(f"_r{d}")
+            start = F.lit(shift)
+            if i > 1:
+                start = base * (i - 1) + F.greatest(F.lit(0), rest - (k - i + 1)) + shift
+            size = base + (rest > k - i).cast("int")
+            fits = (m >= min_chars) & (start >= 0) & (start + size <= F.col("n"))
+            cols.append(F.when(fits, F.xxhash64(m, F.lit(i), F.substring("_wide", start * 4 + 1, size * 4))))
+        return F.array(*cols)
+
+    return out.withColumn("keys", keys(own + more))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
     return F.levenshtein(a, b, edits).between(0, edits)
 
 
-def signature(line: Column) -> Column:
-    """Parity of the line's character pairs, hashed to 64 bits."""
-    chars = F.split(line, "")
-    bits = F.transform(chars, lambda c, i: F.when(
-        i + 1 < F.size(chars), F.expr("1L")).otherwise(F.expr("0L")) * F.call_function(
-            "shiftleft", F.expr("1L"), F.pmod(F.xxhash64(c, F.get(chars, i + 1)), F.lit(64)).cast("int")))
+def signature(chars: Column) -> Column:
+    """Parity of the pairs of neighbours in an array of characters, hashed to 64 bits.  Pass a
+    column: an expression would be worked out for every character."""
+    bit = lambda x, y: F.when(y.isNotNull(), F.call_function(
+        "shiftleft", F.expr("1L"), F.pmod(F.xxhash64(x, y), F.lit(64)).cast("int"))).otherwise(F.expr("0L"))
+    bits = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), bit)
     return F.aggregate(bits, F.expr("0L"), lambda acc, x: acc.bitwiseXOR(x))
 
 
 def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col: str = "doc_id",
-               text_col: str = "text", block: int = 128, with_text: bool = False,
+               text_col: str = "text", crowded: int = 16, block: int = 128, with_text: bool = False,
                carry: bool = False) -> DataFrame:
     """(id, n_lines, removed[, kept]), one row per row of ``docs``; with ``carry`` the whole
     input row comes along as the struct ``row``.
@@ -86,61 +101,67 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
     0, of the lines that go, ascending; ``kept`` (``with_text``): the other lines joined by \\n.
 
     A NULL text has no lines and stays NULL, an empty one has one empty line.  Rows
-    of one id are one document: equal line numbers of equal lines are the same
-    occurrence, and its rows share the removed numbers.  A row with a NULL id loses
+    of one id are one document: a line number that holds a first occurrence in any
+    of its rows stays in all of them.  A row with a NULL id loses
     nothing and removes nothing.  An empty table gives an empty one; extra columns are
     not read.
     """
     if min_chars <= max_edits:
         raise ValueError("min_chars must exceed max_edits")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    line = F.btrim("raw", F.lit(BLANK))
-    lines = src.where("id is not null and text is not null").select(
-        "id", F.posexplode(F.split("text", "\n")).alias("no", "raw")).select("id", "no", line.alias("line"))
-    seen = cut_lineage(lines.where(F.char_length("line") >= min_chars).select(
-        "id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
-    first = seen.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("at"))
-    first = cut_lineage(first.select("h1", "h2", "at.id", "at.no",
-                                     F.monotonically_increasing_id().alias("lid")))
-
-    def texts(refs: DataFrame) -> DataFrame:
-        """(lid, id, no, line) of distinct lines; all references of a text travel to it together."""
-        at = refs.groupBy("id").agg(F.collect_list(F.struct("no", "lid", "h1", "h2")).alias("at"))
-        parts = F.split("text", "\n")
-        got = src.join(at, "id").select("id", F.explode(F.transform("at", lambda r: F.struct(
-            r["lid"].alias("lid"), r["no"].alias("no"), r["h1"].alias("h1"), r["h2"].alias("h2"),
-            F.btrim(F.get(parts, r["no"]), F.lit(BLANK)).alias("line")))).alias("r"))
-        # an id may name several texts: the hash tells whose line this is
-        return got.select("id", "r.*").where(
-            (F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit(1), "line") == F.col("h2"))).drop("h1", "h2")
-
-    whole = texts(first)
-    index = whole.withColumn("key", F.explode(index_keys(F.col("line"), max_edits)))
-    probe = whole.withColumn("key", F.explode(probe_keys(F.col("line"), max_edits, min_chars)))
-    crowd = cut_lineage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block))
-    a = index.select("key", F.col("lid").alias("a")).join(crowd, "key", "left_anti")
-    b = probe.select("key", F.col("lid").alias("b"))
-    pairs = cut_lineage(a.join(b, "key").where("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    some = pairs.select(F.col("a").alias("lid")).union(pairs.select(F.col("b").alias("lid"))).distinct()
-    found = texts(first.join(some, "lid"))
+    def lines_of(texts: DataFrame) -> DataFrame:
+        cut = texts.where("id is not null and text is not null").select(
+            "id", F.posexplode_outer(F.split("text", "\n")).alias("no", "raw"))
+        return cut.select("id", "no", F.btrim("raw", F.lit(BLANK)).alias("line")).withColumn(
+            "n", F.char_length("line")).where(F.col("n") >= min_chars)
+
+    lines = lines_of(src)
+    line = F.col("line")
+
+    first = lines.groupBy(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")).agg(
+        F.min(F.struct("id", "no")).alias("at"))
+    first = cut_lineage(first.select("at.id", "at.no", "h1", F.monotonically_increasing_id().alias("lid")))
+
+    keys = cut_lineage(with_keys(lines, max_edits, min_chars).select("id", "no", "keys").join(
+        first, ["id", "no"]).select("lid", "keys"))
+    index = keys.select("lid", F.explode_outer(F.slice("keys", 1, max_edits + 1)).alias("key"))
+    probe = keys.select("lid", F.explode_outer("keys").alias("key")).where("key is not null")
+    crowd = cut_lineage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key"))
+    pairs = index.join(crowd, "key", "left_anti").select("key", F.col("lid").alias("x")).join(
+        probe, "key").where("x <> lid").select(
+        F.least("x", "lid").alias("a"), F.greatest("x", "lid").alias("b")).distinct()
+    # one job for pairs and crowded keys
+    none = F.lit(None).cast("long")
+    met = cut_lineage(
+        pairs.select(F.lit("pair").alias("kind"), "a", "b", none.alias("key"))
+        .unionByName(index.join(crowd, "key", "left_semi").select(
+            F.lit("index").alias("kind"), F.col("lid").alias("a"), none.alias("b"), "key").distinct())
+        .unionByName(probe.join(crowd, "key", "left_semi").select(
+            F.lit("probe").alias("kind"), F.col("lid").alias("a"), none.alias("b"), "key").distinct()))
+
+    some = met.select(F.explode(F.array_compact(F.array("a", "b"))).alias("lid")).distinct()
+    found = cut_lineage(_fetch(src, lines_of, first.join(some, "lid")))       # (lid, at, line)
+    pairs = met.where("kind = 'pair'").select("a", "b")
     side = lambda c: found.select(
-        F.col("lid").alias(c), F.struct("id", "no").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
+        F.col("lid").alias(c), F.col("at").alias(f"at_{c}"), F.col("line").alias(f"line_{c}"))
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), max_edits))
     light = close.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("lid"))
-    heavy = _crowded(index, probe, crowd, max_edits, block)
-    near = light.union(heavy).distinct().withColumn("near", F.lit(True))
-    fate = first.join(near, "lid", "left").select("h1", "h2", F.struct("id", "no").alias("at"), "near")
-    gone = seen.join(fate, ["h1", "h2"]).where(
-        (F.struct("id", "no") != F.col("at")) | F.coalesce("near", F.lit(False)))
-    gone = gone.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+    near = light.union(_crowded(met, found, max_edits, block)).distinct()
+    stay = first.join(near, "lid", "left_anti").groupBy("id").agg(F.collect_list("no").alias("stay"))
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long")
+    # a judged line stays if it is the first of its text and near to no earlier one
+    parts = F.split("text", "\n")
+    judged = F.filter(F.transform(parts, lambda x, i: F.when(
+        F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars, i)), lambda i: i.isNotNull())
+    judged = F.when(F.col("id").isNotNull(), F.coalesce(judged, F.array().cast("array<int>"))).otherwise(
+        F.array().cast("array<int>"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        *([F.struct("*").alias("row")] if carry else []))
-    base = base.select("id", n_lines.alias("n_lines"), *(["text"] if with_text else []), *(["row"] if carry else []))
-    out = base.join(gone, "id", "left").withColumn(
-        "removed", F.coalesce("removed", F.array().cast("array<int>")))
+    base = base.select("id", n_lines.alias("n_lines"), judged.alias("judged"), *(["text"] if with_text else []),
+                       *(["row"] if carry else []))
+    out = base.join(stay, "id", "left").withColumn(
+        "removed", F.array_sort(F.array_except("judged", F.coalesce("stay", F.array().cast("array<int>")))))
     cols = [F.col("id").alias(id_col), "n_lines", "removed"]
     if with_text:
         left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
@@ -148,21 +169,43 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
     return out.select(*cols, *(["row"] if carry else []))
 
 
-def _crowded(index: DataFrame, probe: DataFrame, crowd: DataFrame, edits: int, block: int) -> DataFrame:
+BITS = 1 << 26                 # of the bitmap that thins the scan for candidate documents: 8 MB
+
+
+def _fetch(src: DataFrame, lines_of, refs: DataFrame) -> DataFrame:
+    """(lid, at, line) of the lines that ``refs`` (lid, id, no, h1) names."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(BITS))
+    spot = [F.shiftright(bit, 15).alias("bucket"), bit.bitwiseAND(F.lit(32767)).alias("bit")]
+    maps = refs.select(*spot).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1), (F.col("bit") % 8).cast("int"))
+    # at most BITS / 2**15 rows of 4 KB, by construction
+    near = src.select("id", "text", *spot).join(F.broadcast(maps), "bucket").where(byte.bitwiseAND(mask) != 0)
+    # an id may name several texts: the hash tells whose line is meant
+    return lines_of(near.select("id", "text")).join(refs, ["id", "no"]).where(
+        F.xxhash64("line") == F.col("h1")).select("lid", F.struct("id", "no").alias("at"), "line")
+
+
+def _crowded(met: DataFrame, found: DataFrame, edits: int, block: int) -> DataFrame:
     """(lid) of the later lines of the close pairs under keys with many indexed lines."""
-    def gather(side: DataFrame, counts: DataFrame, name: str) -> DataFrame:
-        s = side.join(counts, "key")
+    crowd = met.where("kind <> 'pair'").select(F.col("a").alias("lid")).distinct()
+    signed = found.join(crowd, "lid", "left_semi").withColumn("chars", F.split("line", "")).withColumn(
+        "sig", signature(F.col("chars"))).drop("chars")
+
+    def gather(kind: str, name: str) -> DataFrame:
+        s = met.where(F.col("kind") == kind).select("key", F.col("a").alias("lid"))
+        s = s.join(s.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
         blocks = F.ceil(F.col("n") / F.lit(float(block))).cast("int")
         s = s.withColumn("blk", F.pmod(F.xxhash64("lid"), blocks))
-        return s.groupBy("key", "blk").agg(F.collect_list(F.struct(
-            "lid", F.struct("id", "no").alias("at"), signature(F.col("line")).alias("sig"), "line")).alias(name)).drop("blk")
+        s = s.join(signed, "lid")
+        return s.groupBy("key", "blk").agg(
+            F.collect_list(F.struct("lid", "at", "sig", "line")).alias(name)).drop("blk")
 
-    askers = probe.join(crowd.select("key"), "key", "left_semi")
-    counts = askers.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    both = gather(index, crowd, "xs").join(gather(askers, counts, "ps"), "key")
+    both = gather("index", "xs").join(gather("probe", "ps"), "key")
     later = F.flatten(F.transform("ps", lambda p: F.transform(
         F.filter("xs", lambda x: (x["lid"] != p["lid"])
                  & (F.bit_count(x["sig"].bitwiseXOR(p["sig"])) <= 4 * edits)
                  & within(x["line"], p["line"], edits)),
         lambda x: F.when(x["at"] < p["at"], p["lid"]).otherwise(x["lid"]))))
-    return both.select(F.explode(F.array_distinct(later)).alias("lid"))
+    # outer: a filter that the optimizer adds otherwise would compare everything twice
+    return both.select(F.explode_outer(F.array_distinct(later)).alias("lid")).where("lid is not null")
