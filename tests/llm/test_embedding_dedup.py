@@ -67,7 +67,7 @@ def test_recall_of_buckets():
     n -= (n * x).sum(1)[:, None] * x
     n /= np.linalg.norm(n, axis=1)[:, None]
     y = 0.98 * x + np.sqrt(1 - 0.98 ** 2) * n                        # cosine 0.98, the hardest link
-    a, b = bucket_lists(x, 10, 3, 7), bucket_lists(y, 10, 3, 7)
+    a, b = bucket_lists(x, 8, 5, 7), bucket_lists(y, 8, 5, 7)
     meet = ((b == a[:, :, :1]).any(2) | (a == b[:, :, :1]).any(2)).any(1)
     assert meet.mean() > 0.999
     z = rng.normal(size=(5, 8))

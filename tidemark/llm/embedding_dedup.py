@@ -2,9 +2,9 @@
 
 1. Vectors of equal label, length and content are one class (smallest id stands
    for it); copies are counted, never paired.
-2. Each table rotates the unit vector by three rounds of random signs and a fast
-   Hadamard transform, twice, and takes the nearest signed axis of each result: a
-   bucket is a pair of axes.  A vector lives in its home bucket and also visits
+2. Each table rotates the unit vector ``axes`` times by three rounds of random signs
+   and a fast Hadamard transform, and takes the nearest signed axis of each result: a
+   bucket is a tuple of axes, (2 d) ** axes buckets in all.  A vector lives in its home bucket and also visits
    the next likely buckets of the table (multiprobe), those whose axes lose least
    against the nearest ones.
 3. Vectors shuffle on (label, length, table, bucket).  Buckets above ``block``
@@ -44,7 +44,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
-def bucket_lists(unit: np.ndarray, tables: int, probes: int, seed: int) -> np.ndarray:
+def bucket_lists(unit: np.ndarray, tables: int, probes: int, seed: int, axes: int = 3) -> np.ndarray:
     """(rows, tables, 1 + probes) bucket numbers: home first, then the likeliest others."""
     n, d = unit.shape
     size = 1 << max(0, (d - 1).bit_length())
@@ -54,28 +54,28 @@ def bucket_lists(unit: np.ndarray, tables: int, probes: int, seed: int) -> np.nd
     out = np.empty((n, tables, 1 + probes), np.int64)
     rows = np.arange(n)
     for t in range(tables):
-        axes, loss = [], []
-        for _ in range(2):
+        cost, code = np.zeros((n, 1)), np.zeros((n, 1), np.int64)
+        for _ in range(axes):
             y = x
             for _ in range(3):
                 y = hadamard(y * rng.choice([-1.0, 1.0], size))
             mag = np.abs(y)
-            k = min(1 + probes, size)
-            top = np.argsort(-mag, axis=1, kind="stable")[:, :k]
+            top = np.argsort(-mag, axis=1, kind="stable")[:, :min(1 + probes, size)]
             best = mag[rows[:, None], top]
-            axes.append(top * 2 + (y[rows[:, None], top] < 0))
-            loss.append((best[:, :1] - best) ** 2)
-        cost = (loss[0][:, :, None] + loss[1][:, None, :]).reshape(n, -1)
-        code = (axes[0][:, :, None] * (2 * size) + axes[1][:, None, :]).reshape(n, -1)
-        pick = np.argsort(cost, axis=1, kind="stable")[:, :1 + probes]
-        found = code[rows[:, None], pick]
-        if found.shape[1] < 1 + probes:                       # one-dimensional vectors
+            axis = top * 2 + (y[rows[:, None], top] < 0)
+            # the likeliest prefixes extended by the likeliest axes; the home stays first
+            cost = (cost[:, :, None] + ((best[:, :1] - best) ** 2)[:, None, :]).reshape(n, -1)
+            code = (code[:, :, None] * (2 * size) + axis[:, None, :]).reshape(n, -1)
+            pick = np.argsort(cost, axis=1, kind="stable")[:, :1 + probes]
+            cost, code = cost[rows[:, None], pick], code[rows[:, None], pick]
+        found = code
+        if found.shape[1] < 1 + probes:                       # short vectors have fewer buckets
             found = np.pad(found, ((0, 0), (0, 1 + probes - found.shape[1])), mode="edge")
         out[:, t] = found
     return out
 
 
-def _prepare(tables: int, probes: int, seed: int):
+def _prepare(tables: int, probes: int, seed: int, axes: int):
     """(id, label, vec) -> (id, label, dims, vec, buckets) of the rows that can link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,7 +95,7 @@ def _prepare(tables: int, probes: int, seed: int):
             for dims, at in order.items():
                 m = np.stack([vecs[k] for k in at])
                 unit = m / np.linalg.norm(m, axis=1)[:, None]
-                lists = bucket_lists(unit, tables, probes, seed)
+                lists = bucket_lists(unit, tables, probes, seed, axes)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([ids[k] for k in at], pa.int64()),
                     pa.array([labels[k] for k in at]).cast(pa.string()),
@@ -156,9 +156,9 @@ def _verify(threshold: float, tables: int, probes: int):
     return run
 
 
-def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, tables: int = 10, probes: int = 3,
+def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, tables: int = 8, probes: int = 5,
                          id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
-                         block: int = 256, seed: int = 7) -> DataFrame:
+                         block: int = 256, seed: int = 7, axes: int = 3) -> DataFrame:
     """(id, n_links, component_id, kept), one row per row of ``vectors``.
 
     Vectors are compared when their labels are equal and not NULL and their lengths
@@ -183,7 +183,7 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, tables: in
         F.when(F.col("texts") == 1, F.col("rep")).otherwise(F.xxhash64("digest")).alias("id"),
         "rep", "digest", "copies", "label", "vec"))
     hashed = cut_lineage(classes.select("id", "label", "vec").mapInArrow(
-        _prepare(tables, probes, seed),
+        _prepare(tables, probes, seed, axes),
         "id long, label string, dims int, vec array<double>, buckets array<long>"))
     step = 1 + probes
     places = hashed.select("id", "label", "dims", F.posexplode("buckets").alias("at", "bucket"))
