@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.explain import shapley_values
-from tidemark.operators.selection import shadow_selection
-from tidemark.operators.train import assemble, fit_gbt, score, spark_grid, stratified_split
+from tidemark.operators.selection import binomial_tail, rounds_needed, shadow_selection
+from tidemark.operators.train import (assemble, first_trees, fit_gbt, model_pipeline, score, spark_grid,
+                                      stratified_split)
 
 
 def _frame(spark, n=400, seed=0):
@@ -32,20 +33,66 @@ def test_grid_dedup():
     assert len(g) == 18
 
 
-def test_shapley_efficiency(spark):
+def test_shapley_adds_up(spark):
     df = _frame(spark, 200)
     data = assemble(df, ["x1", "noise"], "y", keep=["id"])
     model = fit_gbt(data, {"maxIter": 5, "maxDepth": 3}, 1)
     rows, bg = df.where("id < 20"), df.where("id >= 100")
-    phi = shapley_values(model, rows, bg, ["x1", "noise"], "id", permutations=3, seed=1).toPandas()
-    fx = score(model, assemble(rows, ["x1", "noise"], "y", keep=["id"])).toPandas().set_index("id").score
-    # per explained row, sum of phi = f(x) - average f over the sampled background rows
-    total = phi.groupby("id").phi.sum()
-    assert len(total) == 20
-    assert phi.groupby("feature").phi.apply(lambda s: s.abs().mean())["x1"] > \
-        phi.groupby("feature").phi.apply(lambda s: s.abs().mean())["noise"]
-    assert np.all(np.abs(total.values) <= 1.0)
-    assert set(fx.index) == set(total.index)
+    phi = shapley_values(model, rows, bg, ["x1", "noise"], "id", permutations=24, seed=1).toPandas()
+    by = phi.groupby("id")
+    # per explained row the attributions add up to f(x) minus the mean over its paths' background rows
+    assert np.allclose(by.phi.sum(), by.gap.first(), atol=1e-9) and len(by) == 20
+    f = lambda d: score(model, assemble(d, ["x1", "noise"], "y", keep=["id"])).toPandas().set_index("id").score
+    fx, mean = f(rows), f(bg).mean()
+    assert np.abs(by.phi.sum() - (fx - mean)).mean() < 0.1         # estimates f(x) - mean f
+    size = phi.groupby("feature").phi.apply(lambda s: s.abs().mean())
+    assert size["x1"] > size["noise"]
+
+
+def test_first_trees_equal_a_shorter_fit(spark):
+    data = assemble(_frame(spark, 300), ["x1", "noise"], "y", keep=["id"]).coalesce(1).persist()
+    long = fit_gbt(data, {"maxIter": 6, "maxDepth": 3, "stepSize": 0.1}, 4)
+    short = fit_gbt(data, {"maxIter": 3, "maxDepth": 3, "stepSize": 0.1}, 4)
+    a = score(first_trees(long, 3), data).toPandas().sort_values("id").score
+    b = score(short, data).toPandas().sort_values("id").score
+    assert np.array_equal(a.values, b.values)
+    assert first_trees(long, 6) is long
+
+
+def test_rounds_allow_acceptance_for_many_features():
+    for k in (1, 2, 60, 1000, 100_000):
+        n = rounds_needed(k)
+        assert binomial_tail(n, n) < 0.05 / k
+
+
+def test_shadow_selection_with_sixty_features(spark):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 300)
+    pdf = pd.DataFrame({"id": np.arange(300), "y": y, "planted": y + rng.normal(0, 0.2, 300)})
+    for i in range(59):
+        pdf[f"n{i}"] = rng.normal(size=300)
+    feats = [c for c in pdf.columns if c not in ("id", "y")]
+    sel = {r.feature: r.accepted for r in shadow_selection(spark.createDataFrame(pdf), feats, "y", "id", seed=2,
+                                                          num_trees=15, max_depth=3).collect()}
+    assert sel["planted"] and sum(sel.values()) <= 3
+
+
+def test_pipeline_without_accepted_features(spark):
+    df = _frame(spark, 200).withColumn("y", (F.pmod(F.xxhash64("id"), F.lit(2))).cast("int"))
+    st = model_pipeline(df, ["x1", "noise"], "y", "id", {"iterations": [3], "learning_rate": [0.1], "depth": [2]}, 1,
+                        iv_threshold=0.0, num_trees=10)
+    if not st.features:                      # nothing is reported as selected, nothing fitted
+        assert st.model is None and st.chosen is None and not st.candidates
+    assert all(not ok or f in st.features for f, _, _, ok in st.selection)
+
+
+def test_pipeline_with_validation_rows(spark):
+    st = model_pipeline(_frame(spark, 400), ["x1", "noise"], "y", "id",
+                        {"iterations": [3, 6], "learning_rate": [0.1], "depth": [2]}, 1, iv_threshold=0.0,
+                        validation_share=0.25, num_trees=10)
+    parts = {r["part"]: r["count"] for r in st.rows.groupBy("part").count().collect()}
+    assert set(parts) == {"train", "valid", "test"} and sum(parts.values()) == 400
+    assert st.features == ["x1"] and len(st.candidates) == 2 and st.chosen in st.candidates
 
 
 def test_shadow_selection_finds_signal(spark):

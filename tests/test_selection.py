@@ -79,3 +79,33 @@ def test_profile_counts(spark):
     assert prof["a"]["count"] == 3 and prof["a"].missing_count == 2
     assert prof["a"].p50 == 2.0 and prof["a"].p100 == 4.0 and prof["a"]["min"] == 1.0
     assert prof["b"]["count"] == 0 and prof["b"].missing_rate == 1.0
+
+
+def test_wide_quantiles_match_numpy(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.ranking import wide_quantiles
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"a": rng.normal(size=5000), "b": rng.integers(0, 4, 5000).astype(float),
+                        "c": np.where(rng.random(5000) < 0.97, np.nan, rng.random(5000)), "d": np.full(5000, np.nan)})
+    df = spark.createDataFrame(pdf).repartition(5)
+    probs = [0.0, 0.01, 0.1, 0.5, 0.77, 0.99, 1.0]
+    got = wide_quantiles(df, {c: F.when(~F.isnan(c), F.col(c)) for c in pdf.columns}, probs, accuracy=100)
+    for c in "abc":
+        assert got[c] == pytest.approx(np.nanquantile(pdf[c], probs), abs=1e-12)
+    assert got["d"] == [None] * len(probs)
+
+
+def test_profile_ignores_nan(spark):
+    x = [float("nan"), 1.0, 2.0, 4.0, None, -1.0]
+    r = univariate_profile(spark.createDataFrame([(v,) for v in x], "a double"), ["a"]).first()
+    ref = pd.Series([1.0, 2.0, 4.0]).describe()
+    assert r["count"] == ref["count"] == 3 and r.missing_count == 3
+    assert r["min"] == 1.0 and r.p50 == ref["50%"] and r.max == 4.0 and r["std"] == pytest.approx(ref["std"])
+
+
+def test_equal_width_edges_match_cut():
+    from tidemark.operators.binning import equal_width_edges
+    for x in ([0.0, 10.0, 3.0], [-5.0, 5.0, 1.0], [2.0, 2.0, 2.0]):
+        _, ref = pd.cut(pd.Series(x), 4, retbins=True)
+        assert equal_width_edges(min(x), max(x), 4) == pytest.approx(list(ref))

@@ -37,17 +37,22 @@ def quantile_edges(df: DataFrame, value: str, bins: int = 10,
         F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
 
 
-def bin_index(x: Column, edges: Column, max_edges: int = 11) -> Column:
-    """1-based right-closed bin of ``x`` for sorted ``edges`` (at most ``max_edges``
-    of them); NULL when out of range.  Written as a sum of comparisons rather than
-    a higher-order function so it stays in generated code."""
-    below = None
-    for k in range(max_edges):
-        term = F.coalesce((F.get(edges, k) < x).cast("int"), F.lit(0))
-        below = term if below is None else below + term
-    b = F.greatest(F.lit(1), below)
-    n = F.size(edges)
-    return F.when(x.isNotNull() & (n > 1) & (b < n) & (x >= F.get(edges, 0)), b)
+def bin_index(df: DataFrame, x: str, edges: Sequence[float], out: str) -> DataFrame:
+    """Add ``out`` = 1-based right-closed bin of ``x`` for sorted ``edges``, as many as there
+    are; NULL when out of range."""
+    return df.withColumn(out, bin_of_literals(F.col(x).cast("double"), list(edges)))
+
+
+def equal_width_edges(lo: float, hi: float, bins: int) -> list[float]:
+    """Edges of ``bins`` equal-width bins over [lo, hi], the lowest widened by 0.1 % of the
+    range so that the minimum falls in (the fallback where quantile bins fail)."""
+    if lo == hi:
+        pad = 0.001 * abs(lo) if lo else 0.001
+        lo, hi = lo - pad, hi + pad
+        return [lo + (hi - lo) * i / bins for i in range(bins + 1)]
+    edges = [lo + (hi - lo) * i / bins for i in range(bins + 1)]
+    edges[0] -= 0.001 * (hi - lo)
+    return edges
 
 
 def bin_of_literals(x: Column, edges: list[float]) -> Column:
@@ -59,11 +64,3 @@ def bin_of_literals(x: Column, edges: list[float]) -> Column:
     for b in range(1, len(edges)):
         out = out.when(x <= F.lit(edges[b]), F.lit(b))
     return out
-
-
-def bin_lower(edges: Column, b: Column) -> Column:
-    return F.element_at(edges, b)
-
-
-def bin_upper(edges: Column, b: Column) -> Column:
-    return F.element_at(edges, b + 1)

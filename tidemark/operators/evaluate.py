@@ -19,15 +19,6 @@ from tidemark.operators.binning import bin_index, quantile_edges
 from tidemark.operators.ranking import global_cumsum
 
 
-def score_distribution(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Distinct scores with pos/neg counts and inclusive cumulative counts (ascending)."""
-    y = F.col(label).cast("long")
-    d = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-         .groupBy(F.col(score).cast("double").alias("score"))
-         .agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg")))
-    return global_cumsum(d, ["score"], ["pos", "neg"])
-
-
 def roc_auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
     """One row (per group): auc, positives, negatives."""
     sd = _grouped_distribution(df, label, score, groups)
@@ -70,8 +61,8 @@ def ks_table(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame
     places, x100), cure_rate.  Tied quantile edges are merged (fewer rows)."""
     base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
         F.col(score).cast("double").alias("p"), F.col(label).cast("double").alias("y"))
-    edges = quantile_edges(base, "p", bins).select("edges").scalar()  # one small array
-    b = base.withColumn("bucket", bin_index(F.col("p"), edges, bins + 1))
+    got = quantile_edges(base, "p", bins).first()                     # one row of bins + 1 numbers
+    b = bin_index(base, "p", got["edges"] if got else [], "bucket")
     g = b.groupBy("bucket").agg(F.min("p").alias("min_prob"), F.max("p").alias("max_prob"),
                                 F.sum("y").alias("events"), F.sum(1 - F.col("y")).alias("nonevents"))
     # at most ``bins`` rows from here on: windows over this table are bounded.

@@ -1,23 +1,24 @@
 """Importance and attribution.
 
 ``shapley_values`` is a Monte-Carlo Shapley estimate run as Spark jobs: for every
-sampled row x, permutation p and background row z it builds the k+1 hybrid
-rows along the permutation (features taken from x once they have entered,
-from z before), scores them with ``model.transform`` and takes successive
-differences.  Per (x, p, z) the differences telescope to f(x) - f(z), so the
-attributions of a row sum to f(x) - mean f(background) exactly.
+explained row x and every path (a feature order and a background row z, both drawn by
+hash) it builds the k+1 hybrid rows along the order (features taken from x once they
+have entered, from z before) and scores them with ``model.transform``.  A score counts
+for the feature that entered last and against the one that enters next, so the
+estimate is a sum per (x, feature) and needs no window.  Per path the terms telescope
+to f(x) - f(z): the attributions of a row add up to f(x) minus the mean of f over the
+background rows of its own paths (column ``gap``), which estimates f(x) - mean f.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import global_cumsum
-from tidemark.operators.train import assemble
 
 
 def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
@@ -29,55 +30,43 @@ def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
         Window.partitionBy(F.lit(1)).orderBy(F.col("importance").desc(), F.col("feature"))))
 
 
-def _hash01(*cols) -> F.Column:
-    return (F.abs(F.xxhash64(*cols)) % F.lit(1_000_000_007)).cast("double") / F.lit(1_000_000_007.0)
-
-
 def shapley_values(model, rows: DataFrame, background: DataFrame, features: Sequence[str],
-                   key: str, permutations: int = 4, seed: int = 0) -> DataFrame:
-    """(key, feature, value, phi) Monte-Carlo Shapley values.
+                   key: str, permutations: int = 8, seed: int = 0) -> DataFrame:
+    """(key, feature, value, phi, gap) Monte-Carlo Shapley values.
 
     ``rows`` are the rows to explain (key + features); ``background`` (key + features)
-    supplies the reference rows, paired with each (x, permutation) by a hash: one
-    background row per path.  Cost: |rows| x permutations x (k+1) scored rows."""
+    supplies one row per path, at a hashed position.  Cost: |rows| x permutations x (k+1)
+    scored rows, streamed: only (x, feature) sums are shuffled."""
     k = len(features)
-    fx = rows.select(F.col(key).alias("_x"), *[F.col(c).cast("double").alias(f"x{i}")
-                                                for i, c in enumerate(features)])
-    bg = background.select(F.col(key).alias("_bk"),
-                           *[F.col(c).cast("double").alias(f"z{i}") for i, c in enumerate(features)])
+    fx = rows.select(F.col(key).alias("_x"), F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
+    bg = background.select(F.col(key).alias("_bk"), F.array(*[F.col(c).cast("double") for c in features]).alias("_z"),
+                           F.xxhash64(F.col(key), F.lit(seed)).alias("_bh"), F.lit(1).alias("_one"))
     # dense background positions 0..nb-1 from distributed prefix counts (no global window)
-    bg = global_cumsum(bg.withColumn("_bh", F.xxhash64("_bk", F.lit(seed))).withColumn("_one", F.lit(1)),
-                       ["_bh", "_bk"], ["_one"])
-    bg = bg.withColumn("_bpos", F.col("cum__one") - 1).drop("_bk", "_bh", "_one", "cum__one")
+    bg = global_cumsum(bg, ["_bh", "_bk"], ["_one"]).select((F.col("cum__one") - 1).alias("_pos"), "_z")
     nb = background.count()  # one number
     paths = (fx.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-               .withColumn("_bpos", (F.abs(F.xxhash64("_x", "_p", F.lit(seed))) % F.lit(max(nb, 1)))))
-    paths = paths.join(bg, "_bpos")
-    # permutation order: sort features by a per-(x, p) hash
-    order = F.array_sort(F.array(*[F.struct(_hash01(F.col("_x"), F.col("_p"), F.lit(seed), F.lit(i))
-                                            .alias("h"), F.lit(i).alias("i")) for i in range(k)]))
-    paths = paths.withColumn("_perm", F.transform(order, lambda s: s["i"]))
-    # position of every feature in the permutation (1-based)
-    for i in range(k):
-        paths = paths.withColumn(f"_pos{i}", F.array_position("_perm", F.lit(i)))
+               .withColumn("_pos", F.pmod(F.xxhash64("_x", "_p", F.lit(seed)), F.lit(max(nb, 1)))))
+    paths = paths.join(bg, "_pos")
+    order = F.array_sort(F.array(*[F.struct(F.xxhash64(F.col("_x"), F.col("_p"), F.lit(seed), F.lit(i)).alias("h"),
+                                            F.lit(i).alias("i")) for i in range(k)]))
+    paths = paths.withColumn("_order", F.transform(order, lambda s: s["i"]))
     hyb = paths.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    hyb = hyb.select("_x", "_p", "_j", "_perm", *[
-        F.when(F.col(f"_pos{i}") <= F.col("_j"), F.col(f"x{i}")).otherwise(F.col(f"z{i}")).alias(features[i])
-        for i in range(k)])
-    scored = model.transform(assemble(hyb.withColumn("_lbl", F.lit(0.0)), features, "_lbl",
-                                      keep=["_x", "_p", "_j", "_perm"]))
-    scored = scored.withColumn("_f", vector_to_array("probability")[1])
-    w = Window.partitionBy("_x", "_p").orderBy("_j")   # k+1 rows per path
-    diffs = (scored.withColumn("_d", F.col("_f") - F.lag("_f").over(w))
-             .where(F.col("_j") > 0)
-             .withColumn("_fi", F.element_at("_perm", F.col("_j"))))
-    phi = diffs.groupBy("_x", "_fi").agg(F.avg("_d").alias("phi"))
+    # feature i comes from x once it is among the first j of the order
+    hyb = hyb.withColumn("features", array_to_vector(F.transform("_v", lambda v, i: F.when(
+        F.array_position("_order", i) <= F.col("_j"), v).otherwise(F.get("_z", i)))))
+    f = model.transform(hyb.select("_x", "_j", "_order", "features")).select(
+        "_x", "_j", "_order", vector_to_array("probability")[1].alias("_f"))
+    share = F.col("_f") / F.lit(float(permutations))
+    terms = F.array(F.struct(F.when(F.col("_j") > 0, F.get("_order", F.col("_j") - 1)).alias("i"), share.alias("d")),
+                    F.struct(F.get("_order", F.col("_j")).alias("i"), (-share).alias("d")),
+                    F.struct(F.lit(-1).alias("i"), F.when(F.col("_j") == k, share).when(F.col("_j") == 0, -share).alias("d")))
+    terms = f.select("_x", F.explode(terms).alias("t")).where("t.i is not null and t.d is not null")
+    sums = terms.groupBy("_x", F.col("t.i").alias("i")).agg(F.sum("t.d").alias("phi"))
+    gap = sums.where("i = -1").select("_x", F.col("phi").alias("gap"))
     names = F.array(*[F.lit(c) for c in features])
-    vals = fx.select("_x", F.array(*[F.col(f"x{i}") for i in range(k)]).alias("_vals"))
-    out = phi.join(vals, "_x").select(
-        F.col("_x").alias(key), F.element_at(names, F.col("_fi") + 1).alias("feature"),
-        F.element_at("_vals", F.col("_fi") + 1).alias("value"), "phi")
-    return out
+    return sums.where("i >= 0").join(gap, "_x").join(fx, "_x").select(
+        F.col("_x").alias(key), F.get(names, F.col("i")).alias("feature"), F.get("_v", F.col("i")).alias("value"),
+        "phi", "gap")
 
 
 def attribution_summary(phi: DataFrame) -> DataFrame:

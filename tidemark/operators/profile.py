@@ -3,7 +3,7 @@
 For each numeric column: statistics of its positive, non-null values (count,
 mean, sample std, min, exact percentiles, max) and the missing count / rate
 against all rows.  All columns go through one ``stack`` + grouped aggregate and
-one exact-quantile pass, not one job per column.
+one exact-quantile computation that sorts no data, not one job per column.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import exact_quantiles
+from tidemark.operators.ranking import wide_quantiles
 from tidemark.operators.selection import numeric_columns, to_long
+from tidemark.plans.constants import PROFILE_PERCENTILES
 
 
 def percentile_name(p: float) -> str:
@@ -22,9 +23,7 @@ def percentile_name(p: float) -> str:
 
 
 def univariate_profile(df: DataFrame, columns: Sequence[str] | None = None,
-                       exclude: Sequence[str] = (), percentiles: Sequence[float] = (
-                           0.01, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75, 0.8, 0.9,
-                           0.95, 0.99, 1.0),
+                       exclude: Sequence[str] = (), percentiles: Sequence[float] = tuple(PROFILE_PERCENTILES),
                        positive_only: bool = True) -> DataFrame:
     cols = list(columns) if columns is not None else numeric_columns(df, exclude)
     cols = [c for c in cols if c not in set(exclude)]
@@ -37,10 +36,11 @@ def univariate_profile(df: DataFrame, columns: Sequence[str] | None = None,
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    q = exact_quantiles(lg, "value", list(percentiles), ["feature"])
-    wide = q.groupBy("feature").pivot("p", [float(p) for p in percentiles]).agg(F.first("q"))
-    wide = wide.select("feature", *[F.col(f"`{float(p)}`").alias(percentile_name(p))
-                                    for p in percentiles])
+    value = lambda c: F.col(c).cast("double")
+    kept = {c: F.when(~F.isnan(value(c)) & ((value(c) > 0) if positive_only else F.lit(True)), value(c)) for c in cols}
+    q = wide_quantiles(df, kept, list(percentiles))           # columns x percentiles numbers
+    wide = df.sparkSession.createDataFrame(
+        [(c, *q[c]) for c in cols], "feature string, " + ", ".join(f"{percentile_name(p)} double" for p in percentiles))
     names = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
     n_rows = total.first()["_rows"]  # one number
     out = (names.join(stats, "feature", "left").join(wide, "feature", "left")

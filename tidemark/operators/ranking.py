@@ -101,3 +101,85 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     q = m.groupBy(*g, "p").agg(F.max("_vlo").alias("_vlo"), F.max("_vhi").alias("_vhi"),
                                F.first("_frac").alias("_frac"))
     return q.select(*g, "p", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias("q"))
+
+
+def wide_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[float],
+                   accuracy: int = 2000) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles of many columns without sorting the data.
+
+    ``columns``: name -> double Column, NULL where a value is left out.  Returns
+    name -> one quantile per p (None for a column without values); the result is bounded by
+    the schema width, and so is everything that reaches the driver.
+
+      1. one pass of ``percentile_approx`` gives a narrow bracket for every (column, p);
+      2. one pass maps each value to its bracket or to the gap between two and counts
+         (column, place, value) with the value kept inside brackets only, so partial
+         aggregation leaves one row per gap, and only in-bracket values are shuffled;
+      3. in-bracket values are ranked by distributed prefix sums over that count table.
+    ``percentile_approx`` bounds its rank error, so a bracket holds its ranks; a column for
+    which one did not is ranked as a whole by ``exact_quantiles``."""
+    names = list(columns)
+    if not names:
+        return {}
+    d = df.select(*[columns[c].cast("double").alias(f"_c{i}") for i, c in enumerate(names)])
+    slack = 2.0 / accuracy
+    cuts = [min(max(p + e, 0.0), 1.0) for p in probs for e in (-slack, slack)]
+    row = d.agg(*[F.percentile_approx(f"_c{i}", cuts, accuracy).alias(f"_c{i}") for i in range(len(names))]).first()
+    # brackets and the gaps between them, in order: odd places are brackets
+    spans: list[tuple] = []
+    for i, c in enumerate(names):
+        got, merged = row[f"_c{i}"], []
+        for j in range(len(probs) if got else 0):
+            lo = -float("inf") if cuts[2 * j] == 0.0 else got[2 * j]
+            hi = float("inf") if cuts[2 * j + 1] == 1.0 else got[2 * j + 1]
+            merged.append([lo, hi])
+        merged.sort()
+        joint: list[list[float]] = []
+        for lo, hi in merged:
+            if joint and lo <= joint[-1][1]:
+                joint[-1][1] = max(joint[-1][1], hi)
+            else:
+                joint.append([lo, hi])
+        last = None
+        for k, (lo, hi) in enumerate(joint):
+            spans += [(i, 2 * k, False, last, lo), (i, 2 * k + 1, True, lo, hi)]
+            last = hi
+        if joint:
+            spans.append((i, 2 * len(joint), False, last, None))
+    if not spans:
+        return {c: [None] * len(probs) for c in names}
+    places = df.sparkSession.createDataFrame(spans, "_f int, place int, inside boolean, lo double, hi double")
+    pairs = ", ".join(f"{i}, _c{i}" for i in range(len(names)))
+    long = d.select(F.expr(f"stack({len(names)}, {pairs}) AS (feature, x)")).where("x is not null")
+    here = (F.col("feature") == F.col("_f")) & F.when(
+        F.col("inside"), (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).otherwise(
+        (F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") < F.col("hi"))))
+    # columns x (2 probs + 1) rows at most: bounded by the schema width
+    counts = long.join(F.broadcast(places), here).select(
+        "feature", "place", F.when(F.col("inside"), F.col("x")).alias("value")).groupBy(
+        "feature", "place", "value").agg(F.count(F.lit(1)).alias("n"))
+    cum = global_cumsum(counts, ["place", "value"], ["n"], ["feature"])
+    totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
+    t = totals.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"))
+                                                    for j, p in enumerate(probs)])))
+    t = (t.withColumn("_pos", (F.col("_total") - 1).cast("double") * F.col("_p.p"))
+          .withColumn("_lo", F.floor("_pos")).withColumn("_frac", F.col("_pos") - F.col("_lo"))
+          .withColumn("_hi", F.least(F.col("_lo") + 1, F.col("_total") - 1)))
+    c = cum.withColumn("_from", F.col("cum_n") - F.col("n"))
+    has = lambda r: (F.col("_from") <= F.col(r)) & (F.col(r) < F.col("cum_n"))
+    m = c.join(t, "feature").where(has("_lo") | has("_hi")).select(
+        "feature", F.col("_p.j").alias("j"), "_frac", F.when(has("_lo"), F.col("value")).alias("a"),
+        F.when(has("_hi"), F.col("value")).alias("b"))
+    m = m.groupBy("feature", "j").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.first("_frac").alias("f"))
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in names}
+    missed = set()
+    for r in m.collect():                                     # columns x probs rows
+        if r["a"] is None or r["b"] is None:
+            missed.add(r["feature"])
+            continue
+        a, b = r["a"], r["b"]
+        out[names[r["feature"]]][r["j"]] = a if a == b else a + (b - a) * r["f"]
+    for i in missed:
+        whole = {r["p"]: r["q"] for r in exact_quantiles(d, f"_c{i}", list(probs)).collect()}
+        out[names[i]] = [whole.get(float(p)) for p in probs]
+    return out

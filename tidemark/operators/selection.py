@@ -9,6 +9,7 @@ aggregate over ``feature``; only k x k correlation numbers and per-feature IVs
 from __future__ import annotations
 
 import math
+import random
 from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
@@ -16,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.binning import bin_of_literals, quantile_edges
+from tidemark.operators.binning import bin_of_literals, quantile_probs
+from tidemark.operators.ranking import wide_quantiles
+from tidemark.session import cut_lineage
 
 _INF = float("inf")
 
@@ -37,10 +40,10 @@ def to_long(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),
 
 
 def information_value(df: DataFrame, label: str, features: Sequence[str] | None = None,
-                      bins: int = 10, approx_accuracy: int | None = None) -> DataFrame:
+                      bins: int = 10) -> DataFrame:
     """(feature, iv) with weight of evidence over quantile bins, no smoothing.
 
-    Numeric features are binned (``quantile_edges``); string features use their
+    Numeric features are binned on exact quantiles (``wide_quantiles``); string features use their
     values as bins.  Rows with a NULL or NaN feature value or a NULL label are skipped for that
     feature.  A bin without events or without non-events makes IV +inf; a label
     with only one class gives IV 0."""
@@ -52,11 +55,10 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
     y = F.col(label).cast("double")
     parts = []
     if numeric:
-        lg = to_long(df.withColumn("_y", y), numeric, ["_y"]).where(
-            F.col("value").isNotNull() & ~F.isnan("value") & F.col("_y").isNotNull())
-        # one row per feature with <= bins+1 edges: bounded by the schema width
-        edges = {r.feature: list(r.edges) for r in
-                 quantile_edges(lg, "value", bins, ["feature"], approx_accuracy).collect()}
+        # per feature at most bins + 1 edges: bounded by the schema width
+        kept = {c: F.when(y.isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric}
+        quantiles = wide_quantiles(df, kept, quantile_probs(bins))
+        edges = {c: sorted(set(q)) for c, q in quantiles.items() if q and q[0] is not None}
         wide = df.where(y.isNotNull()).select(
             y.alias("_y"), *[bin_of_literals(F.col(c).cast("double"), edges.get(c, [])).alias(f"_b{i}")
                              for i, c in enumerate(numeric)])
@@ -87,11 +89,6 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
             .select("feature", F.coalesce(F.col("iv"), F.lit(0.0)).alias("iv")))
 
 
-def low_iv_features(iv: DataFrame, threshold: float) -> list[str]:
-    """Names with ``iv < threshold`` (+inf is kept).  One row per feature."""
-    return [r.feature for r in iv.where(F.col("iv") < threshold).collect()]
-
-
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> list[list[float]]:
     """k x k Pearson matrix from ONE distributed pass (Spark ML ``Correlation``, centred
     covariance).  Only the k x k numbers come back (bounded by the schema width);
@@ -126,61 +123,85 @@ def correlated_to_drop(features: Sequence[str], matrix: list[list[float]],
     return [c for c in features if c in drop]
 
 
-def remove_correlated(df: DataFrame, features: Sequence[str], threshold: float
-                      ) -> tuple[DataFrame, list[str]]:
-    dropped = correlated_to_drop(features, correlation_matrix(df, features), threshold)
-    return df.drop(*dropped), dropped
-
-
 def binomial_tail(hits: int, n: int, p: float = 0.5) -> float:
     """P(X >= hits) for X ~ Binomial(n, p)."""
     return float(sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(hits, n + 1)))
 
 
+def rounds_needed(k: int, alpha: float = 0.05, spare: int = 3) -> int:
+    """Rounds after which a feature that wins all but a few of them passes alpha / k: there is
+    no number of features at which nothing can be accepted."""
+    n = 1
+    while binomial_tail(max(n - spare // 2, 1), n) >= alpha / max(k, 1):
+        n += 1
+    return n
+
+
+def _bijection(n: int, seed: int, r: int, i: int) -> tuple[int, int]:
+    """(a, b) of the permutation p -> (a p + b) mod n of 0..n-1 for round r, feature i."""
+    rng = random.Random(f"{seed}:{r}:{i}")
+    a = rng.randrange(1, n) if n > 1 else 1
+    while math.gcd(a, n) != 1:
+        a = rng.randrange(1, n)
+    return a, rng.randrange(n)
+
+
 def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: str,
-                     rounds: int = 10, seed: int = 0, num_trees: int = 50, max_depth: int = 5,
+                     rounds: int | None = None, seed: int = 0, num_trees: int = 50, max_depth: int = 5,
                      alpha: float = 0.05, parallelism: int = 4) -> DataFrame:
     """All-relevant selection against permuted "shadow" copies (M6).
 
-    Each round pairs every row with the feature values of another row (a hash
-    permutation of the row order, built from distributed prefix counts and an
-    equi-join on position, never collected), fits a random forest on features +
-    shadows and records a hit for each feature more important than the best
-    shadow.  A feature is accepted when P(X >= hits | Binomial(rounds, 1/2)) is
-    below alpha / k (Bonferroni).  Returns (feature, hits, p_value, accepted)."""
+    Rows are numbered 0..n-1 once.  In each round every feature is permuted on its own, by a
+    keyed bijection of the row numbers written as a Column expression: all features of a
+    row travel in one shuffle to the rows that receive them.  A random forest is fitted on
+    features + shadows and a hit recorded for each feature more important than the
+    best shadow.  A feature is accepted when P(X >= hits | Binomial(rounds, 1/2)) is
+    below alpha / k (Bonferroni); ``rounds`` defaults to ``rounds_needed(k)``.
+    Returns (feature, hits, p_value, accepted)."""
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import array_to_vector
 
     from tidemark.operators.ranking import global_cumsum
 
     feats = list(features)
     k = len(feats)
-    base = df.select(key, label, *feats).withColumn("_one", F.lit(1))
-    ordered = global_cumsum(base, [key], ["_one"]).withColumnRenamed("cum__one", "_pos").drop("_one")
+    if not k:
+        return df.sparkSession.createDataFrame(
+            [], "feature string, hits int, p_value double, accepted boolean")
+    rounds = rounds or rounds_needed(k, alpha)
+    base = df.select(key, F.col(label).cast("double").alias("_lbl"),
+                     F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in feats]).alias("_x"),
+                     F.lit(1).alias("_one"))
+    ordered = cut_lineage(global_cumsum(base, [key], ["_one"]).select(
+        (F.col("cum__one") - 1).alias("_pos"), "_lbl", "_x"))
+    n = ordered.count()
+    parts = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), -(-n // 20_000)))
     hits = {f: 0 for f in feats}
-    shadows = [f"shadow_{i}" for i in range(k)]
 
     def one_round(r: int) -> list[bool]:
-        h = F.xxhash64(F.col(key), F.lit(seed), F.lit(r))
-        perm = global_cumsum(base.withColumn("_h", h), ["_h", key], ["_one"]).select(
-            F.col("cum__one").alias("_pos"), *[F.col(f).alias(s) for f, s in zip(feats, shadows)])
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+        coef = [_bijection(n, seed, r, i) for i in range(k)]
+        moved = ordered.select(F.explode(F.array(*[
+            F.struct(F.pmod(F.col("_pos") * F.lit(a) + F.lit(b), F.lit(n)).alias("_pos"),
+                     F.lit(i).alias("i"), F.col("_x")[i].alias("v")) for i, (a, b) in enumerate(coef)])).alias("s"))
+        shadow = moved.select("s.*").groupBy("_pos").agg(
+            F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s"))       # k entries a row
         # deterministic layout: the forest's per-partition sampling then repeats exactly
-        data = ordered.join(perm, "_pos").repartition(n, "_pos").sortWithinPartitions("_pos")
-        va = VectorAssembler(inputCols=feats + shadows, outputCol="_fv", handleInvalid="keep")
-        train = va.transform(data).select("_fv", F.col(label).cast("double").alias("_lbl")).persist()
+        data = ordered.join(shadow, "_pos").repartitionByRange(parts, "_pos").sortWithinPartitions("_pos")
+        train = data.select(array_to_vector(F.concat("_x", F.transform("_s", lambda e: e["v"]))).alias("_fv"),
+                            "_lbl").persist()
         model = RandomForestClassifier(featuresCol="_fv", labelCol="_lbl", numTrees=num_trees,
                                        maxDepth=max_depth, seed=seed * 1000 + r).fit(train)
         train.unpersist()
         imp = model.featureImportances.toArray()
-        best_shadow = max(imp[k:]) if k else 0.0
+        best_shadow = max(imp[k:])
         return [bool(imp[i] > best_shadow) for i in range(k)]
 
     # rounds are independent Spark jobs: submit them concurrently
-    with ThreadPoolExecutor(max_workers=max(1, min(rounds, parallelism))) as ex:
-        for won in ex.map(one_round, range(rounds)):
-            for f, w in zip(feats, won):
-                hits[f] += int(w)
+    if n:
+        with ThreadPoolExecutor(max_workers=max(1, min(rounds, parallelism))) as ex:
+            for won in ex.map(one_round, range(rounds)):
+                for f, w in zip(feats, won):
+                    hits[f] += int(w)
     rows = []
     for f in feats:
         pv = binomial_tail(hits[f], rounds)

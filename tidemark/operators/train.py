@@ -16,11 +16,14 @@ from typing import Sequence
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluate import roc_auc
-from tidemark.operators.ranking import global_cumsum
+from tidemark.operators.selection import (correlated_to_drop, correlation_matrix, information_value,
+                                          shadow_selection)
+from tidemark.session import cut_lineage
 
 # Parameter names of the original grid mapped to Spark's GBT.  ``l2_leaf_reg`` has
 # no counterpart, so grid points differing only in it are the same Spark model.
@@ -33,16 +36,29 @@ def split_key(key: str, seed: int):
 
 
 def stratified_split(df: DataFrame, label: str, key: str, seed: int,
-                     test_share: float = 0.2) -> DataFrame:
+                     test_share: float = 0.2, out: str = "is_test") -> DataFrame:
     """Add ``is_test`` (0/1): per label class, the round(share x n_class) rows with the
-    smallest hash of (key, seed) go to test (M5).  Exact class shares, no sampling,
-    and the per-class rank comes from distributed prefix counts, not a window per class."""
-    d = df.withColumn("_h", split_key(key, seed)).withColumn("_one", F.lit(1))
-    ranked = global_cumsum(d, ["_h", key], ["_one"], [label])
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))   # one row per class
-    out = ranked.join(sizes, label).withColumn(
-        "is_test", (F.col("cum__one") <= F.round(F.col("_n") * F.lit(test_share))).cast("int"))
-    return out.drop("_h", "_one", "cum__one", "_n")
+    smallest hash of (key, seed) go to test (M5).  Exact class shares, no sampling.
+
+    The rows are neither sorted nor moved: hashes are counted by their first four hex digits
+    per class (at most 65,536 rows a class), the digits in which the share is reached
+    are found by a running sum over that table, only the rows with these digits are
+    ranked, and the hash and key of the last test row decide for all."""
+    h = split_key(key, seed)
+    d = df.select(F.col(label).alias("_y"), F.col(key).alias("_k"), h.alias("_h"))
+    d = d.withColumn("_pre", F.substring("_h", 1, 4))
+    counts = d.groupBy("_y", "_pre").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy("_y")
+    counts = counts.select("_y", "_pre", "_n", F.sum("_n").over(by.orderBy("_pre")).alias("_cum"),
+                           F.round(F.sum("_n").over(by) * F.lit(test_share)).cast("long").alias("_want"))
+    edge = counts.where("_cum - _n < _want and _want <= _cum").select(
+        F.col("_y").alias("_ey"), F.col("_pre").alias("_ep"), (F.expr("_want - _cum + _n")).alias("_left"))
+    near = d.join(edge, F.col("_y").eqNullSafe(F.col("_ey")) & (F.col("_pre") == F.col("_ep")))
+    near = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_k")))
+    last = near.where("_rank = _left").select(F.col("_y").alias("_ly"), F.struct("_h", "_k").alias("_last"))
+    test = F.struct(h.alias("_h"), F.col(key).alias("_k")) <= F.col("_last")
+    return df.join(last, F.col(label).eqNullSafe(F.col("_ly")), "left").withColumn(
+        out, F.coalesce(test, F.lit(False)).cast("int")).drop("_ly", "_last")
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()):
@@ -86,22 +102,120 @@ def score(model, df: DataFrame, out: str = "score") -> DataFrame:
             .drop("rawPrediction", "probability", "prediction"))
 
 
-def auc_of(model, df: DataFrame) -> float:
-    s = score(model, df)
-    return roc_auc(s, "label", "score").first()["auc"]
-
-
-def search(train: DataFrame, test: DataFrame, grid: dict, seed: int,
-           parallelism: int = 4) -> tuple[object, list[Candidate]]:
-    """Fit every candidate once on train, score train and test, keep the best by
-    test AUC - |train AUC - test AUC| (M8, M9).  Candidates are fitted concurrently."""
+def first_trees(model, n: int):
+    """The model of the first ``n`` boosting iterations.  A fit without row sampling or early
+    stopping builds its trees one after the other, so this is the model a fit of n
+    iterations with the same other parameters gives."""
+    if n >= len(model.trees):
+        return model
+    sc = SparkContext._active_spark_context
+    j = model._java_obj
+    old, cls = j.trees(), sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = sc._gateway.new_array(cls, n), sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i] = old[i]
+        weights[i] = j.treeWeights()[i]
+    new = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        f"{j.uid()}_{n}", trees, weights, j.numFeatures(), j.numClasses())
+    return model.__class__(new)._resetUid(new.uid())
+
+
+def search(data: DataFrame, grid: dict, seed: int, train: str = "part = 'train'",
+           judge: str = "part = 'test'", parallelism: int = 6) -> tuple[object, list[Candidate]]:
+    """Every candidate of the grid by AUC(judge) - |AUC(train) - AUC(judge)|; the best model
+    and all candidates (M8, M9).
+
+    ``data`` holds ``features``, ``label`` and what the two conditions need.  Candidates that
+    differ only in the number of iterations are one fit of the largest, scored at each
+    number; one grouped AUC rates all of them on both parts.  Fits run concurrently."""
     cands = spark_grid(grid)
+    families: dict[tuple, list[dict]] = {}
+    for p in cands:
+        families.setdefault(tuple(sorted((k, v) for k, v in p.items() if k != "maxIter")), []).append(p)
+    fit_on = data.where(train).persist()
+    seen = data.where(f"({train}) or ({judge})").withColumn("_judge", F.expr(f"({judge})").cast("int")).persist()
 
-    def run(p):
-        m = fit_gbt(train, p, seed)
-        return m, Candidate(p, auc_of(m, train), auc_of(m, test))
+    def run(family):
+        whole = fit_gbt(fit_on, max(family, key=lambda p: p["maxIter"]), seed)
+        return [(p, first_trees(whole, p["maxIter"])) for p in family]
 
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        results = list(ex.map(run, cands))
+        fitted = [r for family in ex.map(run, families.values()) for r in family]
+    # all candidates are rated by one grouped AUC
+    scored = None
+    for i, (_, m) in enumerate(fitted):
+        one = score(m, seen).select(F.lit(i).alias("_cand"), "_judge", "label", "score")
+        scored = one if scored is None else scored.unionByName(one)
+    auc = {(r["_cand"], r["_judge"]): r["auc"]
+           for r in roc_auc(scored, "label", "score", ["_cand", "_judge"]).collect()}   # two rows a candidate
+    results = [(m, Candidate(p, auc.get((i, 0)), auc.get((i, 1)))) for i, (p, m) in enumerate(fitted)]
+    fit_on.unpersist()
+    seen.unpersist()
+    order = {str(p): i for i, p in enumerate(cands)}
+    results.sort(key=lambda r: order[str(r[1].params)])
     best = max(range(len(results)), key=lambda i: results[i][1].score)
     return results[best][0], [c for _, c in results]
+
+
+@dataclass
+class Study:
+    """What ``model_pipeline`` chose."""
+    model: object
+    features: list[str]
+    candidates: list[Candidate]
+    chosen: Candidate | None
+    data: DataFrame | None        # key, part, features (vector), label
+    rows: DataFrame               # key, label, part and the filtered features as columns
+    selection: list[tuple]        # (feature, hits, p_value, accepted)
+
+
+def model_pipeline(df: DataFrame, features: Sequence[str], label: str, key: str, grid: dict, seed: int,
+                   corr_threshold: float = 0.7, iv_threshold: float = 0.01, bins: int = 10,
+                   test_share: float = 0.2, validation_share: float = 0.0, num_trees: int = 50,
+                   prefiltered: bool = False, keep: Sequence[str] = ()) -> Study:
+    """Correlation filter, IV filter, stratified split, shadow selection on the training rows,
+    candidate search, chosen model (M17).
+
+    ``validation_share`` > 0 holds out that share of the training rows to choose the
+    candidate, so the test rows stay untouched; with 0 the test rows choose (the original
+    rule).  When selection accepts no feature there is no model: ``model`` and ``chosen``
+    are None and ``features`` is empty."""
+    feats = list(features)
+    if not prefiltered:
+        feats = prefilter(df, feats, label, corr_threshold, iv_threshold, bins)
+    sp = stratified_split(df, label, key, seed, test_share)
+    part = F.when(F.col("is_test") == 1, "test").otherwise("train")
+    if validation_share:
+        held = stratified_split(sp.where("is_test = 0"), label, key, seed + 7919, validation_share, "_v").where(
+            "_v = 1").select(F.col(key).alias("_vk"))
+        sp = sp.join(held, F.col(key) == F.col("_vk"), "left")
+        part = F.when(F.col("is_test") == 1, "test").when(F.col("_vk").isNotNull(), "valid").otherwise("train")
+    sp = cut_lineage(sp.withColumn("part", part).select(key, label, "part", *feats, *[c for c in keep if c not in feats]))
+    sel = [tuple(r) for r in shadow_selection(sp.where("part = 'train'"), feats, label, key, seed=seed,
+                                              num_trees=num_trees).collect()]        # one row per feature
+    chosen = [r[0] for r in sel if r[3]]
+    if not chosen:
+        return Study(None, [], [], None, None, sp, sel)
+    data = stable(assemble(sp, chosen, label, keep=[key, "part", *keep]), key)
+    model, cands = search(data, grid, seed, judge="part = 'valid'" if validation_share else "part = 'test'")
+    return Study(model, chosen, cands, max(cands, key=lambda c: c.score), data, sp, sel)
+
+
+def prefilter(df: DataFrame, features: Sequence[str], label: str, corr_threshold: float,
+              iv_threshold: float, bins: int) -> list[str]:
+    """Features kept by the correlation and the information-value filters, in their order."""
+    dropped = set(correlated_to_drop(features, correlation_matrix(df, features), corr_threshold))
+    kept = [f for f in features if f not in dropped]
+    low = {r.feature for r in information_value(df, label, kept, bins=bins)
+           .where(F.col("iv") < iv_threshold).collect()}                     # one row per feature
+    return [f for f in kept if f not in low]
+
+
+def stable(df: DataFrame, key: str) -> DataFrame:
+    """Deterministic layout (ranges of the row key, sorted inside, about 20,000 rows or more a
+    partition) cut by a checkpoint: seeded fits then see the same partitions and row
+    order on every run, whatever the adaptive planner did upstream."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
+    df = cut_lineage(df)
+    n = max(1, min(most, -(-df.count() // 20_000)))
+    return cut_lineage(df.repartition(n, key).sortWithinPartitions(key))

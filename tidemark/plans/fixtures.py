@@ -48,17 +48,13 @@ def transactions(spark: SparkSession, root: str) -> DataFrame:
 
 
 def account_balances(spark: SparkSession, root: str) -> DataFrame:
-    """Reserves / invoices stand-in: orders of the customer."""
+    """Reserves / invoices stand-in: orders of the customer, booked a day later (an
+    anchor's own order is not part of its balances)."""
     return table(spark, root, "orders").select(
         F.col("o_custkey").alias("entity_id"),
         F.col("o_orderstatus").alias("status"),
         F.round(F.col("o_totalprice") * 100).cast("bigint").alias("balance"),  # cents
-        F.col("o_orderdate").alias("created_at"))
-
-
-def logins(spark: SparkSession, root: str) -> DataFrame:
-    return (table(spark, root, "events").where(F.col("event_type") == "view")
-            .select(F.col("user_id").alias("entity_id"), F.col("ts").alias("created_at")))
+        (F.col("o_orderdate") + F.make_dt_interval(F.lit(1))).alias("created_at"))
 
 
 def flagged_accounts(spark: SparkSession, root: str) -> DataFrame:
@@ -134,10 +130,14 @@ def credit_profiles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def label_expr():
-    """Deterministic label: price share 0.6 + pseudo-random share 0.4 above 0.5."""
-    return F.when(F.col("o_totalprice") / F.lit(500000.0) * F.lit(0.6)
-                  + (F.col("o_orderkey") * 7919 % 1000) / F.lit(1000.0) * F.lit(0.4) > 0.5, 1
-                  ).otherwise(0)
+    """Deterministic label: account balance, business type and price shares plus a
+    pseudo-random share, above a threshold."""
+    kind = (F.when(F.col("c_mktsegment") == "AUTOMOBILE", 1.0).when(F.col("c_mktsegment") == "BUILDING", 0.66)
+            .when(F.col("c_mktsegment") == "FURNITURE", 0.33).otherwise(0.0))
+    share = ((F.coalesce(F.col("c_acctbal"), F.lit(0.0)) + F.lit(1000.0)) / F.lit(11000.0) * F.lit(0.4)
+             + kind * F.lit(0.25) + F.col("o_totalprice") / F.lit(500000.0) * F.lit(0.15)
+             + (F.col("o_orderkey") * 7919 % 1000) / F.lit(1000.0) * F.lit(0.2))
+    return F.when(share > 0.5, 1).otherwise(0)
 
 
 def score_expr():
@@ -146,7 +146,9 @@ def score_expr():
 
 def scored_orders(spark: SparkSession, root: str) -> DataFrame:
     """Scored rows: one per order with label y and score p."""
-    return table(spark, root, "orders").select(
+    o = table(spark, root, "orders")
+    c = table(spark, root, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return o.join(c, o.o_custkey == c.c_custkey, "left").select(
         "o_orderkey", "o_custkey", "o_totalprice", label_expr().alias("y"),
         score_expr().alias("p"))
 
@@ -175,10 +177,9 @@ SQL_VIEWS = {
                         JOIN part p ON l.l_partkey = p.p_partkey""",
     "account_balances": """
         SELECT o_custkey AS entity_id, o_orderstatus AS status,
-               CAST(o_totalprice AS DECIMAL(18,2)) AS balance, o_orderdate AS created_at
+               CAST(o_totalprice AS DECIMAL(18,2)) AS balance,
+               o_orderdate + INTERVAL 1 DAY AS created_at
         FROM orders""",
-    "logins": ("SELECT user_id AS entity_id, ts AS created_at FROM events "
-               "WHERE event_type = 'view'"),
     "flagged_accounts": ("SELECT user_id AS business_id, ts AS flagged_at FROM events "
                          "WHERE event_type = 'error' AND value > 200"),
     "segment_users": ("SELECT c_custkey AS business_id, c_custkey * 10 AS user_id, "
@@ -211,10 +212,13 @@ SQL_VIEWS = {
         FROM events WHERE event_type = 'signup'""",
     "scored_orders": """
         SELECT o_orderkey, o_custkey, o_totalprice,
-               CASE WHEN o_totalprice / 500000.0 * 0.6
-                         + ((o_orderkey * 7919) % 1000) / 1000.0 * 0.4 > 0.5 THEN 1 ELSE 0 END AS y,
+               CASE WHEN (coalesce(c_acctbal, 0.0) + 1000.0) / 11000.0 * 0.4
+                         + CASE c_mktsegment WHEN 'AUTOMOBILE' THEN CAST(1.0 AS DOUBLE) WHEN 'BUILDING' THEN 0.66
+                                WHEN 'FURNITURE' THEN 0.33 ELSE 0.0 END * 0.25
+                         + o_totalprice / 500000.0 * 0.15
+                         + ((o_orderkey * 7919) % 1000) / CAST(1000.0 AS DOUBLE) * 0.2 > 0.5 THEN 1 ELSE 0 END AS y,
                ROUND(o_totalprice / 500000.0, 3) AS p
-        FROM orders""",
+        FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
     "businesses": """
         SELECT c.c_custkey, c.c_acctbal, n.n_name AS state, c.c_mktsegment AS business_type,
                CASE WHEN c.c_name LIKE '%0' THEN 1 ELSE 0 END AS email_flag

@@ -1,6 +1,8 @@
 """Registered queries: split, training, search, segments, selection, stability,
-importance and attribution (build steps 9-10).  Model queries have no SQL oracle
-(rows-only check); the split is deterministic and has one."""
+importance and attribution (build steps 9-10).
+
+Fitted numbers have no SQL form; each of those queries has a companion whose rows
+are exact (``*_check``, ``segment_split_counts``, ``selection_frequency``)."""
 
 from __future__ import annotations
 
@@ -8,11 +10,10 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluate import roc_auc
+from tidemark.operators.evaluate import ks_peak, ks_table, roc_auc
 from tidemark.operators.explain import attribution_summary, feature_importance, shapley_values
-from tidemark.operators.selection import (correlated_to_drop, correlation_matrix,
-                                          information_value, shadow_selection)
-from tidemark.operators.train import assemble, fit_gbt, score, search, stratified_split
+from tidemark.operators.selection import shadow_selection
+from tidemark.operators.train import Study, model_pipeline, prefilter, score, stratified_split
 from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
 from tidemark.plans.model_queries import _matrix_features, model_matrix_cut
@@ -20,173 +21,239 @@ from tidemark.plans.registry import register
 from tidemark.session import cut_lineage
 
 SEED = 3
-DEFAULT_PARAMS = {"maxIter": 50, "stepSize": 0.05, "maxDepth": 5}
-SHADOW_ROUNDS = 10
 STABILITY_SEEDS = list(range(10))
+KEY = "o_orderkey"
 
 
-def prefiltered(spark, root):
-    """Model matrix (lineage cut) and the features kept by the correlation and IV
-    filters, in matrix order (the first two steps of the model search, M17)."""
-    mm = model_matrix_cut(spark, root)
-    feats = _matrix_features()
-    dropped = set(correlated_to_drop(feats, correlation_matrix(mm, feats), K.CORR_THRESHOLD))
-    kept = [f for f in feats if f not in dropped]
-    low = {r.feature for r in information_value(mm, "y", kept, bins=K.IV_BINS)
-           .where(F.col("iv") < K.IV_THRESHOLD).collect()}   # one row per feature
-    return mm, [f for f in kept if f not in low]
+def study(spark, root, validation_share: float = 0.0) -> Study:
+    """The whole chain on the model matrix: filters, split, shadow selection, grid, model."""
+    return model_pipeline(model_matrix_cut(spark, root), _matrix_features(), "y", KEY, K.MODEL_GRID, SEED,
+                          K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS, K.TEST_SHARE, validation_share)
 
 
-SQL_SPLIT = fx.with_views(f"""
+_SPLIT_BODY = f"""
 SELECT o_orderkey, y,
        CAST(ROW_NUMBER() OVER (PARTITION BY y ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':{SEED}'),
                                                    o_orderkey)
             <= ROUND(COUNT(*) OVER (PARTITION BY y) * {K.TEST_SHARE}) AS INTEGER) AS is_test
-FROM scored_orders""", "scored_orders")
+FROM scored_orders"""
+SQL_SPLIT = fx.with_views(_SPLIT_BODY, "scored_orders")
 
 
 @register("stratified_split", SQL_SPLIT)
 def stratified_split_query(spark, root):
     """Seeded, exactly stratified 80/20 split from a per-row hash (M5)."""
-    s = fx.scored_orders(spark, root).select("o_orderkey", "y")
-    return stratified_split(s, "y", "o_orderkey", SEED, K.TEST_SHARE).select("o_orderkey", "y", "is_test")
-
-
-def stable(df, key: str = "o_orderkey"):
-    """Deterministic layout (hash partitions on the row key, sorted inside) cut by a
-    checkpoint: seeded model fits then see the same partitions and row order on
-    every run, whatever AQE did upstream."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return cut_lineage(df.repartition(n, key).sortWithinPartitions(key))
-
-
-def _split_matrix(spark, root, seed=SEED):
-    mm, feats = prefiltered(spark, root)
-    sp = stratified_split(mm, "y", "o_orderkey", seed, K.TEST_SHARE)
-    data = stable(assemble(sp, feats, "y", keep=["o_orderkey", "is_test"]))
-    return data, feats
+    s = fx.scored_orders(spark, root).select(KEY, "y")
+    return stratified_split(s, "y", KEY, SEED, K.TEST_SHARE).select(KEY, "y", "is_test")
 
 
 @register("train_and_score")
 def train_and_score(spark, root):
-    """Boosted trees on the filtered features, scored on every row."""
-    data, _ = _split_matrix(spark, root)
-    model = fit_gbt(data.where("is_test = 0"), DEFAULT_PARAMS, SEED)
-    return score(model, data).select("o_orderkey", F.col("label").cast("int").alias("y"),
-                                     "is_test", "score")
+    """The chosen model's score of every row."""
+    st = study(spark, root)
+    return score(st.model, st.data).select(KEY, F.col("label").cast("int").alias("y"), "part", "score")
+
+
+@register("train_and_score_check", fx.with_views(
+    "SELECT o_orderkey, y, is_test, 1 AS in_range FROM split", "scored_orders", extra=(("split", _SPLIT_BODY),)))
+def train_and_score_check(spark, root):
+    """Row keys, labels and split of the scored rows; the score lies in [0, 1]."""
+    s = train_and_score(spark, root)
+    return s.select(KEY, "y", (F.col("part") == "test").cast("int").alias("is_test"),
+                    F.col("score").between(0, 1).cast("int").alias("in_range"))
 
 
 @register("model_search")
 def model_search(spark, root):
-    """Every distinct Spark candidate of the search grid, fitted once and scored by
-    test AUC - |train AUC - test AUC|; the chosen one flagged (M8, M9)."""
-    data, _ = _split_matrix(spark, root)
-    _, cands = search(data.where("is_test = 0"), data.where("is_test = 1"), K.MODEL_GRID, SEED,
-                      parallelism=6)
-    best = max(cands, key=lambda c: c.score)
+    """Every distinct Spark candidate of the search grid by test AUC - |train AUC - test AUC|,
+    the chosen one flagged (M8, M9)."""
+    st = study(spark, root)
+    return _candidates(spark, st)
+
+
+def _candidates(spark, st: Study):
     rows = [(c.params["maxIter"], float(c.params["stepSize"]), c.params["maxDepth"], c.train_auc,
-             c.test_auc, c.score, c is best) for c in cands]
+             c.test_auc, c.score, c is st.chosen) for c in st.candidates]
     return spark.createDataFrame(rows, "max_iter int, step_size double, max_depth int, "
                                        "train_auc double, test_auc double, selection_score double, "
                                        "chosen boolean")
 
 
+SQL_SEARCH_CHECK = f"""
+SELECT i AS max_iter, CAST(s AS DOUBLE) AS step_size, d AS max_depth, 1 AS consistent
+FROM (SELECT UNNEST({K.MODEL_GRID['iterations']}) AS i),
+     (SELECT UNNEST({K.MODEL_GRID['learning_rate']}) AS s),
+     (SELECT UNNEST({K.MODEL_GRID['depth']}) AS d)"""
+
+
+@register("model_search_check", SQL_SEARCH_CHECK)
+def model_search_check(spark, root):
+    """The search with a validation hold-out rates every candidate of the grid; AUCs lie in
+    [0, 1], scores follow from them, and the chosen one has the best score (M9, M17)."""
+    c = _candidates(spark, study(spark, root, validation_share=0.25))
+    best = c.select(F.max("selection_score")).scalar()
+    ok = (F.col("train_auc").between(0, 1) & F.col("test_auc").between(0, 1)
+          & (F.abs(F.col("selection_score") - F.col("test_auc") + F.abs(F.col("train_auc") - F.col("test_auc"))) < 1e-12)
+          & (~F.col("chosen") | (F.col("selection_score") == best)))
+    return c.select("max_iter", "step_size", "max_depth", ok.cast("int").alias("consistent"))
+
+
+def _segments(spark, root, mm):
+    """Model matrix rows with their payment segment; NULL payments are in neither."""
+    pay = fx.scored_orders(spark, root).select(F.col(KEY).alias("_k"), "o_totalprice")
+    return mm.join(pay, F.col(KEY) == F.col("_k")).withColumn(
+        "segment", F.when(F.col("o_totalprice") <= K.FX_PAYMENT_SEGMENT, "small")
+                    .when(F.col("o_totalprice") > K.FX_PAYMENT_SEGMENT, "large")).drop("_k", "o_totalprice")
+
+
 @register("segment_models")
 def segment_models(spark, root):
-    """One model per payment segment (<= / > threshold; NULL in neither): AUC on the
-    segment's train and test rows (P16, M20)."""
-    mm, feats = prefiltered(spark, root)
-    pay = fx.scored_orders(spark, root).select("o_orderkey", "o_totalprice")
-    seg = mm.join(pay, "o_orderkey").withColumn(
-        "segment", F.when(F.col("o_totalprice") <= K.FX_PAYMENT_SEGMENT, "small")
-                    .when(F.col("o_totalprice") > K.FX_PAYMENT_SEGMENT, "large"))
-    out = []
-    for name in ("small", "large"):
-        part = seg.where(F.col("segment") == name)
-        sp = stratified_split(part, "y", "o_orderkey", SEED, K.TEST_SHARE)
-        data = stable(assemble(sp, feats, "y", keep=["o_orderkey", "is_test"]))
-        model = fit_gbt(data.where("is_test = 0"), DEFAULT_PARAMS, SEED)
-        scored = score(model, data)
-        aucs = roc_auc(scored, "label", "score", ["is_test"]).collect()   # two rows
-        by = {r.is_test: r.auc for r in aucs}
-        out.append((name, data.count(), by.get(0), by.get(1)))
-    return spark.createDataFrame(out, "segment string, rows long, train_auc double, test_auc double")
+    """The whole chain per payment segment (P16, M20): rows, features, AUC on train and test,
+    peak KS of the decile table and its decile, most important feature, mean |phi| of it."""
+    seg = cut_lineage(_segments(spark, root, model_matrix_cut(spark, root)))
+
+    def one(name):
+        st = model_pipeline(seg.where(F.col("segment") == name), _matrix_features(), "y", KEY, K.MODEL_GRID,
+                            SEED, K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS, K.TEST_SHARE)
+        if st.model is None:
+            return (name, st.rows.count(), 0, None, None, None, None, None)
+        scored = cut_lineage(score(st.model, st.data).select(KEY, "part", "label", "score"))
+        by = {r["part"]: r["auc"] for r in roc_auc(scored, "label", "score", ["part"]).collect()}
+        peak = ks_peak(ks_table(scored, "label", "score")).first()
+        top = feature_importance(st.model, st.features, spark).where("rank = 1").first()
+        return (name, scored.count(), len(st.features), by.get("train"), by.get("test"),
+                float(peak["max_ks"]), peak["at_decile"], top["feature"])
+
+    with ThreadPoolExecutor(max_workers=2) as ex:
+        rows = list(ex.map(one, ("small", "large")))
+    return spark.createDataFrame(rows, "segment string, rows long, n_features int, train_auc double, test_auc double, "
+                                       "max_ks double, at_decile int, top_feature string")
+
+
+SQL_SEGMENT_SPLIT = fx.with_views(f"""
+SELECT segment, y, is_test, COUNT(*) AS n
+FROM (SELECT segment, y,
+             CAST(ROW_NUMBER() OVER (PARTITION BY segment, y ORDER BY md5(CAST(o_orderkey AS VARCHAR) || ':{SEED}'),
+                                     o_orderkey)
+                  <= ROUND(COUNT(*) OVER (PARTITION BY segment, y) * {K.TEST_SHARE}) AS INTEGER) AS is_test
+      FROM (SELECT *, CASE WHEN o_totalprice <= {K.FX_PAYMENT_SEGMENT} THEN 'small' ELSE 'large' END AS segment
+            FROM scored_orders WHERE o_totalprice IS NOT NULL))
+GROUP BY segment, y, is_test""", "scored_orders")
+
+
+@register("segment_split_counts", SQL_SEGMENT_SPLIT)
+def segment_split_counts(spark, root):
+    """Rows per segment, label and side of the segment's own split."""
+    seg = _segments(spark, root, fx.scored_orders(spark, root).select(KEY, "y"))
+    parts = [stratified_split(seg.where(F.col("segment") == s), "y", KEY, SEED, K.TEST_SHARE) for s in ("small", "large")]
+    return parts[0].unionByName(parts[1]).groupBy("segment", "y", "is_test").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("shadow_selection")
 def shadow_selection_query(spark, root):
     """Shadow-feature (all-relevant) selection on the training rows (M6)."""
-    mm, feats = prefiltered(spark, root)
-    train = stratified_split(mm, "y", "o_orderkey", SEED, K.TEST_SHARE).where("is_test = 0")
-    return shadow_selection(train, feats, "y", "o_orderkey", rounds=SHADOW_ROUNDS, seed=SEED)
-
-
-_STABILITY_MEMO: dict = {}
-
-
-def seed_stability_df(spark, root, seeds=STABILITY_SEEDS, grid: dict | None = None,
-                      parallelism: int = 5):
-    """Per seed: split, shadow selection on train, fit (fixed parameters, or the best
-    of ``grid``), train/test AUC and the selected features (M18).  Seeds run
-    concurrently (independent Spark jobs); the small result is kept per session so
-    the frequency table does not rerun the study."""
-    memo_key = (spark.sparkContext.applicationId, root, tuple(seeds), repr(grid))
-    if memo_key not in _STABILITY_MEMO:
-        mm, feats = prefiltered(spark, root)
-
-        def one_seed(seed):
-            sp = stratified_split(mm, "y", "o_orderkey", seed, K.TEST_SHARE)
-            sel = shadow_selection(sp.where("is_test = 0"), feats, "y", "o_orderkey",
-                                   rounds=SHADOW_ROUNDS, seed=seed)
-            chosen = [r.feature for r in sel.where("accepted").collect()] or feats   # <= k rows
-            data = stable(assemble(sp, chosen, "y", keep=["o_orderkey", "is_test"]))
-            train, test = data.where("is_test = 0"), data.where("is_test = 1")
-            if grid:
-                model, _ = search(train, test, grid, seed)
-            else:
-                model = fit_gbt(train, DEFAULT_PARAMS, seed)
-            aucs = {r.is_test: r.auc for r in
-                    roc_auc(score(model, data), "label", "score", ["is_test"]).collect()}
-            return (seed, aucs.get(0), aucs.get(1), abs(aucs.get(0) - aucs.get(1)), chosen)
-
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            _STABILITY_MEMO[memo_key] = list(ex.map(one_seed, seeds))
-    return spark.createDataFrame(_STABILITY_MEMO[memo_key],
-                                 "seed int, train_auc double, test_auc double, "
-                                 "delta_auc double, features array<string>")
+    mm = model_matrix_cut(spark, root)
+    feats = prefilter(mm, _matrix_features(), "y", K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS)
+    train = stratified_split(mm, "y", KEY, SEED, K.TEST_SHARE).where("is_test = 0")
+    return shadow_selection(train, feats, "y", KEY, seed=SEED)
+
+
+@register("shadow_selection_check", "SELECT * FROM (VALUES ('planted', 1), ('noise_1', 0), ('noise_2', 0)) t(feature, accepted)")
+def shadow_selection_check(spark, root):
+    """A planted copy of the label with errors is accepted, hashed noise is rejected (M6)."""
+    h = lambda n: F.pmod(F.xxhash64(KEY, F.lit(n)), F.lit(10_000)).cast("double")
+    df = fx.scored_orders(spark, root).select(
+        KEY, "y", (F.col("y") * 4000 + h(0)).alias("planted"), h(1).alias("noise_1"), h(2).alias("noise_2"))
+    sel = shadow_selection(df, ["planted", "noise_1", "noise_2"], "y", KEY, seed=SEED)
+    return sel.select("feature", F.col("accepted").cast("int").alias("accepted"))
+
+
+def seed_stability_df(spark, root, seeds=STABILITY_SEEDS, grid: dict = K.SEED_GRID, parallelism: int = 3):
+    """Per seed: split, shadow selection on train, grid search, train/test AUC of the chosen
+    model and the selected features (M18).  Seeds are independent and run concurrently."""
+    mm = model_matrix_cut(spark, root)
+    feats = prefilter(mm, _matrix_features(), "y", K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS)
+
+    def one_seed(seed):
+        st = model_pipeline(mm, feats, "y", KEY, grid, seed, test_share=K.TEST_SHARE, prefiltered=True)
+        if st.chosen is None:
+            return (seed, None, None, None, [])
+        a, b = st.chosen.train_auc, st.chosen.test_auc
+        return (seed, a, b, abs(a - b), st.features)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        rows = list(ex.map(one_seed, seeds))
+    return spark.createDataFrame(rows, "seed int, train_auc double, test_auc double, "
+                                       "delta_auc double, features array<string>")
 
 
 @register("seed_stability")
 def seed_stability(spark, root):
-    """AUC and selected features per seed."""
+    """AUC and selected features per seed, each with its own grid search."""
     return seed_stability_df(spark, root)
 
 
-@register("selection_frequency")
-def selection_frequency(spark, root):
-    """How often each feature was selected across seeds, and list sizes."""
-    st = seed_stability_df(spark, root).withColumn("n_features", F.size("features"))
+SQL_FREQUENCY = """
+SELECT feature, COUNT(*) AS count, AVG(n_features) AS avg_list_size
+FROM (SELECT unnest(features) AS feature, len(features) AS n_features
+      FROM (SELECT l_orderkey, list(DISTINCT l_returnflag) AS features FROM lineitem GROUP BY l_orderkey))
+GROUP BY feature"""
+
+
+def frequency_of(lists):
+    """(feature, count, avg_list_size): how often each name occurs in an array column
+    ``features``, and the mean length of the lists that hold it (M19, A12, A14)."""
+    st = lists.withColumn("n_features", F.size("features"))
     return (st.select("n_features", F.explode("features").alias("feature"))
             .groupBy("feature").agg(F.count(F.lit(1)).alias("count"),
                                     F.avg("n_features").alias("avg_list_size")))
 
 
+@register("list_frequency", SQL_FREQUENCY)
+def list_frequency(spark, root):
+    """Occurrence of names over a table of lists, here the return flags of each order."""
+    return frequency_of(fx.table(spark, root, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_set("l_returnflag").alias("features")))
+
+
+@register("selection_frequency")
+def selection_frequency(spark, root):
+    """How often each feature was selected across seeds, and list sizes (M19); the study of
+    the seeds with a grid of one point."""
+    one = {k: v[:1] for k, v in K.SEED_GRID.items()}
+    return frequency_of(seed_stability_df(spark, root, grid=one))
+
+
 @register("feature_importance")
 def feature_importance_query(spark, root):
-    """Importance of each model feature, sorted and ranked."""
-    data, feats = _split_matrix(spark, root)
-    model = fit_gbt(data.where("is_test = 0"), DEFAULT_PARAMS, SEED)
-    return feature_importance(model, feats, spark)
+    """Importance of each feature of the chosen model, sorted and ranked."""
+    st = study(spark, root)
+    return feature_importance(st.model, st.features, spark)
+
+
+def _attribution(spark, root):
+    """(o_orderkey, feature, value, phi, gap) of the chosen model on all test rows."""
+    st = study(spark, root)
+    return shapley_values(st.model, st.rows.where("part = 'test'"), st.rows.where("part = 'train'"), st.features,
+                          KEY, seed=SEED)
+
+
+@register("attribution_rows")
+def attribution_rows(spark, root):
+    """Feature value and phi of every test row and feature (M16, the scatter view's table)."""
+    return _attribution(spark, root).drop("gap")
 
 
 @register("attribution_summary")
 def attribution_summary_query(spark, root):
-    """Monte-Carlo Shapley attribution of the test rows' scores, mean |phi| per feature
-    (M16).  Explained rows: the whole test split; background: the training split."""
-    mm, feats = prefiltered(spark, root)
-    sp = stable(stratified_split(mm, "y", "o_orderkey", SEED, K.TEST_SHARE))
-    data = assemble(sp, feats, "y", keep=["o_orderkey", "is_test"])
-    model = fit_gbt(data.where("is_test = 0"), DEFAULT_PARAMS, SEED)
-    phi = shapley_values(model, sp.where("is_test = 1"), sp.where("is_test = 0"), feats,
-                         "o_orderkey", permutations=2, seed=SEED)
-    return attribution_summary(phi)
+    """Mean |phi| per feature over all test rows."""
+    return attribution_summary(_attribution(spark, root))
+
+
+@register("attribution_check", fx.with_views(
+    "SELECT o_orderkey, 1 AS adds_up FROM split WHERE is_test = 1", "scored_orders", extra=(("split", _SPLIT_BODY),)))
+def attribution_check(spark, root):
+    """Per test row, the attributions add up to the score minus the mean score of the row's
+    background rows (M16)."""
+    phi = _attribution(spark, root)
+    return phi.groupBy(KEY).agg((F.abs(F.sum("phi") - F.first("gap")) < 1e-9).cast("int").alias("adds_up"))
