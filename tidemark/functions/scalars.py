@@ -106,6 +106,12 @@ def round_doubles(df: DataFrame, digits: int, columns: Iterable[str] | None = No
                        for c in df.columns])
 
 
+def percent_text(col: Column | str, digits: int = 2) -> Column:
+    """A share as percent text, ``0.1234`` -> ``12.34%`` (F17); NULL stays NULL."""
+    c = _c(col).cast("double")
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f%%", c * 100))
+
+
 def replace_value(df: DataFrame, col: str, old, new) -> DataFrame:
     """Replace one value in a column (F14).  As in the source, a numeric ``old`` never
     matches a text column (no implicit cast), so the call is then a no-op."""

@@ -32,11 +32,14 @@ def _order_struct(cols: Sequence[str | Column], nulls_first_desc: bool) -> Colum
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   nulls_first_desc: bool = True) -> DataFrame:
-    """``row_number() over (partition by keys order by order DESC) = 1``.
+                   nulls_first_desc: bool = True, as_of=None) -> DataFrame:
+    """``row_number() over (partition by keys order by order DESC) = 1``.
 
+    ``as_of``: only rows whose first order column is at or before this instant count.
     Computed as ``max_by`` in an aggregate, so a hot key is reduced map-side.  Ties
     on ``order`` are broken by the remaining columns (deterministic)."""
+    if as_of is not None:
+        df = df.where(F.col(order[0]) <= F.lit(as_of).cast(df.schema[order[0]].dataType))
     rest = [c for c in df.columns if c not in keys]
     tie = [c for c in rest if c not in order]
     o = _order_struct(list(order) + tie, nulls_first_desc)

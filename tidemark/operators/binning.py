@@ -50,7 +50,7 @@ def equal_width_edges(lo: float, hi: float, bins: int) -> list[float]:
         pad = 0.001 * abs(lo) if lo else 0.001
         lo, hi = lo - pad, hi + pad
         return [lo + (hi - lo) * i / bins for i in range(bins + 1)]
-    edges = [lo + (hi - lo) * i / bins for i in range(bins + 1)]
+    edges = [lo + (hi - lo) * i / bins for i in range(bins)] + [hi]
     edges[0] -= 0.001 * (hi - lo)
     return edges
 

@@ -81,3 +81,8 @@ FX_LABEL_TO = "1999-01-01"
 FX_LABEL_ENTITY_PRICE = 300000
 FX_BUSINESS_TYPE_ORDER = {"AUTOMOBILE": 1, "BUILDING": 2, "FURNITURE": 3, "HOUSEHOLD": 4}
 FX_PAYMENT_SEGMENT = 250000.0
+FX_PROFILE_AS_OF = "2024-01-15 12:00:00"
+FX_PART_INCLUDE = ["%ring%", "%GEAR%", "cold %", "%anvil", "%w_dget%", "hot%plate", "%l%rg%bolt%", "red%"]
+FX_PART_EXCLUDE = ["%small%", "old%gear%", "%bl_e rod%", "%new%pl%te%", "%gizmo%"]
+FX_PART_SIGNALS = ["gear", "cold", "anvil", "new", "widget", "hot", "red", "rod", "old", "bolt", "large", "plate",
+                   "blue", "ring", "gizmo", "small"]

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, cut_lineage, drop_path
 from tidemark.sources import (append_table, copy_column, keep_columns, lower_columns, read_csv,
                               overwrite_partitions)
 from tidemark.plans import constants as K
@@ -25,6 +25,13 @@ def scratch_path(spark, name: str) -> str:
     return f"{base}/tidemark-io/{name}-{uuid.uuid4().hex}"
 
 
+def read_once(back, path: str):
+    """What was read back from a scratch path, which is removed."""
+    kept = cut_lineage(back)
+    drop_path(back.sparkSession, path)
+    return kept
+
+
 CSV_SCHEMA = ("BUSINESS_ID long, TRANSACTION_ID long, AMOUNT double, TYPE string, "
               "DESCRIPTION string, TRANSACTION_DATE string, PREDICTED_TARGET string")
 
@@ -56,8 +63,8 @@ def csv_roundtrip(spark, root):
     back = lower_columns(read_csv(spark, path, CSV_SCHEMA, ("TRANSACTION_DATE",),
                                   "yyyy-MM-dd HH:mm:ss"))
     back = copy_column(back, "predicted_target", "txn_category").withColumnRenamed("type", "txn_type")
-    return keep_columns(back, ["business_id", "transaction_id", "amount", "txn_type", "description",
-                               "transaction_date", "txn_category"])
+    return read_once(keep_columns(back, ["business_id", "transaction_id", "amount", "txn_type", "description",
+                                         "transaction_date", "txn_category"]), path)
 
 
 SQL_APPEND = SQL_LOGIN_BASE.replace(
@@ -74,8 +81,8 @@ def append_table_query(spark, root):
     overwrite_partitions(lb, path, ["login_date"])
     overwrite_partitions(lb, path, ["login_date"])      # re-run: no duplicates
     back = spark.read.parquet(path)
-    return back.select("business_id", "external_user_id", "created_at",
-                       F.col("login_date").cast("date").alias("login_date"))
+    return read_once(back.select("business_id", "external_user_id", "created_at",
+                                 F.col("login_date").cast("date").alias("login_date")), path)
 
 
 __all__ = ["append_table", "csv_roundtrip", "append_table_query"]
