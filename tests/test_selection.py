@@ -109,3 +109,10 @@ def test_equal_width_edges_match_cut():
     for x in ([0.0, 10.0, 3.0], [-5.0, 5.0, 1.0], [2.0, 2.0, 2.0]):
         _, ref = pd.cut(pd.Series(x), 4, retbins=True)
         assert equal_width_edges(min(x), max(x), 4) == pytest.approx(list(ref))
+
+
+def test_cumsum_with_a_null_group(spark):
+    rows = [(None if i % 2 else "a", i, 1) for i in range(400)]
+    c = global_cumsum(spark.createDataFrame(rows, "g string, v int, one int"), ["v"], ["one"], ["g"], num_partitions=7)
+    for g in (None, "a"):
+        assert [r.cum_one for r in sorted((r for r in c.collect() if r.g == g), key=lambda r: r.v)] == list(range(1, 201))

@@ -49,8 +49,13 @@ def global_cumsum(df: DataFrame, order: Sequence[str], sums: Sequence[str],
     w_in = (Window.partitionBy("_pid", *g).orderBy(*[F.col(c).asc_nulls_first() for c in o])
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = r.select("*", *[F.sum(c).over(w_in).alias(f"_in_{c}") for c in sums])
-    # offsets has one row per (partition, group): bounded by partitions x groups.
-    r = r.join(offsets, ["_pid", *g], "left")
+    # one row per (partition, group); a NULL group is a group like any other
+    offsets = offsets.select(F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_g_{c}") for c in g],
+                             *[f"_o_{c}" for c in sums])
+    same = F.col("_pid") == F.col("_opid")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    r = r.join(offsets, same, "left")
     return r.select(*df.columns, *[
         (F.col(f"_in_{c}") + F.coalesce(F.col(f"_o_{c}"), F.lit(0))).alias(f"{prefix}{c}")
         for c in sums])
