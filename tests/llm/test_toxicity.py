@@ -2,7 +2,7 @@ import random
 import zlib
 
 from tests.llm.helpers import docs_frame, random_text, vocabulary
-from tidemark.llm.toxicity import FEATURES, features, score_toxicity
+from tidemark.llm.toxicity import FEATURES, WordTable, features, score_toxicity
 
 
 def corpus(n=600):
@@ -50,7 +50,7 @@ def test_without_usable_labels(spark):
 
 
 def test_features():
-    f = dict(zip(FEATURES, features("YOU are an 1d10t!! you id.i.ot, sooo stupid", {}.get)))
+    f = dict(zip(FEATURES, features("YOU are an 1d10t!! you id.i.ot, sooo stupid", WordTable({}))))
     assert f["insults"] == 1 and f["near"] == 1 and f["undisguised"] == 2
     assert f["shout_rate"] > 0 and f["repeat_rate"] > 0 and f["stretched_rate"] > 0 and f["second_person_rate"] > 0
-    assert features("", {}.get)[:-1] == [0.0] * (len(FEATURES) - 1)
+    assert features("", WordTable({}))[:-1] == [0.0] * (len(FEATURES) - 1)

@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -45,61 +46,85 @@ FEATURES = ("insults", "insult_rate", "learned", "learned_rate", "strongest", "s
 NEAR = 5                                            # words between a hit and a second-person word
 
 _WORD = re.compile(r"[^\W_]+")
-_SHOUT = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{2,}\b")
-_INNER = re.compile(r"[^\W_](?:[\d@$*!.\-_|+]+[^\W\d_])+")
-_TOKEN = re.compile(r"\S*[^\W_](?:[\d@$*!.\-_|+]+[^\W\d_])+\S*")
+_SIGN = re.compile(r"(?<=[^\W_])[\d@$*!.\-_|+]+(?=[^\W\d_])")     # signs or digits inside a word
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
-_REPEAT = re.compile(r"([!?.*#$%&])\1")
+_EDGE = "!.,;:?\"'()*"
 _UNDO = str.maketrans("013457@$!|", "oieastasil", "*.-_+")
 
 
-def features(text: str, weight) -> list[float]:
-    """The dense features of one text; ``weight(word)``: its learned weight (0: none)."""
+def _bytes_in(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+_UPPER, _LETTER = _bytes_in(bytes(range(65, 91))), _bytes_in(bytes(range(65, 91)) + bytes(range(97, 123)))
+_PUNCT, _TWICE = _bytes_in(b"!?.,;:*#$%&"), _bytes_in(b"!?.*#$%&")
+
+
+class WordTable(dict):
+    """word -> 0 for an ordinary word, else (insult, second person, learned weight); the weight
+    is that of the word or of its first five or four letters.  Words are looked up once
+    and remembered, at most ``MOST`` of them."""
+    MOST = 500_000
+
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
+
+    def __missing__(self, w: str):
+        get = self.lexicon.get
+        weight = max(get("=" + w, 0.0), get("5" + w[:5], 0.0) if len(w) > 5 else 0.0,
+                     get("4" + w[:4], 0.0) if len(w) > 4 else 0.0)
+        insult, second = w in INSULTS, w in SECOND_PERSON
+        entry = (insult, second, weight) if insult or second or weight else 0
+        if len(self) >= self.MOST:
+            self.clear()
+        self[w] = entry
+        return entry
+
+
+def features(text: str, table: WordTable) -> list[float]:
+    """The dense features of one text."""
     low = text.lower()
     words = _WORD.findall(low)
     n, size = len(words) or 1, len(text) or 1
-    ins = [i for i, w in enumerate(words) if w in INSULTS]
-    hits, total, top = list(ins), 0.0, 0.0
-    learned = 0
-    for i, w in enumerate(words):
-        x = weight(w)
-        if x:
-            learned += 1
-            total += x
-            top = max(top, x)
-            hits.append(i)
-    you = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    marked = [(i, m) for i, w in enumerate(words) if (m := table[w])]
+    insults = [i for i, (bad, _, _) in marked if bad]
+    learned = [(i, x) for i, (_, _, x) in marked if x]
+    you = {i for i, (_, second, _) in marked if second}
     near = 0
-    if you and hits:
-        marks = set(you)
-        near = sum(any(j in marks for j in range(i - NEAR, i + NEAR + 1)) for i in set(hits))
-    tokens = _TOKEN.findall(low)
-    undone = 0
-    for t in tokens:
-        w = _STRETCH.sub(r"\1", t.strip("!.,;:?\"'()*").translate(_UNDO))
-        if w in INSULTS or weight(w):
+    if you:
+        hits = {*insults, *(i for i, _ in learned)}
+        near = sum(any(j in you for j in range(i - NEAR, i + NEAR + 1)) for i in hits)
+    signs = undone = 0
+    last = -1
+    for m in _SIGN.finditer(low):
+        signs += 1
+        if m.start() < last:
+            continue                                  # in the token just seen
+        a, b = m.start(), m.end()
+        while a > 0 and not low[a - 1].isspace() and m.start() - a < 64:
+            a -= 1
+        while b < len(low) and not low[b].isspace() and b - m.end() < 64:
+            b += 1
+        last = b
+        found = table[_STRETCH.sub(r"\1", low[a:b].strip(_EDGE).translate(_UNDO))]
+        if found and (found[0] or found[2]):
             undone += 1
-    upper = sum(map(str.isupper, text)) if low != text else 0
-    return [float(min(len(ins), 20)), len(ins) / n, float(min(learned, 50)), total / n, top, len(you) / n,
-            float(min(near, 20)), near / n, upper / size, len(_SHOUT.findall(text)) / n if upper else 0.0,
-            text.count("!") / size, sum(map(text.count, "!?.,;:*#$%&")) / size, len(_REPEAT.findall(text)) / n,
-            len(tokens) / n, len(_STRETCH.findall(low)) / n, float(min(undone, 20)), math.log1p(len(words))]
-
-
-def _weigher(lexicon: dict[str, float]):
-    """word -> weight of the word or of its first five or four letters, remembered for repeated words."""
-    known: dict[str, float] = {}
-
-    def weight(w: str) -> float:
-        x = known.get(w)
-        if x is None:
-            if len(known) > 500_000:
-                known.clear()
-            x = max(lexicon.get("=" + w, 0.0), lexicon.get("5" + w[:5], 0.0) if len(w) > 5 else 0.0,
-                    lexicon.get("4" + w[:4], 0.0) if len(w) > 4 else 0.0)
-            known[w] = x
-        return x
-    return weight
+    raw = np.frombuffer(text.encode(), np.uint8)
+    # capitals: ASCII and the two-byte letters of Western scripts
+    upper = _UPPER[raw]
+    capitals = int(upper.sum()) + int(((raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E)).sum())
+    shouts = int((upper[2:] & upper[1:-1] & ~upper[:-2]).sum()) + int(upper[:2].all() and len(raw) > 1)
+    same = raw[1:] == raw[:-1]
+    repeats = int((same & _TWICE[raw[1:]]).sum())
+    stretched = int((same[1:] & same[:-1] & _LETTER[raw[2:]]).sum())
+    return [float(min(len(insults), 20)), len(insults) / n, float(min(len(learned), 50)),
+            sum(x for _, x in learned) / n, max((x for _, x in learned), default=0.0), len(you) / n,
+            float(min(near, 20)), near / n, capitals / size, shouts / n, text.count("!") / size,
+            int(_PUNCT[raw].sum()) / size, repeats / n, signs / n, stretched / n, float(min(undone, 20)),
+            math.log1p(len(words))]
 
 
 def learn_lexicon(train: DataFrame, max_entries: int = 4000, min_docs: int = 8) -> dict[str, float]:
@@ -159,9 +184,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     lexicon = learn_lexicon(known.where("fold <> 1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = _weigher(lexicon)
+        words = WordTable(lexicon)
         for b in batches:
-            rows = [features(t or "", weight) for t in b.column(1).to_pylist()]
+            rows = [features(t or "", words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(rows, pa.list_(pa.float64())), *b.columns[2:]],
                 names=["id", "x", *b.schema.names[2:]])
