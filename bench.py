@@ -30,13 +30,28 @@ HEADLINE = [
     "univariate_profile",
     "roc_auc",
     "ks_deciles",
+    "event_feature_table",
+    "stratified_split",
+    "shadow_selection",
+    "model_search",
 ]
+# the same 16 trailing features one query at a time, to set against trailing_fused
+UNFUSED = "trailing_unfused"
+
+
+def unfused(spark, sf_dir):
+    """One query per trailing transaction feature, as the source runs them."""
+    from tidemark.operators.trailing import trailing_features
+    from tidemark.plans import fixtures as fx
+    from tidemark.plans.feature_queries import ORDER_ANCHOR, TXN, transaction_features
+    for f in transaction_features():
+        yield trailing_features(fx.order_anchors(spark, sf_dir), fx.transactions(spark, sf_dir), ORDER_ANCHOR, TXN, [f])
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    names = sys.argv[1:] or HEADLINE
+    names = sys.argv[1:] or [*HEADLINE, UNFUSED]
     from tidemark.plans.catalog import QUERIES
     from tidemark.session import build_session
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(cpus, 8), app="tidemark-bench")
@@ -47,7 +62,8 @@ def main() -> None:
     times = {}
     for n in names:
         t0 = time.perf_counter()
-        QUERIES[n](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        for df in unfused(spark, sf_dir) if n == UNFUSED else [QUERIES[n](spark, sf_dir)]:
+            df.write.format("noop").mode("overwrite").save()
         times[n] = round(time.perf_counter() - t0, 3)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),

@@ -7,7 +7,6 @@ functions  Column-level helpers (patterns, ratios, JSON fields, cut labels)
 operators  DataFrame operators (trailing windows, as-of lookups, sessions,
            binning, information value, evaluation, training, attribution)
 plans      fixture views over the test tables and the registered queries
-streaming  (nothing streaming is in scope; see its docstring)
 """
 
 from tidemark.session import build_session, checkpoint_dir

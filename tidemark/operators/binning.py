@@ -21,16 +21,9 @@ def quantile_probs(bins: int) -> list[float]:
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int = 10,
-                   groups: Sequence[str] = (), approx_accuracy: int | None = None) -> DataFrame:
-    """(groups, edges array<double>) with duplicate edges merged.
-
-    ``approx_accuracy`` switches to ``percentile_approx`` (one aggregate pass, bounded
-    memory per group) for very large inputs where exact ranks are not required."""
+                   groups: Sequence[str] = ()) -> DataFrame:
+    """(groups, edges array<double>) with duplicate edges merged."""
     probs = quantile_probs(bins)
-    if approx_accuracy:
-        e = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(
-            F.percentile_approx(F.col(value).cast("double"), probs, approx_accuracy).alias("_q"))
-        return e.select(*groups, F.array_sort(F.array_distinct("_q")).alias("edges"))
     q = exact_quantiles(df, value, probs, groups)
     # at most bins+1 values per group: collecting them per group is bounded.
     return q.groupBy(*groups).agg(

@@ -35,7 +35,3 @@ def model_matrix(df: DataFrame, label: str, drop: Sequence[str] = (),
              if f.name not in dropped and isinstance(f.dataType, T.NumericType)]
     return df.select(*keep, *[finite_or_zero(c).alias(c) for c in feats],
                      F.col(label).cast("int").alias(label))
-
-
-def feature_columns(matrix: DataFrame, label: str, keep: Sequence[str] = ()) -> list[str]:
-    return [c for c in matrix.columns if c != label and c not in set(keep)]

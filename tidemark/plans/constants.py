@@ -1,46 +1,14 @@
 """Fixed values that results depend on, stated once and in source order.
 
-The first group is the configuration of the original pipeline (pattern lists,
-category sets, signal names, grids, decile cut-offs).  The second group maps
+The first group is the configuration of the original pipeline (excluded events, grids,
+thresholds, decile cut-offs).  The second group maps
 those roles onto the driver test tables (FIXTURES.md), where the original
 string values do not occur.
 """
 
 # ---------------------------------------------------------------- fixed values
-# Platform-deposit description patterns (include any / exclude any), ILIKE syntax.
-DEPOSIT_INCLUDE_PATTERNS = [
-    "%AMAZON%", "%AMZN%", "%STRIPE%", "%SQUARE INC%", "%SHOPIFY%", "%SHOPPAY%",
-    "%AIRBNB%", "%ETSY%", "%EBAY%", "%BILL.COM%", "%INTUIT%", "%GUSTO%", "%WIX%",
-    "%WAVE%", "%UPWORK%", "%MELIO%", "%PATREON%", "%VRBO%", "%UNITEDHEALTHCARE%",
-    "%FAIRE%", "%VAGARO%", "%CIGNA%", "%AETNA%", "%WEPAY%", "%QUICKBOOKS%",
-]
-DEPOSIT_EXCLUDE_PATTERNS = [
-    "%LYFT%", "%OfferUp%", "%Gumroad%", "%FB%Fundrai%", "%Verify%", "%CASH%",
-    "%PAYROLL%", "%VRFY%", "%CAPITAL%", "%REFUND%",
-]
-# Transaction categories.
-LOAN_CATEGORY = "Loans & Interest"
-RECURRING_CREDIT_CATEGORIES = [
-    "Other Recurring", "Investment_earnings", "Rental_income", "Payroll",
-    "Payroll & Benefits", "Sales_revenue", "Service_revenue",
-]
-# Invoice statuses counted as usage; reserve status counted as balance.
-INVOICE_STATUSES = ["paid", "sent", "scheduled"]
-RESERVE_STATUS = "active"
 # Decision events excluded from the as-of limit lookup.
 EXCLUDED_DECISION_EVENTS = ["Lending Application Denied"]
-# Login-response signal names (flag = signals text ILIKE '%name%').
-LOGIN_SIGNALS = [
-    "new_device", "new_isp", "new_country", "carrier_ip_country_mismatch", "proxy_ip",
-    "multiple_accounts_per_device", "timezone_area_mismatch", "impossible_travel",
-    "bot_behavior", "Multiple SSNs per Device", "abuse_ip", "new_os",
-    "disposable_email_domain", "high_activity_device", "tor_ip", "datacenter_ip",
-]
-# Device-language flags (flag = languages ILIKE '%code%').
-LANGUAGE_FLAGS = {"is_english_user": "en", "is_spanish_user": "es", "is_african_user": "af"}
-RISKY_SESSION_SCORE = 0.6
-# Ordinal business-type encoding.
-BUSINESS_TYPE_ORDER = {"sole_proprietorship": 1, "partnership": 2, "llc": 3, "corporation": 4}
 # Open-ended date used for "no ATO date".
 FAR_FUTURE_DATE = "2099-12-31"
 # Model search grids.
@@ -57,7 +25,6 @@ DECILE_LABELS = ["d10", "d9", "d8", "d7", "d6", "d5", "d4", "d3", "d2", "d1"]
 CUTS_OVERALL = [0.097, 0.133, 0.173, 0.211, 0.250, 0.296, 0.344, 0.403, 0.480]
 CUTS_SMALL_PAYMENT = [0.124, 0.170, 0.215, 0.257, 0.309, 0.362, 0.428, 0.498, 0.600]
 CUTS_LARGE_PAYMENT = [0.044, 0.060, 0.075, 0.090, 0.109, 0.137, 0.184, 0.262, 0.434]
-PAYMENT_SEGMENT_CENTS = 100000
 PROFILE_PERCENTILES = [0.01, 0.05, 0.1, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.75, 0.8, 0.9,
                        0.95, 0.99, 1.0]
 

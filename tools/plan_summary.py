@@ -57,17 +57,25 @@ def main():
     from tidemark.session import build_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     names = sys.argv[2:] or ["trailing_sum_90d", "trailing_fused", "login_counts", "asof_latest",
-                             "feature_table", "roc_auc", "ks_deciles", "labelled_transactions"]
+                             "feature_table", "roc_auc", "ks_deciles", "labelled_transactions",
+                             "information_value", "univariate_profile", "correlation_pairs", "stratified_split",
+                             "event_feature_table"]
     spark = build_session()
     print(f"# Executed plans at {sf} (AQE final plans)\n")
-    print("| query | " + " | ".join(COUNTED) + " | scans: table(read columns) pushed filters |")
-    print("|" + " --- |" * (len(COUNTED) + 2))
+    print("| query | jobs | stages | tasks | " + " | ".join(COUNTED) + " | scans: table(read columns) pushed filters |")
+    print("|" + " --- |" * (len(COUNTED) + 5))
+    sc = spark.sparkContext
     for n in names:
+        sc.setJobGroup(n, n)                       # jobs run while the query is built count too
         df = QUERIES[n](spark, sf)
         df.write.format("noop").mode("overwrite").save()
+        tracker = sc.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup(n) for s in tracker.getJobInfo(j).stageIds]
+        tasks = sum(i.numTasks for i in map(tracker.getStageInfo, stages) if i)
+        all_jobs = f"{len(tracker.getJobIdsForGroup(n))} | {len(stages)} | {tasks}"
         acc = summarise(df)
         scans = "; ".join(f"{t}({c}) [{p}]" for t, c, p in acc["scans"])
-        print(f"| {n} | " + " | ".join(str(acc["nodes"].get(k, 0)) for k in COUNTED) + f" | {scans} |")
+        print(f"| {n} | {all_jobs} | " + " | ".join(str(acc["nodes"].get(k, 0)) for k in COUNTED) + f" | {scans} |")
 
 
 if __name__ == "__main__":
