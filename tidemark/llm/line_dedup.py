@@ -32,6 +32,15 @@ from tidemark.session import cut_lineage
 BLANK = " \t\r"
 
 
+def stripped(raw: Column) -> Column:
+    """A line without blanks at its ends; ``btrim`` measures whole strings, so only lines that
+    have some go through it."""
+    some = F.lit(False)
+    for c in BLANK:
+        some = some | raw.startswith(c) | raw.endswith(c)
+    return F.when(some, F.btrim(raw, F.lit(BLANK))).otherwise(raw)
+
+
 def places(edits: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(own, more): where the segments of an equal or shorter line can lie in a line, as
     (characters less, segment 1..edits + 1, shift of its position).  A line's own segments,
@@ -101,8 +110,8 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
     0, of the lines that go, ascending; ``kept`` (``with_text``): the other lines joined by \\n.
 
     A NULL text has no lines and stays NULL, an empty one has one empty line.  Rows
-    of one id are one document: a line number that holds a first occurrence in any
-    of its rows stays in all of them.  A row with a NULL id loses
+    of one id are one document: they share the removed numbers, which are those of lines
+    that repeat an earlier line in any of its rows.  A row with a NULL id loses
     nothing and removes nothing.  An empty table gives an empty one; extra columns are
     not read.
     """
@@ -112,18 +121,23 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
     def lines_of(texts: DataFrame) -> DataFrame:
         cut = texts.where("id is not null and text is not null").select(
             "id", F.posexplode_outer(F.split("text", "\n")).alias("no", "raw"))
-        return cut.select("id", "no", F.btrim("raw", F.lit(BLANK)).alias("line")).withColumn(
+        return cut.select("id", "no", stripped(F.col("raw")).alias("line")).withColumn(
             "n", F.char_length("line")).where(F.col("n") >= min_chars)
 
     lines = lines_of(src)
     line = F.col("line")
 
-    first = lines.groupBy(F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")).agg(
-        F.min(F.struct("id", "no")).alias("at"))
-    first = cut_lineage(first.select("at.id", "at.no", "h1", F.monotonically_increasing_id().alias("lid")))
-
-    keys = cut_lineage(with_keys(lines, max_edits, min_chars).select("id", "no", "keys").join(
-        first, ["id", "no"]).select("lid", "keys"))
+    # smallest line number in a document, then smallest document: aggregates of plain numbers
+    h1, h2 = F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")
+    first = lines.groupBy(h1, h2, "id").agg(F.min("no").alias("no")).groupBy("h1", "h2").agg(
+        F.min("id").alias("id"), F.min_by("no", "id").alias("no"))
+    first = cut_lineage(first.select("id", "no", "h1", F.monotonically_increasing_id().alias("lid")))
+
+    # the lines that are no first occurrence keep a NULL lid
+    every = cut_lineage(with_keys(lines, max_edits, min_chars).select("id", "no", "keys").join(
+        first.select("id", "no", "lid"), ["id", "no"], "left").select(
+        "id", "no", "lid", F.when(F.col("lid").isNotNull(), F.col("keys")).alias("keys")))
+    keys = every.where("lid is not null")
     index = keys.select("lid", F.explode_outer(F.slice("keys", 1, max_edits + 1)).alias("key"))
     probe = keys.select("lid", F.explode_outer("keys").alias("key")).where("key is not null")
     crowd = cut_lineage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key"))
@@ -147,21 +161,16 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
     close = pairs.join(side("a"), "a").join(side("b"), "b").where(within(F.col("line_a"), F.col("line_b"), max_edits))
     light = close.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("lid"))
     near = light.union(_crowded(met, found, max_edits, block)).distinct()
-    stay = first.join(near, "lid", "left_anti").groupBy("id").agg(F.collect_list("no").alias("stay"))
-    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(n_lines).cast("long")
-    # a judged line stays if it is the first of its text and near to no earlier one
-    parts = F.split("text", "\n")
-    judged = F.filter(F.transform(parts, lambda x, i: F.when(
-        F.char_length(F.btrim(x, F.lit(BLANK))) >= min_chars, i)), lambda i: i.isNotNull())
-    judged = F.when(F.col("id").isNotNull(), F.coalesce(judged, F.array().cast("array<int>"))).otherwise(
-        F.array().cast("array<int>"))
+    gone = every.where("lid is null").select("id", "no").union(keys.join(near, "lid", "left_semi").select("id", "no"))
+    gone = gone.groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("removed"))
+    n_lines = (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
+    n_lines = F.coalesce(n_lines, F.lit(0).cast("long"))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"),
                        *([F.struct("*").alias("row")] if carry else []))
-    base = base.select("id", n_lines.alias("n_lines"), judged.alias("judged"), *(["text"] if with_text else []),
+    base = base.select("id", n_lines.alias("n_lines"), *(["text"] if with_text else []),
                        *(["row"] if carry else []))
-    out = base.join(stay, "id", "left").withColumn(
-        "removed", F.array_sort(F.array_except("judged", F.coalesce("stay", F.array().cast("array<int>")))))
+    out = base.join(gone, "id", "left").withColumn(
+        "removed", F.coalesce("removed", F.array().cast("array<int>")))
     cols = [F.col("id").alias(id_col), "n_lines", "removed"]
     if with_text:
         left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
