@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20          # texts are hashed in chunks of about this size
+CHUNK_BYTES = 1 << 20          # texts are hashed in chunks of about this size; arrays take 8 bytes a byte
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
@@ -103,3 +104,15 @@ def as_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     return col.cast(pa.large_binary()).to_pylist()
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows of about ``limit`` bytes of text each (at least one
+    row), so that what is made of a run stays small however large a batch is."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = np.cumsum(sizes, dtype=np.int64) // limit
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
+            if hi > lo:
+                yield b.slice(lo, hi - lo)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import as_bytes, word_hashes
+from tidemark.llm._text import as_bytes, slices, word_hashes
 from tidemark.llm.fm_index import FMIndex
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32
@@ -173,7 +173,7 @@ def _search(phrases, shard_words: int, last: bool, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
         rows, carried, size, types = [], [], 0, {}
-        for b in batches:
+        for b in slices(batches, 1):
             types = {f.name: f.type for f in b.schema}
             ids, texts = b.column("id").to_pylist(), as_bytes(b.column("text"))
             spans, items = (b.column(c).to_pylist() if c in types else [[]] * len(ids) for c in ("spans", "items"))

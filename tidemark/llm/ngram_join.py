@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm._blocks import block_pairs
 from tidemark.llm._components import connected_components, local_components
-from tidemark.llm._text import as_bytes, chunks, gram_hashes, mix, normal_words, word_hashes
+from tidemark.llm._text import as_bytes, chunks, gram_hashes, mix, normal_words, slices, word_hashes
 from tidemark.session import cut_lineage
 
 
@@ -96,7 +96,7 @@ def _band_hashes(grams: np.ndarray, off: np.ndarray, bands: int, rows: int, seed
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
     """(id, n_words, digest, bands) per row of docs (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             ids, texts = b.column(0), as_bytes(b.column(1))
             for lo, hi in chunks([t or b"" for t in texts]):
                 normals = [normal_words(t) for t in texts[lo:hi]]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import as_bytes, chunks, normal_words, word_hashes
+from tidemark.llm._text import as_bytes, chunks, normal_words, slices, word_hashes
 
 
 _TRI = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -120,7 +120,7 @@ def grade_texts(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, xs, ys = [], [], []
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [t or b"" for t in as_bytes(b.column(1))]
             for lo, hi in chunks(texts, 1 << 20, 512):
                 xs.append(hashed_features(texts[lo:hi], dims))
@@ -143,7 +143,7 @@ def grade_texts(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
     kind = src.schema["id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             texts = [t or b"" for t in as_bytes(b.column(1))]
             for lo, hi in chunks(texts, 1 << 20, 512):
                 z = hashed_features(texts[lo:hi], dims) @ weights

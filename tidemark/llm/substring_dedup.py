@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import as_bytes, chunks, gram_hashes, n_words, normal_words, word_hashes
+from tidemark.llm._text import as_bytes, chunks, gram_hashes, n_words, normal_words, slices, word_hashes
 from tidemark.session import cut_lineage
 
 
@@ -62,7 +62,7 @@ def window_anchors(words: np.ndarray, off: np.ndarray, window: int, gram: int) -
 
 def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             ids, texts = b.column(0), [t or b"" for t in as_bytes(b.column(1))]
             for lo, hi in chunks(texts):
                 normals = [normal_words(t) for t in texts[lo:hi]]
@@ -88,7 +88,7 @@ def _tag(normal: bytes) -> int:
 def _windows(window: int, gram: int):
     """(id, text, seeds) -> (h, id, tag and start) of the windows whose anchor is a seed of the text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             ids, texts = b.column(0).to_numpy(), as_bytes(b.column(1))
             seeds, bounds = _lists(b.column(2))
             for lo, hi in chunks([t or b"" for t in texts]):
@@ -125,7 +125,7 @@ def covered(n: int, starts: np.ndarray, window: int) -> np.ndarray:
 def _cut(window: int, with_text: bool):
     """(id, text, starts) -> (id, digest of the whole, n_removed, kept_sha256, spans[, kept])."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 1):
             texts = as_bytes(b.column(1))
             vals, off = _lists(b.column(2))
             whole, gone, sha, spans, kept = [], [], [], [], []

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._text import slices
+
 _SAFE = re.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 
 
@@ -57,7 +59,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", id_col:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _encoder(vocabulary)
-        for b in batches:
+        for b in slices(batches, 1):
             texts = b.column(1).to_pylist()
             tokens, sizes = [0] * len(texts), [0] * len(texts)
             group, owner, held = [], [], 0

@@ -29,6 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm._text import slices
 from tidemark.session import cut_lineage
 
 INSULTS = frozenset(
@@ -66,7 +67,7 @@ class WordTable(dict):
     """word -> 0 for an ordinary word, else (insult, second person, learned weight); the weight
     is that of the word or of its first five or four letters.  Words are looked up once
     and remembered, at most ``MOST`` of them."""
-    MOST = 500_000
+    MOST = 200_000
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -134,15 +135,16 @@ def learn_lexicon(train: DataFrame, max_entries: int = 4000, min_docs: int = 8)
     strongest stay."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, label = [], []
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = set(_WORD.findall((t or "").lower()))
-                entries = {"=" + w for w in words} | {"5" + w[:5] for w in words if len(w) > 5}
-                entries |= {"4" + w[:4] for w in words if len(w) > 4}
-                out.extend(entries)
-                label.extend([y] * len(entries))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())],
-                                             names=["entry", "label"])
+            for at in range(0, b.num_rows, 100):             # entries of few texts at a time
+                out, label = [], []
+                for t, y in zip(b.column(0)[at:at + 100].to_pylist(), b.column(1)[at:at + 100].to_pylist()):
+                    words = set(_WORD.findall((t or "").lower()))
+                    entries = {"=" + w for w in words} | {"5" + w[:5] for w in words if len(w) > 5}
+                    entries |= {"4" + w[:4] for w in words if len(w) > 4}
+                    out.extend(entries)
+                    label.extend([y] * len(entries))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(label, pa.int32())],
+                                                 names=["entry", "label"])
 
     n = train.agg(F.sum(F.col("label").cast("long")), F.count(F.lit(1))).first()
     pos, neg = int(n[0] or 0), int((n[1] or 0) - (n[0] or 0))
@@ -185,7 +187,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(lexicon)
-        for b in batches:
+        for b in slices(batches, 1):
             rows = [features(t or "", words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(rows, pa.list_(pa.float64())), *b.columns[2:]],
