@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._io import table
+from tidemark.llm._io import table, text_batches
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
@@ -29,6 +29,7 @@ from tidemark.session import checkpoint_dir
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not predicted toxic, unchanged."""
+    text_batches(spark)
     scored = score_toxicity(docs, table(spark, sf_dir, "labels"), carry=True)
     return scored.where("predicted = 0").select("row.*")
 
@@ -48,6 +49,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies; repeated rows of one id and text become one.
     Documents without words and without id stay."""
+    text_batches(spark)
     fate = ngram_join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
     left = docs.join(fate.where("not kept").select("doc_id"), "doc_id", "left_anti")
     return left.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
@@ -55,6 +57,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which no window of a benchmark item occurs, unchanged."""
+    text_batches(spark)
     out = decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True)
     return out.where("not contaminated").select("row.*")
 

@@ -116,3 +116,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 << 20)
         for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+
+
+def carried(batches: Iterator[pa.RecordBatch], id_col: str, text_col: str) -> Iterator[pa.RecordBatch]:
+    """(id, text, ...) batches; of (row) batches, whose struct holds the whole input row, the id
+    and the text are taken out of it, so that a text travels once."""
+    for b in batches:
+        if b.schema.names[:1] == ["row"]:
+            row = b.column(0)
+            kind = row.type
+            parts = [row.field(kind.get_field_index(c)) for c in (id_col, text_col)]
+            b = pa.RecordBatch.from_arrays([*parts, *b.columns[1:], row], names=["id", "text", *b.schema.names[1:], "row"])
+        yield b

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import as_bytes, slices, word_hashes
+from tidemark.llm._text import as_bytes, carried, slices, word_hashes
 from tidemark.llm.fm_index import FMIndex
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32
@@ -130,9 +130,9 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(out)
 
 
-def _search(phrases, shard_words: int, last: bool, with_text: bool):
+def _search(phrases, shard_words: int, last: bool, with_text: bool, id_col: str, text_col: str):
     """One pass over (id, text[, row][, spans, items]): adds the spans and items of a block of phrases."""
-    def emit(rows: list, carried: list, types: dict, p: Phrases):
+    def emit(rows: list, held: list, types: dict, p: Phrases):
         normals = [folded(t) for _, t, _, _ in rows]
         count, starts, which = _find(normals, p, shard_words)
         spans, items, hits, cleaned = [], [], [], []
@@ -154,12 +154,11 @@ def _search(phrases, shard_words: int, last: bool, with_text: bool):
             if last and with_text:
                 cleaned.append(cut_words(t, ranges).decode() if ranges else None)
         cols, names = [pa.array([r[0] for r in rows], types["id"])], ["id"]
-        if not last:
+        if not last and not held:
             cols.append(pa.array([None if r[1] is None else r[1].decode() for r in rows], pa.string()))
             names.append("text")
-        if carried:
-            cols.append(pa.concat_arrays(carried))
-            names.append("row")
+        if held:
+            cols, names = [pa.concat_arrays(held)] + cols * last, ["row"] + names * last
         cols += [pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
         names += ["spans", "items"]
         if last:
@@ -172,8 +171,8 @@ def _search(phrases, shard_words: int, last: bool, with_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = phrases.value
-        rows, carried, size, types = [], [], 0, {}
-        for b in slices(batches, 1):
+        rows, held, size, types = [], [], 0, {}
+        for b in slices(carried(batches, id_col, text_col), 1):
             types = {f.name: f.type for f in b.schema}
             ids, texts = b.column("id").to_pylist(), as_bytes(b.column("text"))
             spans, items = (b.column(c).to_pylist() if c in types else [[]] * len(ids) for c in ("spans", "items"))
@@ -183,19 +182,20 @@ def _search(phrases, shard_words: int, last: bool, with_text: bool):
                 size += len(row[1] or b"")
                 if size >= 7 * shard_words or i == len(ids) - 1:
                     if "row" in types:
-                        carried.append(b.column("row")[begin:i + 1])
+                        held.append(b.column("row")[begin:i + 1])
                         begin = i + 1
                     if size >= 7 * shard_words:                 # about one shard of words
-                        yield emit(rows, carried, types, p)
-                        rows, carried, size = [], [], 0
+                        yield emit(rows, held, types, p)
+                        rows, held, size = [], [], 0
         if rows:
-            yield emit(rows, carried, types, p)
+            yield emit(rows, held, types, p)
+        pa.default_memory_pool().release_unused()
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id",
                   text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-                  shard_words: int = 1 << 20, block_words: int = 4_000_000, with_text: bool = False,
+                  shard_words: int = 1 << 19, block_words: int = 4_000_000, with_text: bool = False,
                   carry: bool = False) -> DataFrame:
     """(id, n_words, n_hit, spans, items, contaminated[, cleaned]), one row per row of ``docs``;
     with ``carry`` the whole input row comes along as the struct ``row``.
@@ -214,20 +214,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.regexp_count(F.col("text"), F.lit(r"[^\s]+")))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_words))
-    row = [F.struct("*").alias("row")] if carry else []
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *row)
-    kind = src.schema["id"].dataType.simpleString()
-    found = (f"row {src.schema['row'].dataType.simpleString()}, " if carry else "")
-    found += "spans array<struct<first:int,last:int>>, items array<string>"
+    if carry:
+        src = docs.select(F.struct("*").alias("row"))
+        kind, texts = docs.schema[id_col].dataType.simpleString(), f"row {src.schema['row'].dataType.simpleString()}, "
+    else:
+        src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        kind, texts = src.schema["id"].dataType.simpleString(), "text string, "
+    found = "spans array<struct<first:int,last:int>>, items array<string>"
     out = src
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # <= block_words
         p = phrases_of([("" if r["item"] is None else r["item"], (r["text"] or "").encode()) for r in part], window)
         last = k == blocks - 1
         tail = ", n_words long, n_hit long" + (", cleaned string" if with_text else "")
+        # passes hand on the texts, (id, text) or row; the last one hands on what was found
+        between = (texts if carry else f"id {kind}, {texts}") + found
+        end = (texts if carry else "") + f"id {kind}, " + found + tail
         out = out.mapInArrow(
-            _search(spark.sparkContext.broadcast(p), shard_words, last, with_text),
-            f"id {kind}, " + ("" if last else "text string, ") + found + (tail if last else ""))
+            _search(spark.sparkContext.broadcast(p), shard_words, last, with_text, id_col, text_col),
+            end if last else between)
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans",
                       F.array_remove("items", "").alias("items"),
                       (F.col("n_hit") > 0).alias("contaminated"), *(["cleaned"] if with_text else []),

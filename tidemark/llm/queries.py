@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._io import table
+from tidemark.llm._io import table, text_batches
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.embedding_dedup import embedding_near_dedup
 from tidemark.llm.html_text import extract_main_text
@@ -24,7 +25,11 @@ ORACLE: dict[str, str] = {}
 
 
 def _query(fn):
-    QUERIES[fn.__name__] = fn
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text_batches(spark)
+        return fn(spark, sf_dir)
+    QUERIES[fn.__name__] = run
     return fn
 
 

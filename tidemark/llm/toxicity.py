@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._text import slices
+from tidemark.llm._text import carried, slices
 from tidemark.session import cut_lineage
 
 INSULTS = frozenset(
@@ -187,16 +187,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTable(lexicon)
-        for b in slices(batches, 1):
+        for b in slices(carried(batches, id_col, text_col), 1):
             rows = [features(t or "", words) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(rows, pa.list_(pa.float64())), *b.columns[2:]],
                 names=["id", "x", *b.schema.names[2:]])
+        pa.default_memory_pool().release_unused()
 
     kind = src.schema["id"].dataType.simpleString()
     every, row, row_type = src, [], ""
     if carry:
-        every = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+        every = docs.select(F.struct("*").alias("row"))
         row, row_type = ["row"], ", row " + every.schema["row"].dataType.simpleString()
     fit = cut_lineage(known.select("id", "text").mapInArrow(run, f"id {kind}, x array<double>")
                       .join(known.select("id", "label", "fold"), "id")
@@ -206,6 +207,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     if len(kinds) < 2 or min(r["k"] for r in kinds) < 2:
         share = float(fit.agg(F.avg("label")).first()[0] or 0.0)
+        if carry:
+            every = every.select(F.col("row").getField(id_col).alias("id"), "row")
         scored = every.select("id", F.lit(share).alias("score"), *row)
     else:
         trees = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, maxBins=64).fit(
