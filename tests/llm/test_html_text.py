@@ -22,6 +22,29 @@ def test_density_finds_unmarked_content():
     assert got.startswith("Sentence 0") and got.count("\n") == 5 and "link" not in got
 
 
+def sentences(a, z, tag="p"):
+    return "".join(f"<{tag}>Sentence {i} of a longer text that goes on for quite a while, as texts do.</{tag}>" for i in range(a, z))
+
+
+def test_content_beside_the_best_container():
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(30)) + "</ul></div>"
+    for around in ("", menu):
+        page = (f"<body>{around}<div id=c><h1>T</h1><p>Intro</p><div>{sentences(0, 6)}</div><blockquote>A <i>quoted</i> line."
+                f"</blockquote>Loose <b>text</b> here.<p>End</p></div><h3>More</h3>{around}</body>")
+        got = main_text(page).split("\n")
+        assert got[:2] == ["T", "Intro"] and got[2].startswith("Sentence 0") and got[7].startswith("Sentence 5")
+        assert got[8:] == ["A quoted line.", "Loose text here.", "End"]
+
+
+def test_an_article_over_two_wrappers():
+    menu = "<div><ul>" + "".join(f"<li><a href=/{i}>link number {i}</a></li>" for i in range(30)) + "</ul></div>"
+    for around in ("", menu):
+        page = (f"<body>{around}<div><div>{sentences(0, 7)}</div></div><section><div>{sentences(7, 12)}</div></section>"
+                f"{around}</body>")
+        got = main_text(page).split("\n")
+        assert len(got) == 12 and all(x.startswith(f"Sentence {i} ") for i, x in enumerate(got))
+
+
 def test_tolerance():
     assert main_text(None) == main_text("") == main_text("<p") == main_text("<script>x") == ""
     assert main_text("plain &lt; text") == "plain < text"

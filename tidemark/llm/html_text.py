@@ -12,9 +12,13 @@
        C/T * log(C/LC * T/LT) / log(log(C/NLC * LC + LCb/Cb * C + e))
 
    and the sum of the densities of its children.  The subtree of the largest sum
-   is the text; one inside an article element (or a paragraph) is widened to it
-   (to its container).  The smallest density on the path from the body is the
-   threshold that sister elements of the same kind must reach to be added.
+   is the text; one inside a paragraph is widened to its container, one inside an
+   article or main element to that: there the tag overrides the density, and only
+   sisters of the same tag are added, if they reach the smallest density on the path
+   from the body.  Elsewhere every node beside that path is tested, of any tag: it is
+   added if at most half of its text is links and it is a paragraph, list, quotation
+   or the like, reaches that smallest density or has half the best node's unlinked
+   characters per tag; so is text directly in the path.  A heading goes with what follows it.
 4. Blocks are the runs of text between block-level tags.
 """
 
@@ -43,6 +47,9 @@ DROP = frozenset("head script style noscript template iframe object embed svg ma
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody "
                   "td tfoot th thead tr ul caption".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: text by their kind, whatever their density
+PROSE = frozenset("p blockquote pre ul ol dl figure table hgroup".split())
 #: a start tag of the key ends an open element of the values
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
@@ -207,8 +214,8 @@ class Page:
         while path > 0:                                       # smallest density on the way to the body
             path = parent[path]
             low = min(low, density[path])
-        while best > 0 and (tag[best] not in BLOCK or tag[best] in ("p", "li", "td", "th", "tr", "dd", "dt",
-                                                                    "h1", "h2", "h3", "h4", "h5", "h6")):
+        while best > 0 and (tag[best] not in BLOCK or tag[best] in HEADING or tag[best] in ("p", "li", "td", "th", "tr",
+                                                                                            "dd", "dt")):
             best = parent[best]
         up = best
         while up > 0:
@@ -216,19 +223,71 @@ class Page:
                 best = up
                 break
             up = parent[up]
-        chosen = {best}
-        if best:
-            chosen |= {i for i in range(1, n) if parent[i] == parent[best] and tag[i] == tag[best] and density[i] >= low}
+        if tag[best] in ("article", "main"):                  # the tag overrides the density
+            chosen = {i for i in range(1, n) if parent[i] == parent[best] and tag[i] == tag[best] and density[i] >= low}
+            chosen.add(best)
+            runs = set()
+        else:
+            chosen, runs = self._beside(best, low, chars, links, tags, density, in_link)
         inside = [False] * n
         for i in range(n):
             inside[i] = i in chosen or i > 0 and inside[parent[i]]
         blocks: dict[int, list[str]] = {}
         for node, block, text in self.pieces:
-            if inside[node]:
+            if inside[node] or (node, block) in runs:
                 blocks.setdefault(block, []).append(text)
         joined = (_SPACE.sub(" ", "".join(x)).strip(" ") for _, x in sorted(blocks.items()))
         return [x for x in joined if x]
 
+    def _beside(self, best: int, low: float, chars: list[int], links: list[int], tags: list[int],
+                density: list[float], in_link: list[bool]) -> tuple[set[int], set[tuple[int, int]]]:
+        """``best`` with the nodes beside the path from the body that join it, and the
+        (node, block) of the text that lies directly in nodes of the path."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        chosen, runs, path, up = {best}, set(), set(), best
+        while up > 0:
+            up = parent[up]
+            path.add(up)
+        blocky = [t in BLOCK for t in tag]
+        for i in range(n - 1, 0, -1):
+            if blocky[i]:
+                blocky[parent[i]] = True
+        plain = (chars[best] - links[best]) / (tags[best] or 1)
+        headings: dict[int, list[int]] = {}                   # of each path node, waiting for what they head
+        for i in range(1, n):
+            if parent[i] not in path or not blocky[i]:
+                continue
+            if i in path or i == best:
+                chosen.update(headings.pop(parent[i], []))
+                continue
+            own, size = chars[i] - links[i], chars[i]
+            if tag[i] in HEADING:
+                if size and 2 * links[i] <= size:
+                    headings.setdefault(parent[i], []).append(i)
+                continue
+            # the composite density grows with the size where links are few: characters per tag do not
+            if size and 2 * links[i] <= size and (
+                    tag[i] in PROSE or density[i] >= low or 2 * own / (tags[i] or 1) >= plain):
+                chosen.add(i)
+                chosen.update(headings.pop(parent[i], []))
+            elif size:
+                headings.pop(parent[i], None)
+        held: dict[tuple[int, int], list] = {}
+        for node, block, text in self.pieces:
+            at = node
+            while at > 0 and not blocky[at]:
+                at = parent[at]
+            if at in path:
+                run = held.setdefault((at, block), [0, 0, []])
+                size = len(_SPACE.sub(" ", text).strip())
+                run[0] += size
+                run[1] += size * in_link[node]
+                run[2].append((node, block))
+        for size, linked, where in held.values():
+            if 2 * linked <= size:
+                runs.update(where)
+        return chosen, runs
+
 
 def main_text(source: str | None) -> str:
     return "\n".join(Page(source).article()) if source else ""
