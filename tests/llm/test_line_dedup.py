@@ -79,6 +79,33 @@ def test_kept_text_and_carry(spark):
         assert r["kept"] == want
 
 
+def test_exact_repeats_below_the_floor_of_the_edit_join(spark):
+    rows = [r for r in corpus() if len(r[1] or "") < 1000] + [(400 + i, "All rights reserved.\nAnd.\nAll rights reserved!\n \n}") for i in range(9)]
+    df = docs_frame(spark, rows)
+    near, want = {}, []
+    for i, _, gone in brute(rows, 2, 24):
+        near.setdefault(i, set()).update(gone)
+    at = {}
+    for i, t in rows:
+        for no, raw in enumerate(t.split("\n") if t is not None and i is not None else []):
+            line = raw.strip(" \t\r")
+            if 1 <= len(line) < 24:
+                at[line] = min(at.get(line, (i, no)), (i, no))
+    for i, t in rows:
+        gone = set(near[str(i)])
+        for no, raw in enumerate(t.split("\n") if t is not None and i is not None else []):
+            line = raw.strip(" \t\r")
+            if 1 <= len(line) < 24 and at[line] != (i, no):
+                gone.add(no)
+        want.append((str(i), 0 if t is None else t.count("\n") + 1, sorted(gone)))
+    assert digest(line_dedup(df, exact_chars=1)) == sorted(want)
+    assert digest(line_dedup(df, exact_chars=1, crowded=1, block=2)) == sorted(want)
+    assert digest(line_dedup(df)) == brute(rows, 2, 24)
+    for bad in (0, 25):
+        with pytest.raises(ValueError):
+            line_dedup(df, exact_chars=bad)
+
+
 def test_edges(spark):
     assert line_dedup(docs_frame(spark, [])).collect() == []
     with pytest.raises(ValueError):

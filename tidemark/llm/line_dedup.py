@@ -100,14 +100,16 @@ def signature(chars: Column) -> Column:
 
 def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col: str = "doc_id",
                text_col: str = "text", crowded: int = 16, block: int = 128, with_text: bool = False,
-               carry: bool = False) -> DataFrame:
+               carry: bool = False, exact_chars: int | None = None) -> DataFrame:
     """(id, n_lines, removed[, kept]), one row per row of ``docs``; with ``carry`` the whole
     input row comes along as the struct ``row``.
 
     Lines are the parts of a text between \\n, compared without blanks, tabs and
     carriage returns at their ends; lines of fewer than ``min_chars`` characters (at
-    least max_edits + 1) are neither compared nor removed.  ``removed``: numbers, from
-    0, of the lines that go, ascending; ``kept`` (``with_text``): the other lines joined by \\n.
+    least max_edits + 1) take no part in the edit join.  Exact repeats go from ``exact_chars``
+    characters on (1 to ``min_chars``; None: ``min_chars``); shorter lines and blank ones
+    stay.  ``removed``: numbers, from 0, of the lines that go, ascending; ``kept``
+    (``with_text``): the other lines joined by \\n.
 
     A NULL text has no lines and stays NULL, an empty one has one empty line.  Rows
     of one id are one document: they share the removed numbers, which are those of lines
@@ -117,12 +119,15 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
     """
     if min_chars <= max_edits:
         raise ValueError("min_chars must exceed max_edits")
+    least = min_chars if exact_chars is None else exact_chars
+    if not 1 <= least <= min_chars:
+        raise ValueError("exact_chars must lie between 1 and min_chars")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     def lines_of(texts: DataFrame) -> DataFrame:
         cut = texts.where("id is not null and text is not null").select(
             "id", F.posexplode_outer(F.split("text", "\n")).alias("no", "raw"))
         return cut.select("id", "no", stripped(F.col("raw")).alias("line")).withColumn(
-            "n", F.char_length("line")).where(F.col("n") >= min_chars)
+            "n", F.char_length("line")).where(F.col("n") >= least)
 
     lines = lines_of(src)
     line = F.col("line")
@@ -133,12 +138,14 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
         F.min("id").alias("id"), F.min_by("no", "id").alias("no"))
     first = cut_lineage(first.select("id", "no", "h1", F.monotonically_increasing_id().alias("lid")))
 
-    # the lines that are no first occurrence keep a NULL lid
+    # the lines that are no first occurrence keep a NULL lid, those too short for the edit join NULL keys
     every = cut_lineage(with_keys(lines, max_edits, min_chars).select("id", "no", "keys").join(
         first.select("id", "no", "lid"), ["id", "no"], "left").select(
         "id", "no", "lid", F.when(F.col("lid").isNotNull(), F.col("keys")).alias("keys")))
     keys = every.where("lid is not null")
     index = keys.select("lid", F.explode_outer(F.slice("keys", 1, max_edits + 1)).alias("key"))
+    if least < min_chars:
+        index = index.where("key is not null")
     probe = keys.select("lid", F.explode_outer("keys").alias("key")).where("key is not null")
     crowd = cut_lineage(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowded).select("key"))
     pairs = index.join(crowd, "key", "left_anti").select("key", F.col("lid").alias("x")).join(
