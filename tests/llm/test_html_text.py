@@ -45,6 +45,30 @@ def test_an_article_over_two_wrappers():
         assert len(got) == 12 and all(x.startswith(f"Sentence {i} ") for i, x in enumerate(got))
 
 
+def test_names_are_evidence_not_a_verdict():
+    want = [f"Sentence {i}" for i in range(5)]
+    starts = lambda page: [x[:10] for x in main_text(page).split("\n")]
+    for name in ("content-sidebar-wrap", "layout sidebar-right", "post comments-open", "sidebar", "page-menu widgets"):
+        assert starts(f"<body><div class='{name}'><div>{sentences(0, 5)}</div></div><div class=ad>Buy this.</div></body>") == want
+        assert starts(f"<body><div class='{name}'><article>{sentences(0, 5)}</article></div><div>{sentences(5, 9)}</div></body>") == want
+    assert starts(f"<body><form action=x><input name=v><div>{sentences(0, 5)}</div></form></body>") == want
+    for name in ("cookie-notice", "ad", "site-search", "sidebar-right", "post-comments", "siteFooter", "related_links"):
+        page = f"<body><div>{sentences(0, 5)}</div><div class='{name}'><p>Something long enough to be taken for a text here.</p></div></body>"
+        assert starts(page) == want, name
+    comments = f"<section id=comments>{sentences(5, 30)}</section>"
+    assert starts(f"<body><article>{sentences(0, 5)}</article>{comments}</body>") == want
+    mostly = "".join(f"<p><a href=/{i}>A link of many words, number {i}, that goes on and on and on.</a> New.</p>" for i in range(30))
+    assert starts(f"<body><div class=related>{mostly}</div><div>{sentences(0, 5)}</div></body>") == want
+
+
+def test_headings_sections_and_formulas_of_an_article():
+    page = ("<article><h2 id=search>Search</h2>" + sentences(0, 3) + "<section id='related-work'><h2 id='related-work'>Related"
+            "</h2><p>Earlier ones.</p></section><section id='social-structure'><p>Bees.</p></section><p id='search-algorithms'>Trees."
+            "</p><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>")
+    got = main_text(page).split("\n")
+    assert got[0] == "Search" and got[4:] == ["Related", "Earlier ones.", "Bees.", "Trees.", "So x=2 holds."]
+
+
 def test_tolerance():
     assert main_text(None) == main_text("") == main_text("<p") == main_text("<script>x") == ""
     assert main_text("plain &lt; text") == "plain < text"

@@ -4,8 +4,10 @@
    list items and table cells, unclosed and crossed elements, comments, raw text,
    cut-off pages.
 2. Parts that are not the article by their kind (scripts, menus, page headers,
-   footers, sidebars, forms, ...) or by the name they carry (adverts, notices,
-   reader comments, ...) are left out of the tree.
+   footers, sidebars, ...) are left out of the tree.  A form and what carries the name
+   of such a part (adverts, notices, reader comments, ...) go only if they hold no
+   article or main element and lie outside one that has text, most of their text is
+   links, or at most half of the page's unlinked text is theirs.
 3. Every node gets its link-adjusted density of characters per tag: with C
    characters, T tags, LC and LT those in links, NLC = C - LC, and the body's LCb, Cb
 
@@ -42,8 +44,8 @@ _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-DROP = frozenset("head script style noscript template iframe object embed svg math canvas audio video nav footer aside form "
-                 "button select textarea menu dialog title option datalist".split())
+DROP = frozenset("head script style noscript template iframe object embed svg annotation annotation-xml canvas audio video nav footer "
+                 "aside button select textarea menu dialog title option datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
                   "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody "
                   "td tfoot th thead tr ul caption".split())
@@ -54,13 +56,20 @@ PROSE = frozenset("p blockquote pre ul ol dl figure table hgroup".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("ul ol dl table body html article section div main".split())
-_BOILER = re.compile(
-    r"(?:^|[-_ ])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|"
-    r"gdpr|notices?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|paywall|comments?|commentlist|disqus|respond|"
-    r"replies|reviews?|sidebars?|widgets?|menus?|menubar|nav|navbar|navigation|breadcrumbs?|pagination|pager|share|sharing|social|"
-    r"related|recommend(?:ed|ations)?|footer|masthead|topbar|copyright|login|signin|signup|search|tags|skip)(?:$|[-_ ])")
+_BOILER = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion "
+    "promotions banner banners cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter "
+    "subscribe subscription paywall comment comments commentlist disqus respond replies review reviews sidebar sidebars "
+    "widget widgets menu menus menubar nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social "
+    "related recommend recommended recommendation recommendations footer masthead topbar copyright login signin signup "
+    "search tags skip".split())
+#: say where or what a named part is; a name of these and words of _BOILER, one at least, is one of _BOILER
+_NEUTRAL = frozenset(
+    "site page post posts entry article articles user reader main primary secondary left right top bottom inner outer "
+    "box block list section area container wrapper wrap item items link links icons buttons button bar form content "
+    "stories news media text title unit slot col column".split())
 _PAGE_HEAD = re.compile(r"(?:^|[-_ ])(?:header|site-?title|logo|tagline)(?:$|[-_ ])")
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+_ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar".split())
 _KEEP = frozenset("html body article main".split())
 _WITH = re.compile(r"\b(?:has|with|no|without|is|not)[-_][\w-]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
@@ -72,7 +81,9 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent = ["body"], [-1]
         self.pieces: list[tuple[int, int, str]] = []          # (node, block, text)
+        self.named: list[int] = []                            # nodes that may not be the article
         self._scan(source)
+        self._weigh()
 
     def _scan(self, s: str) -> None:
         stack, names = [0], ["body"]
@@ -143,6 +154,8 @@ class Page:
             self.tag.append(name)
             self.parent.append(stack[-1])
             stack.append(len(self.tag) - 1)
+            if self._suspect(name, attrs, names):
+                self.named.append(stack[-1])
             names.append(name)
 
     def _text(self, node: int, block: int, raw: str) -> None:
@@ -154,8 +167,7 @@ class Page:
     def _left_out(name: str, attrs: str, names: list[str]) -> bool:
         if name in DROP:
             return True
-        inside = "article" in names or "main" in names
-        if name == "header" and not inside:
+        if name == "header" and not ("article" in names or "main" in names):
             return True
         if not attrs or name in _KEEP:
             return False
@@ -169,12 +181,64 @@ class Page:
             elif key == "role":
                 if value.lower() in _ROLES:
                     return True
-            else:
+        return False
+
+    @staticmethod
+    def _suspect(name: str, attrs: str, names: list[str]) -> bool:
+        if name == "form":
+            return True
+        if not attrs or name in _KEEP or name in HEADING:
+            return False
+        inside = "article" in names or "main" in names
+        for m in _NAMED.finditer(attrs):
+            key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
+            if key == "role" and value.lower() in ("form", "search"):
+                return True
+            if key in ("class", "id"):
                 value = _WITH.sub("", _CAMEL.sub(r"\1-\2", value).lower())
-                if _BOILER.search(value) or not inside and _PAGE_HEAD.search(value):
+                if not inside and _PAGE_HEAD.search(value):
                     return True
+                for token in value.split():
+                    parts = [x for x in re.split(r"[-_]+|\d+", token) if x]
+                    if any(x in _BOILER for x in parts) and all(x in _BOILER or x in _NEUTRAL for x in parts):
+                        return True
         return False
 
+    def _weigh(self) -> None:
+        """Takes the named nodes out that hold no article or main and little of the text, or mostly links."""
+        if not self.named:
+            return
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        chars, own = [0] * n, [0] * n
+        in_link, holds = [False] * n, [t in ("article", "main") for t in tag]
+        within, marked = list(holds), False
+        for i in range(1, n):
+            in_link[i] = tag[i] == "a" or in_link[parent[i]]
+            within[i] = within[i] or within[parent[i]]
+        for node, _, text in self.pieces:
+            size = len(_SPACE.sub(" ", text).strip())
+            chars[node] += size
+            own[node] += 0 if in_link[node] else size
+            marked = marked or size > 0 and within[node]
+        for i in range(n - 1, 0, -1):
+            chars[parent[i]] += chars[i]
+            own[parent[i]] += own[i]
+            holds[parent[i]] = holds[parent[i]] or holds[i]
+        gone = [False] * n
+        for i in self.named:
+            gone[i] = not holds[i] and (
+                marked and not within[i] or 2 * own[i] <= own[0] or 2 * own[i] < chars[i])
+        for i in range(1, n):
+            gone[i] = gone[i] or gone[parent[i]]
+        if not any(gone):
+            return
+        at, left = [0] * n, [i for i in range(n) if not gone[i]]
+        for k, i in enumerate(left):
+            at[i] = k
+        self.tag = [tag[i] for i in left]
+        self.parent = [-1] + [at[parent[i]] for i in left[1:]]
+        self.pieces = [(at[node], block, text) for node, block, text in self.pieces if not gone[node]]
+
     def article(self) -> list[str]:
         """Blocks of the main text, in page order."""
         tag, parent, n = self.tag, self.parent, len(self.tag)
