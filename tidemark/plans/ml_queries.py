@@ -10,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluate import ks_peak, ks_table, roc_auc
+from tidemark.operators.evaluate import cut_labels, ks_peak, ks_statistic, ks_table, roc_auc
 from tidemark.operators.explain import attribution_summary, feature_importance, shapley_values
 from tidemark.operators.selection import shadow_selection
 from tidemark.operators.train import Study, model_pipeline, prefilter, score, stratified_split
@@ -106,28 +106,133 @@ def _segments(spark, root, mm):
                     .when(F.col("o_totalprice") > K.FX_PAYMENT_SEGMENT, "large")).drop("_k", "o_totalprice")
 
 
-@register("segment_models")
-def segment_models(spark, root):
-    """The whole chain per payment segment (P16, M20): rows, features, AUC on train and test,
-    peak KS of the decile table and its decile, most important feature, mean |phi| of it."""
+def segment_studies(seg, features, label: str, key: str, grid: dict) -> dict[str, Study]:
+    """The whole chain on each segment of a matrix with the column ``segment``."""
+    def one(name):
+        return model_pipeline(seg.where(F.col("segment") == name), features, label, key, grid, SEED,
+                              K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS, K.TEST_SHARE)
+
+    names = ("small", "large")
+    with ThreadPoolExecutor(max_workers=2) as ex:
+        return dict(zip(names, ex.map(one, names)))
+
+
+def _studies(spark, root) -> dict[str, Study]:
     seg = cut_lineage(_segments(spark, root, model_matrix_cut(spark, root)))
+    return segment_studies(seg, _matrix_features(), "y", KEY, K.MODEL_GRID)
 
-    def one(name):
-        st = model_pipeline(seg.where(F.col("segment") == name), _matrix_features(), "y", KEY, K.MODEL_GRID,
-                            SEED, K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS, K.TEST_SHARE)
+
+def _by_segment(spark, studies: dict[str, Study], schema: str, one):
+    """Tables of the segments that have a model, one below the other, with a segment column."""
+    out = spark.createDataFrame([], f"segment string, {schema}")
+    for name, st in studies.items():
+        if st.model is not None:
+            out = out.unionByName(one(name, st).withColumn("segment", F.lit(name)).select(out.columns))
+    return out
+
+
+def _segment_scores(st: Study, key: str):
+    return cut_lineage(score(st.model, st.data).select(key, "part", "label", "score"))
+
+
+def _segment_phi(st: Study, key: str):
+    return shapley_values(st.model, st.rows.where("part = 'test'"), st.rows.where("part = 'train'"), st.features,
+                          key, seed=SEED)
+
+
+def segment_ks(spark, studies, key):
+    """(segment, part, decile table): the training rows, the test rows and all of them."""
+    def one(name, st):
+        scored = _segment_scores(st, key)
+        parts = [ks_table(scored.where(on), "label", "score").withColumn("part", F.lit(part))
+                 for part, on in (("train", "part = 'train'"), ("test", "part = 'test'"), ("all", "true"))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _by_segment(spark, studies, "part string, decile int, min_prob double, max_prob double, events double, "
+                       "nonevents double, pop double, event_rate double, nonevent_rate double, cum_eventrate double, "
+                       "cum_noneventrate double, ks double, cure_rate double", one)
+
+
+def segment_cuts(spark, studies, key, key_type="long"):
+    """(segment, key, part, label, score, decile): every row, its score cut by its segment's own list."""
+    def one(name, st):
+        cuts = K.CUTS_LARGE_PAYMENT if name == "large" else K.CUTS_SMALL_PAYMENT
+        return _segment_scores(st, key).select(key, "part", "label", "score", cut_labels(
+            "score", cuts, K.DECILE_LABELS, first_open=name == "large").alias("decile"))
+    return _by_segment(spark, studies, f"{key} {key_type}, part string, label double, score double, decile string", one)
+
+
+def segment_importances(spark, studies):
+    """(segment, feature, importance, rank) of all features of a segment's model."""
+    return _by_segment(spark, studies, "feature string, importance double, rank int",
+                       lambda name, st: feature_importance(st.model, st.features, spark))
+
+
+def segment_phi(spark, studies, key, key_type="long"):
+    """(segment, key, feature, value, phi) of every test row of a segment."""
+    return _by_segment(spark, studies, f"{key} {key_type}, feature string, value double, phi double",
+                       lambda name, st: _segment_phi(st, key))
+
+
+def segment_summary(spark, studies, key):
+    """One row a segment, see ``segment_models``."""
+    def one(item):
+        name, st = item
         if st.model is None:
-            return (name, st.rows.count(), 0, None, None, None, None, None)
-        scored = cut_lineage(score(st.model, st.data).select(KEY, "part", "label", "score"))
+            return (name, st.rows.count(), 0, None, None, None, None, None, None, None, None)
+        scored = _segment_scores(st, key)
         by = {r["part"]: r["auc"] for r in roc_auc(scored, "label", "score", ["part"]).collect()}
+        ks = {r["part"]: r["ks"] for r in ks_statistic(scored, "label", "score", ["part"]).collect()}
         peak = ks_peak(ks_table(scored, "label", "score")).first()
-        top = feature_importance(st.model, st.features, spark).where("rank = 1").first()
-        return (name, scored.count(), len(st.features), by.get("train"), by.get("test"),
-                float(peak["max_ks"]), peak["at_decile"], top["feature"])
+        top = feature_importance(st.model, st.features, spark).where("rank = 1").first()["feature"]
+        phi = attribution_summary(_segment_phi(st, key)).where(F.col("feature") == top).first()
+        return (name, scored.count(), len(st.features), by.get("train"), by.get("test"), float(peak["max_ks"]),
+                peak["at_decile"], top, phi["mean_abs_phi"] if phi else None, ks.get("train"), ks.get("test"))
 
     with ThreadPoolExecutor(max_workers=2) as ex:
-        rows = list(ex.map(one, ("small", "large")))
+        rows = list(ex.map(one, studies.items()))
     return spark.createDataFrame(rows, "segment string, rows long, n_features int, train_auc double, test_auc double, "
-                                       "max_ks double, at_decile int, top_feature string")
+                                       "max_ks double, at_decile int, top_feature string, top_mean_abs_phi double, "
+                                       "train_ks double, test_ks double")
+
+
+@register("segment_models")
+def segment_models(spark, root):
+    """The whole chain per payment segment (P16, M20): rows, features, AUC on train and test,
+    peak KS of the decile table and its decile, most important feature, mean |phi| of it on
+    the test rows, KS statistic on train and test."""
+    return segment_summary(spark, _studies(spark, root), KEY)
+
+
+@register("segment_ks_tables")
+def segment_ks_tables(spark, root):
+    """Decile tables of each segment's model on train, test and all rows."""
+    return segment_ks(spark, _studies(spark, root), KEY)
+
+
+@register("segment_cut_deciles")
+def segment_cut_deciles(spark, root):
+    """Each segment model's scores under the segment's fixed cut-offs."""
+    return segment_cuts(spark, _studies(spark, root), KEY)
+
+
+@register("segment_importance")
+def segment_importance(spark, root):
+    """Importance of each feature of each segment's model."""
+    return segment_importances(spark, _studies(spark, root))
+
+
+@register("segment_attribution")
+def segment_attribution(spark, root):
+    """Feature value and phi of every test row and feature of each segment's model."""
+    return segment_phi(spark, _studies(spark, root), KEY)
+
+
+@register("segment_attribution_summary")
+def segment_attribution_summary(spark, root):
+    """Mean |phi| per feature over the test rows of each segment."""
+    studies = _studies(spark, root)
+    return _by_segment(spark, studies, "feature string, mean_abs_phi double, rows long",
+                       lambda name, st: attribution_summary(_segment_phi(st, KEY)))
 
 
 SQL_SEGMENT_SPLIT = fx.with_views(f"""
