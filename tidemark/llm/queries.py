@@ -15,6 +15,7 @@ from tidemark.llm.html_text import extract_main_text
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_join
+from tidemark.llm.pieces import piece_round_trip
 from tidemark.llm.quality import grade_texts
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.tokens import token_counts
@@ -145,3 +146,8 @@ SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS
        CAST(coalesce(s.n, 0) AS BIGINT) AS n_removed, coalesce(s.gone, '') AS removed_lines
 FROM documents LEFT JOIN s ON s.id = doc_id
 """
+
+
+@_query
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(table(spark, sf_dir, "documents"))
