@@ -9,10 +9,10 @@ from tests.conftest import SF
 
 def test_one_query_per_operator():
     q = importlib.import_module("__spark_entry__").queries()
-    assert [sum(k.startswith(f"op{n}_") for k in q) for n in range(1, 11)] == [1] * 10 and "pipeline" in q
+    assert [sum(k.startswith(f"op{n}_") for k in q) for n in range(1, 14)] == [1] * 13 and "pipeline" in q
 
 
-@pytest.mark.parametrize("name", ["op4_mix_sources", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op4_mix_sources", "op10_line_dedup", "op11_hard_negatives", "op12_source_audit"])
 def test_matches_duckdb(spark, name):
     from tools.oracle_check import compare
     report = compare(spark, SF, [name])[name]
@@ -30,6 +30,9 @@ def test_contract_columns(spark):
         "op7_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
         "op8_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
         "op9_embedding_near_dedup": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+        "op11_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint",
+                                "positive_score": "bigint", "negative_score": "bigint"},
+        "op12_source_audit": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint", "rank": "int"},
         "op13_piece_round_trip": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
     }
     for name, types in want.items():

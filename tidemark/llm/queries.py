@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from tidemark.llm._io import table, text_batches
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.embedding_dedup import embedding_near_dedup
+from tidemark.llm.hard_negatives import hard_negatives
 from tidemark.llm.html_text import extract_main_text
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_join
 from tidemark.llm.pieces import piece_round_trip
 from tidemark.llm.quality import grade_texts
+from tidemark.llm.source_audit import source_audit
 from tidemark.llm.substring_dedup import substring_dedup
 from tidemark.llm.tokens import token_counts
 from tidemark.llm.toxicity import score_toxicity
@@ -148,6 +150,66 @@ FROM documents LEFT JOIN s ON s.id = doc_id
 """
 
 
+@_query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+ORACLE["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS same,
+         CAST(CASE WHEN len(a.q) = 0 THEN 0 ELSE list_inner_product(a.q, b.q) END AS BIGINT) AS score
+  FROM v a JOIN v b ON len(a.q) = len(b.q)
+  WHERE a.id % 100 = 0 AND a.id <> b.id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) <= 5
+"""
+
+
+@_query
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op12_source_audit"] = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
+                  row_number() OVER () AS r FROM documents),
+w AS (SELECT lang, source, r, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+l AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term),
+k AS (SELECT g.lang, g.source, l.term, coalesce(c.n, 0) AS n, l.n AS all_n
+      FROM g JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = l.term),
+t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) AS total,
+             CAST(sum(all_n) OVER (PARTITION BY lang, source) AS HUGEINT) AS all_total,
+             count(*) OVER (PARTITION BY lang, source) AS v FROM k),
+f AS (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS BIGINT) AS p,
+             CAST(1 + (1000000000::HUGEINT * (all_n + 5)) // (all_total + 5 * v) AS BIGINT) AS q FROM t),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value
+      FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(e.value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, p - q FROM f WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM u QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50
+"""
+
+
 @_query
 def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_round_trip(table(spark, sf_dir, "documents"))
