@@ -34,7 +34,7 @@ def test_equals_the_library(spark):
     rows = [(1, "a b  c\n\nd"), (2, None), (3, ""), (4, random_text(rng, vocabulary(), 9000)), (5, "x" * 3000), (6, " " * 500),
             (7, "<s> a</s><unk>"), (8, " lead and trail "), (9, "▁"), (1, "a b  c\n\nd"), (None, "no id")]
     rows += [(100 + i, nasty(rng, rng.randint(1, 80))) for i in range(120)]
-    out = piece_round_trip(docs_frame(spark, rows, extra=("n_tokens", "id", "words")), block_bytes=4000, frequent=20)
+    out = piece_round_trip(docs_frame(spark, rows, extra=("n_tokens", "id", "words")), table_chars=300, run_bytes=2000)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     key = lambda r: (r[0] is None, r)                            # noqa: E731
     assert sorted(map(tuple, out.collect()), key=key) == sorted((expected(*r) for r in rows), key=key)

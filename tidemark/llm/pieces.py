@@ -5,15 +5,12 @@ never ``word▁``), so no merge reaches over the place where a marker follows
 another character.  A text cut at these places is a row of marked words that
 are segmented each for itself, and equal words equally.
 
-1. A task cuts its texts into blocks of about ``block_bytes`` and turns each into one
-   row: the distinct marked words of the block, and for every document the
-   positions of its words in that list.
-2. The words of all blocks are reduced to one table of distinct words, and the library
-   segments and decodes each of them once.
-3. The segmented words go back to their blocks: words that are frequent by count (at most
-   ``frequent`` of them can be, whatever the data) by broadcast, the rest by an equi join,
-   in which a word then has at most a ``frequent``-th of all rows.
-4. A block's ids and surfaces are joined by position, document by document.
+A task keeps a table of the distinct marked words it has met.  Of each run of texts the
+words that are not in it yet are segmented and decoded by the library, each once; then
+every document joins the ids, their number and the surface of its words by their positions
+in the table.  The table is emptied between two runs once it holds ``table_chars``
+characters, so its size has a bound, however many different words a partition holds.  No
+row leaves its task: nothing is shuffled, and a lost task is repeated alone.
 
 A model whose pieces can cross a marker is refused: its words cannot be segmented alone.
 """
@@ -23,21 +20,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._text import slices
-from tidemark.session import cut_lineage
 
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _EDGE = re.compile(f"[^{MARK}](?={MARK})")
 _RUN = 1 << 20                       # characters of a text that are cut into words at a time
-_HOT_CHARS = 64
 # appended to a model file it overrides the normalizer there: name "identity", no character
 # map, no dummy prefix, white space kept (fields 1 to 4 of field 3 of the model message)
 _PLAIN = b"\x1a\x10\x0a\x08identity\x12\x00\x18\x00\x20\x00"
@@ -77,129 +72,79 @@ class Pieces:
         return self.plain.decode(ids)
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Small integers, narrow and compressed; the first byte tells the width."""
-    kind = "<u2" if not len(a) or a.max() < 1 << 16 else "<u4"
-    raw = a.astype(kind).tobytes()
-    return bytes([int(kind[2])]) + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(b: bytes) -> np.ndarray:
-    size = int.from_bytes(b[1:9], "little")
-    raw = pa.decompress(b[9:], size, "zstd", asbytes=True) if size else b""
-    return np.frombuffer(raw, f"<u{b[0]}")
-
-
-def _blocks(model: str, block_bytes: int):
-    """(id, text) -> one row per block: distinct words, ids, words per document, positions."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
-        base, n = TaskContext.get().partitionId() << 32, 0
-        for b in slices(batches, 1, block_bytes):
-            known: dict[str, int] = {}
-            runs, sizes = [], []
-            for text in b.column(1).to_pylist():
-                size = 0
-                for words in pieces.words(text) if text else ():
-                    runs.append(np.fromiter([known.setdefault(w, len(known)) for w in words], np.uint32, len(words)))
-                    size += len(words)
-                sizes.append(size)
-            at = np.concatenate(runs) if runs else np.empty(0, np.uint32)
-            kind = b.schema.field(0).type
-            yield pa.RecordBatch.from_arrays([
-                pa.array([base + n], pa.int64()),
-                pa.array([b.column(0).to_pylist()], pa.list_(kind)),
-                pa.array([sizes], pa.list_(pa.int64())),
-                pa.array([_pack(at)], pa.binary()),
-                pa.array([list(known)], pa.list_(pa.string()))],
-                names=["block", "ids", "sizes", "places", "words"])
-            n += 1
-    return run
-
-
-def _segments(model: str):
+class WordTable:
+    """Distinct marked words with their ids (decimal, comma-joined), number of ids and surface."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids: list[str] = []
+        self.sizes: list[int] = []
+        self.surfaces: list[str] = []
+        self.chars = 0
+
+    def places(self, text: str) -> np.ndarray:
+        """Positions of a text's words; words met for the first time wait for ``fill``."""
+        known = self.place
+        runs = [np.fromiter([known.setdefault(w, len(known)) for w in words], np.int32, len(words))
+                for words in self.pieces.words(text)]
+        return np.concatenate(runs) if runs else np.empty(0, np.int32)
+
+    def fill(self) -> None:
+        fresh = list(islice(self.place, len(self.ids), None))
+        for ids in self.pieces.segment(fresh):
+            self.ids.append(",".join(map(str, ids)))
+            self.sizes.append(len(ids))
+            self.surfaces.append(self.pieces.surface(ids))
+        self.chars += sum(map(len, fresh))
+
+    def join(self, at: np.ndarray) -> tuple[int, str, str]:
+        """(number of ids, ids, decoded text) of the words at these positions."""
+        at = at.tolist()
+        text = "".join([self.surfaces[w] for w in at])
+        if self.pieces.drops_first and text.startswith(" "):
+            text = text[1:]
+        return sum([self.sizes[w] for w in at]), ",".join([self.ids[w] for w in at]), text
+
+
+def _encode(model: str, table_chars: int, run_bytes: int, with_texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
-        for b in slices(batches, 0):
-            found = pieces.segment(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([
-                *b.columns, pa.array([len(x) for x in found], pa.int32()),
-                pa.array([",".join(map(str, x)) for x in found], pa.string()),
-                pa.array([pieces.surface(x) for x in found], pa.string())],
-                names=[*b.schema.names, "n", "word_ids", "surface"])
+        table = WordTable(Pieces(model))
+        for b in slices(batches, 1, run_bytes):
+            if table.chars > table_chars:
+                table.clear()
+            found = [table.places(t) if t else np.empty(0, np.int32) for t in b.column(1).to_pylist()]
+            table.fill()
+            cols: list[list] = [[], [], [], [], []]
+            for at in found:
+                n, ids, text = table.join(at)
+                row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids, text)
+                for col, value in zip(cols[:5 if with_texts else 3], row):
+                    col.append(value)
+            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][:5 if with_texts else 3]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:len(names)])],
+                names=["id", *names])
     return run
 
 
-def _join(model: str):
-    """A block and its segmented words -> one row per document."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        drops_first = Pieces(model).drops_first
-        place = right.column("at").to_numpy()
-        order = np.empty(len(place), np.int64)
-        order[place] = np.arange(len(place))
-        counts = right.column("n").to_numpy()[order].astype(np.int64)
-        ids = right.column("word_ids").take(order).to_pylist()
-        surfaces = right.column("surface").take(order).to_pylist()
-        keys, tokens, id_hash, text_hash, id_text, texts = [], [], [], [], [], []
-        for row in left.select(["ids", "sizes", "places"]).to_pylist():
-            at, start = _unpack(row["places"]), 0
-            for key, size in zip(row["ids"], row["sizes"]):
-                mine = at[start:start + size]
-                start += size
-                words = mine.tolist()
-                text = "".join([surfaces[w] for w in words])
-                if drops_first and text.startswith(" "):
-                    text = text[1:]
-                line = ",".join([ids[w] for w in words])
-                keys.append(key)
-                tokens.append(int(counts[mine].sum()))
-                id_hash.append(hashlib.sha256(line.encode()).hexdigest())
-                text_hash.append(hashlib.sha256(text.encode()).hexdigest())
-                id_text.append(line)
-                texts.append(text)
-        cols = {"id": pa.array(keys, left.schema.field("ids").type.value_type), "n_tokens": pa.array(tokens, pa.int64()),
-                "ids_sha256": pa.array(id_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
-        return pa.table(cols), pa.array(id_text, pa.string()), pa.array(texts, pa.string())
-
-    def digests(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left, right)[0]
-
-    def full(left: pa.Table, right: pa.Table) -> pa.Table:
-        t, ids, texts = run(left, right)
-        return t.append_column("ids", ids).append_column("decoded", texts)
-
-    return digests, full
-
-
 def piece_round_trip(docs: DataFrame, model: str = "piece_bpe_32k.model", id_col: str = "doc_id",
-                     text_col: str = "text", block_bytes: int = 4 << 20, frequent: int = 10_000,
+                     text_col: str = "text", table_chars: int = 4 << 20, run_bytes: int = 1 << 20,
                      with_texts: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) per row: a text's ids as the library encodes
     the whole text, without begin or end ids, and what the library decodes from them.
     ``with_texts`` adds ``ids`` (decimal, comma-joined) and ``decoded``.
 
     The digests are lower-case hex SHA-256 of those two strings in UTF-8.  NULL counts as an
-    empty text (0 ids, empty strings); a very long text is a block of its own; repeated rows
+    empty text (0 ids, empty strings); a very long text is cut into words in runs; repeated rows
     give repeated results; an empty table gives an empty one; other columns are not read.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    blocks = cut_lineage(src.mapInArrow(
-        _blocks(model, block_bytes),
-        f"block long, ids array<{kind}>, sizes array<long>, places binary, words array<string>"))
-    uses = blocks.select(F.col("block").alias("home"), F.posexplode("words").alias("at", "word"))
-    counts = uses.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    table = cut_lineage(counts.mapInArrow(
-        _segments(model), "word string, uses long, n int, word_ids string, surface string"))
-    total = table.agg(F.sum("uses")).first()[0] or 0
-    # fewer than `frequent` words can have more than total / frequent rows, and they are short
-    hot = (F.col("uses") * frequent > total) & (F.length("word") <= _HOT_CHARS)
-    short = table.where(hot).drop("uses")
-    met = uses.join(F.broadcast(short), "word", "left")
-    rest = met.where("n is null").select("word", "home", "at").join(table.where(~hot).drop("uses"), "word")
-    back = met.where("n is not null").unionByName(rest.select(met.columns)).select("home", "at", "n", "word_ids", "surface")
-    digests, full = _join(model)
-    schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    out = blocks.select("block", "ids", "sizes", "places").groupBy("block").cogroup(back.groupBy("home")).applyInArrow(
-        full if with_texts else digests, schema + (", ids string, decoded string" if with_texts else ""))
+    out = src.mapInArrow(_encode(model, table_chars, run_bytes, with_texts),
+                         f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                         + (", ids string, decoded string" if with_texts else ""))
     return out.withColumnRenamed("id", id_col)
