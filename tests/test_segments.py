@@ -29,11 +29,11 @@ def test_every_output_of_the_reference_per_segment(spark):
         assert mine.id.nunique() == st[name].rows.where("part = 'test'").count()
         assert abs(mine[mine.feature == top[name]].phi.abs().mean() - r["top_mean_abs_phi"]) < 1e-9
 
-    ks = M.segment_ks(spark, st, "id").groupBy("segment", "part").agg(F.sum("pop").alias("n")).toPandas()
+    ks = M.segment_ks(st, "id").groupBy("segment", "part").agg(F.sum("pop").alias("n")).toPandas()
     assert {(a, b): int(c) for a, b, c in ks.itertuples(index=False)} == {
         (s, p): st[s].rows.where("true" if p == "all" else f"part = '{p}'").count()
         for s in top for p in ("train", "test", "all")}
-    cuts = M.segment_cuts(spark, st, "id").toPandas()
+    cuts = M.segment_cuts(st, "id").toPandas()
     assert len(cuts) == n
     for s, name in ((K.CUTS_SMALL_PAYMENT, "small"), (K.CUTS_LARGE_PAYMENT, "large")):
         mine = cuts[cuts.segment == name]

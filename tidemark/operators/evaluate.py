@@ -21,7 +21,17 @@ from tidemark.operators.ranking import global_cumsum
 
 def roc_auc(df: DataFrame, label: str, score: str, groups: Sequence[str] = ()) -> DataFrame:
     """One row (per group): auc, positives, negatives."""
-    sd = _grouped_distribution(df, label, score, groups)
+    return _auc(_grouped_distribution(df, label, score, groups), groups)
+
+
+def auc_of_counts(counts: DataFrame, score: str, groups: Sequence[str] = ()) -> DataFrame:
+    """``roc_auc`` of rows counted already: (groups, score, pos, neg), scores may repeat."""
+    d = counts.groupBy(*groups, F.col(score).cast("double").alias("score")).agg(
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return _auc(global_cumsum(d, ["score"], ["pos", "neg"], groups), groups)
+
+
+def _auc(sd: DataFrame, groups: Sequence[str]) -> DataFrame:
     contrib = F.col("pos").cast("double") * (
         (F.col("cum_neg") - F.col("neg")).cast("double") + F.col("neg").cast("double") / 2)
     agg = sd.groupBy(*groups).agg(F.sum(contrib).alias("_s"), F.sum("pos").alias("positives"),
@@ -53,22 +63,29 @@ def _grouped_distribution(df, label, score, groups):
     return global_cumsum(d, ["score"], ["pos", "neg"], groups)
 
 
-def ks_table(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
-    """Decile table on score quantiles, highest scores first.
+def ks_table(df: DataFrame, label: str, score: str, bins: int = 10, groups: Sequence[str] = ()) -> DataFrame:
+    """Decile table on score quantiles, highest scores first (M13), one per group.
 
-    Columns: decile, min_prob, max_prob, events, nonevents, pop, event_rate,
+    Columns: groups, decile, min_prob, max_prob, events, nonevents, pop, event_rate,
     nonevent_rate, cum_eventrate, cum_noneventrate, ks (half-even rounded to 3
     places, x100), cure_rate.  Tied quantile edges are merged (fewer rows)."""
+    by = list(groups)
     base = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(
-        F.col(score).cast("double").alias("p"), F.col(label).cast("double").alias("y"))
-    got = quantile_edges(base, "p", bins).first()                     # one row of bins + 1 numbers
-    b = bin_index(base, "p", got["edges"] if got else [], "bucket")
-    g = b.groupBy("bucket").agg(F.min("p").alias("min_prob"), F.max("p").alias("max_prob"),
-                                F.sum("y").alias("events"), F.sum(1 - F.col("y")).alias("nonevents"))
-    # at most ``bins`` rows from here on: windows over this table are bounded.
-    w_all = Window.partitionBy(F.lit(1))
-    w_cum = Window.partitionBy(F.lit(1)).orderBy(F.col("min_prob").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
+        *by, F.col(score).cast("double").alias("p"), F.col(label).cast("double").alias("y"))
+    edges = quantile_edges(base, "p", bins, by)
+    if by:                                                    # bins + 1 numbers a group
+        b = base.join(edges, by).withColumn("bucket", F.when(F.size("edges") > 1, F.greatest(
+            F.lit(1), F.size(F.filter("edges", lambda e: e < F.col("p"))))))
+    else:
+        got = edges.first()
+        b = bin_index(base, "p", got["edges"] if got else [], "bucket")
+    g = b.groupBy(*by, "bucket").agg(F.min("p").alias("min_prob"), F.max("p").alias("max_prob"),
+                                     F.sum("y").alias("events"), F.sum(1 - F.col("y")).alias("nonevents"))
+    # at most ``bins`` rows a group from here on: windows over this table are bounded.
+    whole = by or [F.lit(1)]
+    w_all = Window.partitionBy(*whole)
+    w_by = w_all.orderBy(F.col("min_prob").desc())
+    w_cum = w_by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     t = (g.withColumn("pop", F.col("events") + F.col("nonevents"))
          .withColumn("event_rate", F.col("events") / F.sum("events").over(w_all))
          .withColumn("nonevent_rate", F.col("nonevents") / F.sum("nonevents").over(w_all))
@@ -76,15 +93,14 @@ def ks_table(df: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame
          .withColumn("cum_noneventrate", F.sum("nonevent_rate").over(w_cum))
          .withColumn("ks", F.bround(F.col("cum_eventrate") - F.col("cum_noneventrate"), 3) * 100)
          .withColumn("cure_rate", F.col("events") / F.col("pop"))
-         .withColumn("decile", F.row_number().over(
-             Window.partitionBy(F.lit(1)).orderBy(F.col("min_prob").desc()))))
-    return t.select("decile", "min_prob", "max_prob", "events", "nonevents", "pop", "event_rate",
+         .withColumn("decile", F.row_number().over(w_by)))
+    return t.select(*by, "decile", "min_prob", "max_prob", "events", "nonevents", "pop", "event_rate",
                     "nonevent_rate", "cum_eventrate", "cum_noneventrate", "ks", "cure_rate")
 
 
-def ks_peak(table: DataFrame) -> DataFrame:
-    """Max KS of a decile table and the first decile where it occurs (O3)."""
-    return table.agg(F.max("ks").alias("max_ks"),
+def ks_peak(table: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Max KS of a decile table and the first decile where it occurs (O3), one row a group."""
+    return table.groupBy(*groups).agg(F.max("ks").alias("max_ks"),
                      F.min_by("decile", F.struct(-F.col("ks"), F.col("decile"))).alias("at_decile"))
 
 

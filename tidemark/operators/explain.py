@@ -1,75 +1,127 @@
-"""Importance and attribution.
-
-``shapley_values`` is a Monte-Carlo Shapley estimate run as Spark jobs: for every
-explained row x and every path (a feature order and a background row z, both drawn by
-hash) it builds the k+1 hybrid rows along the order (features taken from x once they
-have entered, from z before) and scores them with ``model.transform``.  A score counts
-for the feature that entered last and against the one that enters next, so the
-estimate is a sum per (x, feature) and needs no window.  Per path the terms telescope
-to f(x) - f(z): the attributions of a row add up to f(x) minus the mean of f over the
-background rows of its own paths (column ``gap``), which estimates f(x) - mean f.
+"""Importance and attribution of boosted symmetric trees.
+
+``tree_shap`` gives exact path-dependent Shapley values in log-odds.  The value of a set S of
+features for a row is the expectation of the tree where levels of S follow the row and every
+other level is averaged by the training rows on its two sides.  In a symmetric tree this
+depends on the row's leaf alone, so a tree turns into a table (leaf, feature) by going
+through the subsets of its at most ``depth`` features once; a row adds up the entries of its
+leaves.  No sampling, no background rows: attributions and the mean of the model add up to the
+row's log-odds.
 """
 
 from __future__ import annotations
 
-from typing import Sequence
+import itertools
+import math
+from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import global_cumsum
+from tidemark.operators.boosting import Boosted, Tree, features_array, leaves, to_matrix
 
 
-def feature_importance(model, features: Sequence[str], spark) -> DataFrame:
-    """(feature, importance, rank) sorted by importance (M15).  k rows."""
-    imp = model.featureImportances.toArray().tolist()
-    rows = [(f, float(v)) for f, v in zip(features, imp)]
-    df = spark.createDataFrame(rows, "feature string, importance double")
-    return df.withColumn("rank", F.row_number().over(
-        Window.partitionBy(F.lit(1)).orderBy(F.col("importance").desc(), F.col("feature"))))
+def _cover_tensors(tree: Tree) -> list[np.ndarray]:
+    """Per level, the share of its rows on either side: axis k is level k's side."""
+    d = len(tree.features)
+    cover = tree.covers.reshape((2,) * d).transpose(range(d)[::-1]) if d else tree.covers
+    shares = []
+    for level in range(d):
+        rows = cover.sum(axis=tuple(range(level + 1, d)))
+        whole = rows.sum(axis=level, keepdims=True)
+        shares.append(np.where(whole > 0, rows / np.where(whole > 0, whole, 1), 0.5))
+    return shares
+
+
+def _expectation(tree: Tree, shares: list[np.ndarray], known: set[int]) -> np.ndarray:
+    """Expected value by the sides of the known features; averaged axes have length 1."""
+    d = len(tree.features)
+    t = tree.values.reshape((2,) * d).transpose(range(d)[::-1])
+    for level in range(d - 1, -1, -1):
+        if tree.features[level] not in known:
+            share = shares[level].reshape(shares[level].shape + (1,) * (d - level - 1))
+            t = (t * share).sum(axis=level, keepdims=True)
+    return t
+
+
+def shap_table(tree: Tree, k: int) -> tuple[np.ndarray, float]:
+    """((leaves, k) attributions, expectation) of one tree."""
+    d = len(tree.features)
+    out = np.zeros((1 << d, k))
+    if not d:
+        return out, float(tree.values[0])
+    shares, present = _cover_tensors(tree), sorted(set(tree.features))
+    value = {}
+    for size in range(len(present) + 1):
+        for s in itertools.combinations(present, size):
+            value[frozenset(s)] = _expectation(tree, shares, set(s))
+    n = len(present)
+    for f in present:
+        phi = np.zeros((2,) * d)
+        for s, v in value.items():
+            if f not in s:
+                weight = math.factorial(len(s)) * math.factorial(n - len(s) - 1) / math.factorial(n)
+                phi += weight * (value[s | {f}] - v)
+        out[:, f] = phi.transpose(range(d)[::-1]).reshape(-1)
+    return out, float(value[frozenset()].ravel()[0])
+
+
+def expected_raw(model: Boosted) -> float:
+    """Mean log-odds of the model over its training rows, as the trees' covers tell it."""
+    return float(sum(_expectation(t, _cover_tensors(t), set()).ravel()[0] if t.features else t.values[0] for t in model.trees))
 
 
-def shapley_values(model, rows: DataFrame, background: DataFrame, features: Sequence[str],
-                   key: str, permutations: int = 8, seed: int = 0) -> DataFrame:
-    """(key, feature, value, phi, gap) Monte-Carlo Shapley values.
-
-    ``rows`` are the rows to explain (key + features); ``background`` (key + features)
-    supplies one row per path, at a hashed position.  Cost: |rows| x permutations x (k+1)
-    scored rows, streamed: only (x, feature) sums are shuffled."""
-    k = len(features)
-    fx = rows.select(F.col(key).alias("_x"), F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
-    bg = background.select(F.col(key).alias("_bk"), F.array(*[F.col(c).cast("double") for c in features]).alias("_z"),
-                           F.xxhash64(F.col(key), F.lit(seed)).alias("_bh"), F.lit(1).alias("_one"))
-    # dense background positions 0..nb-1 from distributed prefix counts (no global window)
-    bg = global_cumsum(bg, ["_bh", "_bk"], ["_one"]).select((F.col("cum__one") - 1).alias("_pos"), "_z")
-    nb = background.count()  # one number
-    paths = (fx.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-               .withColumn("_pos", F.pmod(F.xxhash64("_x", "_p", F.lit(seed)), F.lit(max(nb, 1)))))
-    paths = paths.join(bg, "_pos")
-    order = F.array_sort(F.array(*[F.struct(F.xxhash64(F.col("_x"), F.col("_p"), F.lit(seed), F.lit(i)).alias("h"),
-                                            F.lit(i).alias("i")) for i in range(k)]))
-    paths = paths.withColumn("_order", F.transform(order, lambda s: s["i"]))
-    hyb = paths.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(k))))
-    # feature i comes from x once it is among the first j of the order
-    hyb = hyb.withColumn("features", array_to_vector(F.transform("_v", lambda v, i: F.when(
-        F.array_position("_order", i) <= F.col("_j"), v).otherwise(F.get("_z", i)))))
-    f = model.transform(hyb.select("_x", "_j", "_order", "features")).select(
-        "_x", "_j", "_order", vector_to_array("probability")[1].alias("_f"))
-    share = F.col("_f") / F.lit(float(permutations))
-    terms = F.array(F.struct(F.when(F.col("_j") > 0, F.get("_order", F.col("_j") - 1)).alias("i"), share.alias("d")),
-                    F.struct(F.get("_order", F.col("_j")).alias("i"), (-share).alias("d")),
-                    F.struct(F.lit(-1).alias("i"), F.when(F.col("_j") == k, share).when(F.col("_j") == 0, -share).alias("d")))
-    terms = f.select("_x", F.explode(terms).alias("t")).where("t.i is not null and t.d is not null")
-    sums = terms.groupBy("_x", F.col("t.i").alias("i")).agg(F.sum("t.d").alias("phi"))
-    gap = sums.where("i = -1").select("_x", F.col("phi").alias("gap"))
-    names = F.array(*[F.lit(c) for c in features])
-    return sums.where("i >= 0").join(gap, "_x").join(fx, "_x").select(
-        F.col("_x").alias(key), F.get(names, F.col("i")).alias("feature"), F.get("_v", F.col("i")).alias("value"),
-        "phi", "gap")
+def tree_shap(model: Boosted, rows: DataFrame, key: str) -> DataFrame:
+    """(key, feature, value, phi) of every row and feature of the model, in log-odds.
+
+    The phi of a row and ``expected_raw`` add up to the row's log-odds.  One Arrow function over
+    the rows, no shuffle; NULL values go with the lowest bin and come back as NULL."""
+    k, names = len(model.features), list(model.features)
+    if not k:
+        return rows.select(key, F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("value"),
+                           F.lit(None).cast("double").alias("phi")).where("false")
+    tables = [shap_table(t, k)[0] for t in model.trees]
+
+    @F.arrow_udf("array<double>")
+    def attribute(values: pa.Array) -> pa.Array:
+        x = model.bins(to_matrix(values, k))
+        phi = np.zeros((len(x), k))
+        for t, table in zip(model.trees, tables):
+            phi += table[leaves(x, t.features, t.cuts, range(k))]
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * k + 1, k), pa.int32()), pa.array(phi.ravel()))
+
+    d = rows.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in names]).alias("_v"),
+                    attribute(features_array(names)).alias("_phi"))
+    long = d.select("_key", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in names]).alias("feature"),
+                                                   F.col("_v").alias("value"), F.col("_phi").alias("phi"))).alias("s"))
+    return long.select(F.col("_key").alias(key), "s.feature", "s.value", "s.phi")
 
 
 def attribution_summary(phi: DataFrame) -> DataFrame:
-    """Mean |phi| per feature, largest first (the bar-summary table)."""
-    return (phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"),
-                                       F.count(F.lit(1)).alias("rows")))
+    """Mean |phi| per feature (the bar-summary table)."""
+    return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("mean_abs_phi"), F.count(F.lit(1)).alias("rows"))
+
+
+def importances(model: Boosted) -> list[float]:
+    """Per feature, how much the prediction changes when a split of it changes side: over all
+    trees, levels and pairs of leaves on its two sides, the squared distances of the two values
+    from their mean, each weighted by its training rows; in per cent of the whole."""
+    out = np.zeros(len(model.features))
+    for t in model.trees:
+        leaf = np.arange(len(t.values))
+        for level, f in enumerate(t.features):
+            a = leaf[(leaf >> level) & 1 == 0]
+            b = a | (1 << level)
+            n = t.covers[a] + t.covers[b]
+            mean = np.divide(t.values[a] * t.covers[a] + t.values[b] * t.covers[b], n, out=np.zeros(len(a)), where=n > 0)
+            out[f] += ((t.values[a] - mean) ** 2 * t.covers[a] + (t.values[b] - mean) ** 2 * t.covers[b]).sum()
+    return (out / out.sum() * 100 if out.sum() > 0 else out).tolist()
+
+
+def feature_importance(model: Boosted, spark) -> DataFrame:
+    """(feature, importance, rank) sorted by importance (M15).  k rows."""
+    df = spark.createDataFrame(list(zip(model.features, importances(model))), "feature string, importance double")
+    return df.withColumn("rank", F.row_number().over(
+        Window.partitionBy(F.lit(1)).orderBy(F.col("importance").desc(), F.col("feature"))))

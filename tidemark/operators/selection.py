@@ -1,4 +1,4 @@
-"""Feature selection: information value, correlation pruning (M1-M4).
+"""Feature selection: information value, correlation pruning, shadow selection (M1-M4, M6).
 
 All features are handled in one pass: the frame is turned into long form
 (feature, value, label) with ``stack`` and every statistic is a grouped
@@ -9,15 +9,16 @@ aggregate over ``feature``; only k x k correlation numbers and per-feature IVs
 from __future__ import annotations
 
 import math
-import random
 from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.binning import bin_of_literals, quantile_probs
+from tidemark.operators.binning import bin_of_literals, equal_width_edges, quantile_probs
 from tidemark.operators.ranking import wide_quantiles
 from tidemark.session import cut_lineage
 
@@ -45,7 +46,7 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
 
     Numeric features are binned on exact quantiles (``wide_quantiles``); string features use their
     values as bins.  Rows with a NULL or NaN feature value or a NULL label are skipped for that
-    feature.  A bin without events or without non-events makes IV +inf; a label
+    feature; a feature without two distinct quantiles gets bins of equal width.  A bin without events or without non-events makes IV +inf; a label
     with only one class gives IV 0."""
     if features is None:
         features = [c for c in df.columns if c != label]
@@ -59,6 +60,8 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
         kept = {c: F.when(y.isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numeric}
         quantiles = wide_quantiles(df, kept, quantile_probs(bins))
         edges = {c: sorted(set(q)) for c, q in quantiles.items() if q and q[0] is not None}
+        # quantiles that leave no bin (one distinct value): bins of equal width around it
+        edges = {c: e if len(e) > 1 else equal_width_edges(e[0], e[0], bins) for c, e in edges.items()}
         wide = df.where(y.isNotNull()).select(
             y.alias("_y"), *[bin_of_literals(F.col(c).cast("double"), edges.get(c, [])).alias(f"_b{i}")
                              for i, c in enumerate(numeric)])
@@ -128,83 +131,99 @@ def binomial_tail(hits: int, n: int, p: float = 0.5) -> float:
     return float(sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(hits, n + 1)))
 
 
-def rounds_needed(k: int, alpha: float = 0.05, spare: int = 3) -> int:
-    """Rounds after which a feature that wins all but a few of them passes alpha / k: there is
-    no number of features at which nothing can be accepted."""
-    n = 1
-    while binomial_tail(max(n - spare // 2, 1), n) >= alpha / max(k, 1):
-        n += 1
-    return n
-
-
-def _bijection(n: int, seed: int, r: int, i: int) -> tuple[int, int]:
-    """(a, b) of the permutation p -> (a p + b) mod n of 0..n-1 for round r, feature i."""
-    rng = random.Random(f"{seed}:{r}:{i}")
-    a = rng.randrange(1, n) if n > 1 else 1
-    while math.gcd(a, n) != 1:
-        a = rng.randrange(1, n)
-    return a, rng.randrange(n)
-
-
-def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: str,
-                     rounds: int | None = None, seed: int = 0, num_trees: int = 50, max_depth: int = 5,
-                     alpha: float = 0.05, parallelism: int = 4) -> DataFrame:
-    """All-relevant selection against permuted "shadow" copies (M6).
-
-    Rows are numbered 0..n-1 once.  In each round every feature is permuted on its own, by a
-    keyed bijection of the row numbers written as a Column expression: all features of a
-    row travel in one shuffle to the rows that receive them.  A random forest is fitted on
-    features + shadows and a hit recorded for each feature more important than the
-    best shadow.  A feature is accepted when P(X >= hits | Binomial(rounds, 1/2)) is
-    below alpha / k (Bonferroni); ``rounds`` defaults to ``rounds_needed(k)``.
-    Returns (feature, hits, p_value, accepted)."""
+def rounds_needed(k: int, alpha: float = 0.05) -> int:
+    """Rounds after which winning or losing every one of them is below alpha / k: the first
+    number at which any of k features can be decided."""
+    return max(1, math.floor(math.log2(max(k, 1) / alpha)) + 1)
+
+
+def decide(hits: int, rounds: int, level: float) -> str:
+    """accepted or rejected where the binomial tail of the hits (or of the misses) is below the
+    level, else tentative."""
+    if binomial_tail(hits, rounds) < level:
+        return "accepted"
+    return "rejected" if binomial_tail(rounds - hits, rounds) < level else "tentative"
+
+
+def _blocks(df: DataFrame, features: Sequence[str], label: str, key: str, block_rows: int) -> DataFrame:
+    """Rows dealt to blocks of about ``block_rows`` by a hash of the key, sorted by key inside."""
+    base = df.where(F.col(label).isNotNull()).select(
+        F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"),
+        F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features]).alias("_x"))
+    base = cut_lineage(base)
+    n = max(1, -(-base.count() // block_rows))
+    dealt = base.withColumn("_block", F.pmod(F.xxhash64("_k", F.lit(29)), F.lit(n)).cast("int"))
+    return cut_lineage(dealt.repartition(n, "_block").sortWithinPartitions("_block", "_k"))
+
+
+def _with_shadows(seed: int, turn: int, active: list[int], copies: int):
+    """A block's active features and their shadows: each shadow is its feature permuted
+    inside the block, every one on its own."""
+    def run(block: pa.Table) -> pa.Table:
+        n, at = block.num_rows, block.column("_block")[0].as_py()
+        flat = block.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = flat.reshape(n, -1)[:, active]
+        rng = np.random.Generator(np.random.PCG64([seed, turn, at]))
+        parts = [x] + [rng.permuted(x, axis=0) for _ in range(copies)]
+        wide = np.concatenate(parts, axis=1)
+        values = pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, wide.shape[1]), pa.int32()), pa.array(wide.ravel()))
+        return pa.table({"_y": block.column("_y"), "_v": values})
+    return run
+
+
+def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: str, seed: int = 0, num_trees: int = 50,
+                     max_depth: int = 5, alpha: float = 0.05, max_rounds: int = 100, batch: int = 4,
+                     parallelism: int = 4, block_rows: int = 8192) -> DataFrame:
+    """All-relevant selection against permuted "shadow" copies, one after the other (M6).
+
+    A round fits a random forest on the features still in play and their shadows (at least five)
+    and counts a hit for every feature more important than the best shadow.  Features are
+    tested on both sides, P(X >= hits) and P(X <= hits) for Binomial(rounds, 1/2) against
+    alpha / k: accepted ones stay in the forest as company, rejected ones leave
+    with their shadows, the others are tentative and go on, until none is left or
+    ``max_rounds`` are over.  The first test comes after as many rounds as can decide
+    anything, later ones every ``batch`` rounds; the rounds between two tests run side by side.
+
+    Rows lie in blocks by a hash of the key; a shadow is permuted inside its block, so a
+    round moves no row.  Rows with a NULL label are left out, NULL features count as NaN.
+    Returns (feature, hits, rounds, p_value, state, accepted); ``p_value`` is that of
+    P(X >= hits), ``rounds`` those in which the feature was tested."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
 
-    from tidemark.operators.ranking import global_cumsum
-
+    schema = "feature string, hits int, rounds int, p_value double, state string, accepted boolean"
     feats = list(features)
     k = len(feats)
     if not k:
-        return df.sparkSession.createDataFrame(
-            [], "feature string, hits int, p_value double, accepted boolean")
-    rounds = rounds or rounds_needed(k, alpha)
-    base = df.select(key, F.col(label).cast("double").alias("_lbl"),
-                     F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in feats]).alias("_x"),
-                     F.lit(1).alias("_one"))
-    ordered = cut_lineage(global_cumsum(base, [key], ["_one"]).select(
-        (F.col("cum__one") - 1).alias("_pos"), "_lbl", "_x"))
-    n = ordered.count()
-    parts = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8")), -(-n // 20_000)))
-    hits = {f: 0 for f in feats}
-
-    def one_round(r: int) -> list[bool]:
-        coef = [_bijection(n, seed, r, i) for i in range(k)]
-        moved = ordered.select(F.explode(F.array(*[
-            F.struct(F.pmod(F.col("_pos") * F.lit(a) + F.lit(b), F.lit(n)).alias("_pos"),
-                     F.lit(i).alias("i"), F.col("_x")[i].alias("v")) for i, (a, b) in enumerate(coef)])).alias("s"))
-        shadow = moved.select("s.*").groupBy("_pos").agg(
-            F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_s"))       # k entries a row
-        # deterministic layout: the forest's per-partition sampling then repeats exactly
-        data = ordered.join(shadow, "_pos").repartitionByRange(parts, "_pos").sortWithinPartitions("_pos")
-        train = data.select(array_to_vector(F.concat("_x", F.transform("_s", lambda e: e["v"]))).alias("_fv"),
-                            "_lbl").persist()
-        model = RandomForestClassifier(featuresCol="_fv", labelCol="_lbl", numTrees=num_trees,
-                                       maxDepth=max_depth, seed=seed * 1000 + r).fit(train)
+        return df.sparkSession.createDataFrame([], schema)
+    blocks = _blocks(df, feats, label, key, block_rows)
+    hits, rounds, state = [0] * k, [0] * k, ["tentative"] * k
+
+    def one_round(turn: int, active: list[int]) -> list[int]:
+        copies = -(-5 // len(active))
+        data = blocks.groupBy("_block").applyInArrow(_with_shadows(seed, turn, active, copies), "_y double, _v array<double>")
+        train = data.select(array_to_vector("_v").alias("_fv"), "_y").persist()
+        model = RandomForestClassifier(featuresCol="_fv", labelCol="_y", numTrees=num_trees, maxDepth=max_depth,
+                                       seed=seed * 1000 + turn).fit(train)
         train.unpersist()
         imp = model.featureImportances.toArray()
-        best_shadow = max(imp[k:])
-        return [bool(imp[i] > best_shadow) for i in range(k)]
-
-    # rounds are independent Spark jobs: submit them concurrently
-    if n:
-        with ThreadPoolExecutor(max_workers=max(1, min(rounds, parallelism))) as ex:
-            for won in ex.map(one_round, range(rounds)):
-                for f, w in zip(feats, won):
-                    hits[f] += int(w)
-    rows = []
-    for f in feats:
-        pv = binomial_tail(hits[f], rounds)
-        rows.append((f, hits[f], pv, bool(pv < alpha / max(k, 1))))
-    return df.sparkSession.createDataFrame(
-        rows, "feature string, hits int, p_value double, accepted boolean")
+        best = imp[len(active):].max()
+        return [f for f, v in zip(active, imp) if v > best]
+
+    done, step = 0, min(rounds_needed(k, alpha), max_rounds)
+    any_rows = blocks.limit(1).count() > 0
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        while any_rows and done < max_rounds and "tentative" in state:
+            active = [i for i in range(k) if state[i] != "rejected"]
+            open_ = [i for i in active if state[i] == "tentative"]
+            for won in ex.map(lambda turn: one_round(turn, active), range(done, done + step)):
+                for i in won:
+                    hits[i] += i in open_
+            done += step
+            for i in open_:
+                rounds[i] = done
+                state[i] = decide(hits[i], done, alpha / k)
+            step = min(batch, max_rounds - done)
+    rows = [(f, hits[i], rounds[i], binomial_tail(hits[i], rounds[i]), state[i], state[i] == "accepted")
+            for i, f in enumerate(feats)]
+    return df.sparkSession.createDataFrame(rows, schema)

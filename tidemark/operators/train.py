@@ -1,34 +1,29 @@
-"""Split, train, search, score.
+"""Split, candidate search and the whole chain.
 
-The model is Spark ML's ``GBTClassifier`` (a documented substitution for the
-original boosted-tree library: same role, different trees, no leaf-L2 knob).
-Everything runs as Spark jobs on a feature-vector DataFrame; the driver only
-holds parameters, metrics and names.
+The model is ``boosting.Boosted`` (a documented substitution for the original boosted-tree
+library: symmetric Newton trees with L2 on the leaves, not numerically equal).  Everything runs as
+Spark jobs; the driver only holds parameters, metrics, names and trees.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Sequence
 
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark import SparkContext
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluate import roc_auc
+from tidemark.operators import boosting
+from tidemark.operators.boosting import Boosted, Spec
+from tidemark.operators.evaluate import auc_of_counts
 from tidemark.operators.selection import (correlated_to_drop, correlation_matrix, information_value,
                                           shadow_selection)
 from tidemark.session import cut_lineage
 
-# Parameter names of the original grid mapped to Spark's GBT.  ``l2_leaf_reg`` has
-# no counterpart, so grid points differing only in it are the same Spark model.
-PARAM_MAP = {"iterations": "maxIter", "learning_rate": "stepSize", "depth": "maxDepth"}
-
 
 def split_key(key: str, seed: int):
     """Deterministic per-row hash (hex md5 of ``key:seed``), the same in any engine."""
@@ -61,11 +56,6 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int,
         out, F.coalesce(test, F.lit(False)).cast("int")).drop("_ly", "_last")
 
 
-def assemble(df: DataFrame, features: Sequence[str], label: str, keep: Sequence[str] = ()):
-    va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    return va.transform(df).select(*keep, "features", F.col(label).cast("double").alias("label"))
-
-
 @dataclass
 class Candidate:
     params: dict
@@ -78,95 +68,94 @@ class Candidate:
         return self.test_auc - abs(self.train_auc - self.test_auc)
 
 
-def spark_grid(grid: dict) -> list[dict]:
-    """Cartesian grid in Spark parameter names, duplicates (unmapped knobs) removed."""
-    names = [k for k in grid if k in PARAM_MAP]
-    seen, out = set(), []
-    for combo in itertools.product(*[grid[k] for k in names]):
-        p = {PARAM_MAP[k]: v for k, v in zip(names, combo)}
-        key = tuple(sorted(p.items()))
-        if key not in seen:
-            seen.add(key)
-            out.append(p)
-    return out
+def grid_points(grid: dict) -> list[dict]:
+    """Cartesian product of a grid, in its order."""
+    return [dict(zip(grid, combo)) for combo in itertools.product(*grid.values())]
 
 
-def fit_gbt(train: DataFrame, params: dict, seed: int):
-    return GBTClassifier(featuresCol="features", labelCol="label", seed=seed, **params).fit(train)
-
-
-def score(model, df: DataFrame, out: str = "score") -> DataFrame:
-    """Positive-class probability."""
-    return (model.transform(df)
-            .withColumn(out, vector_to_array(F.col("probability"))[1])
-            .drop("rawPrediction", "probability", "prediction"))
-
-
-def first_trees(model, n: int):
-    """The model of the first ``n`` boosting iterations.  A fit without row sampling or early
-    stopping builds its trees one after the other, so this is the model a fit of n
-    iterations with the same other parameters gives."""
-    if n >= len(model.trees):
-        return model
-    sc = SparkContext._active_spark_context
-    j = model._java_obj
-    old, cls = j.trees(), sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
-    trees, weights = sc._gateway.new_array(cls, n), sc._gateway.new_array(sc._jvm.double, n)
-    for i in range(n):
-        trees[i] = old[i]
-        weights[i] = j.treeWeights()[i]
-    new = sc._jvm.org.apache.spark.ml.classification.GBTClassificationModel(
-        f"{j.uid()}_{n}", trees, weights, j.numFeatures(), j.numClasses())
-    return model.__class__(new)._resetUid(new.uid())
-
-
-def search(data: DataFrame, grid: dict, seed: int, train: str = "part = 'train'",
-           judge: str = "part = 'test'", parallelism: int = 6) -> tuple[object, list[Candidate]]:
-    """Every candidate of the grid by AUC(judge) - |AUC(train) - AUC(judge)|; the best model
-    and all candidates (M8, M9).
-
-    ``data`` holds ``features``, ``label`` and what the two conditions need.  Candidates that
-    differ only in the number of iterations are one fit of the largest, scored at each
-    number; one grouped AUC rates all of them on both parts.  Fits run concurrently."""
-    cands = spark_grid(grid)
-    families: dict[tuple, list[dict]] = {}
-    for p in cands:
-        families.setdefault(tuple(sorted((k, v) for k, v in p.items() if k != "maxIter")), []).append(p)
-    fit_on = data.where(train).persist()
-    seen = data.where(f"({train}) or ({judge})").withColumn("_judge", F.expr(f"({judge})").cast("int")).persist()
-
-    def run(family):
-        whole = fit_gbt(fit_on, max(family, key=lambda p: p["maxIter"]), seed)
-        return [(p, first_trees(whole, p["maxIter"])) for p in family]
+@dataclass(frozen=True)
+class Search:
+    """One grid search: its features, and the column that is 0 on training rows and 1 on the
+    rows that judge."""
+    features: tuple[str, ...]
+    fold: str
+    grid: dict
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        fitted = [r for family in ex.map(run, families.values()) for r in family]
-    # all candidates are rated by one grouped AUC
-    scored = None
-    for i, (_, m) in enumerate(fitted):
-        one = score(m, seen).select(F.lit(i).alias("_cand"), "_judge", "label", "score")
-        scored = one if scored is None else scored.unionByName(one)
-    auc = {(r["_cand"], r["_judge"]): r["auc"]
-           for r in roc_auc(scored, "label", "score", ["_cand", "_judge"]).collect()}   # two rows a candidate
-    results = [(m, Candidate(p, auc.get((i, 0)), auc.get((i, 1)))) for i, (p, m) in enumerate(fitted)]
-    fit_on.unpersist()
-    seen.unpersist()
-    order = {str(p): i for i, p in enumerate(cands)}
-    results.sort(key=lambda r: order[str(r[1].params)])
-    best = max(range(len(results)), key=lambda i: results[i][1].score)
-    return results[best][0], [c for _, c in results]
+
+@dataclass
+class Found:
+    """What a search found: every candidate in the grid's order, its model, and the best."""
+    candidates: list[Candidate]
+    models: list[Boosted]
+
+    @property
+    def best(self) -> int:
+        return max(range(len(self.candidates)), key=lambda i: self.candidates[i].score)
+
+
+def search_many(df: DataFrame, searches: Sequence[Search], label: str, key: str) -> list[Found]:
+    """Every candidate of every search by AUC(judge) - |AUC(train) - AUC(judge)|.
+
+    Candidates that differ only in the number of iterations are one fit, scored at each number;
+    all fits of all searches grow together (``boosting.fit_many``) and one grouped AUC rates them."""
+    specs: list[Spec] = []
+    place: list[list[tuple[int, dict]]] = []
+    for s in searches:
+        family: dict[tuple, int] = {}
+        mine = []
+        most = max(s.grid["iterations"])
+        for p in grid_points(s.grid):
+            k = (p["depth"], p["learning_rate"], p["l2_leaf_reg"])
+            if k not in family:
+                family[k] = len(specs)
+                specs.append(Spec(s.features, p["depth"], p["learning_rate"], p["l2_leaf_reg"], most, s.fold))
+            mine.append((family[k], p))
+        place.append(mine)
+    fitted, blocks, folds, names = boosting.fit_many(df, specs, label, key)
+    models = [[fitted[i].first(p["iterations"]) for i, p in mine] for mine in place]
+    flat = [(m, s.fold) for s, mine in zip(searches, models) for m in mine]
+    counts = boosting.score_counts(blocks, folds, names, flat)
+    auc = {(r["cand"], r["fold"]): r["auc"]
+           for r in auc_of_counts(counts, "score", ["cand", "fold"]).collect()}      # a row a candidate and fold
+    out, at = [], 0
+    for mine, fits in zip(place, models):
+        cands = [Candidate(p, auc.get((at + i, 0)), auc.get((at + i, 1))) for i, (_, p) in enumerate(mine)]
+        out.append(Found(cands, fits))
+        at += len(mine)
+    return out
 
 
 @dataclass
 class Study:
-    """What ``model_pipeline`` chose."""
-    model: object
+    """What ``model_pipeline`` chose.  Without an accepted feature there is no model:
+    ``features`` and ``candidates`` are empty, ``model`` and ``chosen`` None."""
+    model: Boosted | None
     features: list[str]
     candidates: list[Candidate]
     chosen: Candidate | None
-    data: DataFrame | None        # key, part, features (vector), label
-    rows: DataFrame               # key, label, part and the filtered features as columns
-    selection: list[tuple]        # (feature, hits, p_value, accepted)
+    rows: DataFrame               # key, label, part, the filtered features and the kept columns
+    selection: list[tuple]        # (feature, hits, rounds, p_value, state, accepted)
+
+    def scored(self, key: str, *more: str) -> DataFrame:
+        """(key, part, label, more..., score) of every row; no rows without a model."""
+        if self.model is None:
+            return self.rows.select(key, "part", "label", *more, F.lit(None).cast("double").alias("score")).where("false")
+        return boosting.score(self.model, self.rows).select(key, "part", "label", *more, "score")
+
+    def to_json(self) -> str:
+        cands = [[c.params, c.train_auc, c.test_auc] for c in self.candidates]
+        m = self.model
+        model = m and [m.features, m.edges, [[t.features, t.cuts, t.values.tolist(), t.covers.tolist()] for t in m.trees]]
+        return json.dumps([model, self.features, cands, self.candidates.index(self.chosen) if self.chosen else None, self.selection])
+
+    @staticmethod
+    def from_json(text: str, rows: DataFrame) -> Study:
+        model, features, cands, chosen, selection = json.loads(text)
+        if model:
+            trees = tuple(boosting.Tree(tuple(f), tuple(c), np.array(v), np.array(w)) for f, c, v, w in model[2])
+            model = Boosted(tuple(model[0]), tuple(map(tuple, model[1])), trees)
+        cands = [Candidate(*c) for c in cands]
+        return Study(model, features, cands, None if chosen is None else cands[chosen], rows, [tuple(r) for r in selection])
 
 
 def model_pipeline(df: DataFrame, features: Sequence[str], label: str, key: str, grid: dict, seed: int,
@@ -178,27 +167,73 @@ def model_pipeline(df: DataFrame, features: Sequence[str], label: str, key: str,
 
     ``validation_share`` > 0 holds out that share of the training rows to choose the
     candidate, so the test rows stay untouched; with 0 the test rows choose (the original
-    rule).  When selection accepts no feature there is no model: ``model`` and ``chosen``
-    are None and ``features`` is empty."""
+    rule)."""
+    return pipelines(df, {"": F.lit(True)}, features, label, key, grid, [seed], corr_threshold, iv_threshold, bins,
+                     test_share, validation_share, num_trees, prefiltered, keep)[("", seed)]
+
+
+def pipelines(df: DataFrame, groups: dict[str, Column], features: Sequence[str], label: str, key: str, grid: dict,
+              seeds: Sequence[int], corr_threshold: float = 0.7, iv_threshold: float = 0.01, bins: int = 10,
+              test_share: float = 0.2, validation_share: float = 0.0, num_trees: int = 50,
+              prefiltered: bool = False, keep: Sequence[str] = (), fit: bool = True,
+              parallelism: int = 4) -> dict[tuple[str, int], Study]:
+    """The chain for every group of rows (a name and its condition) and every seed, all models
+    fitted in the same passes (M17, M18, M20).  Selections run side by side; ``fit`` False
+    stops after them."""
     feats = list(features)
-    if not prefiltered:
-        feats = prefilter(df, feats, label, corr_threshold, iv_threshold, bins)
-    sp = stratified_split(df, label, key, seed, test_share)
-    part = F.when(F.col("is_test") == 1, "test").otherwise("train")
-    if validation_share:
-        held = stratified_split(sp.where("is_test = 0"), label, key, seed + 7919, validation_share, "_v").where(
-            "_v = 1").select(F.col(key).alias("_vk"))
-        sp = sp.join(held, F.col(key) == F.col("_vk"), "left")
-        part = F.when(F.col("is_test") == 1, "test").when(F.col("_vk").isNotNull(), "valid").otherwise("train")
-    sp = cut_lineage(sp.withColumn("part", part).select(key, label, "part", *feats, *[c for c in keep if c not in feats]))
-    sel = [tuple(r) for r in shadow_selection(sp.where("part = 'train'"), feats, label, key, seed=seed,
-                                              num_trees=num_trees).collect()]        # one row per feature
-    chosen = [r[0] for r in sel if r[3]]
-    if not chosen:
-        return Study(None, [], [], None, None, sp, sel)
-    data = stable(assemble(sp, chosen, label, keep=[key, "part", *keep]), key)
-    model, cands = search(data, grid, seed, judge="part = 'valid'" if validation_share else "part = 'test'")
-    return Study(model, chosen, cands, max(cands, key=lambda c: c.score), data, sp, sel)
+    marked = df.select(key, F.col(label).alias("label"), *[c.alias(f"_g{i}") for i, c in enumerate(groups.values())],
+                       *feats, *[c for c in keep if c not in feats])
+    kept: dict[str, list[str]] = {}
+    marks = []
+    for i, name in enumerate(groups):
+        mine = marked.where(F.coalesce(F.col(f"_g{i}"), F.lit(False)))
+        kept[name] = feats if prefiltered else prefilter(mine, feats, "label", corr_threshold, iv_threshold, bins)
+        for j, seed in enumerate(seeds):
+            sp = stratified_split(mine.select(key, "label"), "label", key, seed, test_share)
+            part = F.when(F.col("is_test") == 1, "test").otherwise("train")
+            if validation_share:
+                held = stratified_split(sp.where("is_test = 0"), "label", key, seed + 7919, validation_share, "_v").where(
+                    "_v = 1").select(F.col(key).alias("_vk"))
+                sp = sp.join(held, F.col(key) == F.col("_vk"), "left")
+                part = F.when(F.col("is_test") == 1, "test").when(F.col("_vk").isNotNull(), "valid").otherwise("train")
+            marks.append(sp.select(F.col(key), F.lit(f"_p{i}_{j}").alias("_split"), part.alias("_part")))
+    parts = marks[0]
+    for m in marks[1:]:
+        parts = parts.unionByName(m)
+    names = [f"_p{i}_{j}" for i in range(len(groups)) for j in range(len(seeds))]
+    # one row a key: its part in every split, in one aggregate in place of a join per split
+    parts = parts.groupBy(F.col(key).alias("_key")).agg(
+        *[F.max(F.when(F.col("_split") == n, F.col("_part"))).alias(n) for n in names])
+    rows = cut_lineage(marked.join(parts, F.col(key) == F.col("_key"), "left").drop("_key"))
+
+    studies, searches = {}, []
+    judge = "valid" if validation_share else "test"
+
+    def select(what):
+        i, name, j, seed = what
+        return [tuple(r) for r in shadow_selection(rows.where(F.col(f"_p{i}_{j}") == "train"), kept[name], "label", key, seed=seed,
+                                                   num_trees=num_trees).collect()]        # one row per feature
+
+    cases = [(i, name, j, seed) for i, name in enumerate(groups) for j, seed in enumerate(seeds)]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+        selections = dict(zip(cases, ex.map(select, cases)))
+    for i, name in enumerate(groups):
+        for j, seed in enumerate(seeds):
+            column, sel = f"_p{i}_{j}", selections[i, name, j, seed]
+            chosen = [r[0] for r in sel if r[5]]
+            view = rows.where(F.col(column).isNotNull()).select(
+                key, "label", F.col(column).alias("part"), *kept[name], *[c for c in keep if c not in kept[name]])
+            studies[name, seed] = Study(None, chosen, [], None, view, sel)
+            if chosen and fit:
+                searches.append(((name, seed), Search(tuple(chosen), f"_f{i}_{j}", grid)))
+    if searches:
+        for n in names:
+            rows = rows.withColumn(n.replace("_p", "_f"), F.when(F.col(n) == "train", 0).when(F.col(n) == judge, 1).when(
+                F.col(n).isNotNull(), 2))
+        for (k, s), found in zip(searches, search_many(rows, [s for _, s in searches], "label", key)):
+            st = studies[k]
+            st.candidates, st.chosen, st.model = found.candidates, found.candidates[found.best], found.models[found.best]
+    return studies
 
 
 def prefilter(df: DataFrame, features: Sequence[str], label: str, corr_threshold: float,
@@ -209,13 +244,3 @@ def prefilter(df: DataFrame, features: Sequence[str], label: str, corr_threshold
     low = {r.feature for r in information_value(df, label, kept, bins=bins)
            .where(F.col("iv") < iv_threshold).collect()}                     # one row per feature
     return [f for f in kept if f not in low]
-
-
-def stable(df: DataFrame, key: str) -> DataFrame:
-    """Deterministic layout (ranges of the row key, sorted inside, about 20,000 rows or more a
-    partition) cut by a checkpoint: seeded fits then see the same partitions and row
-    order on every run, whatever the adaptive planner did upstream."""
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    df = cut_lineage(df)
-    n = max(1, min(most, -(-df.count() // 20_000)))
-    return cut_lineage(df.repartition(n, key).sortWithinPartitions(key))

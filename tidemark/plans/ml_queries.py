@@ -1,34 +1,66 @@
 """Registered queries: split, training, search, segments, selection, stability,
 importance and attribution (build steps 9-10).
 
-Fitted numbers have no SQL form; each of those queries has a companion whose rows
-are exact (``*_check``, ``segment_split_counts``, ``selection_frequency``)."""
+Models of many deep trees have no SQL form.  Their queries have companions of one tree
+(``one_tree_*``, ``tree_sql``): the same operators on four features, with every number (cuts, leaf
+values, scores, AUC, decile tables, importances, attributions) worked out in SQL."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import hashlib
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from tidemark.functions import ordinal_map
+from tidemark.operators import boosting
+from tidemark.operators.boosting import Spec
 from tidemark.operators.evaluate import cut_labels, ks_peak, ks_statistic, ks_table, roc_auc
-from tidemark.operators.explain import attribution_summary, feature_importance, shapley_values
+from tidemark.operators.explain import attribution_summary, feature_importance, importances, tree_shap
 from tidemark.operators.selection import shadow_selection
-from tidemark.operators.train import Study, model_pipeline, prefilter, score, stratified_split
+from tidemark.operators.train import Search, Study, model_pipeline, pipelines, prefilter, search_many, stratified_split
 from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
+from tidemark.plans import tree_sql
 from tidemark.plans.model_queries import _matrix_features, model_matrix_cut
 from tidemark.plans.registry import register
-from tidemark.session import cut_lineage
+from tidemark.session import checkpoint_dir, cut_lineage
 
 SEED = 3
 STABILITY_SEEDS = list(range(10))
 KEY = "o_orderkey"
 
 
+def stored(spark, root: str, name: str, build) -> dict[str, Study]:
+    """Studies fitted once per application and read back by every query that reports on them.
+
+    They lie under the checkpoint folder by application, input folder and name: the rows first, the
+    document with models, candidates and selections last, so a half-written study is not
+    taken for a whole one."""
+    run = hashlib.md5(f"{root}|{name}".encode()).hexdigest()
+    base = f"{checkpoint_dir(spark)}/tidemark-studies/{spark.conf.get('spark.app.id')}/{run}"
+
+    def read():
+        return {r["name"]: Study.from_json(r["doc"], spark.read.parquet(f"{base}/rows/{r['at']}"))
+                for r in spark.read.parquet(f"{base}/doc").orderBy("at").collect()}       # one row a study
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    studies = build()
+    for at, st in enumerate(studies.values()):
+        st.rows.write.mode("overwrite").parquet(f"{base}/rows/{at}")
+    docs = [(n, at, st.to_json()) for at, (n, st) in enumerate(studies.items())]
+    spark.createDataFrame(docs, "name string, at int, doc string").coalesce(1).write.mode("overwrite").parquet(f"{base}/doc")
+    return read()
+
+
 def study(spark, root, validation_share: float = 0.0) -> Study:
     """The whole chain on the model matrix: filters, split, shadow selection, grid, model."""
-    return model_pipeline(model_matrix_cut(spark, root), _matrix_features(), "y", KEY, K.MODEL_GRID, SEED,
-                          K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS, K.TEST_SHARE, validation_share)
+    return stored(spark, root, f"whole-{validation_share}", lambda: {"": model_pipeline(
+        model_matrix_cut(spark, root), _matrix_features(), "y", KEY, K.MODEL_GRID, SEED,
+        K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS, K.TEST_SHARE, validation_share)})[""]
 
 
 _SPLIT_BODY = f"""
@@ -49,9 +81,8 @@ def stratified_split_query(spark, root):
 
 @register("train_and_score")
 def train_and_score(spark, root):
-    """The chosen model's score of every row."""
-    st = study(spark, root)
-    return score(st.model, st.data).select(KEY, F.col("label").cast("int").alias("y"), "part", "score")
+    """The chosen model's score of every row (M7, M10, M17); no rows where no feature was accepted."""
+    return study(spark, root).scored(KEY).select(KEY, F.col("label").cast("int").alias("y"), "part", "score")
 
 
 @register("train_and_score_check", fx.with_views(
@@ -65,37 +96,37 @@ def train_and_score_check(spark, root):
 
 @register("model_search")
 def model_search(spark, root):
-    """Every distinct Spark candidate of the search grid by test AUC - |train AUC - test AUC|,
-    the chosen one flagged (M8, M9)."""
-    st = study(spark, root)
-    return _candidates(spark, st)
+    """Every candidate of the search grid by test AUC - |train AUC - test AUC|, the chosen one
+    flagged (M8, M9)."""
+    return _candidates(spark, study(spark, root))
 
 
 def _candidates(spark, st: Study):
-    rows = [(c.params["maxIter"], float(c.params["stepSize"]), c.params["maxDepth"], c.train_auc,
-             c.test_auc, c.score, c is st.chosen) for c in st.candidates]
-    return spark.createDataFrame(rows, "max_iter int, step_size double, max_depth int, "
-                                       "train_auc double, test_auc double, selection_score double, "
-                                       "chosen boolean")
+    rows = [(c.params["iterations"], float(c.params["learning_rate"]), c.params["depth"], c.params["l2_leaf_reg"],
+             c.train_auc, c.test_auc, c.score, c is st.chosen) for c in st.candidates]
+    return spark.createDataFrame(rows, "max_iter int, step_size double, max_depth int, l2_leaf_reg int, "
+                                       "train_auc double, test_auc double, selection_score double, chosen boolean")
 
 
 SQL_SEARCH_CHECK = f"""
-SELECT i AS max_iter, CAST(s AS DOUBLE) AS step_size, d AS max_depth, 1 AS consistent
+SELECT i AS max_iter, CAST(s AS DOUBLE) AS step_size, d AS max_depth, l AS l2_leaf_reg, 1 AS consistent
 FROM (SELECT UNNEST({K.MODEL_GRID['iterations']}) AS i),
      (SELECT UNNEST({K.MODEL_GRID['learning_rate']}) AS s),
-     (SELECT UNNEST({K.MODEL_GRID['depth']}) AS d)"""
+     (SELECT UNNEST({K.MODEL_GRID['depth']}) AS d),
+     (SELECT UNNEST({K.MODEL_GRID['l2_leaf_reg']}) AS l)"""
 
 
 @register("model_search_check", SQL_SEARCH_CHECK)
 def model_search_check(spark, root):
-    """The search with a validation hold-out rates every candidate of the grid; AUCs lie in
-    [0, 1], scores follow from them, and the chosen one has the best score (M9, M17)."""
+    """The search with a validation hold-out rates every point of the grid; AUCs lie in
+    [0, 1], scores follow from them, and the chosen one has the best score (M9, M17).  The rated
+    numbers themselves are checked by ``one_tree_search``."""
     c = _candidates(spark, study(spark, root, validation_share=0.25))
     best = c.select(F.max("selection_score")).scalar()
     ok = (F.col("train_auc").between(0, 1) & F.col("test_auc").between(0, 1)
           & (F.abs(F.col("selection_score") - F.col("test_auc") + F.abs(F.col("train_auc") - F.col("test_auc"))) < 1e-12)
           & (~F.col("chosen") | (F.col("selection_score") == best)))
-    return c.select("max_iter", "step_size", "max_depth", ok.cast("int").alias("consistent"))
+    return c.select("max_iter", "step_size", "max_depth", "l2_leaf_reg", ok.cast("int").alias("consistent"))
 
 
 def _segments(spark, root, mm):
@@ -106,93 +137,100 @@ def _segments(spark, root, mm):
                     .when(F.col("o_totalprice") > K.FX_PAYMENT_SEGMENT, "large")).drop("_k", "o_totalprice")
 
 
-def segment_studies(seg, features, label: str, key: str, grid: dict) -> dict[str, Study]:
-    """The whole chain on each segment of a matrix with the column ``segment``."""
-    def one(name):
-        return model_pipeline(seg.where(F.col("segment") == name), features, label, key, grid, SEED,
-                              K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS, K.TEST_SHARE)
-
-    names = ("small", "large")
-    with ThreadPoolExecutor(max_workers=2) as ex:
-        return dict(zip(names, ex.map(one, names)))
+def segment_studies(seg, features, label: str, key: str, grid: dict, keep=()) -> dict[str, Study]:
+    """The whole chain on every segment of a matrix with the column ``segment``; the models of
+    all segments are fitted in the same passes, the segment being part of the training key."""
+    names = [r["segment"] for r in seg.select("segment").where("segment is not null").distinct().orderBy("segment").collect()]
+    groups = {n: F.col("segment") == F.lit(n) for n in names}                  # one name a segment
+    found = pipelines(seg, groups, features, label, key, grid, [SEED], K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS,
+                      K.TEST_SHARE, keep=keep)
+    return {name: st for (name, _), st in found.items()}
 
 
 def _studies(spark, root) -> dict[str, Study]:
-    seg = cut_lineage(_segments(spark, root, model_matrix_cut(spark, root)))
-    return segment_studies(seg, _matrix_features(), "y", KEY, K.MODEL_GRID)
+    def build():
+        seg = cut_lineage(_segments(spark, root, model_matrix_cut(spark, root)))
+        return segment_studies(seg, _matrix_features(), "y", KEY, K.MODEL_GRID)
+    return stored(spark, root, "segments", build)
 
 
-def _by_segment(spark, studies: dict[str, Study], schema: str, one):
-    """Tables of the segments that have a model, one below the other, with a segment column."""
-    out = spark.createDataFrame([], f"segment string, {schema}")
+def segment_scores(studies: dict[str, Study], key: str):
+    """(segment, key, part, label, score): every row of a segment that has a model, all scored in one pass."""
+    fitted = {n: st for n, st in studies.items() if st.model is not None}
+    wide = sorted({f for st in fitted.values() for f in st.features})
+    rows = None
     for name, st in studies.items():
-        if st.model is not None:
-            out = out.unionByName(one(name, st).withColumn("segment", F.lit(name)).select(out.columns))
-    return out
+        one = st.rows.select(F.lit(name).alias("segment"), F.col(key), "part", "label", *[
+            (F.col(f) if f in st.features else F.lit(None)).cast("double").alias(f) for f in wide])
+        one = one if name in fitted else one.where("false")
+        rows = one if rows is None else rows.unionByName(one)
+    return boosting.score_by({n: st.model for n, st in fitted.items()}, rows, "segment").select(
+        "segment", key, "part", "label", "score")
 
 
-def _segment_scores(st: Study, key: str):
-    return cut_lineage(score(st.model, st.data).select(key, "part", "label", "score"))
+def _with_all(scored):
+    """Every row in its part and in the part ``all``."""
+    return scored.withColumn("part", F.explode(F.array("part", F.lit("all"))))
 
 
-def _segment_phi(st: Study, key: str):
-    return shapley_values(st.model, st.rows.where("part = 'test'"), st.rows.where("part = 'train'"), st.features,
-                          key, seed=SEED)
+def segment_ks(studies, key):
+    """(segment, part, decile table): the training rows, the test rows and all of them."""
+    return ks_table(_with_all(cut_lineage(segment_scores(studies, key))), "label", "score", groups=["segment", "part"])
 
 
-def segment_ks(spark, studies, key):
-    """(segment, part, decile table): the training rows, the test rows and all of them."""
-    def one(name, st):
-        scored = _segment_scores(st, key)
-        parts = [ks_table(scored.where(on), "label", "score").withColumn("part", F.lit(part))
-                 for part, on in (("train", "part = 'train'"), ("test", "part = 'test'"), ("all", "true"))]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return _by_segment(spark, studies, "part string, decile int, min_prob double, max_prob double, events double, "
-                       "nonevents double, pop double, event_rate double, nonevent_rate double, cum_eventrate double, "
-                       "cum_noneventrate double, ks double, cure_rate double", one)
+CUTS = {"large": (K.CUTS_LARGE_PAYMENT, True), "small": (K.CUTS_SMALL_PAYMENT, False)}
 
 
-def segment_cuts(spark, studies, key, key_type="long"):
-    """(segment, key, part, label, score, decile): every row, its score cut by its segment's own list."""
-    def one(name, st):
-        cuts = K.CUTS_LARGE_PAYMENT if name == "large" else K.CUTS_SMALL_PAYMENT
-        return _segment_scores(st, key).select(key, "part", "label", "score", cut_labels(
-            "score", cuts, K.DECILE_LABELS, first_open=name == "large").alias("decile"))
-    return _by_segment(spark, studies, f"{key} {key_type}, part string, label double, score double, decile string", one)
+def segment_cuts(studies, key, cuts: dict = CUTS, default=(K.CUTS_OVERALL, False)):
+    """(segment, key, part, label, score, decile): every row, its score cut by its segment's own
+    list (``cuts``: segment -> list, first bin open below) or the ``default``."""
+    scored = segment_scores(studies, key)
+    label = cut_labels("score", default[0], K.DECILE_LABELS, first_open=default[1])
+    for name, (points, first_open) in cuts.items():
+        label = F.when(F.col("segment") == name, cut_labels("score", points, K.DECILE_LABELS, first_open=first_open)).otherwise(label)
+    return scored.select("segment", key, "part", "label", "score", label.alias("decile"))
 
 
 def segment_importances(spark, studies):
     """(segment, feature, importance, rank) of all features of a segment's model."""
-    return _by_segment(spark, studies, "feature string, importance double, rank int",
-                       lambda name, st: feature_importance(st.model, st.features, spark))
+    out = spark.createDataFrame([], "segment string, feature string, importance double, rank int")
+    for name, st in studies.items():
+        if st.model is not None:
+            out = out.unionByName(feature_importance(st.model, spark).withColumn("segment", F.lit(name)).select(out.columns))
+    return out
 
 
 def segment_phi(spark, studies, key, key_type="long"):
     """(segment, key, feature, value, phi) of every test row of a segment."""
-    return _by_segment(spark, studies, f"{key} {key_type}, feature string, value double, phi double",
-                       lambda name, st: _segment_phi(st, key))
+    out = spark.createDataFrame([], f"segment string, {key} {key_type}, feature string, value double, phi double")
+    for name, st in studies.items():
+        if st.model is not None:
+            out = out.unionByName(tree_shap(st.model, st.rows.where("part = 'test'"), key).withColumn(
+                "segment", F.lit(name)).select(out.columns))
+    return out
 
 
-def segment_summary(spark, studies, key):
+def segment_summary(spark, studies, key, key_type="long"):
     """One row a segment, see ``segment_models``."""
-    def one(item):
-        name, st = item
-        if st.model is None:
-            return (name, st.rows.count(), 0, None, None, None, None, None, None, None, None)
-        scored = _segment_scores(st, key)
-        by = {r["part"]: r["auc"] for r in roc_auc(scored, "label", "score", ["part"]).collect()}
-        ks = {r["part"]: r["ks"] for r in ks_statistic(scored, "label", "score", ["part"]).collect()}
-        peak = ks_peak(ks_table(scored, "label", "score")).first()
-        top = feature_importance(st.model, st.features, spark).where("rank = 1").first()["feature"]
-        phi = attribution_summary(_segment_phi(st, key)).where(F.col("feature") == top).first()
-        return (name, scored.count(), len(st.features), by.get("train"), by.get("test"), float(peak["max_ks"]),
-                peak["at_decile"], top, phi["mean_abs_phi"] if phi else None, ks.get("train"), ks.get("test"))
-
-    with ThreadPoolExecutor(max_workers=2) as ex:
-        rows = list(ex.map(one, studies.items()))
-    return spark.createDataFrame(rows, "segment string, rows long, n_features int, train_auc double, test_auc double, "
-                                       "max_ks double, at_decile int, top_feature string, top_mean_abs_phi double, "
-                                       "train_ks double, test_ks double")
+    scored = cut_lineage(segment_scores(studies, key))
+    auc = roc_auc(scored, "label", "score", ["segment", "part"]).groupBy("segment").agg(
+        F.max(F.expr("IF(part = 'train', auc, NULL)")).alias("train_auc"), F.max(F.expr("IF(part = 'test', auc, NULL)")).alias("test_auc"))
+    ks = ks_statistic(scored, "label", "score", ["segment", "part"]).groupBy("segment").agg(
+        F.max(F.expr("IF(part = 'train', ks, NULL)")).alias("train_ks"), F.max(F.expr("IF(part = 'test', ks, NULL)")).alias("test_ks"))
+    peak = ks_peak(ks_table(scored, "label", "score", groups=["segment"]), ["segment"])
+    top = segment_importances(spark, studies).where("rank = 1").select("segment", F.col("feature").alias("top_feature"))
+    size = segment_phi(spark, studies, key, key_type).groupBy("segment", F.col("feature").alias("top_feature")).agg(
+        F.avg(F.abs("phi")).alias("top_mean_abs_phi"))
+    base = spark.createDataFrame([(n, len(st.features) if st.model else 0) for n, st in studies.items()], "segment string, n_features int")
+    rows = None
+    for n, st in studies.items():
+        one = st.rows.select(F.lit(n).alias("segment"))
+        rows = one if rows is None else rows.unionByName(one)
+    rows = rows.groupBy("segment").agg(F.count(F.lit(1)).alias("rows"))
+    out = base.join(rows, "segment", "left").join(auc, "segment", "left").join(ks, "segment", "left").join(
+        peak, "segment", "left").join(top, "segment", "left").join(size, ["segment", "top_feature"], "left")
+    return out.select("segment", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), "n_features", "train_auc", "test_auc",
+                      "max_ks", "at_decile", "top_feature", "top_mean_abs_phi", "train_ks", "test_ks")
 
 
 @register("segment_models")
@@ -206,13 +244,13 @@ def segment_models(spark, root):
 @register("segment_ks_tables")
 def segment_ks_tables(spark, root):
     """Decile tables of each segment's model on train, test and all rows."""
-    return segment_ks(spark, _studies(spark, root), KEY)
+    return segment_ks(_studies(spark, root), KEY)
 
 
 @register("segment_cut_deciles")
 def segment_cut_deciles(spark, root):
     """Each segment model's scores under the segment's fixed cut-offs."""
-    return segment_cuts(spark, _studies(spark, root), KEY)
+    return segment_cuts(_studies(spark, root), KEY)
 
 
 @register("segment_importance")
@@ -230,9 +268,8 @@ def segment_attribution(spark, root):
 @register("segment_attribution_summary")
 def segment_attribution_summary(spark, root):
     """Mean |phi| per feature over the test rows of each segment."""
-    studies = _studies(spark, root)
-    return _by_segment(spark, studies, "feature string, mean_abs_phi double, rows long",
-                       lambda name, st: attribution_summary(_segment_phi(st, KEY)))
+    return segment_phi(spark, _studies(spark, root), KEY).groupBy("segment", "feature").agg(
+        F.avg(F.abs("phi")).alias("mean_abs_phi"), F.count(F.lit(1)).alias("rows"))
 
 
 SQL_SEGMENT_SPLIT = fx.with_views(f"""
@@ -265,7 +302,7 @@ def shadow_selection_query(spark, root):
 
 @register("shadow_selection_check", "SELECT * FROM (VALUES ('planted', 1), ('noise_1', 0), ('noise_2', 0)) t(feature, accepted)")
 def shadow_selection_check(spark, root):
-    """A planted copy of the label with errors is accepted, hashed noise is rejected (M6)."""
+    """A planted copy of the label with errors is accepted, hashed noise is not (M6)."""
     h = lambda n: F.pmod(F.xxhash64(KEY, F.lit(n)), F.lit(10_000)).cast("double")
     df = fx.scored_orders(spark, root).select(
         KEY, "y", (F.col("y") * 4000 + h(0)).alias("planted"), h(1).alias("noise_1"), h(2).alias("noise_2"))
@@ -273,29 +310,28 @@ def shadow_selection_check(spark, root):
     return sel.select("feature", F.col("accepted").cast("int").alias("accepted"))
 
 
-def seed_stability_df(spark, root, seeds=STABILITY_SEEDS, grid: dict = K.SEED_GRID, parallelism: int = 3):
-    """Per seed: split, shadow selection on train, grid search, train/test AUC of the chosen
-    model and the selected features (M18).  Seeds are independent and run concurrently."""
+def seed_studies(spark, root, seeds=STABILITY_SEEDS, grid: dict = K.SEED_GRID, fit: bool = True) -> dict[int, Study]:
+    """The chain of every seed on the filtered matrix: split and selection of their own, all
+    models of all seeds fitted in the same passes (M18)."""
     mm = model_matrix_cut(spark, root)
     feats = prefilter(mm, _matrix_features(), "y", K.CORR_THRESHOLD, K.IV_THRESHOLD, K.IV_BINS)
+    found = pipelines(mm, {"": F.lit(True)}, feats, "y", KEY, grid, seeds, test_share=K.TEST_SHARE, prefiltered=True, fit=fit)
+    return {seed: st for (_, seed), st in found.items()}
 
-    def one_seed(seed):
-        st = model_pipeline(mm, feats, "y", KEY, grid, seed, test_share=K.TEST_SHARE, prefiltered=True)
-        if st.chosen is None:
-            return (seed, None, None, None, [])
-        a, b = st.chosen.train_auc, st.chosen.test_auc
-        return (seed, a, b, abs(a - b), st.features)
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        rows = list(ex.map(one_seed, seeds))
-    return spark.createDataFrame(rows, "seed int, train_auc double, test_auc double, "
-                                       "delta_auc double, features array<string>")
+def seed_stability_df(spark, studies: dict[int, Study]):
+    """Per seed: train/test AUC of the chosen model, their distance and the selected features."""
+    rows = []
+    for seed, st in studies.items():
+        a, b = (st.chosen.train_auc, st.chosen.test_auc) if st.chosen else (None, None)
+        rows.append((seed, a, b, abs(a - b) if st.chosen else None, st.features))
+    return spark.createDataFrame(rows, "seed int, train_auc double, test_auc double, delta_auc double, features array<string>")
 
 
 @register("seed_stability")
 def seed_stability(spark, root):
     """AUC and selected features per seed, each with its own grid search."""
-    return seed_stability_df(spark, root)
+    return seed_stability_df(spark, seed_studies(spark, root))
 
 
 SQL_FREQUENCY = """
@@ -323,30 +359,32 @@ def list_frequency(spark, root):
 
 @register("selection_frequency")
 def selection_frequency(spark, root):
-    """How often each feature was selected across seeds, and list sizes (M19); the study of
-    the seeds with a grid of one point."""
-    one = {k: v[:1] for k, v in K.SEED_GRID.items()}
-    return frequency_of(seed_stability_df(spark, root, grid=one))
+    """How often each feature was selected across seeds, and list sizes (M19): the splits and
+    selections of ``seed_stability`` without its fits."""
+    return frequency_of(seed_stability_df(spark, seed_studies(spark, root, fit=False)).select("features"))
 
 
 @register("feature_importance")
 def feature_importance_query(spark, root):
     """Importance of each feature of the chosen model, sorted and ranked."""
     st = study(spark, root)
-    return feature_importance(st.model, st.features, spark)
+    if st.model is None:
+        return spark.createDataFrame([], "feature string, importance double, rank int")
+    return feature_importance(st.model, spark)
 
 
 def _attribution(spark, root):
-    """(o_orderkey, feature, value, phi, gap) of the chosen model on all test rows."""
+    """(o_orderkey, feature, value, phi) of the chosen model on all test rows."""
     st = study(spark, root)
-    return shapley_values(st.model, st.rows.where("part = 'test'"), st.rows.where("part = 'train'"), st.features,
-                          KEY, seed=SEED)
+    if st.model is None:
+        return spark.createDataFrame([], f"{KEY} long, feature string, value double, phi double")
+    return tree_shap(st.model, st.rows.where("part = 'test'"), KEY)
 
 
 @register("attribution_rows")
 def attribution_rows(spark, root):
     """Feature value and phi of every test row and feature (M16, the scatter view's table)."""
-    return _attribution(spark, root).drop("gap")
+    return _attribution(spark, root)
 
 
 @register("attribution_summary")
@@ -358,7 +396,169 @@ def attribution_summary_query(spark, root):
 @register("attribution_check", fx.with_views(
     "SELECT o_orderkey, 1 AS adds_up FROM split WHERE is_test = 1", "scored_orders", extra=(("split", _SPLIT_BODY),)))
 def attribution_check(spark, root):
-    """Per test row, the attributions add up to the score minus the mean score of the row's
-    background rows (M16)."""
-    phi = _attribution(spark, root)
-    return phi.groupBy(KEY).agg((F.abs(F.sum("phi") - F.first("gap")) < 1e-9).cast("int").alias("adds_up"))
+    """Per test row, the attributions and the model's mean add up to the row's log-odds."""
+    from tidemark.operators.explain import expected_raw
+    st = study(spark, root)
+    if st.model is None:
+        return spark.createDataFrame([], f"{KEY} long, adds_up int")
+    phi = _attribution(spark, root).groupBy(KEY).agg(F.sum("phi").alias("phi"))
+    raw = F.ln(F.col("score") / (1 - F.col("score")))
+    return st.scored(KEY).where("part = 'test'").join(phi, KEY).select(
+        KEY, (F.abs(F.col("phi") + expected_raw(st.model) - raw) < 1e-9).cast("int").alias("adds_up"))
+
+
+# ------------------------------------------------------------- one tree, in Spark and in SQL
+
+TREE_FEATURES = ("price", "balance", "kind", "noise")
+TREE_GRID = {"iterations": [1], "learning_rate": [0.05], "depth": [1, 2], "l2_leaf_reg": [10, 20]}
+_R = 9                                     # places that fitted numbers are compared to
+
+
+def tree_rows(spark, root, marks: dict):
+    """Scored orders with four features and one fold column per mark: (condition, seed) -> 0 on
+    training rows, 1 on test rows, NULL on rows outside the condition."""
+    c = fx.table(spark, root, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment")
+    rows = fx.scored_orders(spark, root).join(c, "o_custkey", "left").select(
+        KEY, "y", F.col("o_totalprice").cast("double").alias("price"), F.col("c_acctbal").cast("double").alias("balance"),
+        ordinal_map("c_mktsegment", K.FX_BUSINESS_TYPE_ORDER).cast("double").alias("kind"),
+        (F.col(KEY) * 7919 % 1000).cast("double").alias("noise"))
+    rows = cut_lineage(rows)
+    out = rows
+    for name, (where, seed) in marks.items():
+        part = stratified_split(rows.where(where), "y", KEY, seed, K.TEST_SHARE).select(F.col(KEY).alias("_k"), F.col("is_test").alias(name))
+        out = out.join(part, F.col(KEY) == F.col("_k"), "left").drop("_k")
+    return cut_lineage(out)
+
+
+def _one_tree(spark, root, marks: dict, depth: int = 2, l2: float = 10.0):
+    """(rows, fold -> model) of one tree per mark, all fitted together."""
+    rows = tree_rows(spark, root, marks)
+    models, *_ = boosting.fit_many(rows, [Spec(TREE_FEATURES, depth, 0.05, l2, 1, m) for m in marks], "y", KEY)
+    return rows, dict(zip(marks, models))
+
+
+WHOLE = {"fold": ("true", SEED)}
+PARTS = {"small": (f"price <= {K.FX_PAYMENT_SEGMENT}", SEED), "large": (f"price > {K.FX_PAYMENT_SEGMENT}", SEED)}
+
+
+@register("one_tree", tree_sql.query(WHOLE, {"fold": (2, 10)}, f"""
+SELECT t.leaf, ROUND(t.value, {_R}) AS value, t.n AS cover, c1.feature AS feature_1, ROUND(c1.edges[b1.cut + 1], {_R}) AS cut_1,
+       c2.feature AS feature_2, ROUND(c2.edges[b2.cut + 1], {_R}) AS cut_2
+FROM leaf t JOIN b1 ON b1.m = t.m JOIN b2 ON b2.m = t.m JOIN edge c1 ON c1.i = b1.i JOIN edge c2 ON c2.i = b2.i"""))
+def one_tree(spark, root):
+    """The tree of depth 2 with L2 10 on the training rows: cuts, leaf values, training rows per
+    leaf (M7)."""
+    _, models = _one_tree(spark, root, WHOLE)
+    model = models["fold"]
+    t = model.trees[0]
+    cuts = [(model.features[f], round(model.edges[f][c], _R)) for f, c in zip(t.features, t.cuts)]
+    rows = [(i, round(float(v), _R), int(n), *cuts[0], *cuts[1]) for i, (v, n) in enumerate(zip(t.values, t.covers))]
+    return spark.createDataFrame(rows, "leaf int, value double, cover long, feature_1 string, cut_1 double, feature_2 string, cut_2 double")
+
+
+@register("one_tree_scores", tree_sql.query(WHOLE, {"fold": (2, 10)}, f"""
+SELECT o_orderkey, y, CASE WHEN is_test = 1 THEN 'test' ELSE 'train' END AS part, ROUND(score, {_R}) AS score FROM scored"""))
+def one_tree_scores(spark, root):
+    """Score of every row by the tree."""
+    rows, models = _one_tree(spark, root, WHOLE)
+    return boosting.score(models["fold"], rows).select(
+        KEY, "y", F.when(F.col("fold") == 1, "test").otherwise("train").alias("part"), F.round("score", _R).alias("score"))
+
+
+_SEARCH_MODELS = {f"{d}-{l2}": (d, l2) for d in TREE_GRID["depth"] for l2 in TREE_GRID["l2_leaf_reg"]}
+
+
+@register("one_tree_search", tree_sql.query({m: ("true", SEED) for m in _SEARCH_MODELS}, _SEARCH_MODELS, f"""
+SELECT 1 AS max_iter, CAST(0.05 AS DOUBLE) AS step_size, depth AS max_depth, l2 AS l2_leaf_reg,
+       ROUND(train_auc, {_R}) AS train_auc, ROUND(test_auc, {_R}) AS test_auc,
+       ROUND(test_auc - abs(train_auc - test_auc), {_R}) AS selection_score
+FROM (SELECT m, max(auc) FILTER (is_test = 0) AS train_auc, max(auc) FILTER (is_test = 1) AS test_auc FROM auc GROUP BY m)
+JOIN models USING (m)"""))
+def one_tree_search(spark, root):
+    """A grid of depths and L2 weights rated by AUC on train and test rows."""
+    rows = tree_rows(spark, root, WHOLE)
+    found = search_many(rows, [Search(TREE_FEATURES, "fold", TREE_GRID)], "y", KEY)[0]
+    return spark.createDataFrame(
+        [(c.params["iterations"], c.params["learning_rate"], c.params["depth"], c.params["l2_leaf_reg"], round(c.train_auc, _R),
+          round(c.test_auc, _R), round(c.score, _R)) for c in found.candidates],
+        "max_iter int, step_size double, max_depth int, l2_leaf_reg int, train_auc double, test_auc double, selection_score double")
+
+
+_SEED_MARKS = {f"s{seed}": ("true", seed) for seed in STABILITY_SEEDS}
+
+
+@register("one_tree_stability", tree_sql.query(_SEED_MARKS, {m: (1, 10) for m in _SEED_MARKS}, f"""
+SELECT CAST(substr(m, 2) AS INTEGER) AS seed, CAST(sum(n) FILTER (is_test = 0) AS BIGINT) AS train_rows,
+       CAST(sum(n) FILTER (is_test = 1) AS BIGINT) AS test_rows, ROUND(max(auc) FILTER (is_test = 0), {_R}) AS train_auc,
+       ROUND(max(auc) FILTER (is_test = 1), {_R}) AS test_auc,
+       ROUND(abs(max(auc) FILTER (is_test = 0) - max(auc) FILTER (is_test = 1)), {_R}) AS delta_auc
+FROM auc GROUP BY m"""))
+def one_tree_stability(spark, root):
+    """Split sizes and AUC of every seed's own split, tree and scores (M18, M5): the search of
+    all seeds in one pass, as ``seed_stability`` runs it."""
+    rows = tree_rows(spark, root, _SEED_MARKS)
+    grid = {"iterations": [1], "learning_rate": [0.05], "depth": [1], "l2_leaf_reg": [10]}
+    found = search_many(rows, [Search(TREE_FEATURES, m, grid) for m in _SEED_MARKS], "y", KEY)
+    sizes = rows.agg(*[F.count(F.when(F.col(m) == v, 1)).alias(f"{m}_{v}") for m in _SEED_MARKS for v in (0, 1)]).first()
+    return spark.createDataFrame(
+        [(int(m[1:]), sizes[f"{m}_0"], sizes[f"{m}_1"], round(c.train_auc, _R), round(c.test_auc, _R), round(abs(c.train_auc - c.test_auc), _R))
+         for m, f in zip(_SEED_MARKS, found) for c in f.candidates],
+        "seed int, train_rows long, test_rows long, train_auc double, test_auc double, delta_auc double")
+
+
+def _segment_trees(spark, root):
+    """Test rows and training rows of both segments with the segment's tree."""
+    rows, models = _one_tree(spark, root, PARTS)
+    seg = rows.withColumn("segment", F.when(F.col("small").isNotNull(), "small").when(F.col("large").isNotNull(), "large"))
+    seg = seg.where("segment is not null").withColumn("part", F.when(F.coalesce("small", "large") == 1, "test").otherwise("train"))
+    return seg, models
+
+
+@register("one_tree_segments", tree_sql.query(PARTS, {m: (2, 10) for m in PARTS}, f"""
+SELECT m AS segment, CASE WHEN is_test = 1 THEN 'test' ELSE 'train' END AS part, n AS rows, ROUND(auc, {_R}) AS auc, ROUND(ks, {_R}) AS ks
+FROM auc"""))
+def one_tree_segments(spark, root):
+    """Rows, AUC and KS of each segment's own tree on train and test rows."""
+    seg, models = _segment_trees(spark, root)
+    scored = cut_lineage(boosting.score_by(models, seg, "segment"))
+    by = ["segment", "part"]
+    return roc_auc(scored, "y", "score", by).join(ks_statistic(scored, "y", "score", by), by).select(
+        *by, (F.col("positives") + F.col("negatives")).alias("rows"), F.round("auc", _R).alias("auc"), F.round("ks", _R).alias("ks"))
+
+
+@register("one_tree_deciles", tree_sql.query(PARTS, {m: (2, 10) for m in PARTS}, tree_sql.decile_table(_R)))
+def one_tree_deciles(spark, root):
+    """Decile tables of each segment's scores on train, test and all rows."""
+    seg, models = _segment_trees(spark, root)
+    scored = cut_lineage(boosting.score_by(models, seg, "segment").withColumn("score", F.round("score", _R)))
+    t = ks_table(_with_all(scored), "y", "score", groups=["segment", "part"])
+    return t.select("segment", "part", "decile", "min_prob", "max_prob", "events", "nonevents",
+                    *[F.round(c, _R).alias(c) for c in ("event_rate", "cum_eventrate", "cum_noneventrate", "ks", "cure_rate")])
+
+
+@register("one_tree_importance", tree_sql.query(PARTS, {m: (2, 10) for m in PARTS}, tree_sql.importance(_R)))
+def one_tree_importance(spark, root):
+    """Importance of every feature of each segment's tree."""
+    _, models = _one_tree(spark, root, PARTS)
+    return spark.createDataFrame([(m, f, round(v, _R)) for m, model in models.items() for f, v in zip(model.features, importances(model))],
+                                 "segment string, feature string, importance double")
+
+
+@register("one_tree_attribution", tree_sql.query(WHOLE, {"fold": (2, 10)}, tree_sql.attribution(_R)))
+def one_tree_attribution(spark, root):
+    """Exact attribution of every test row and feature."""
+    rows, models = _one_tree(spark, root, WHOLE)
+    return tree_shap(models["fold"], rows.where("fold = 1"), KEY).select(KEY, "feature", "value", F.round("phi", _R).alias("phi"))
+
+
+@register("one_tree_attribution_summary", tree_sql.query(PARTS, {m: (2, 10) for m in PARTS}, f"""
+SELECT segment, feature, ROUND(AVG(abs(phi)), {_R}) AS mean_abs_phi, COUNT(*) AS rows
+FROM ({tree_sql.attribution(None)}) GROUP BY segment, feature""".replace("SELECT o_orderkey,", "SELECT s.m AS segment, o_orderkey,")))
+def one_tree_attribution_summary(spark, root):
+    """Mean |phi| per segment and feature over the segment's test rows."""
+    seg, models = _segment_trees(spark, root)
+    out = None
+    for name, model in models.items():
+        phi = tree_shap(model, seg.where((F.col("segment") == name) & (F.col("part") == "test")), KEY).withColumn("segment", F.lit(name))
+        out = phi if out is None else out.unionByName(phi)
+    return out.groupBy("segment", "feature").agg(F.round(F.avg(F.abs("phi")), _R).alias("mean_abs_phi"), F.count(F.lit(1)).alias("rows"))
