@@ -72,3 +72,10 @@ def test_recall_of_buckets():
     assert meet.mean() > 0.999
     z = rng.normal(size=(5, 8))
     assert hadamard(hadamard(z)) == pytest.approx(z)
+
+
+def test_a_null_component_is_no_copy_of_a_shorter_vector(spark):
+    df = spark.createDataFrame([(1, [1.0, None, 2.0], 1), (2, [1.0, 2.0], 1), (3, [1.0, 2.0], 1)],
+                               "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_near_dedup(df).collect()}
+    assert got == {1: (0, 1), 2: (1, 2), 3: (1, 2)}

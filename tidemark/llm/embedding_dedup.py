@@ -171,8 +171,9 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.98, tables: in
     """
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
                          F.col(vec_col).cast("array<double>").alias("vec"))
-    # copies: equal label and content; -0.0 and 0.0 are told apart, which costs nothing but a link
-    named = src.withColumn("digest", F.md5(F.concat_ws("\x1f", "label", F.concat_ws(",", F.col("vec").cast("array<string>"))).cast("binary")))
+    # copies: equal label and content, NULL components told apart; -0.0 and 0.0 are told apart, which costs nothing but a link
+    named = src.withColumn("digest", F.md5(F.concat_ws(
+        "\x1f", "label", F.array_join(F.col("vec").cast("array<string>"), ",", "null")).cast("binary")))
     named = named.withColumn("digest", F.when(F.col("id").isNotNull() & F.col("label").isNotNull(), F.col("digest")))
     classes = named.where("digest is not null").groupBy("digest").agg(
         F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("vec").alias("vec"),
