@@ -54,3 +54,20 @@ def test_features():
     assert f["insults"] == 1 and f["near"] == 1 and f["undisguised"] == 2
     assert f["shout_rate"] > 0 and f["repeat_rate"] > 0 and f["stretched_rate"] > 0 and f["second_person_rate"] > 0
     assert features("", WordTable({}))[:-1] == [0.0] * (len(FEATURES) - 1)
+
+
+def test_inner_signs_are_linear_and_as_before():
+    import random
+    import re
+    import time
+
+    from tidemark.llm.toxicity import features, inner_signs, WordTable
+    before = re.compile(r"(?<=[^\W_])[\d@$*!.\-_|+]+(?=[^\W\d_])")
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1 2@$_.é²\n-") for _ in range(rng.randint(0, 25)))
+        assert [m.span() for m in before.finditer(text)] == list(inner_signs(text)), text
+    for text in ("1" * 1_000_000, "a" + "1" * 1_000_000 + " ", "1$" * 500_000 + "a"):
+        at = time.perf_counter()
+        features(text, WordTable({}))
+        assert time.perf_counter() - at < 5

@@ -93,8 +93,8 @@ def grade_texts(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
     are fitted on (a hash sample if there are more); every text is graded whole.
 
     NULL and empty texts have no features and get the distribution of the
-    thresholds alone.  NULL ratings are not fitted on; of a repeated id one rating and
-    text is taken; extra columns are not read; empty ``docs`` give an empty table.
+    thresholds alone.  NULL ratings are not fitted on; of a repeated id the largest rating and
+    the smallest text are taken; extra columns are not read; empty ``docs`` give an empty table.
     Without ratings grade, tail and keep are NULL; with one grade only every text
     has that grade and tail 1.
     """
@@ -116,7 +116,7 @@ def grade_texts(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", tex
         share = int(max_fit_rows / total * 1_000_000)
         rated = rated.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < share)
     # at most about max_fit_rows ids: a bound by parameter, so they are broadcast
-    sample = src.join(F.broadcast(rated), "id").dropDuplicates(["id"]).select("id", "text", "rating")
+    sample = src.join(F.broadcast(rated), "id").groupBy("id", "rating").agg(F.min("text").alias("text")).select("id", "text", "rating")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, xs, ys = [], [], []

@@ -47,7 +47,10 @@ FEATURES = ("insults", "insult_rate", "learned", "learned_rate", "strongest", "s
 NEAR = 5                                            # words between a hit and a second-person word
 
 _WORD = re.compile(r"[^\W_]+")
-_SIGN = re.compile(r"(?<=[^\W_])[\d@$*!.\-_|+]+(?=[^\W\d_])")     # signs or digits inside a word
+# a whole run of signs or digits before a letter: tried at its begin only, and never shortened
+_RUN = re.compile(r"(?<![\d@$*!.\-_|+])[\d@$*!.\-_|+]++(?=[^\W\d_])")
+_INNER = re.compile(r"[^\W_]")
+_DIGIT = re.compile(r"\d")
 _STRETCH = re.compile(r"([^\W\d_])\1\1")
 _EDGE = "!.,;:?\"'()*"
 _UNDO = str.maketrans("013457@$!|", "oieastasil", "*.-_+")
@@ -63,6 +66,19 @@ _UPPER, _LETTER = _bytes_in(bytes(range(65, 91))), _bytes_in(bytes(range(65, 91)
 _PUNCT, _TWICE = _bytes_in(b"!?.,;:*#$%&"), _bytes_in(b"!?.*#$%&")
 
 
+def inner_signs(text: str) -> Iterator[tuple[int, int]]:
+    """(first, last + 1) of the signs or digits inside words: from after the first letter or digit
+    of a run and what stands before it, to the letter that follows.  Linear in the text."""
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        if start == 0 or not _INNER.match(text, start - 1):
+            digit = _DIGIT.search(text, start, end - 1)
+            if digit is None:
+                continue
+            start = digit.end()
+        yield start, end
+
+
 class WordTable(dict):
     """word -> 0 for an ordinary word, else (insult, second person, learned weight); the weight
     is that of the word or of its first five or four letters.  Words are looked up once
@@ -100,14 +116,14 @@ def features(text: str, table: WordTable) -> list[float]:
         near = sum(any(j in you for j in range(i - NEAR, i + NEAR + 1)) for i in hits)
     signs = undone = 0
     last = -1
-    for m in _SIGN.finditer(low):
+    for start, end in inner_signs(low):
         signs += 1
-        if m.start() < last:
+        if start < last:
             continue                                  # in the token just seen
-        a, b = m.start(), m.end()
-        while a > 0 and not low[a - 1].isspace() and m.start() - a < 64:
+        a, b = start, end
+        while a > 0 and not low[a - 1].isspace() and start - a < 64:
             a -= 1
-        while b < len(low) and not low[b].isspace() and b - m.end() < 64:
+        while b < len(low) and not low[b].isspace() and b - end < 64:
             b += 1
         last = b
         found = table[_STRETCH.sub(r"\1", low[a:b].strip(_EDGE).translate(_UNDO))]
@@ -169,20 +185,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     NULL and empty texts have all rates 0 and are scored like any text.  Rows of a
     NULL label are not fitted on; repeated rows get equal scores; extra columns are
-    not read; empty ``docs`` give an empty result.  Without labels, or with labels
+    not read; empty ``docs`` give an empty result.  An id with several labels counts as the
+    largest, one with several texts as the smallest, so reruns learn alike.  Without labels, or with labels
     of one kind only, every score is the share of label 1 (0 without labels).
     """
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % 5
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
-        "id is not null and label is not null").dropDuplicates(["id"])
+        "id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     marks = marks.withColumn("fold", fold).where("fold <> 0")
     total = marks.count()
     if total > max_fit_rows:
         share = int(max_fit_rows / total * 1_000_000)
         marks = marks.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < share)
     # at most about max_fit_rows ids: a bound by parameter, so they are broadcast
-    known = cut_lineage(src.join(F.broadcast(marks), "id").dropDuplicates(["id"]))
+    known = cut_lineage(src.join(F.broadcast(marks), "id").groupBy("id", "label", "fold").agg(F.min("text").alias("text")))
     lexicon = learn_lexicon(known.where("fold <> 1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
