@@ -103,3 +103,10 @@ def test_empty_sides(spark):
     df = docs_frame(spark, rows)
     assert not any(r["contaminated"] for r in decontaminate(df, bench.where("false")).collect())
     assert decontaminate(df.where("false"), bench).collect() == []
+
+
+def test_empty_item_id_is_listed_and_null_is_not(spark):
+    items = spark.createDataFrame([("", "one two three"), (None, "four five six"), ("=", "seven eight nine")], "item_id string, text string")
+    docs = docs_frame(spark, [(1, "x one two three y"), (2, "four five six"), (3, "seven eight nine one two three")])
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate(docs, items).collect()}
+    assert got == {1: (3, [""]), 2: (3, []), 3: (6, ["", "="])}

@@ -224,7 +224,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     out = src
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()  # <= block_words
-        p = phrases_of([("" if r["item"] is None else r["item"], (r["text"] or "").encode()) for r in part], window)
+        # an id goes in with "=" before it, so that the empty id and a NULL one differ
+        p = phrases_of([("" if r["item"] is None else "=" + r["item"], (r["text"] or "").encode()) for r in part], window)
         last = k == blocks - 1
         tail = ", n_words long, n_hit long" + (", cleaned string" if with_text else "")
         # passes hand on the texts, (id, text) or row; the last one hands on what was found
@@ -234,6 +235,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
             _search(spark.sparkContext.broadcast(p), shard_words, last, with_text, id_col, text_col),
             end if last else between)
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans",
-                      F.array_remove("items", "").alias("items"),
+                      F.transform(F.array_remove("items", ""), lambda x: F.substring(x, 2, 1 << 30)).alias("items"),
                       (F.col("n_hit") > 0).alias("contaminated"), *(["cleaned"] if with_text else []),
                       *(["row"] if carry else []))
