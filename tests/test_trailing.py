@@ -42,7 +42,7 @@ EXPECTED = {
 }
 
 
-@pytest.mark.parametrize("strategy", ["bucketed", "direct"])
+@pytest.mark.parametrize("strategy", ["bucketed", "prefix", "direct"])
 @pytest.mark.parametrize("anchor_ts", [A, M])
 def test_window_edges(spark, strategy, anchor_ts):
     anchors = spark.createDataFrame([(1, anchor_ts, 10)], "e long, ts timestamp_ntz, k long")
@@ -53,7 +53,7 @@ def test_window_edges(spark, strategy, anchor_ts):
         assert out[f"cnt_{rule}"] == bin(want).count("1"), rule
 
 
-@pytest.mark.parametrize("strategy", ["bucketed", "direct"])
+@pytest.mark.parametrize("strategy", ["bucketed", "prefix", "direct"])
 def test_empty_window_and_null_entity(spark, strategy):
     anchors = spark.createDataFrame([(3, M, 1), (None, M, 2)], "e long, ts timestamp_ntz, k long")
     feats = [Feature("s", "sum", "v", None, 7, "DD"), Feature("a", "avg", "v", None, 7, "DD"),
@@ -99,9 +99,17 @@ def test_hot_entity_matches_direct(spark):
     fdf = spark.createDataFrame(facts, "e long, fid long, ts timestamp_ntz, v long")
     adf = spark.createDataFrame(anchors, "e long, ts timestamp_ntz, k long")
     spec = (AnchorSpec("e", "ts", ("k",)), FactSpec("e", "ts"), _feats())
-    got = trailing_features(adf, fdf, *spec).collect()
-    direct = trailing_features(adf, fdf, *spec, strategy="direct").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, direct))
+    direct = sorted(map(tuple, trailing_features(adf, fdf, *spec, strategy="direct").collect()))
+    for strategy in ("bucketed", "prefix"):
+        assert sorted(map(tuple, trailing_features(adf, fdf, *spec, strategy=strategy).collect())) == direct
+    # anchors without a time of day, said so: shorter plans, the same numbers
+    days = adf.withColumn("ts", F.date_trunc("day", "ts").cast("timestamp_ntz"))
+    direct = sorted(map(tuple, trailing_features(days, fdf, *spec, strategy="direct").collect()))
+    whole = (AnchorSpec("e", "ts", ("k",), midnight=True), *spec[1:])
+    for strategy in ("bucketed", "prefix"):
+        assert sorted(map(tuple, trailing_features(days, fdf, *whole, strategy=strategy).collect())) == direct
+        with pytest.raises(Exception, match="time of day"):
+            trailing_features(adf, fdf, *whole, strategy=strategy).collect()
 
 
 def test_hot_entity_day_stays_linear(spark):
@@ -115,10 +123,26 @@ def test_hot_entity_day_stays_linear(spark):
     feats = [Feature("upto", "sum", "v", None, None, "OPEN_TS"), Feature("tt", "sum", "v", None, 1, "TT"),
              Feature("n", "count", "fid", None, 1, "TT")]
     spec = (AnchorSpec("e", "ts", ("k",)), FactSpec("e", "ts"), feats)
-    df = trailing_features(anchors, facts, *spec)
-    got = sorted(map(tuple, df.collect()))
-    assert got == sorted(map(tuple, trailing_features(anchors, facts, *spec, strategy="direct").collect()))
-    assert max(_output_rows(df)) <= 50_000
+    direct = sorted(map(tuple, trailing_features(anchors, facts, *spec, strategy="direct").collect()))
+    for strategy in ("bucketed", "prefix"):
+        df = trailing_features(anchors, facts, *spec, strategy=strategy)
+        assert sorted(map(tuple, df.collect())) == direct
+        assert max(_output_rows(df)) <= 50_000
+
+
+def test_prefix_cost_does_not_follow_the_window(spark):
+    """A fact on each of 2,000 days, anchors on 200: no operator's rows grow with the window."""
+    base = dt.datetime(2018, 1, 1)
+    facts = spark.createDataFrame([(1, i, base + dt.timedelta(days=i), i) for i in range(2000)], "e long, fid long, ts timestamp_ntz, v long")
+    anchors = spark.createDataFrame([(1, base + dt.timedelta(days=1500 + i), i) for i in range(200)], "e long, ts timestamp_ntz, k long")
+    for days in (7, 1400):
+        df = trailing_features(anchors, facts, AnchorSpec("e", "ts", ("k",), midnight=True), FactSpec("e", "ts"),
+                               [Feature("s", "sum", "v", None, days, "DD")], strategy="prefix")
+        assert {r.k: r.s for r in df.collect()} == {i: sum(range(1500 + i - days, 1500 + i + 1)) for i in range(200)}
+        assert max(_output_rows(df)) <= 2400
+    with pytest.raises(ValueError):
+        trailing_features(anchors, facts, AnchorSpec("e", "ts", ("k",)), FactSpec("e", "ts"),
+                          [Feature("s", "sum", F.col("v").cast("double"), None, 7, "DD")], strategy="prefix")
 
 
 def _output_rows(df):

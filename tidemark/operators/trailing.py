@@ -14,7 +14,7 @@ Results follow SQL: SUM/AVG of an empty window are NULL, COUNT is 0, EXISTS is 0
 
 Plan:
 
-``bucketed`` (the plan that every query runs)
+``bucketed`` (the default)
   1. facts are pre-aggregated per (entity, day) with one conditional sum/count per
      feature (partial aggregation happens map-side, before the shuffle);
   2. every anchor is exploded to the <= 2 day-buckets its widest window touches
@@ -30,6 +30,14 @@ Plan:
      facts + anchors of an entity-day, pairs never appear;
   5. the branches and the anchor list are unioned and aggregated once per anchor.
 
+``prefix`` (for whole-number and decimal measures; the cost does not depend on the window length)
+  Every rule is a difference C(end) - C(start) of running totals of the entity, C(x) over the
+  facts before the instant x.  Facts become daily totals, the days that any anchor looks up
+  are added once each, and one running sum per entity over those days gives the
+  totals before each day: an entity has a row per day of the calendar at most, however
+  many facts and anchors it has.  Anchors look their two or more instants up by an equi join
+  on (entity, day); instants inside a day add that day's part as in step 4.
+
 ``direct`` (anchors LEFT JOIN facts ON entity AND window, GROUP BY anchor) emits every
 (anchor, fact) pair of an entity; it exists as a plain second version for tests.
 """
@@ -55,6 +63,7 @@ class AnchorSpec:
     ts: str
     keys: tuple[str, ...] = ()
     unique: bool = False   # the key columns are already unique (e.g. include a primary key)
+    midnight: bool = False  # ts never has a time of day: steps for one are left out (checked, an error otherwise)
 
     @property
     def key_columns(self) -> list[str]:
@@ -141,12 +150,17 @@ def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
         a = a.dropDuplicates(keys)
     a = (a.withColumn("_e", F.col(anchor.entity))
           .withColumn("_a", F.col(anchor.ts).cast("timestamp_ntz")))
+    if anchor.midnight:
+        a = a.withColumn("_a", F.when(F.col("_a") == F.date_trunc("day", "_a").cast("timestamp_ntz"), F.col("_a")).when(
+            F.col("_a").isNotNull(), F.raise_error(F.lit(f"{anchor.ts} has a time of day")).cast("timestamp_ntz")))
     plan = _Plan(features)
     f = _prepare_facts(facts, fact, plan)
     if strategy == "direct":
         agg = _direct(a, f, keys, plan)
     elif strategy == "bucketed":
-        agg = _bucketed(a, f, keys, plan, open_bucket_days)
+        agg = _bucketed(a, f, keys, plan, open_bucket_days, anchor.midnight)
+    elif strategy == "prefix":
+        agg = _prefix(a, f, keys, plan, anchor.midnight)
     else:
         raise ValueError(f"unknown strategy {strategy}")
     return _finish(agg, keys, plan, as_double)
@@ -238,7 +252,7 @@ def _direct(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan) -> DataFra
 
 
 def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan,
-              open_bucket_days: int) -> DataFrame:
+              open_bucket_days: int, midnight: bool) -> DataFrame:
     windowed = plan.slots_where(lambda r: not r.startswith("OPEN"))
     opened = plan.slots_where(lambda r: r.startswith("OPEN"))
     open_ts = plan.slots_where(lambda r: r == "OPEN_TS")
@@ -367,7 +381,7 @@ def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan,
 
     # 4. TT first-day facts, from the time of day on.  Only anchors with a time of day
     #    need it; a window of 0 days has no such facts (its upper end is midnight).
-    if tt:
+    if tt and not midnight:
         dist = sorted({plan.slots[k][2] for k in tt} - {0})
         if dist:
             at = (a.where(~F.col("_mid"))
@@ -395,6 +409,73 @@ def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan,
     return u.groupBy(*keys).agg(*aggs)
 
 
+def _prefix(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan, midnight: bool) -> DataFrame:
+    for g, (kind, _, _) in enumerate(plan.sigs):
+        if kind == "sum" and isinstance(f.schema[f"_v{g}"].dataType, (T.DoubleType, T.FloatType)):
+            raise ValueError("prefix differences need whole-number or decimal measures")
+    day = F.to_date("_a").cast("timestamp_ntz")
+    tick, one = F.make_dt_interval(secs=F.lit(0.000001)), F.make_dt_interval(F.lit(1))
+    # every window as two instants: facts before the end, but not before the start
+    instants: list[Column] = []
+    place: dict[tuple, int] = {}
+
+    def instant(name: tuple, x: Column) -> int:
+        if name not in place:
+            place[name] = len(instants)
+            instants.append(x)
+        return place[name]
+
+    ends, starts = [], []
+    for _, rule, days in plan.slots:
+        end = ("tt", day + tick) if rule == "TT" else ("ts", F.col("_a") + tick) if rule == "OPEN_TS" else ("day", day + one)
+        ends.append(instant((end[0],), end[1]))
+        if rule.startswith("OPEN"):
+            starts.append(None)
+            continue
+        t0 = _minus_days(F.col("_a"), days)
+        first = F.to_date(t0).cast("timestamp_ntz")
+        start = {"DD": _minus_days(day, days), "TT": t0, "DT": F.when(t0 > first, first + one).otherwise(first)}[rule]
+        starts.append(instant((rule, days), F.least(start, end[1])))
+
+    looks = a.select(*keys, "_e", F.posexplode(F.array(*instants)).alias("_p", "_at"))
+    looks = looks.withColumn("_d", F.to_date("_at")).withColumn("_off", F.col("_at") - F.col("_d").cast("timestamp_ntz"))
+    zero = F.expr("INTERVAL '0' SECOND")
+    at_midnight = F.col("_off") == tick            # the end of TT: what is stamped exactly at midnight still counts
+    sums, mids = [], []
+    for g, (kind, _, _) in enumerate(plan.sigs):
+        v = F.col(f"_v{g}")
+        vm = F.when(F.col("_t") == F.col("_d").cast("timestamp_ntz"), v)
+        sums += ([F.sum(v).alias(f"s{g}")] if kind == "sum" else []) + [F.count(v).alias(f"n{g}")]
+        mids += ([F.sum(vm).alias(f"ms{g}")] if kind == "sum" else []) + [F.count(vm).alias(f"mn{g}")]
+    names = [x for g, (kind, _, _) in enumerate(plan.sigs) for x in ((f"s{g}", f"n{g}") if kind == "sum" else (f"n{g}",))]
+    daily = f.groupBy("_e", "_d").agg(*sums, *mids)
+    # the days looked up, once each, among the days with facts
+    asked = looks.where(F.col("_e").isNotNull() & F.col("_d").isNotNull()).select("_e", "_d").distinct().withColumn("_ask", F.lit(1))
+    days = daily.unionByName(asked, allowMissingColumns=True).groupBy("_e", "_d").agg(
+        *[F.sum(c).alias(c) for c in [*names, *("m" + c for c in names)]], F.max("_ask").alias("_ask"))
+    before = Window.partitionBy("_e").orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    table = days.select("_e", "_d", "_ask", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in names],
+                        *["m" + c for c in names]).where("_ask = 1")
+    met = looks.join(table, ["_e", "_d"], "left")
+    branches = [met.select(*keys, "_p", *[(F.coalesce(F.col(c), F.lit(0)) + F.when(at_midnight, F.coalesce("m" + c, F.lit(0)))
+                                           .otherwise(0)).alias(c) for c in names])]
+    if not midnight:
+        inside = looks.where((F.col("_off") != zero) & ~at_midnight).withColumnRenamed("_d", "_day").withColumn("_at", F.col("_at") - tick)
+        part = _day_prefix(inside, f, plan, list(range(len(plan.sigs))), from_start=True)
+        branches.append(part.select(*keys, "_p", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names]))
+    u = branches[0]
+    for b in branches[1:]:
+        u = u.unionByName(b)
+    aggs = []
+    for k, (g, _, _) in enumerate(plan.slots):
+        for kind in ("s", "n") if plan.kind(k) == "sum" else ("n",):
+            x = F.sum(F.when(F.col("_p") == ends[k], F.col(f"{kind}{g}")))
+            if starts[k] is not None:
+                x = x - F.sum(F.when(F.col("_p") == starts[k], F.col(f"{kind}{g}")))
+            aggs.append(x.alias(f"_{kind}{k}"))
+    return u.groupBy(*keys).agg(*aggs)
+
+
 def _day_prefix(at: DataFrame, f: DataFrame, plan: _Plan, sigs: list[int], from_start: bool) -> DataFrame:
     """``at`` rows (_e, _day, _at, ...) + totals ``s{sig}``, ``n{sig}`` of the facts of that entity
     and day with time <= ``_at`` (``from_start``) or >= ``_at``.

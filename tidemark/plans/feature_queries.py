@@ -10,7 +10,7 @@ from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
 from tidemark.plans.registry import register
 
-ORDER_ANCHOR = AnchorSpec("o_custkey", "o_orderdate", ("o_orderkey",), unique=True)  # o_orderkey is the key
+ORDER_ANCHOR = AnchorSpec("o_custkey", "o_orderdate", ("o_orderkey",), unique=True, midnight=True)  # o_orderkey is the key
 EVENT_ANCHOR = AnchorSpec("user_id", "ts", ("event_id",), unique=True)  # event_id is the key
 TXN = FactSpec("entity_id", "txn_ts")
 BAL = FactSpec("entity_id", "created_at")

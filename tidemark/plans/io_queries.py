@@ -11,8 +11,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.session import checkpoint_dir, cut_lineage, drop_path
-from tidemark.sources import (append_table, copy_column, keep_columns, lower_columns, read_csv,
-                              overwrite_partitions)
+from tidemark.sources import (append_once, append_table, copy_column, keep_columns, lower_columns, overwrite_partitions,
+                              read_committed, read_csv, write_attempt)
 from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
 from tidemark.plans.lookup_queries import SQL_LABELLED, _login_base, SQL_LOGIN_BASE
@@ -85,4 +85,19 @@ def append_table_query(spark, root):
                                  F.col("login_date").cast("date").alias("login_date")), path)
 
 
-__all__ = ["append_table", "csv_roundtrip", "append_table_query"]
+@register("append_exactly_once", SQL_LOGIN_BASE.replace(
+    "SELECT * FROM login_base", "SELECT *, CASE WHEN business_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run FROM login_base"))
+def append_exactly_once(spark, root):
+    """Login base appended in two batches, the first of them run again and one attempt lost before its
+    commit: the read-back holds each row once, with the run that brought it (S6)."""
+    lb = cut_lineage(_login_base(spark, root))
+    even, odd = lb.where("business_id % 2 = 0"), lb.where("business_id % 2 <> 0")
+    path = scratch_path(spark, "login-batches")
+    append_once(even, path, "even")
+    write_attempt(odd, path, "odd", "lost")             # a writer that died before the commit
+    append_once(odd, path, "odd")
+    append_once(even, path, "even")                     # a re-run: nothing is added
+    return read_once(read_committed(spark, path, with_run=True).withColumnRenamed("_run", "run"), path)
+
+
+__all__ = ["append_table", "csv_roundtrip", "append_table_query", "append_exactly_once"]

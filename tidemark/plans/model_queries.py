@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import day_diff, normalised_ratio, ordinal_map, ratio, replace_value
@@ -16,7 +18,7 @@ from tidemark.plans import fixtures as fx
 from tidemark.plans.feature_queries import (CENTS, FUSED_BODY, ORDER_ANCHOR, TXN,
                                             TRANSACTION_FEATURE_NAMES, transaction_features)
 from tidemark.plans.registry import register
-from tidemark.session import cut_lineage
+from tidemark.session import checkpoint_dir
 
 KEYS = ["o_custkey", "o_orderdate", "o_orderkey"]
 
@@ -221,14 +223,27 @@ def model_matrix_df(spark, root):
     return model_matrix(feature_table_df(spark, root), "y", MATRIX_DROP, MATRIX_KEEP)
 
 
-def model_matrix_cut(spark, root):
-    """Model matrix with its lineage cut (reliable checkpoint in the shared checkpoint
-    directory): every later multi-pass step reads it instead of recomputing features."""
-    return cut_lineage(model_matrix_df(spark, root))
+def stored_table(spark, root, name: str, key: str, build):
+    """A derived table built once per application and input folder, stored as Parquet under the
+    checkpoint folder in buckets of ``key``: later readers scan the columns they need, and joins
+    and aggregates on the key take its buckets as they lie."""
+    app = spark.conf.get("spark.app.id")
+    table = f"tidemark_{name}_{hashlib.md5(f'{app}|{root}'.encode()).hexdigest()[:16]}"
+    if not spark.catalog.tableExists(table):
+        n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        build().repartition(n, key).write.bucketBy(n, key).sortBy(key).option(
+            "path", f"{checkpoint_dir(spark)}/tidemark-tables/{app}/{table}").mode("overwrite").saveAsTable(table)
+    return spark.table(table)
 
 
 def feature_table_cut(spark, root):
-    return cut_lineage(feature_table_df(spark, root))
+    """The stored feature table: what M1, M2, M17 and M21 read."""
+    return stored_table(spark, root, "features", "o_orderkey", lambda: feature_table_df(spark, root))
+
+
+def model_matrix_cut(spark, root):
+    """Model matrix of the stored feature table."""
+    return model_matrix(feature_table_cut(spark, root), "y", MATRIX_DROP, MATRIX_KEEP)
 
 
 def _matrix_features() -> list[str]:
