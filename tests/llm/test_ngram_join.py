@@ -42,6 +42,32 @@ def test_matches_brute_force_small_and_split_groups(spark):
     assert collect(ngram_join(df)) == want
     # groups above the block are taken apart by bands and blocks, with equal results
     assert collect(ngram_join(df, block=3)) == want
+    assert collect(ngram_join(df, block=3, wide=4)) == want             # all pairs of blocks where that sends less
+    assert collect(ngram_join(df, block=3, wide=1 << 40)) == want       # ... which is everywhere
+    assert collect(ngram_join(df, block=3, wide=0.001)) == want         # ... or nowhere
+
+
+def test_texts_of_a_large_group_are_sent_a_few_times(spark):
+    from tidemark.llm._blocks import block_pairs
+    members = spark.range(2000).selectExpr("1L AS key", "id", "2000L AS bytes")
+    got = block_pairs(members, 512, weight="bytes")
+    assert got.groupBy("id").count().where("count > 19").count() == 0 and got.select("bi", "bj").distinct().count() == 10
+    assert got.groupBy("unit").count().agg({"count": "max"}).first()[0] < 1200
+    heavy = block_pairs(members.withColumn("bytes", members.bytes * 100), 512, weight="bytes")
+    assert heavy.groupBy("unit").agg({"bytes": "sum"}).agg({"sum(bytes)": "max"}).first()[0] < 3 * (8 << 20)
+    small = spark.range(40_000).selectExpr("id div 2 AS key", "id", "100L AS bytes")
+    sizes = block_pairs(small, 512, weight="bytes").groupBy("unit").count()
+    assert sizes.agg({"count": "max"}).first()[0] < 4096 and sizes.count() > 10
+
+
+def test_digest_of_a_column_is_that_of_the_operator(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.ngram_join import word_digest
+    rows = [(i, t) for i, t in enumerate(["a b", " a\t\x0b\x0cb\r\n", "", "  ", None, "\u00a0a", "é\u3000 漢", "a\x1cb \x00"])]
+    df = docs_frame(spark, rows)
+    want = {r.doc_id: r.digest for r in ngram_join(df, with_digest=True).collect()}
+    assert {r.doc_id: r.d for r in df.select("doc_id", word_digest(F.col("text")).alias("d")).collect()} == want
 
 
 def test_repeated_rows_null_ids_and_empty_table(spark):

@@ -14,18 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def block_pairs(members: DataFrame, size: int, rows_per_unit: int = 2048,
-                group: str = "key", member: str = "id") -> DataFrame:
+def block_pairs(members: DataFrame, size: int, rows_per_unit: int = 2048, group: str = "key", member: str = "id",
+                weight: str | None = None, weight_per_unit: int = 8 << 20) -> DataFrame:
     """Adds ``unit`` (group rows by it), ``bi``, ``bj`` (the pair of blocks) and ``mine``
-    (the member's own block).  Keys with a single member are dropped."""
-    counts = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    (the member's own block).  Keys with a single member are dropped.
+
+    A block holds about ``size`` members and, where ``weight`` names a column (bytes), about
+    ``weight_per_unit`` of it.  The number of packs of small keys follows from the counted
+    members, so a unit stays of one size however many there are."""
+    w = F.sum(weight) if weight else F.lit(0).cast("long")
+    counts = members.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), w.alias("_w")).where("_n > 1")
+    blocks = F.ceil(F.greatest(F.col("_n") / F.lit(float(size)), F.col("_w") / F.lit(float(weight_per_unit)))).cast("int")
+    counts = counts.withColumn("_b", blocks)
+    total = counts.where("_b = 1").agg(F.sum("_n"), F.sum("_w")).first()
+    packs = max(1, -(-int(total[0] or 0) // rows_per_unit), -(-int(total[1] or 0) // weight_per_unit))
     m = members.join(counts, group)
-    m = m.withColumn("_b", F.ceil(F.col("_n") / F.lit(float(size))).cast("int"))
     m = m.withColumn("mine", F.pmod(F.xxhash64(F.lit(17), member), F.col("_b")).cast("int"))
     m = m.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     m = m.withColumn("bi", F.least("mine", "_j")).withColumn("bj", F.greatest("mine", "_j"))
-    total = members.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")
-    packs = F.lit(int(total) * 8)
-    unit = F.when(F.col("_b") == 1, F.pmod(F.xxhash64(group), packs)).otherwise(
+    unit = F.when(F.col("_b") == 1, F.pmod(F.xxhash64(group), F.lit(packs))).otherwise(
         F.xxhash64(group, "bi", "bj"))
-    return m.withColumn("unit", unit).drop("_n", "_b", "_j")
+    return m.withColumn("unit", unit).drop("_n", "_w", "_b", "_j")

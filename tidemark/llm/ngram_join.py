@@ -7,9 +7,11 @@
    the band's smallest member (linear in the members), and the components of
    these ties are the candidate groups.
 3. A group of at most ``block`` documents meets in one task, each text sent once.
-   Larger groups are taken apart again into their band buckets, and buckets
-   above ``block`` into pairs of hash blocks, so no task holds an unbounded
-   group; a pair counts in the first band it shares only, so none counts twice.
+   A larger group goes the way that sends fewer texts, by counts: all pairs of its hash
+   blocks of ``wide`` documents, bands compared in the task (near copies, which share
+   most bands), or its band buckets, those above ``block`` in pairs of hash blocks, where
+   a pair counts in the first band it shares (loose chains).  Blocks are bounded in
+   documents and bytes, so no task holds an unbounded group.
 4. A task computes the exact Jaccard similarity of the full n-gram sets of all
    pairs that share a band: the sizes of all intersections of a block pair are a
    matrix product over the n-grams that occur in two or more of its texts.  It
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm._blocks import block_pairs
@@ -94,7 +96,7 @@ def _band_hashes(grams: np.ndarray, off: np.ndarray, bands: int, rows: int, seed
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """(id, n_words, digest, bands) per row of docs (id, text)."""
+    """(id, digest, size, bands) per row of docs (id, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             ids, texts = b.column(0), as_bytes(b.column(1))
@@ -109,9 +111,16 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> Dat
                         found[i] = row
                 yield pa.RecordBatch.from_arrays(
                     [ids[lo:hi], pa.array([hashlib.md5(x).hexdigest() if x else None for x in normals]),
-                     pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "bands"])
+                     pa.array([len(x) for x in normals], pa.int64()),
+                     pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "size", "bands"])
 
-    return docs.mapInArrow(run, "id long, digest string, bands array<long>")
+    return docs.mapInArrow(run, "id long, digest string, size long, bands array<long>")
+
+
+def word_digest(text: Column) -> Column:
+    """``digest`` of a text as a Column: MD5 of its words joined by one space, NULL without words."""
+    words = F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    return F.when(words != "", F.md5(words.cast("binary")))
 
 
 def _verify(threshold: float, n: int):
@@ -180,9 +189,10 @@ def _verify(threshold: float, n: int):
 
 
 def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999,
-               id_col: str = "doc_id", text_col: str = "text", block: int = 192,
-               seed: int = 11) -> DataFrame:
-    """(id, n_links, class_id, kept), one row per row of ``docs``.
+               id_col: str = "doc_id", text_col: str = "text", block: int = 192, wide: int = 512,
+               seed: int = 11, with_digest: bool = False) -> DataFrame:
+    """(id, n_links, class_id, kept[, digest]), one row per row of ``docs``; ``digest``
+    (``with_digest``) is that of the row's words, see ``word_digest``, NULL without words or id.
 
     ``n_links``: other rows whose n-gram set has Jaccard similarity >= ``threshold``
     with this row's (copies included); pairs that share no band are missed with
@@ -200,13 +210,13 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     sig = cut_lineage(signatures(src, n, bands, rows, seed))
     real = sig.where("id is not null and digest is not null")
     classes = real.groupBy("digest").agg(
-        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
+        F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("size").alias("bytes"),
         F.any_value("bands").alias("bands"))
     # the node of a class is its smallest id; classes whose id names other texts too get a hash
     named = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("texts"))
     classes = cut_lineage(classes.join(named, "rep").select(
         F.when(F.col("texts") == 1, F.col("rep")).otherwise(F.xxhash64("digest")).alias("id"),
-        "rep", "digest", "copies", "bands"))
+        "rep", "digest", "copies", "bytes", "bands"))
     bucket = classes.select("id", F.posexplode("bands").alias("band", "value")).select(
         "id", F.xxhash64("band", "value").alias("key"), "band")
     lows = bucket.groupBy("key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -215,14 +225,20 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     groups = connected_components(ties)                                     # (node, component)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     groups = cut_lineage(groups.join(sizes, "component"))
-    small = groups.where(F.col("size") <= block).select(
-        F.xxhash64(F.lit("component"), "component").alias("key"), F.col("node").alias("id"),
-        F.lit(-1).alias("band"))
-    large = groups.where(F.col("size") > block).select(F.col("node").alias("id"))
-    wide = bucket.join(large, "id").select("key", "id", "band")
-    members = block_pairs(small.union(wide), block)
+    weights = classes.select("id", "bytes")
+    large = groups.where(F.col("size") > block).select(F.col("node").alias("id"), "component", "size")
+    # texts sent by either way; buckets of one member send none
+    crowd = bucket.join(large, "id")
+    held = crowd.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ways = cut_lineage(held.groupBy("component").agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(float(block)))).alias("apart")).join(
+        large.groupBy("component").agg(F.max(F.col("size") * F.ceil(F.col("size") / F.lit(float(wide)))).alias("whole")), "component"))
+    whole = large.join(ways.where("whole <= apart"), "component", "left_semi")
+    apart = crowd.join(ways.where("whole > apart"), "component", "left_semi").select("key", "id", "band")
+    one = lambda df, c: df.select(F.xxhash64(F.lit("component"), "component").alias("key"), F.col(c).alias("id"), F.lit(-1).alias("band"))
+    members = block_pairs(one(groups.where(F.col("size") <= block), "node").union(apart).join(weights, "id"), block, weight="bytes")
+    members = members.unionByName(block_pairs(one(whole, "id").join(weights, "id"), wide, weight="bytes")).drop("bytes")
     grouped = classes.join(groups.select(F.col("node").alias("id")), "id")
-    texts = grouped.join(src.withColumnRenamed("id", "rep"), "rep").drop("rep")
+    texts = grouped.join(src.withColumnRenamed("id", "rep"), "rep").drop("rep", "bytes")
     links = cut_lineage(members.join(texts, "id").groupBy("unit").applyInPandas(
         _verify(threshold, n), "id long, links long, low long"))
     comps = connected_components(links.select(F.col("id").alias("a"), F.col("low").alias("b")))
@@ -238,4 +254,4 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     return out.select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
         F.coalesce("class_id", "id").alias("class_id"),
-        (F.coalesce("class_id", "id") == F.col("id")).alias("kept"))
+        (F.coalesce("class_id", "id") == F.col("id")).alias("kept"), *(["digest"] if with_digest else []))
