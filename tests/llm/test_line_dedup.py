@@ -17,8 +17,9 @@ def distance(a, b):
     return prev[-1]
 
 
-def brute(rows, edits, least):
-    first, seen = {}, []
+def brute(rows, edits, least, floor=None):
+    """``least``: characters of lines that repeat exactly; ``floor``: of those in the edit join."""
+    first, floor = {}, floor or least
     for i, t, *_ in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         for no, raw in enumerate(t.split("\n")):
             line = raw.strip(" \t\r")
@@ -26,6 +27,7 @@ def brute(rows, edits, least):
                 first.setdefault(line, (i, no))
                 first[line] = min(first[line], (i, no))
     order = sorted(first, key=first.get)
+    order = [x for x in order if len(x) >= floor]
     near = {b for k, b in enumerate(order) for a in order[:k]
             if abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
     out = []
@@ -82,22 +84,10 @@ def test_kept_text_and_carry(spark):
 def test_exact_repeats_below_the_floor_of_the_edit_join(spark):
     rows = [r for r in corpus() if len(r[1] or "") < 1000] + [(400 + i, "All rights reserved.\nAnd.\nAll rights reserved!\n \n}") for i in range(9)]
     df = docs_frame(spark, rows)
-    near, want = {}, []
-    for i, _, gone in brute(rows, 2, 24):
-        near.setdefault(i, set()).update(gone)
-    at = {}
-    for i, t in rows:
-        for no, raw in enumerate(t.split("\n") if t is not None and i is not None else []):
-            line = raw.strip(" \t\r")
-            if 1 <= len(line) < 24:
-                at[line] = min(at.get(line, (i, no)), (i, no))
-    for i, t in rows:
-        gone = set(near[str(i)])
-        for no, raw in enumerate(t.split("\n") if t is not None and i is not None else []):
-            line = raw.strip(" \t\r")
-            if 1 <= len(line) < 24 and at[line] != (i, no):
-                gone.add(no)
-        want.append((str(i), 0 if t is None else t.count("\n") + 1, sorted(gone)))
+    want = {}
+    for i, n, gone in brute(rows, 2, 1, 24):
+        want.setdefault(i, set()).update(gone)               # rows of one id are one document
+    want = [(str(i), 0 if t is None else t.count("\n") + 1, sorted(want[str(i)])) for i, t in rows]
     assert digest(line_dedup(df, exact_chars=1)) == sorted(want)
     assert digest(line_dedup(df, exact_chars=1, crowded=1, block=2)) == sorted(want)
     assert digest(line_dedup(df)) == brute(rows, 2, 24)
@@ -106,6 +96,18 @@ def test_exact_repeats_below_the_floor_of_the_edit_join(spark):
             line_dedup(df, exact_chars=bad)
 
 
+def test_many_removed_lines_in_linear_time(spark):
+    import time
+    times = []
+    for n in (20_000, 160_000):
+        df = docs_frame(spark, [(1, "the same line again and again\n" * n + "another line of the same text")])
+        at = time.perf_counter()
+        r = line_dedup(df, with_text=True).first()
+        times.append(time.perf_counter() - at)
+        assert len(r["removed"]) == n - 1 and r["kept"] == "the same line again and again\nanother line of the same text"
+    assert times[1] < 8 * times[0] + 5
+
+
 def test_edges(spark):
     assert line_dedup(docs_frame(spark, [])).collect() == []
     with pytest.raises(ValueError):

@@ -98,6 +98,17 @@ def signature(chars: Column) -> Column:
     return F.aggregate(bits, F.expr("0L"), lambda acc, x: acc.bitwiseXOR(x))
 
 
+def without(lines: Column, gone: Column) -> Column:
+    """An array without the elements at the ascending positions ``gone``: the stretches between two
+    of them, each cut out once, so the work is linear in the array.  The array goes in as a
+    lambda's variable, as an expression it would be worked out for every stretch."""
+    def cut(a: Column) -> Column:
+        ends = F.concat(gone, F.array(F.size(a)))
+        starts = F.concat(F.array(F.lit(-1)), gone)
+        return F.flatten(F.zip_with(starts, ends, lambda p, q: F.slice(a, p + 2, q - p - 1)))
+    return F.element_at(F.transform(F.array(lines), cut), 1)
+
+
 def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col: str = "doc_id",
                text_col: str = "text", crowded: int = 16, block: int = 128, with_text: bool = False,
                carry: bool = False, exact_chars: int | None = None) -> DataFrame:
@@ -180,8 +191,8 @@ def line_dedup(docs: DataFrame, max_edits: int = 2, min_chars: int = 24, id_col:
         "removed", F.coalesce("removed", F.array().cast("array<int>")))
     cols = [F.col("id").alias(id_col), "n_lines", "removed"]
     if with_text:
-        left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
-        cols.append(F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n")).alias("kept"))
+        cols.append(F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(without(
+            F.split("text", "\n"), F.col("removed")), "\n")).alias("kept"))
     return out.select(*cols, *(["row"] if carry else []))
 
 

@@ -121,7 +121,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select(
+    return line_dedup(table(spark, sf_dir, "documents"), exact_chars=1).select(
         "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
         F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
@@ -131,13 +131,13 @@ ORACLE["op10_line_dedup"] = """
 WITH l AS (
   SELECT doc_id AS id, unnest(range(0, len(a))) AS no, trim(unnest(a), ' ' || chr(9) || chr(13)) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
-e AS (SELECT * FROM l WHERE length(line) >= 24),
+e AS (SELECT * FROM l WHERE length(line) >= 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY id, no) AS nth FROM e),
 d AS (SELECT id, no, line, length(line) AS n,
              translate(line, 'ÄÇÈÉÊÍÑÓÖÜßáâäçèéêíîñóöúü', chr(1)||chr(2)||chr(3)||chr(4)||chr(5)||chr(6)||chr(7)||chr(8)
                ||chr(11)||chr(12)||chr(14)||chr(15)||chr(16)||chr(17)||chr(18)||chr(19)||chr(20)||chr(21)||chr(22)||chr(23)
                ||chr(24)||chr(25)||chr(26)||chr(27)||chr(28)) AS t
-      FROM r WHERE nth = 1),
+      FROM r WHERE nth = 1 AND length(line) >= 24),
 p AS (SELECT id, no, line, t, unnest(range(n - 2, n + 3)) AS k FROM d),
 near AS (
   SELECT DISTINCT p.line FROM p JOIN d ON d.n = p.k
