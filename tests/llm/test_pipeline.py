@@ -61,7 +61,7 @@ def test_every_stage_on_its_own_input(spark, sf_dir, tmp_path):
 
     before, after = map(texts, steps[1])
     want = {}
-    for i, _, gone in gone_lines(before, 2, 24):
+    for i, _, gone in gone_lines(before, 2, 1, 24):
         want.setdefault(i, set()).update(gone)
     kept = []
     for i, t in before:
@@ -92,6 +92,30 @@ def test_every_stage_on_its_own_input(spark, sf_dir, tmp_path):
     assert not [(s, taken[s], target[s]) for s in size if abs(taken[s] - target[s]) > 0.5 + 1e-6], (size, taken, target)
 
 
+def test_rows_of_one_id_and_rows_without_id(spark, sf_dir):
+    """A near copy under a repeated id goes, a row without id stays, equal rows of one id become one."""
+    import corpus_pipeline as cp
+    a, b = (random_text(random.Random(k), vocabulary(), 60) for k in (1, 2))
+    rows = [(1, a, "s"), (2, b, "s"), (2, a + " x", "s"), (3, b, "s"), (None, a, "s"), (None, a, "s"), (4, "", "s"), (4, "", "s"),
+            (4, None, "s"), (5, "one  two", "s"), (5, "one two", "t")]
+    out = cp.dedup_documents(spark, docs_frame(spark, rows), sf_dir)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    five = [r for r in got if r[0] == 5]
+    assert len(five) == 1
+    assert [r for r in got if r[0] != 5] == sorted([(1, a), (2, b), (None, a), (None, a), (4, ""), (4, ""), (4, None)], key=str)
+
+
+def test_run_removes_what_a_finished_stage_left(spark, sf_dir):
+    import glob
+
+    import corpus_pipeline as cp
+    from tidemark.session import checkpoint_dir
+    before = set(glob.glob(f"{checkpoint_dir(spark)}/pipeline-*"))
+    cp.run(spark, sf_dir).count()
+    base, = set(glob.glob(f"{checkpoint_dir(spark)}/pipeline-*")) - before
+    assert [p.rsplit("/", 1)[1] for p in glob.glob(f"{base}/*")] == ["3-decontaminate"]
+
+
 def test_run_equals_the_stages(spark, sf_dir):
     import corpus_pipeline as cp
     out = cp.run(spark, sf_dir)
