@@ -22,9 +22,9 @@ from tidemark.llm._io import table, text_batches
 from tidemark.llm.decontamination import decontaminate
 from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.ngram_join import ngram_join
+from tidemark.llm.ngram_join import ngram_join, word_digest
 from tidemark.llm.toxicity import score_toxicity
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, drop_path
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without the lines that repeat earlier ones (n_chars follows); those
     that had text and have none left go.  NULL and blank texts stay as they are."""
-    out = line_dedup(docs, with_text=True, carry=True)
+    out = line_dedup(docs, with_text=True, carry=True, exact_chars=1)
     blank = (F.size("removed") > 0) & (F.length(F.btrim("kept", F.lit(" \t\r\n"))) == 0)
     changed = F.size("removed") > 0
     columns = [F.when(changed, F.col("kept")).otherwise(F.col("row.text")).alias("text") if c == "text" else
@@ -47,12 +47,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies; repeated rows of one id and text become one.
-    Documents without words and without id stay."""
+    """One document of each group of near copies; repeated rows of one id and word sequence become
+    one.  Each row goes or stays by its own text.  Rows without words or without id stay."""
     text_batches(spark)
-    fate = ngram_join(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    left = docs.join(fate.where("not kept").select("doc_id"), "doc_id", "left_anti")
-    return left.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    gone = ngram_join(docs, with_digest=True).where("digest is not null and not kept").select(
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    marked = docs.withColumn("_words", F.when(F.col("doc_id").isNotNull(), word_digest(F.col("text"))))
+    left = marked.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_words") == F.col("_digest")), "left_anti")
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("doc_id is not null and _n > 1").select(
+        F.col("doc_id").alias("_id"))
+    single = left.join(again, (F.col("doc_id") == F.col("_id")) & F.col("_words").isNotNull(), "left_anti")
+    twice = left.where("_words is not null").join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "_words"])
+    return single.unionByName(twice).select(*docs.columns)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,14 +86,23 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents; each result but the last goes through Parquet in
-    the shared folder."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """The stages applied to documents; each result but the last goes through Parquet in the shared
+    folder.  The checkpoints of a stage lie in a folder of its own, which goes, with the
+    stage's input, once its result is written."""
+    docs, sc = table(spark, sf_dir, "documents"), spark.sparkContext
+    shared = checkpoint_dir(spark)
+    base = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{base}/{k}-{name}")
-        docs = spark.read.parquet(f"{base}/{k}-{name}")
+            return stage(spark, docs, sf_dir)
+        scratch, path = f"{base}/checkpoints-{k}", f"{base}/{k}-{name}"
+        try:
+            sc.setCheckpointDir(scratch)
+            stage(spark, docs, sf_dir).write.parquet(path)
+        finally:
+            sc.setCheckpointDir(shared)
+        for old in filter(None, (scratch, before)):
+            drop_path(spark, old)
+        before, docs = path, spark.read.parquet(path)
     return docs
