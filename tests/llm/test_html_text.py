@@ -87,3 +87,43 @@ def test_rows(spark):
     assert sorted(r["n_chars"] for r in out) == sorted(len(main_text(h)) for _, _, h in rows)
     assert {r["page_id"]: r["url"] for r in out}[2] is None
     assert extract_main_text(df.where("false")).collect() == []
+
+
+def test_reader_comments_go_whatever_their_markup_and_size():
+    text, talk = sentences(0, 4), sentences(10, 40)
+    want = [f"Sentence {i}" for i in range(4)]
+    inner = "".join(f"<article class='comment'><p>Reader {i} says a lot of things in a long comment, indeed very long.</p></article>" for i in range(30))
+    blog = "".join(f"<li><article class='comment-body'><p>Reader {i} says a lot of things, indeed.</p></article></li>" for i in range(30))
+    plain = "".join(f"<article><p>Reader {i} says a lot of things in a long comment, indeed.</p></article>" for i in range(30))
+    pages = [f"<article>{text}<section class='comments'>{inner}</section></article>",
+             f"<main><article>{text}</article><div id='comments'><ol>{blog}</ol></div></main>",
+             f"<main><article>{text}</article><div id=comments>{plain}</div></main>",
+             f"<article>{text}<div class='post-comments'>{talk}</div></article>",
+             f"<div><div>{text}</div><div id='comments'>{talk}</div></div>",
+             f"<div><div>{text}</div><div class='comment-list'>{plain}</div></div>",
+             f"<article>{text}</article>{inner}"]
+    for page in pages:
+        assert [x[:10] for x in main_text(f"<body>{page}</body>").split("\n")] == want, page[:200]
+    # a wrapper that has such a name but holds the only article
+    wrapped = f"<body><div class='content comments'><article>{text}</article></div></body>"
+    assert [x[:10] for x in main_text(wrapped).split("\n")] == want
+
+
+def test_a_teaser_beside_the_article_is_not_the_article():
+    card = "<article class='card'><h3><a href=/x>Another story of the day</a></h3><p>Its first sentence, which is quite long, as such sentences are.</p></article>"
+    page = f"<body><div><article><h1>Story</h1>{sentences(0, 5)}</article>{card}</div></body>"
+    got = main_text(page).split("\n")
+    assert got[0] == "Story" and len(got) == 6
+    both = f"<body><div><article>{sentences(0, 5)}</article><article>{sentences(5, 9)}</article></div></body>"
+    assert len(main_text(both).split("\n")) == 9
+
+
+def test_deep_and_crossed_pages_in_linear_time():
+    import time
+    n = 100_000
+    pages = ["<div>" * n + "text" + "</div>" * n, "<b>" * n + "<div>text" + "</b>" * n, "<p><table>" + "<span>" * n + "<h1>x</h1>" * 1000,
+             "<a>" + "<div>" * n + "</a>" * n, "<ul>" + "<li>" * n + "text", "<main>" + "<i><p>t" * n]
+    for page in pages:
+        at = time.perf_counter()
+        assert "t" in main_text(page) or "x" in main_text(page) or not main_text(page)
+        assert time.perf_counter() - at < 6, page[:40]

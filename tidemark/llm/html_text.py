@@ -7,7 +7,8 @@
    footers, sidebars, ...) are left out of the tree.  A form and what carries the name
    of such a part (adverts, notices, reader comments, ...) go only if they hold no
    article or main element and lie outside one that has text, most of their text is
-   links, or at most half of the page's unlinked text is theirs.
+   links, or at most half of the page's unlinked text is theirs.  Reader comments by name go
+   whatever their size, with the articles inside them, and so do articles of that name.
 3. Every node gets its link-adjusted density of characters per tag: with C
    characters, T tags, LC and LT those in links, NLC = C - LC, and the body's LCb, Cb
 
@@ -17,7 +18,7 @@
    is the text; one inside a paragraph is widened to its container, one inside an
    article or main element to that: there the tag overrides the density, and only
    sisters of the same tag are added, if they reach the smallest density on the path
-   from the body.  Elsewhere every node beside that path is tested, of any tag: it is
+   from the body and are no teasers (mostly links, or a linked heading where the best has none).  Elsewhere every node beside that path is tested, of any tag: it is
    added if at most half of its text is links and it is a paragraph, list, quotation
    or the like, reaches that smallest density or has half the best node's unlinked
    characters per tag; so is text directly in the path.  A heading goes with what follows it.
@@ -44,6 +45,7 @@ _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+_RAW_END = {x: re.compile(r"</" + x + r"(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I) for x in RAW}
 DROP = frozenset("head script style noscript template iframe object embed svg annotation annotation-xml canvas audio video nav footer "
                  "aside button select textarea menu dialog title option datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -68,6 +70,8 @@ _NEUTRAL = frozenset(
     "site page post posts entry article articles user reader main primary secondary left right top bottom inner outer "
     "box block list section area container wrapper wrap item items link links icons buttons button bar form content "
     "stories news media text title unit slot col column".split())
+#: names of reader comments
+_TALK = frozenset("comment comments commentlist disqus respond replies reply".split())
 _PAGE_HEAD = re.compile(r"(?:^|[-_ ])(?:header|site-?title|logo|tagline)(?:$|[-_ ])")
 _ROLES = frozenset("navigation banner contentinfo complementary dialog alert alertdialog menu menubar".split())
 _KEEP = frozenset("html body article main".split())
@@ -75,6 +79,47 @@ _WITH = re.compile(r"\b(?:has|with|no|without|is|not)[-_][\w-]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
+class Open:
+    """The open elements, innermost last, with the places of every name, of blocks and of scopes,
+    so that no step looks through the stack."""
+
+    def __init__(self):
+        self.names, self.nodes = [], []
+        self.places: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [], []
+        self.push("body", 0)
+
+    def push(self, name: str, node: int) -> None:
+        at = len(self.names)
+        self.names.append(name)
+        self.nodes.append(node)
+        self.places.setdefault(name, []).append(at)
+        if name in BLOCK or name == "body":
+            self.blocks.append(at)
+        if name in SCOPE:
+            self.scopes.append(at)
+
+    def cut(self, k: int) -> int:
+        """Close the elements from place k on; their number."""
+        n = len(self.names) - k
+        for name in self.names[k:]:
+            self.places[name].pop()
+        for places in (self.blocks, self.scopes):
+            while places and places[-1] >= k:
+                places.pop()
+        del self.names[k:], self.nodes[k:]
+        return n
+
+    def last(self, name: str) -> int:
+        """Place of the innermost open element of a name, 0 if there is none but the body."""
+        places = self.places.get(name)
+        return places[-1] if places else 0
+
+    @property
+    def in_article(self) -> bool:
+        return self.last("article") > 0 or self.last("main") > 0
+
+
 class Page:
     """Tree of a page as parallel lists; node 0 is the body."""
 
@@ -82,20 +127,21 @@ class Page:
         self.tag, self.parent = ["body"], [-1]
         self.pieces: list[tuple[int, int, str]] = []          # (node, block, text)
         self.named: list[int] = []                            # nodes that may not be the article
+        self.talk: set[int] = set()                           # those named as reader comments
         self._scan(source)
         self._weigh()
 
     def _scan(self, s: str) -> None:
-        stack, names = [0], ["body"]
+        up = Open()
         skip, block, at, n = 0, 0, 0, len(s)                  # skip: open elements inside a left out part
         while at < n:
             m = _TAG.search(s, at)
             if m is None:
                 if not skip:
-                    self._text(stack[-1], block, s[at:])
+                    self._text(up.nodes[-1], block, s[at:])
                 return
             if m.start() > at and not skip:
-                self._text(stack[-1], block, s[at:m.start()])
+                self._text(up.nodes[-1], block, s[at:m.start()])
             at = m.end()
             name = m.group(2)
             if name is None:
@@ -104,59 +150,50 @@ class Page:
             if m.group(1):                                    # an end tag
                 if name in BLOCK:
                     block += 1
-                if name in names[1:]:
-                    # an inline end tag does not reach through an open block
-                    k = len(names) - 1
-                    while names[k] != name:
-                        k -= 1
-                    if name in BLOCK or not any(x in BLOCK for x in names[k + 1:]):
-                        skip = max(0, skip - (len(names) - k))
-                        del names[k:], stack[k:]
+                k = up.last(name)
+                # an inline end tag does not reach through an open block
+                if k > 0 and (name in BLOCK or up.blocks[-1] <= k):
+                    skip = max(0, skip - up.cut(k))
                 continue
             attrs = m.group(3) or ""
             if name in ("html", "body"):
                 continue
             if name in BLOCK:
                 block += 1
-                if "p" in names[1:] and not skip:             # a block ends an open paragraph
-                    k = len(names) - 1
-                    while names[k] != "p" and names[k] not in SCOPE:
-                        k -= 1
-                    if names[k] == "p":
-                        del names[k:], stack[k:]
+                if not skip and up.last("p") > up.scopes[-1]:  # a block ends an open paragraph
+                    up.cut(up.last("p"))
             ends = CLOSES.get(name)
             if ends:
-                k = len(names) - 1
-                while k > 0 and names[k] not in SCOPE and names[k] not in ends:
-                    k -= 1
-                if k > 0 and names[k] in ends:
-                    skip = max(0, skip - (len(names) - k))
-                    del names[k:], stack[k:]
+                k = max(map(up.last, ends))
+                if k > up.scopes[-1]:
+                    skip = max(0, skip - up.cut(k))
             if name in VOID or attrs.endswith("/") and name not in BLOCK and name not in RAW:
                 if not skip:
                     if name == "br":
-                        self._text(stack[-1], block, " ")
+                        self._text(up.nodes[-1], block, " ")
                     self.tag.append(name)
-                    self.parent.append(stack[-1])
+                    self.parent.append(up.nodes[-1])
                 continue
             if name in RAW:
-                end = re.compile(r"</" + name + r"(?=[\s/>])[^>]*(?:>|\Z)|\Z", re.I).search(s, at)
+                end = _RAW_END[name].search(s, at)
                 at = end.end()
                 continue
-            if name == "article" and skip and names[-1] == "head":
+            if name == "article" and skip and up.names[-1] == "head":
                 skip = 0                                      # a head that was never closed
-                del names[1:], stack[1:]
-            if skip or self._left_out(name, attrs, names):
+                up.cut(1)
+            if skip or self._left_out(name, attrs, up):
                 skip += 1
-                names.append(name)
-                stack.append(-1)
+                up.push(name, -1)
                 continue
             self.tag.append(name)
-            self.parent.append(stack[-1])
-            stack.append(len(self.tag) - 1)
-            if self._suspect(name, attrs, names):
-                self.named.append(stack[-1])
-            names.append(name)
+            self.parent.append(up.nodes[-1])
+            node = len(self.tag) - 1
+            kind = self._suspect(name, attrs, up)
+            if kind:
+                self.named.append(node)
+            if kind == 2:
+                self.talk.add(node)
+            up.push(name, node)
 
     def _text(self, node: int, block: int, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -164,10 +201,10 @@ class Page:
             self.pieces.append((node, block, text))
 
     @staticmethod
-    def _left_out(name: str, attrs: str, names: list[str]) -> bool:
+    def _left_out(name: str, attrs: str, up: Open) -> bool:
         if name in DROP:
             return True
-        if name == "header" and not ("article" in names or "main" in names):
+        if name == "header" and not up.in_article:
             return True
         if not attrs or name in _KEEP:
             return False
@@ -184,49 +221,59 @@ class Page:
         return False
 
     @staticmethod
-    def _suspect(name: str, attrs: str, names: list[str]) -> bool:
+    def _suspect(name: str, attrs: str, up: Open) -> int:
+        """0, 1 for a part that may not be the article by its name, 2 for reader comments."""
         if name == "form":
-            return True
-        if not attrs or name in _KEEP or name in HEADING:
-            return False
-        inside = "article" in names or "main" in names
+            return 1
+        if not attrs or name in HEADING or name in _KEEP and name != "article":
+            return 0
+        found = 0
         for m in _NAMED.finditer(attrs):
             key, value = m.group(1).lower(), (m.group(2) or "").strip("\"'")
             if key == "role" and value.lower() in ("form", "search"):
-                return True
+                found = max(found, 1)
             if key in ("class", "id"):
                 value = _WITH.sub("", _CAMEL.sub(r"\1-\2", value).lower())
-                if not inside and _PAGE_HEAD.search(value):
-                    return True
+                if not up.in_article and _PAGE_HEAD.search(value):
+                    found = max(found, 1)
                 for token in value.split():
                     parts = [x for x in re.split(r"[-_]+|\d+", token) if x]
-                    if any(x in _BOILER for x in parts) and all(x in _BOILER or x in _NEUTRAL for x in parts):
-                        return True
-        return False
+                    if all(x in _BOILER or x in _NEUTRAL or x in _TALK for x in parts):
+                        if any(x in _TALK for x in parts):
+                            return 2
+                        if any(x in _BOILER for x in parts):
+                            found = max(found, 1)
+        return 0 if name == "article" else found
 
     def _weigh(self) -> None:
-        """Takes the named nodes out that hold no article or main and little of the text, or mostly links."""
+        """Takes the named nodes out that hold no article or main and little of the text, or mostly
+        links, and reader comments whatever their size."""
         if not self.named:
             return
         tag, parent, n = self.tag, self.parent, len(self.tag)
         chars, own = [0] * n, [0] * n
-        in_link, holds = [False] * n, [t in ("article", "main") for t in tag]
-        within, marked = list(holds), False
+        in_link = [False] * n
         for i in range(1, n):
             in_link[i] = tag[i] == "a" or in_link[parent[i]]
-            within[i] = within[i] or within[parent[i]]
-        for node, _, text in self.pieces:
-            size = len(_SPACE.sub(" ", text).strip())
+        sizes = [len(_SPACE.sub(" ", text).strip()) for _, _, text in self.pieces]
+        for (node, _, _), size in zip(self.pieces, sizes):
             chars[node] += size
             own[node] += 0 if in_link[node] else size
-            marked = marked or size > 0 and within[node]
         for i in range(n - 1, 0, -1):
             chars[parent[i]] += chars[i]
             own[parent[i]] += own[i]
+        talk = self._comments(own)
+        holds = [tag[i] in ("article", "main") and not talk[i] for i in range(n)]
+        within, marked = list(holds), False
+        for i in range(1, n):
+            within[i] = within[i] or within[parent[i]]
+        for (node, _, _), size in zip(self.pieces, sizes):
+            marked = marked or size > 0 and within[node] and not talk[node]
+        for i in range(n - 1, 0, -1):
             holds[parent[i]] = holds[parent[i]] or holds[i]
-        gone = [False] * n
+        gone = list(talk)
         for i in self.named:
-            gone[i] = not holds[i] and (
+            gone[i] = gone[i] or not holds[i] and (
                 marked and not within[i] or 2 * own[i] <= own[0] or 2 * own[i] < chars[i])
         for i in range(1, n):
             gone[i] = gone[i] or gone[parent[i]]
@@ -239,6 +286,29 @@ class Page:
         self.parent = [-1] + [at[parent[i]] for i in left[1:]]
         self.pieces = [(at[node], block, text) for node, block, text in self.pieces if not gone[node]]
 
+    def _comments(self, own: list[int]) -> list[bool]:
+        """Whether each node lies in reader comments.  A part of that name which wraps the page's
+        only article and most of its text is a wrapper, not the comments."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        outer: list[int] = []                                 # articles and mains not inside another
+        inside = [False] * n
+        for i in range(1, n):
+            mark = tag[i] in ("article", "main") and i not in self.talk
+            if mark and not inside[parent[i]]:
+                outer.append(i)
+            inside[i] = inside[parent[i]] or mark
+        wrappers = set()
+        if len(outer) == 1:
+            up = outer[0]
+            while up > 0:
+                up = parent[up]
+                if up in self.talk and tag[up] != "article" and 2 * own[up] > own[0]:
+                    wrappers.add(up)
+        talk = [i in self.talk and i not in wrappers for i in range(n)]
+        for i in range(1, n):
+            talk[i] = talk[i] or talk[parent[i]]
+        return talk
+
     def article(self) -> list[str]:
         """Blocks of the main text, in page order."""
         tag, parent, n = self.tag, self.parent, len(self.tag)
@@ -288,7 +358,11 @@ class Page:
                 break
             up = parent[up]
         if tag[best] in ("article", "main"):                  # the tag overrides the density
-            chosen = {i for i in range(1, n) if parent[i] == parent[best] and tag[i] == tag[best] and density[i] >= low}
+            linked = [tag[i] in HEADING and 0 < chars[i] < 2 * links[i] for i in range(n)]   # headings that are links
+            for i in range(n - 1, 0, -1):
+                linked[parent[i]] = linked[parent[i]] or linked[i]
+            chosen = {i for i in range(1, n) if parent[i] == parent[best] and tag[i] == tag[best] and density[i] >= low
+                      and 2 * links[i] <= chars[i] and linked[i] <= linked[best]}
             chosen.add(best)
             runs = set()
         else:
