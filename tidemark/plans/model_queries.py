@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,13 +13,15 @@ from tidemark.operators.encode import label_encode, model_matrix
 from tidemark.operators.evaluate import cut_labels, ks_peak, ks_statistic, ks_table, roc_auc
 from tidemark.operators.profile import percentile_name, univariate_profile
 from tidemark.operators.selection import correlation_pairs, information_value
+from tidemark.operators.sketches import merge_statistics, merged_profile, part_statistics
 from tidemark.operators.trailing import Feature, trailing_features
 from tidemark.plans import constants as K
 from tidemark.plans import fixtures as fx
 from tidemark.plans.feature_queries import (CENTS, FUSED_BODY, ORDER_ANCHOR, TXN,
                                             TRANSACTION_FEATURE_NAMES, transaction_features)
 from tidemark.plans.registry import register
-from tidemark.session import checkpoint_dir
+from tidemark.session import checkpoint_dir, cut_lineage, drop_path
+from tidemark.sources import append_once, read_committed
 
 KEYS = ["o_custkey", "o_orderdate", "o_orderkey"]
 
@@ -399,6 +402,28 @@ def univariate_profile_query(spark, root):
                          for c in prof.columns])
 
 
+_MERGED_PARTS = 4
+SQL_MERGED_PROFILE = SQL_PROFILE.replace(
+    "SELECT * FROM profile", "SELECT feature, count, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, min, max, missing_count, "
+    "ROUND(missing_rate, 10) AS missing_rate FROM profile")
+
+
+@register("merged_profile", SQL_MERGED_PROFILE)
+def merged_profile_query(spark, root):
+    """The profile of a table that grew by parts: each part's statistics are written once, one part
+    runs again, and the profile comes from the stored rows (A10, M21, S6).  Its exact columns."""
+    t = feature_table_cut(spark, root)
+    path = f"{checkpoint_dir(spark)}/tidemark-io/profile-parts-{uuid.uuid4().hex}"
+    for part in [*range(_MERGED_PARTS), 0]:
+        mine = t.where(F.pmod("o_orderkey", F.lit(_MERGED_PARTS)) == part)
+        append_once(part_statistics(mine, _profile_columns(), F.lit(part)), path, str(part))
+    merged = cut_lineage(merge_statistics(read_committed(spark, path)))
+    drop_path(spark, path)
+    prof = merged_profile(merged, [])
+    return prof.select("feature", "count", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max",
+                       "missing_count", F.round("missing_rate", 10).alias("missing_rate"))
+
+
 # --------------------------------------------------------------------------- step 8
 
 _DIST = """
