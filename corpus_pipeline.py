@@ -24,7 +24,10 @@ from tidemark.llm.line_dedup import line_dedup
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.ngram_join import ngram_join, word_digest
 from tidemark.llm.toxicity import score_toxicity
-from tidemark.session import checkpoint_dir, drop_path
+from tidemark.session import checkpoint_dir, cut_lineage, drop_path
+
+
+BROADCAST_ROWS = 1 << 20        # rows of an id and a digest: about 60 MB at most
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,15 +53,17 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near copies; repeated rows of one id and word sequence become
     one.  Each row goes or stays by its own text.  Rows without words or without id stay."""
     text_batches(spark)
-    gone = ngram_join(docs, with_digest=True).where("digest is not null and not kept").select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    marked = docs.withColumn("_words", F.when(F.col("doc_id").isNotNull(), word_digest(F.col("text"))))
-    left = marked.join(gone, (F.col("doc_id") == F.col("_id")) & (F.col("_words") == F.col("_digest")), "left_anti")
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("doc_id is not null and _n > 1").select(
-        F.col("doc_id").alias("_id"))
-    single = left.join(again, (F.col("doc_id") == F.col("_id")) & F.col("_words").isNotNull(), "left_anti")
-    twice = left.where("_words is not null").join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "_words"])
-    return single.unionByName(twice).select(*docs.columns)
+    fate = ngram_join(docs, with_digest=True).where("digest is not null").groupBy(
+        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    act = cut_lineage(fate.where("not _kept or _n > 1"))
+    if act.count() <= BROADCAST_ROWS:
+        act = F.broadcast(act)
+    # a text's digest is worked out where the id meets: no join key, and so not for every row
+    same = (F.col("doc_id") == F.col("_id")) & F.coalesce(word_digest(F.col("text")) == F.col("_digest"), F.lit(False))
+    stay = docs.join(act, same, "left_anti")
+    twice = docs.join(act.where("_kept"), same, "left_semi").withColumn("_words", word_digest(F.col("text"))).dropDuplicates(
+        ["doc_id", "_words"])
+    return stay.select(*docs.columns).unionByName(twice.select(*docs.columns))
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
