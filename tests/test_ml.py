@@ -276,3 +276,19 @@ def test_shadow_selection_finds_signal(spark):
     assert sel["x1"].accepted and sel["x1"].hits == sel["x1"].rounds
     assert not sel["noise"].accepted
     assert shadow_selection(df.where("false"), ["x1"], "y", "id").first().state == "tentative"
+
+
+def test_rows_with_few_features_do_not_grow_in_one_task(spark, monkeypatch):
+    """Memory of a task follows its rows, not only rows x features; the trees are the same."""
+    from tidemark.operators import boosting
+    assert not boosting.fits_task(9_000_000, 4, 1 << 26) and boosting.fits_task(900_000, 18, 1 << 26)
+    df = _shaped(spark, n=600)
+    specs = [Spec(("a", "b"), 2, 0.1, 1, 3)]
+    one = fit_many(df, specs, "y", "id")[0]
+
+    def fail(*_):
+        raise AssertionError("grown in one task")
+
+    monkeypatch.setattr(boosting, "TASK_BYTES", 600 * 80)
+    monkeypatch.setattr(boosting, "_in_tasks", fail)
+    assert _same(one, fit_many(df, specs, "y", "id")[0])

@@ -11,7 +11,8 @@ the column that tells its training rows) side by side.  One scan per tree level
 per (model, feature) adds them up and picks the best cut; the driver holds one split per
 model.  Every few trees the scores go to a checkpoint, so a scan applies only the trees
 since then and a lost task repeats one scan.  Where the packed table has a known size below
-``task_cells`` a model's rows fit one task, and the same steps run there without a job per level.
+``task_cells`` cells and ``TASK_BYTES`` of working memory a model's rows fit one task, and the same
+steps run there without a job per level.
 
 Gradients are rounded to multiples of 2**-24 and summed as integers, so the trees depend
 neither on the order or partitioning of the rows nor on which way they were grown.
@@ -31,6 +32,9 @@ from tidemark.operators.ranking import wide_quantiles
 from tidemark.session import cut_lineage
 
 _UNIT = float(1 << 24)
+#: Working memory of a model that is grown inside one task: label, score, gradient, hessian, leaf and
+#: the keys of a histogram take about 80 bytes a row beside its features, however few these are.
+TASK_BYTES, ROW_BYTES = 192 << 20, 80
 
 
 @dataclass(frozen=True)
@@ -223,14 +227,14 @@ def fit_many(df: DataFrame, specs: Sequence[Spec], label: str, key: str, bins: i
 
     Rows with a NULL label take no part; NULL and NaN values go with the lowest bin.  A model
     without training rows or without a cut keeps trees of one leaf.  ``task_cells``: up to so many
-    rows x features a model is grown inside one task."""
+    rows x features, and ``TASK_BYTES`` of memory, a model is grown inside one task."""
     folds = sorted({s.fold for s in specs})
     names = sorted({f for s in specs for f in s.features})
     edges = quantile_cuts(df, names, bins)
     blocks = pack(df, {c: edges[c] for c in names}, label, key, folds)
     n = blocks.agg(F.sum("n")).first()[0] or 0
     plan = _Plan(list(specs), folds, names, {c: edges[c] for c in names}, bins)
-    if n * max(1, len(names)) <= task_cells:
+    if fits_task(n, len(names), task_cells):
         trees = _in_tasks(blocks, plan)
     else:
         trees = _level_by_level(blocks, plan, trees_per_state)
@@ -238,6 +242,11 @@ def fit_many(df: DataFrame, specs: Sequence[Spec], label: str, key: str, bins: i
     return models, blocks, folds, names
 
 
+def fits_task(rows: int, features: int, task_cells: int) -> bool:
+    """Whether a model of all rows may grow inside one task, by cells and by bytes."""
+    return rows * max(1, features) <= task_cells and rows * (features + ROW_BYTES) <= TASK_BYTES
+
+
 @dataclass(frozen=True)
 class _Plan:
     specs: list[Spec]
