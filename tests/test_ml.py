@@ -292,3 +292,23 @@ def test_rows_with_few_features_do_not_grow_in_one_task(spark, monkeypatch):
     monkeypatch.setattr(boosting, "TASK_BYTES", 600 * 80)
     monkeypatch.setattr(boosting, "_in_tasks", fail)
     assert _same(one, fit_many(df, specs, "y", "id")[0])
+
+
+def test_a_level_follows_from_the_one_above():
+    """Counting one side of a cut and taking it from the level above gives the whole histograms."""
+    from tidemark.operators import boosting
+    rng = np.random.default_rng(5)
+    n = 70_001                                            # several chunks of rows
+    x = rng.integers(0, 32, (n, 3)).astype(np.uint8)
+    g, h = boosting.gradients(rng.integers(0, 2, n).astype(float), rng.normal(0, 3, n))
+    columns, leaf = [x[:, j] for j in range(3)], rng.integers(0, 4, n)
+    above = boosting.histograms(columns, leaf, 4, g, h, 32)
+    for j in range(3):
+        plain = [np.bincount(leaf * 32 + x[:, j], weights=w, minlength=128).astype(np.int64) for w in (g, h, np.ones(n))]
+        assert (above[j].reshape(3, -1) == np.stack(plain)).all()
+    for cut in (1, 30, 31):                               # the rows above the cut are many, few and none
+        deeper = leaf | (x[:, 0] > cut).astype(np.int64) << 2
+        assert (boosting.grown(above, columns, deeper, 8, g, h, 32) == boosting.histograms(columns, deeper, 8, g, h, 32)).all()
+    flat, (g, h) = np.zeros(n, np.uint8), boosting.gradients(np.ones(n), np.zeros(n))      # the largest hessians, all in one bin
+    one = boosting.histogram(flat, np.zeros(n, np.int64), 1, g, h, 32)
+    assert one[:, 0, 0].tolist() == [n << 23, n << 22, n] and not one[:, 0, 1:].any()

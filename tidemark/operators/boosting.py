@@ -85,10 +85,15 @@ def bin_matrix(x: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
 
 
 def leaves(bins: np.ndarray, features: Sequence[int], cuts: Sequence[int], columns: Sequence[int]) -> np.ndarray:
-    at = np.zeros(len(bins), np.int64)
+    return leaves_of(bins.T, features, cuts, columns)
+
+
+def leaves_of(by_column: np.ndarray, features: Sequence[int], cuts: Sequence[int], columns: Sequence[int]) -> np.ndarray:
+    """``leaves`` of binned features held column by column."""
+    at = np.zeros(by_column.shape[1], np.uint8 if len(features) <= 8 else np.int64)
     for k, (f, c) in enumerate(zip(features, cuts)):
-        at |= (bins[:, columns[f]] > c).astype(np.int64) << k
-    return at
+        at |= (by_column[columns[f]] > c).astype(at.dtype) << at.dtype.type(k)
+    return at.astype(np.int64)
 
 
 def raw_scores(bins: np.ndarray, trees: Sequence[Tree], columns: Sequence[int]) -> np.ndarray:
@@ -108,11 +113,42 @@ def gradients(y: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.rint((y - p) * _UNIT), np.rint(p * (1 - p) * _UNIT)
 
 
+#: Rows of one count: 2**14 hessians of at most 2**22 each sum to 2**36 at most, and with the rows
+#: counted above them, from bit 37 on, stay below 2**53, so one double holds both exactly.
+_CHUNK, _ROW = 1 << 14, float(1 << 37)
+
+
 def histogram(bins: np.ndarray, leaf: np.ndarray, n_leaves: int, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
     """(3, leaves, width) whole-number sums of gradient, hessian and rows of one feature."""
-    key, size = leaf * width + bins, n_leaves * width
-    parts = [np.bincount(key, weights=w, minlength=size) for w in (g, h)] + [np.bincount(key, minlength=size)]
-    return np.stack(parts).astype(np.int64).reshape(3, n_leaves, width)
+    return histograms([bins], leaf, n_leaves, g, h, width)[0]
+
+
+def histograms(columns: Sequence[np.ndarray], leaf: np.ndarray, n_leaves: int, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
+    """(features, 3, leaves, width): the ``histogram`` of every column, counted in chunks of rows."""
+    size = n_leaves * width
+    out = np.zeros((len(columns), 3, size), np.int64)
+    for lo in range(0, len(leaf), _CHUNK):
+        part = slice(lo, lo + _CHUNK)
+        base, gs, packed = leaf[part] * width, g[part], h[part] + _ROW
+        for j, bins in enumerate(columns):
+            key = base + bins[part]
+            out[j, 0] += np.bincount(key, weights=gs, minlength=size).astype(np.int64)
+            both = np.bincount(key, weights=packed, minlength=size).astype(np.int64)
+            out[j, 1] += both & (int(_ROW) - 1)
+            out[j, 2] += both >> 37
+    return out.reshape(len(columns), 3, n_leaves, width)
+
+
+def grown(parent: np.ndarray, columns: Sequence[np.ndarray], leaf: np.ndarray, n_leaves: int, g: np.ndarray, h: np.ndarray,
+          width: int) -> np.ndarray:
+    """``histograms`` of a level from those of the level above: only the rows on the smaller side of the
+    last cut are counted, the other side is what they leave of their parents (whole numbers, so exactly)."""
+    half = n_leaves // 2
+    high = leaf >= half
+    upper = 2 * np.count_nonzero(high) <= len(leaf)
+    at = np.flatnonzero(high if upper else ~high)
+    few = histograms([c[at] for c in columns], leaf[at] & (half - 1), half, g[at], h[at], width)
+    return np.concatenate((parent - few, few) if upper else (few, parent - few), axis=2)
 
 
 def leaf_score(g: np.ndarray, h: np.ndarray, l2: float) -> np.ndarray:
@@ -283,11 +319,13 @@ def _in_tasks(blocks: DataFrame, plan: _Plan) -> list[list[Tree]]:
         raw, g_model = np.zeros(len(y)), Growing(spec)
         while not g_model.done:
             g, h = gradients(y, raw)
-            leaf, trees = np.zeros(len(y), np.int64), len(g_model.trees)
+            leaf, trees, hists = np.zeros(len(y), np.int64), len(g_model.trees), None
             while len(g_model.trees) == trees:
                 depth = len(g_model.features)
-                found = [(f, best_cut(histogram(x[:, f], leaf, 1 << depth, g, h, plan.bins), plan.cuts(m, f), spec.l2))
-                         for f in range(len(columns))]
+                each = [x[:, f] for f in range(len(columns))]
+                hists = histograms(each, leaf, 1, g, h, plan.bins) if hists is None else grown(
+                    hists, each, leaf, 1 << depth, g, h, plan.bins)
+                found = [(f, best_cut(hists[f], plan.cuts(m, f), spec.l2)) for f in range(len(columns))]
                 g_model.split(best_feature(found), lambda: np.array([[g.sum()], [h.sum()], [len(y)]]))
                 if len(g_model.features) > depth:
                     leaf |= (x[:, g_model.features[-1]] > g_model.cuts[-1]).astype(np.int64) << depth
@@ -377,17 +415,21 @@ def _level(state: DataFrame, plan: _Plan, models: list[Growing], kept: list[int]
             for row in b.to_pylist():
                 y, folds, x = plan.rows(row)
                 raw = _scores(row["raw"], len(plan.specs), row["n"])
+                of_fold: dict[str, tuple] = {}               # the training rows of a fold, column by column
                 for i, columns, fresh, features, cuts in work:
-                    use = plan.training(folds, i)
-                    mine = x[use]
+                    fold = plan.specs[i].fold
+                    if fold not in of_fold:
+                        use = plan.training(folds, i)
+                        of_fold[fold] = use, y[use], np.ascontiguousarray(x[use].T)
+                    use, labels, mine = of_fold[fold]
                     score = raw[i][use]
                     for t in fresh:
-                        score = score + t.values[leaves(mine, t.features, t.cuts, columns)]
-                    g, h = gradients(y[use], score)
-                    leaf = leaves(mine, features, cuts, columns)
-                    for f, c in enumerate(columns):
-                        if plan.cuts(i, f):
-                            _add(sums, (i, f), histogram(mine[:, c], leaf, 1 << len(features), g, h, plan.bins))
+                        score = score + t.values[leaves_of(mine, t.features, t.cuts, columns)]
+                    g, h = gradients(labels, score)
+                    leaf = leaves_of(mine, features, cuts, columns)
+                    able = [f for f in range(len(columns)) if plan.cuts(i, f)]
+                    for f, hist in zip(able, histograms([mine[columns[f]] for f in able], leaf, 1 << len(features), g, h, plan.bins)):
+                        _add(sums, (i, f), hist)
                     _add(sums, (i, -1), np.array([[[g.sum()]], [[h.sum()]], [[len(g)]]]).astype(np.int64))
         if sums:
             yield pa.RecordBatch.from_arrays([
