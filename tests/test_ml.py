@@ -312,3 +312,50 @@ def test_a_level_follows_from_the_one_above():
     flat, (g, h) = np.zeros(n, np.uint8), boosting.gradients(np.ones(n), np.zeros(n))      # the largest hessians, all in one bin
     one = boosting.histogram(flat, np.zeros(n, np.int64), 1, g, h, 32)
     assert one[:, 0, 0].tolist() == [n << 23, n << 22, n] and not one[:, 0, 1:].any()
+
+
+def test_rows_that_agree_in_their_bins_are_merged(spark, monkeypatch):
+    """Equal trees and AUC from merged rows, in a task and level by level, for folds of their own
+    features; blocks hold a row per cell, not per row."""
+    from tidemark.operators import boosting
+    df = _shaped(spark, 4000).withColumn("a", F.round("a")).withColumn("b", F.round("b")).withColumn(
+        "half", F.when(F.col("id") % 2 == 0, F.col("fold")))
+    specs = [Spec(("a", "b"), 3, 0.3, 1.0, 4), Spec(("b", "c"), 2, 0.1, 5.0, 3, "half"), Spec(("a",), 2, 0.3, 0.0, 2)]
+    auc = lambda models, blocks, folds, names: {
+        (r.cand, r.fold): (r.auc, r.positives, r.negatives) for r in auc_of_counts(
+            score_counts(blocks, folds, names, [(m, s.fold) for m, s in zip(models, specs)]), "score", ["cand", "fold"]).collect()}
+    got = fit_many(df, specs, "y", "id")
+    levels = fit_many(df, specs, "y", "id", task_cells=0, trees_per_state=2)
+    sizes = {r.fold: r.n for r in got[1].groupBy("fold").agg(F.sum("n").alias("n")).collect()}
+    assert sizes[got[2].index("fold")] < 400
+    monkeypatch.setattr(boosting, "MERGE_CELLS", 0)
+    plain = fit_many(df, specs, "y", "id")
+    assert plain[1].agg(F.sum("n")).first()[0] == 4000
+    assert _same(plain[0], got[0]) and _same(plain[0], levels[0])
+    assert _same(plain[0], fit_many(df, specs, "y", "id", task_cells=0, trees_per_state=2)[0])
+    assert auc(*plain) == auc(*got) == auc(*levels) and len(auc(*got)) == 6
+
+
+def test_merged_rows_are_counted_exactly_however_many():
+    from tidemark.operators.boosting import histograms, times
+    rng = np.random.default_rng(6)
+    col, leaf = rng.integers(0, 8, 50), rng.integers(0, 2, 50)
+    g, h, w = rng.integers(-(1 << 24), 1 << 24, 50).astype(float), rng.integers(0, 1 << 22, 50).astype(float), rng.integers(1, 4, 50)
+    at = np.repeat(np.arange(50), w)
+    assert np.array_equal(histograms([col], leaf, 2, *times(g, h, w), 8, w), histograms([col[at]], leaf[at], 2, g[at], h[at], 8))
+    many = w * (1 << 33)                                    # past what a double holds exactly
+    assert np.array_equal(histograms([col], leaf, 2, *times(g, h, many), 8, many),
+                          histograms([col], leaf, 2, *times(g, h, w), 8, w) * (1 << 33))
+
+
+def test_scores_by_cell_equal_scores_by_row(spark, monkeypatch):
+    from tidemark.operators import boosting
+    df = _shaped(spark, 500)
+    m = fit_many(df, [Spec(("a", "b", "c"), 3, 0.3, 1.0, 4)], "y", "id")[0][0]
+    x = np.random.default_rng(1).normal(size=(300, 3))
+    cells, want = m.by_cell(), boosting.probability(m.raw(x))
+    assert cells.table is None and np.array_equal(cells(m.bins(x[:200]))[:, 0], want[:200])
+    assert cells.table is not None and np.array_equal(cells(m.bins(x))[:, 0], want)
+    phi = tree_shap(m, df, "id").orderBy("id", "feature").collect()
+    monkeypatch.setattr(boosting, "TABLE_CELLS", 0)
+    assert np.array_equal(m.by_cell()(m.bins(x))[:, 0], want) and phi == tree_shap(m, df, "id").orderBy("id", "feature").collect()

@@ -14,12 +14,18 @@ since then and a lost task repeats one scan.  Where the packed table has a known
 ``task_cells`` cells and ``TASK_BYTES`` of working memory a model's rows fit one task, and the same
 steps run there without a job per level.
 
+A tree sees a row only by its bins, label and fold, so rows that agree in these are merged first
+(``merged``: one grouped count per fold) and counted with their number: the work of a level is
+bounded by the cells of the selected features, not by the rows.  With more than ``MERGE_CELLS``
+possible cells the rows stay as they are.
+
 Gradients are rounded to multiples of 2**-24 and summed as integers, so the trees depend
 neither on the order or partitioning of the rows nor on which way they were grown.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,7 +40,11 @@ from tidemark.session import cut_lineage
 _UNIT = float(1 << 24)
 #: Working memory of a model that is grown inside one task: label, score, gradient, hessian, leaf and
 #: the keys of a histogram take about 80 bytes a row beside its features, however few these are.
-TASK_BYTES, ROW_BYTES = 192 << 20, 80
+#: Merged rows hold their number, and the sums times it, beside these.
+TASK_BYTES, ROW_BYTES, MERGED_BYTES = 192 << 20, 80, 128
+#: Possible cells (products of the bins of a fold's features) up to which a cell has a 64-bit number
+#: beside its fold code and label.  TABLE_CELLS: numbers that a task keeps to look up scores by cell.
+MERGE_CELLS, TABLE_CELLS = 1 << 46, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -75,6 +85,10 @@ class Boosted:
         """Log-odds of rows given as a matrix in the order of ``features``."""
         return raw_scores(self.bins(x), self.trees, range(len(self.features)))
 
+    def by_cell(self) -> ByCell:
+        """Probabilities of binned rows (rows, 1)."""
+        return ByCell(self.edges, 1, lambda bins: probability(raw_scores(bins, self.trees, range(len(self.features))))[:, None])
+
 
 def bin_matrix(x: np.ndarray, edges: Sequence[Sequence[float]]) -> np.ndarray:
     """Number of cut points below each value; NaN (and NULL) counts as lowest."""
@@ -123,10 +137,27 @@ def histogram(bins: np.ndarray, leaf: np.ndarray, n_leaves: int, g: np.ndarray,
     return histograms([bins], leaf, n_leaves, g, h, width)[0]
 
 
-def histograms(columns: Sequence[np.ndarray], leaf: np.ndarray, n_leaves: int, g: np.ndarray, h: np.ndarray, width: int) -> np.ndarray:
-    """(features, 3, leaves, width): the ``histogram`` of every column, counted in chunks of rows."""
+def times(g: np.ndarray, h: np.ndarray, w: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and hessians of merged rows, whole numbers of 64 bits."""
+    return (g, h) if w is None else (g.astype(np.int64) * w, h.astype(np.int64) * w)
+
+
+def histograms(columns: Sequence[np.ndarray], leaf: np.ndarray, n_leaves: int, g: np.ndarray, h: np.ndarray, width: int,
+               w: np.ndarray | None = None) -> np.ndarray:
+    """(features, 3, leaves, width): the ``histogram`` of every column, counted in chunks of rows.
+    ``w``: how many rows each stands for; ``g`` and ``h`` are then already ``times`` it."""
     size = n_leaves * width
     out = np.zeros((len(columns), 3, size), np.int64)
+    if w is not None:
+        exact = w.sum() < 1 << 28             # sums of doubles are exact below 2**53
+        for j, bins in enumerate(columns):
+            key = leaf * width + bins
+            for k, x in enumerate((g, h, w)):
+                if exact:
+                    out[j, k] = np.bincount(key, weights=x, minlength=size).astype(np.int64)
+                else:
+                    np.add.at(out[j, k], key, x)
+        return out.reshape(len(columns), 3, n_leaves, width)
     for lo in range(0, len(leaf), _CHUNK):
         part = slice(lo, lo + _CHUNK)
         base, gs, packed = leaf[part] * width, g[part], h[part] + _ROW
@@ -140,14 +171,15 @@ def histograms(columns: Sequence[np.ndarray], leaf: np.ndarray, n_leaves: int, g
 
 
 def grown(parent: np.ndarray, columns: Sequence[np.ndarray], leaf: np.ndarray, n_leaves: int, g: np.ndarray, h: np.ndarray,
-          width: int) -> np.ndarray:
+          width: int, w: np.ndarray | None = None) -> np.ndarray:
     """``histograms`` of a level from those of the level above: only the rows on the smaller side of the
     last cut are counted, the other side is what they leave of their parents (whole numbers, so exactly)."""
     half = n_leaves // 2
     high = leaf >= half
     upper = 2 * np.count_nonzero(high) <= len(leaf)
     at = np.flatnonzero(high if upper else ~high)
-    few = histograms([c[at] for c in columns], leaf[at] & (half - 1), half, g[at], h[at], width)
+    few = histograms([c[at] for c in columns], leaf[at] & (half - 1), half, g[at], h[at], width,
+                     None if w is None else w[at])
     return np.concatenate((parent - few, few) if upper else (few, parent - few), axis=2)
 
 
@@ -223,7 +255,7 @@ def quantile_cuts(df: DataFrame, features: Sequence[str], bins: int = 32) -> dic
 
 def pack(df: DataFrame, edges: dict[str, tuple[float, ...]], label: str, key: str, folds: Sequence[str]) -> DataFrame:
     """Blocks of rows (one an Arrow batch): keys, labels, fold codes (0 training rows, others as
-    given, NULL as -1) and binned features."""
+    given, NULL as -1) and binned features; ``fold`` -1: a block has the rows of all folds."""
     names = list(edges)
     cuts = [edges[c] for c in names]
     kind = df.schema[key].dataType.simpleString()
@@ -239,20 +271,133 @@ def pack(df: DataFrame, edges: dict[str, tuple[float, ...]], label: str, key: st
                 pa.array([b.num_rows], pa.int32()), pa.array([b.column(0).to_pylist()], pa.list_(b.schema.field(0).type)),
                 pa.array([b.column(1).to_numpy(zero_copy_only=False).astype(np.int8).tobytes()], pa.binary()),
                 pa.array([marks.astype(np.int8).tobytes()], pa.binary()),
-                pa.array([bin_matrix(x, cuts).tobytes()], pa.binary())], names=["n", "keys", "y", "folds", "bins"])
+                pa.array([bin_matrix(x, cuts).tobytes()], pa.binary()), pa.array([None], pa.binary())],
+                names=["n", "keys", "y", "folds", "bins", "w"])
+
+    rows = _labelled(df, names, label, [F.col(key)], folds)
+    return cut_lineage(rows.mapInArrow(run, f"n int, keys array<{kind}>, y binary, folds binary, bins binary, w binary").withColumn(
+        "fold", F.lit(-1)))
+
 
+def _labelled(df: DataFrame, names: Sequence[str], label: str, more: Sequence[Column], folds: Sequence[str]) -> DataFrame:
+    """Rows with a label: (more..., label, fold codes, features)."""
     rows = df.where(F.col(label).isNotNull()).select(
-        F.col(key), F.col(label).cast("int"), *[F.coalesce(F.col(c).cast("int"), F.lit(-1)) for c in folds],
+        *more, F.col(label).cast("int"), *[F.coalesce(F.col(c).cast("int"), F.lit(-1)) for c in folds],
         *[F.col(c).cast("double") for c in names])
     # positions, not names: a fold or the key may also be a feature
-    rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
-    return cut_lineage(rows.mapInArrow(run, f"n int, keys array<{kind}>, y binary, folds binary, bins binary"))
+    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+
+
+def cell_sizes(edges: Sequence[Sequence[float]]) -> tuple[list[int], int]:
+    """Bins of each feature, and their product."""
+    sizes = [len(e) + 1 for e in edges]
+    return sizes, math.prod(sizes)
+
+
+def cell_codes(bins: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """One number per row of binned features, the same where all bins are."""
+    code = np.zeros(len(bins), np.int64)
+    for j, size in enumerate(sizes):
+        code = code * size + bins[:, j]
+    return code
+
+
+class ByCell:
+    """A function of binned rows, (rows, features) -> (rows, width), worked out once per cell of a
+    task where the cells are few: a lookup in place of all trees."""
+
+    def __init__(self, edges: Sequence[Sequence[float]], width: int, fn: Callable[[np.ndarray], np.ndarray]):
+        self.sizes, self.cells = cell_sizes(edges)
+        self.width, self.fn, self.table = width, fn, None
+
+    def __call__(self, bins: np.ndarray) -> np.ndarray:
+        if self.cells * self.width > TABLE_CELLS:
+            return self.fn(bins)
+        if self.table is None:
+            self.table, self.seen = np.empty((self.cells, self.width)), np.zeros(self.cells, bool)
+        code = cell_codes(bins, self.sizes)
+        new = np.flatnonzero(~self.seen[code])
+        if len(new):
+            codes, at = np.unique(code[new], return_index=True)
+            self.table[codes] = self.fn(bins[new[at]])
+            self.seen[codes] = True
+        return self.table[code]
+
+
+def merged(df: DataFrame, edges: dict[str, tuple[float, ...]], label: str, folds: Sequence[str],
+           of_fold: Sequence[Sequence[int]]) -> DataFrame:
+    """``pack`` with one row, and its number ``w``, for all rows of a fold that agree in label, fold code
+    and the bins of the fold's features (``of_fold``, places in ``edges``).  A block (``fold``) holds
+    rows of one fold: the codes of the others are -1 there, other features 0."""
+    cuts, n_folds = list(edges.values()), len(folds)
+    shape = [cell_sizes([cuts[j] for j in columns]) for columns in of_fold]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[] for _ in folds]
+        size = 0
+
+        def add() -> None:
+            for f, parts in enumerate(held):
+                if len(parts) > 1:
+                    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+                    sums = np.zeros(len(codes), np.int64)
+                    np.add.at(sums, at, np.concatenate([n for _, n in parts]))
+                    held[f] = [(codes, sums)]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for f, parts in enumerate(held):
+                for codes, sums in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), f, np.int32)), pa.array(codes), pa.array(sums)],
+                                                     names=["fold", "code", "w"])
 
-
-def unpack(row: dict, n_folds: int, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for b in batches:
+            col = lambda j: b.column(j).to_numpy(zero_copy_only=False)
+            y = col(0).astype(np.int8).astype(np.int64) + 128
+            x = np.stack([col(1 + n_folds + j).astype(float) for j in range(len(cuts))], axis=1) if cuts else np.zeros((b.num_rows, 0))
+            bins = bin_matrix(x, cuts)
+            for f, (columns, (sizes, cells)) in enumerate(zip(of_fold, shape)):
+                mark = col(1 + f).astype(np.int8).astype(np.int64)
+                use = mark >= 0
+                code = (mark[use] * 256 + y[use]) * cells + cell_codes(bins[use][:, columns], sizes)
+                found = np.unique(code, return_counts=True)
+                held[f].append((found[0], found[1].astype(np.int64)))
+                size += len(found[0])
+            if size > 1 << 19:
+                add()
+                size = sum(len(c) for parts in held for c, _ in parts)
+                if size > 1 << 18:
+                    yield from out()
+                    held, size = [[] for _ in folds], 0
+        add()
+        yield from out()
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold, code, w = (b.column(j).to_numpy(zero_copy_only=False) for j in range(3))
+            for f in np.unique(fold):
+                at = fold == f
+                sizes, cells = shape[f]
+                head, rest = np.divmod(code[at], cells)
+                bins, marks = np.zeros((len(head), len(cuts)), np.uint8), np.full((len(head), n_folds), -1, np.int8)
+                for j, size in reversed(list(zip(of_fold[f], sizes))):
+                    rest, bins[:, j] = np.divmod(rest, size)
+                marks[:, f] = head // 256
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([len(head)], pa.int32()), pa.array([(head % 256 - 128).astype(np.int8).tobytes()], pa.binary()),
+                    pa.array([marks.tobytes()], pa.binary()), pa.array([bins.tobytes()], pa.binary()),
+                    pa.array([w[at].astype(np.int64).tobytes()], pa.binary()), pa.array([f], pa.int32())],
+                    names=["n", "y", "folds", "bins", "w", "fold"])
+
+    counts = _labelled(df, list(edges), label, [], folds).mapInArrow(count, "fold int, code long, w long")
+    whole = counts.groupBy("fold", "code").agg(F.sum("w").alias("w"))
+    return cut_lineage(whole.mapInArrow(block, "n int, y binary, folds binary, bins binary, w binary, fold int"))
+
+
+def unpack(row: dict, n_folds: int, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Labels, fold codes, binned features, and the rows that each row stands for (None: itself)."""
     n = row["n"]
     return (np.frombuffer(row["y"], np.int8).astype(float), np.frombuffer(row["folds"], np.int8).reshape(n, n_folds),
-            np.frombuffer(row["bins"], np.uint8).reshape(n, n_features))
+            np.frombuffer(row["bins"], np.uint8).reshape(n, n_features), None if row["w"] is None else np.frombuffer(row["w"], np.int64))
 
 
 # ---------------------------------------------------------------- fitting
@@ -263,14 +408,20 @@ def fit_many(df: DataFrame, specs: Sequence[Spec], label: str, key: str, bins: i
 
     Rows with a NULL label take no part; NULL and NaN values go with the lowest bin.  A model
     without training rows or without a cut keeps trees of one leaf.  ``task_cells``: up to so many
-    rows x features, and ``TASK_BYTES`` of memory, a model is grown inside one task."""
+    (merged) rows x features, and ``TASK_BYTES`` of memory, a model is grown inside one task."""
     folds = sorted({s.fold for s in specs})
     names = sorted({f for s in specs for f in s.features})
     edges = quantile_cuts(df, names, bins)
-    blocks = pack(df, {c: edges[c] for c in names}, label, key, folds)
-    n = blocks.agg(F.sum("n")).first()[0] or 0
-    plan = _Plan(list(specs), folds, names, {c: edges[c] for c in names}, bins)
-    if fits_task(n, len(names), task_cells):
+    edges = {c: edges[c] for c in names}
+    of_fold = [sorted({names.index(c) for s in specs if s.fold == f for c in s.features}) for f in folds]
+    mergeable = all(cell_sizes([edges[names[j]] for j in columns])[1] <= MERGE_CELLS for columns in of_fold)
+    if mergeable:
+        blocks = merged(df, edges, label, folds, of_fold)
+    else:
+        blocks = pack(df, edges, label, key, folds)
+    n = max((r["n"] for r in blocks.groupBy("fold").agg(F.sum("n").alias("n")).collect()), default=0)     # a row a fold
+    plan = _Plan(list(specs), folds, names, edges, bins)
+    if fits_task(n, len(names), task_cells, MERGED_BYTES if mergeable else ROW_BYTES):
         trees = _in_tasks(blocks, plan)
     else:
         trees = _level_by_level(blocks, plan, trees_per_state)
@@ -278,9 +429,9 @@ def fit_many(df: DataFrame, specs: Sequence[Spec], label: str, key: str, bins: i
     return models, blocks, folds, names
 
 
-def fits_task(rows: int, features: int, task_cells: int) -> bool:
+def fits_task(rows: int, features: int, task_cells: int, row_bytes: int = ROW_BYTES) -> bool:
     """Whether a model of all rows may grow inside one task, by cells and by bytes."""
-    return rows * max(1, features) <= task_cells and rows * (features + ROW_BYTES) <= TASK_BYTES
+    return rows * max(1, features) <= task_cells and rows * (features + row_bytes) <= TASK_BYTES
 
 
 @dataclass(frozen=True)
@@ -297,7 +448,7 @@ class _Plan:
     def cuts(self, m: int, f: int) -> int:
         return len(self.edges[self.specs[m].features[f]])
 
-    def rows(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def rows(self, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         return unpack(row, len(self.folds), len(self.names))
 
     def training(self, folds: np.ndarray, m: int) -> np.ndarray:
@@ -309,24 +460,26 @@ def _in_tasks(blocks: DataFrame, plan: _Plan) -> list[list[Tree]]:
     def run(table: pa.Table) -> pa.Table:
         m = table.column("model")[0].as_py()
         spec, columns = plan.specs[m], plan.columns(m)
-        ys, xs = [], []
+        ys, xs, ws = [], [], []
         for row in table.to_pylist():
-            y, folds, b = plan.rows(row)
+            y, folds, b, w = plan.rows(row)
             use = plan.training(folds, m)
             ys.append(y[use])
             xs.append(b[use][:, columns])
-        y, x = np.concatenate(ys), np.asfortranarray(np.concatenate(xs))
+            if w is not None:
+                ws.append(w[use])
+        y, x, w = np.concatenate(ys), np.asfortranarray(np.concatenate(xs)), np.concatenate(ws) if ws else None
         raw, g_model = np.zeros(len(y)), Growing(spec)
         while not g_model.done:
-            g, h = gradients(y, raw)
+            g, h = times(*gradients(y, raw), w)
             leaf, trees, hists = np.zeros(len(y), np.int64), len(g_model.trees), None
             while len(g_model.trees) == trees:
                 depth = len(g_model.features)
                 each = [x[:, f] for f in range(len(columns))]
-                hists = histograms(each, leaf, 1, g, h, plan.bins) if hists is None else grown(
-                    hists, each, leaf, 1 << depth, g, h, plan.bins)
+                hists = histograms(each, leaf, 1, g, h, plan.bins, w) if hists is None else grown(
+                    hists, each, leaf, 1 << depth, g, h, plan.bins, w)
                 found = [(f, best_cut(hists[f], plan.cuts(m, f), spec.l2)) for f in range(len(columns))]
-                g_model.split(best_feature(found), lambda: np.array([[g.sum()], [h.sum()], [len(y)]]))
+                g_model.split(best_feature(found), lambda: np.array([[g.sum()], [h.sum()], [len(y) if w is None else w.sum()]]))
                 if len(g_model.features) > depth:
                     leaf |= (x[:, g_model.features[-1]] > g_model.cuts[-1]).astype(np.int64) << depth
                 elif len(g_model.trees) > trees and len(g_model.trees[-1].features) > depth:
@@ -336,7 +489,10 @@ def _in_tasks(blocks: DataFrame, plan: _Plan) -> list[list[Tree]]:
         return _tree_rows(m, g_model.trees)
 
     n = len(plan.specs)
-    spread = blocks.drop("keys").withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # a merged block goes to the models of its fold only
+    of_fold = F.array(*[F.array(*[F.lit(i) for i, s in enumerate(plan.specs) if s.fold == f]) for f in plan.folds])
+    spread = blocks.drop("keys").withColumn("model", F.explode(
+        F.when(F.col("fold") < 0, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.get(of_fold, F.greatest("fold", F.lit(0))))))
     out = spread.repartition(n, "model").groupBy("model").applyInArrow(run, _TREE_SCHEMA)
     trees: list[list[Tree]] = [[] for _ in plan.specs]
     # bounded by the specs: models x iterations rows of at most 2 ** depth leaves
@@ -393,7 +549,7 @@ def _advance(state: DataFrame, plan: _Plan, models: list[Growing], kept: list[in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, row in enumerate(b.to_pylist()):
-                _, _, x = plan.rows(row)
+                _, _, x, _ = plan.rows(row)
                 raw = _scores(row["raw"], len(fresh), row["n"]).copy()
                 for m, trees in enumerate(fresh):
                     for t in trees:
@@ -413,24 +569,26 @@ def _level(state: DataFrame, plan: _Plan, models: list[Growing], kept: list[int]
         sums: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
             for row in b.to_pylist():
-                y, folds, x = plan.rows(row)
+                y, folds, x, w = plan.rows(row)
                 raw = _scores(row["raw"], len(plan.specs), row["n"])
                 of_fold: dict[str, tuple] = {}               # the training rows of a fold, column by column
                 for i, columns, fresh, features, cuts in work:
                     fold = plan.specs[i].fold
                     if fold not in of_fold:
                         use = plan.training(folds, i)
-                        of_fold[fold] = use, y[use], np.ascontiguousarray(x[use].T)
-                    use, labels, mine = of_fold[fold]
+                        of_fold[fold] = use, y[use], np.ascontiguousarray(x[use].T), None if w is None else w[use]
+                    use, labels, mine, weight = of_fold[fold]
+                    if not len(labels):
+                        continue
                     score = raw[i][use]
                     for t in fresh:
                         score = score + t.values[leaves_of(mine, t.features, t.cuts, columns)]
-                    g, h = gradients(labels, score)
+                    g, h = times(*gradients(labels, score), weight)
                     leaf = leaves_of(mine, features, cuts, columns)
                     able = [f for f in range(len(columns)) if plan.cuts(i, f)]
-                    for f, hist in zip(able, histograms([mine[columns[f]] for f in able], leaf, 1 << len(features), g, h, plan.bins)):
+                    for f, hist in zip(able, histograms([mine[columns[f]] for f in able], leaf, 1 << len(features), g, h, plan.bins, weight)):
                         _add(sums, (i, f), hist)
-                    _add(sums, (i, -1), np.array([[[g.sum()]], [[h.sum()]], [[len(g)]]]).astype(np.int64))
+                    _add(sums, (i, -1), np.array([[[g.sum()]], [[h.sum()]], [[len(g) if weight is None else weight.sum()]]]).astype(np.int64))
         if sums:
             yield pa.RecordBatch.from_arrays([
                 pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()),
@@ -463,15 +621,18 @@ def _add(sums: dict, key: tuple[int, int], hist: np.ndarray) -> None:
 
 def score(model: Boosted, df: DataFrame, out: str = "score") -> DataFrame:
     """``df`` with the positive-class probability of each row."""
+    by_cell = model.by_cell()
+
     @F.arrow_udf("double")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array(probability(model.raw(to_matrix(values, len(model.features)))), pa.float64())
+        return pa.array(by_cell(model.bins(to_matrix(values, len(model.features))))[:, 0], pa.float64())
     return df.withColumn(out, run(features_array(model.features)))
 
 
 def score_by(models: dict[str, Boosted], df: DataFrame, group: str, out: str = "score") -> DataFrame:
     """``score`` with the model that the row's group names; NULL where there is none."""
     names = sorted({f for m in models.values() for f in m.features})
+    by_cell = {name: m.by_cell() for name, m in models.items()}
 
     @F.arrow_udf("double")
     def run(which: pa.Array, values: pa.Array) -> pa.Array:
@@ -479,7 +640,7 @@ def score_by(models: dict[str, Boosted], df: DataFrame, group: str, out: str = "
         p = np.full(len(x), np.nan)
         for name, m in models.items():
             at = which == name
-            p[at] = probability(m.raw(x[at][:, [names.index(f) for f in m.features]]))
+            p[at] = by_cell[name](m.bins(x[at][:, [names.index(f) for f in m.features]]))[:, 0]
         return pa.array(p, pa.float64(), mask=np.isnan(p))
     return df.withColumn(out, run(F.col(group).cast("string"), features_array(names)))
 
@@ -503,17 +664,21 @@ def score_counts(blocks: DataFrame, folds: Sequence[str], names: Sequence[str],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                y, marks, x = unpack(row, len(folds), len(names))
+                y, marks, x, w = unpack(row, len(folds), len(names))
+                w = np.ones(len(y), np.int64) if w is None else w
                 for i, (m, fold) in enumerate(cands):
-                    p = probability(raw_scores(x, m.trees, columns[i]))
                     mark = marks[:, folds.index(fold)]
+                    if not (mark >= 0).any():
+                        continue
+                    p = probability(raw_scores(x, m.trees, columns[i]))
                     for value in np.unique(mark[mark >= 0]):
                         use = mark == value
                         s, at = np.unique(p[use], return_inverse=True)
-                        pos = np.bincount(at, weights=y[use], minlength=len(s)).astype(np.int64)
+                        pos = np.bincount(at, weights=y[use] * w[use], minlength=len(s)).astype(np.int64)
+                        rows = np.bincount(at, weights=w[use], minlength=len(s)).astype(np.int64)
                         yield pa.RecordBatch.from_arrays([
                             pa.array(np.full(len(s), i, np.int32)), pa.array(np.full(len(s), value, np.int32)), pa.array(s),
-                            pa.array(pos), pa.array(np.bincount(at, minlength=len(s)) - pos)],
+                            pa.array(pos), pa.array(rows - pos)],
                             names=["cand", "fold", "score", "pos", "neg"])
 
-    return blocks.select("n", "y", "folds", "bins").mapInArrow(run, "cand int, fold int, score double, pos long, neg long")
+    return blocks.select("n", "y", "folds", "bins", "w").mapInArrow(run, "cand int, fold int, score double, pos long, neg long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.boosting import Boosted, Tree, features_array, leaves, to_matrix
+from tidemark.operators.boosting import Boosted, ByCell, Tree, features_array, leaves, to_matrix
 
 
 def _cover_tensors(tree: Tree) -> list[np.ndarray]:
@@ -84,12 +84,18 @@ def tree_shap(model: Boosted, rows: DataFrame, key: str) -> DataFrame:
                            F.lit(None).cast("double").alias("phi")).where("false")
     tables = [shap_table(t, k)[0] for t in model.trees]
 
-    @F.arrow_udf("array<double>")
-    def attribute(values: pa.Array) -> pa.Array:
-        x = model.bins(to_matrix(values, k))
+    def phis(x: np.ndarray) -> np.ndarray:
         phi = np.zeros((len(x), k))
         for t, table in zip(model.trees, tables):
             phi += table[leaves(x, t.features, t.cuts, range(k))]
+        return phi
+
+    by_cell = ByCell(model.edges, k, phis)
+
+    @F.arrow_udf("array<double>")
+    def attribute(values: pa.Array) -> pa.Array:
+        x = model.bins(to_matrix(values, k))
+        phi = by_cell(x)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * k + 1, k), pa.int32()), pa.array(phi.ravel()))
 
     d = rows.select(F.col(key).alias("_key"), F.array(*[F.col(c).cast("double") for c in names]).alias("_v"),
