@@ -89,3 +89,29 @@ def test_bands_reach_the_recall():
     for t, recall in ((0.8, 0.999), (0.8, 0.99), (0.9, 0.999), (0.5, 0.9)):
         b, r = choose_bands(t, recall)
         assert 1 - (1 - t ** r) ** b >= recall and b * r <= 128
+
+
+def test_a_block_is_packed_whole():
+    import numpy as np
+    import pandas as pd
+
+    from tidemark.llm.ngram_join import _open_block, _pack_block
+    rng = np.random.default_rng(2)
+    base = [b"%d" % v for v in rng.integers(0, 9999, 200)]
+    texts = [b" ".join(base[:k] + [b"new%d" % k] + base[k + 1:]) for k in range(200)] + ["é漢 x".encode()]
+    g = pd.DataFrame({"id": np.arange(201) * -(1 << 40), "copies": np.arange(201) + 1, "normal": texts,
+                      "bands": list(rng.integers(-(1 << 62), 1 << 62, 18)[None, :].repeat(201, 0))})
+    data = _pack_block(g)
+    back = _open_block(data)
+    assert all(back[c].tolist() == g[c].tolist() for c in ("id", "copies", "normal"))
+    assert np.array_equal(np.stack(back["bands"]), np.stack(g["bands"])) and len(data) < sum(map(len, texts)) / 8
+
+
+def test_a_text_is_sent_to_its_block_once(spark):
+    """A large group's rows grow with its members; only blocks meet in pairs."""
+    from tidemark.llm._blocks import deal, paired
+    dealt = deal(spark.range(3000).selectExpr("1L AS key", "id", "100L AS bytes"), 100, weight="bytes")
+    assert dealt.count() == 3000 and dealt.groupBy("unit").count().agg({"count": "max"}).first()[0] < 200
+    blocks = paired(dealt.select("key", "mine", "blocks", "unit").distinct())
+    assert blocks.count() == 900 and blocks.groupBy("unit").count().where("count > 2").count() == 0
+    assert blocks.select("unit").distinct().count() == 30 * 31 // 2

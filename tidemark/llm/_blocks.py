@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def block_pairs(members: DataFrame, size: int, rows_per_unit: int = 2048, group: str = "key", member: str = "id",
-                weight: str | None = None, weight_per_unit: int = 8 << 20) -> DataFrame:
-    """Adds ``unit`` (group rows by it), ``bi``, ``bj`` (the pair of blocks) and ``mine``
-    (the member's own block).  Keys with a single member are dropped.
+def deal(members: DataFrame, size: int, rows_per_unit: int = 2048, group: str = "key", member: str = "id",
+         weight: str | None = None, weight_per_unit: int = 8 << 20) -> DataFrame:
+    """Adds ``blocks`` (those of the key), ``mine`` (the member's own) and ``unit``: a pack of small
+    keys, or a block of a large one; no member is repeated.  Keys with a single member are dropped.
 
     A block holds about ``size`` members and, where ``weight`` names a column (bytes), about
     ``weight_per_unit`` of it.  The number of packs of small keys follows from the counted
@@ -30,8 +30,20 @@ def block_pairs(members: DataFrame, size: int, rows_per_unit: int = 2048, group:
     packs = max(1, -(-int(total[0] or 0) // rows_per_unit), -(-int(total[1] or 0) // weight_per_unit))
     m = members.join(counts, group)
     m = m.withColumn("mine", F.pmod(F.xxhash64(F.lit(17), member), F.col("_b")).cast("int"))
-    m = m.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    unit = F.when(F.col("_b") == 1, F.pmod(F.xxhash64(group), F.lit(packs))).otherwise(F.xxhash64(group, "mine"))
+    return m.withColumn("unit", unit).withColumnRenamed("_b", "blocks").drop("_n", "_w")
+
+
+def paired(dealt: DataFrame, group: str = "key") -> DataFrame:
+    """Each row (a member, or a whole block) once per pair ``bi`` <= ``bj`` of blocks that its own takes
+    part in; a large key's ``unit`` is the pair."""
+    m = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("bi", F.least("mine", "_j")).withColumn("bj", F.greatest("mine", "_j"))
-    unit = F.when(F.col("_b") == 1, F.pmod(F.xxhash64(group), F.lit(packs))).otherwise(
-        F.xxhash64(group, "bi", "bj"))
-    return m.withColumn("unit", unit).drop("_n", "_w", "_b", "_j")
+    return m.withColumn("unit", F.when(F.col("blocks") == 1, F.col("unit")).otherwise(F.xxhash64(group, "bi", "bj"))).drop("blocks", "_j")
+
+
+def block_pairs(members: DataFrame, size: int, rows_per_unit: int = 2048, group: str = "key", member: str = "id",
+                weight: str | None = None, weight_per_unit: int = 8 << 20) -> DataFrame:
+    """Adds ``unit`` (group rows by it), ``bi``, ``bj`` (the pair of blocks) and ``mine``
+    (the member's own block), see ``deal`` and ``paired``."""
+    return paired(deal(members, size, rows_per_unit, group, member, weight, weight_per_unit), group)

@@ -11,7 +11,9 @@
    blocks of ``wide`` documents, bands compared in the task (near copies, which share
    most bands), or its band buckets, those above ``block`` in pairs of hash blocks, where
    a pair counts in the first band it shares (loose chains).  Blocks are bounded in
-   documents and bytes, so no task holds an unbounded group.
+   documents and bytes, so no task holds an unbounded group.  A text goes to its block once;
+   what meets in pairs are whole blocks, a row each and compressed together, in which near copies
+   take little more than what sets them apart.
 4. A task computes the exact Jaccard similarity of the full n-gram sets of all
    pairs that share a band: the sizes of all intersections of a block pair are a
    matrix product over the n-grams that occur in two or more of its texts.  It
@@ -26,6 +28,7 @@ a pair of similarity s shares a band with probability 1 - (1 - s^r)^b.
 from __future__ import annotations
 
 import hashlib
+import lzma
 import math
 from collections.abc import Iterator
 
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm._blocks import block_pairs
+from tidemark.llm._blocks import deal, paired
 from tidemark.llm._components import connected_components, local_components
 from tidemark.llm._text import as_bytes, chunks, gram_hashes, mix, normal_words, slices, word_hashes
 from tidemark.session import cut_lineage
@@ -123,9 +126,31 @@ def word_digest(text: Column) -> Column:
     return F.when(words != "", F.md5(words.cast("binary")))
 
 
+def _pack_block(g: pd.DataFrame) -> bytes:
+    """The members of a block (id, copies, bands, normal) as compressed bytes."""
+    bands = np.stack(g["bands"].to_numpy()).astype(np.int64)
+    head = np.array(bands.shape, np.int64).tobytes() + g["id"].to_numpy(np.int64).tobytes() + g["copies"].to_numpy(np.int64).tobytes()
+    # words hold no line feed
+    return lzma.compress(head + bands.tobytes() + b"\n".join(g["normal"]), preset=1)
+
+
+def _open_block(data: bytes) -> pd.DataFrame:
+    data = lzma.decompress(data)
+    m, k = np.frombuffer(data, np.int64, 2)
+    ints = np.frombuffer(data, np.int64, m * (k + 2), 16)
+    return pd.DataFrame({"id": ints[:m], "copies": ints[m:2 * m], "bands": list(ints[2 * m:].reshape(m, k)),
+                         "normal": data[16 + 8 * m * (k + 2):].split(b"\n")})
+
+
+_LINKS = "id long, links long, low long"
+_FOUND = f"{_LINKS}, key long, mine int, blocks int, band int, block binary"
+
+
 def _verify(threshold: float, n: int):
-    """Grouped function over one unit of block_pairs rows (key, id, copies, digest, bands, band,
-    bi, bj, mine, text): exact links of the pairs that meet here, one row per member."""
+    """Two grouped functions, one row per linked member.  ``run``, over one unit of ``deal`` rows (key, id,
+    copies, digest, bands, band, blocks, mine, text): exact links inside small keys, and the blocks of
+    large ones packed.  ``meet``, over the packed blocks of a pair (key, band, bi, bj, mine, block):
+    exact links inside a block (bi = bj) or across two."""
     def one(g: pd.DataFrame, cross: bool):
         m = len(g)
         grams, off = gram_sets(list(g["normal"]), n)
@@ -172,20 +197,39 @@ def _verify(threshold: float, n: int):
         keep[a] = True
         return pd.DataFrame({"id": ids[keep], "links": weight[keep], "low": low[keep]})
 
+    whole = {c: "Int64" for c in ("id", "links", "low", "key", "mine", "blocks", "band")}
+    none = pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("id", "links", "low")})
+
     def run(unit: pd.DataFrame) -> pd.DataFrame:
-        parts = [pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("id", "links", "low")})]
+        parts, packed = [none], []
         normals = [normal_words((t or "").encode()) for t in unit["text"]]
         unit = unit.drop(columns="text").assign(normal=normals)
         # an id may name other texts too: keep the text of the class, once
         own = [hashlib.md5(x).hexdigest() for x in normals] == unit["digest"]
-        unit = unit[own].drop_duplicates(["key", "bi", "bj", "id"])
-        for _, g in unit.groupby(["key", "bi", "bj"], sort=False):
-            if len(g) > 1:
-                g = g.sort_values("id", kind="stable")
-                parts.append(one(g, int(g["bi"].iloc[0]) != int(g["bj"].iloc[0])))
+        unit = unit[own].drop_duplicates(["key", "mine", "id"])
+        for (key, mine), g in unit.groupby(["key", "mine"], sort=False):
+            blocks = int(g["blocks"].iloc[0])
+            if blocks > 1:
+                packed.append((key, mine, blocks, int(g["band"].iloc[0]), _pack_block(g)))
+            elif len(g) > 1:
+                parts.append(one(g.sort_values("id", kind="stable"), False))
+        links = pd.concat(parts, ignore_index=True)
+        packed = pd.DataFrame(packed, columns=["key", "mine", "blocks", "band", "block"])
+        # 64-bit keys and NULLs in one column
+        return pd.concat([x.reindex(columns=list(whole) + ["block"]).astype(whole | {"block": object}) for x in (links, packed)])
+
+    def meet(unit: pd.DataFrame) -> pd.DataFrame:
+        parts = [none]
+        for (_, bi, bj), g in unit.groupby(["key", "bi", "bj"], sort=False):
+            if bi != bj and len(g) < 2:
+                continue
+            both = [_open_block(block).assign(mine=mine, band=band) for mine, band, block in zip(g["mine"], g["band"], g["block"])]
+            both = pd.concat(both, ignore_index=True)
+            if len(both) > 1:
+                parts.append(one(both.sort_values("id", kind="stable"), bi != bj))
         return pd.concat(parts, ignore_index=True)
 
-    return run
+    return run, meet
 
 
 def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999,
@@ -235,12 +279,15 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     whole = large.join(ways.where("whole <= apart"), "component", "left_semi")
     apart = crowd.join(ways.where("whole > apart"), "component", "left_semi").select("key", "id", "band")
     one = lambda df, c: df.select(F.xxhash64(F.lit("component"), "component").alias("key"), F.col(c).alias("id"), F.lit(-1).alias("band"))
-    members = block_pairs(one(groups.where(F.col("size") <= block), "node").union(apart).join(weights, "id"), block, weight="bytes")
-    members = members.unionByName(block_pairs(one(whole, "id").join(weights, "id"), wide, weight="bytes")).drop("bytes")
+    members = deal(one(groups.where(F.col("size") <= block), "node").union(apart).join(weights, "id"), block, weight="bytes")
+    members = members.unionByName(deal(one(whole, "id").join(weights, "id"), wide, weight="bytes")).drop("bytes")
     grouped = classes.join(groups.select(F.col("node").alias("id")), "id")
     texts = grouped.join(src.withColumnRenamed("id", "rep"), "rep").drop("rep", "bytes")
-    links = cut_lineage(members.join(texts, "id").groupBy("unit").applyInPandas(
-        _verify(threshold, n), "id long, links long, low long"))
+    run, meet = _verify(threshold, n)
+    done = cut_lineage(members.join(texts, "id").groupBy("unit").applyInPandas(run, _FOUND))
+    pairs = paired(done.where("block is not null").select("key", "mine", "blocks", "band", "block", F.lit(0).cast("long").alias("unit")))
+    links = cut_lineage(done.where("block is null").select("id", "links", "low").unionByName(
+        pairs.groupBy("unit").applyInPandas(meet, _LINKS)))
     comps = connected_components(links.select(F.col("id").alias("a"), F.col("low").alias("b")))
     count = links.groupBy("id").agg(F.sum("links").alias("links"))
     found = cut_lineage(classes.select("id", "rep", "digest", "copies").join(count, "id", "left")
