@@ -142,6 +142,9 @@ def _open_block(data: bytes) -> pd.DataFrame:
                          "normal": data[16 + 8 * m * (k + 2):].split(b"\n")})
 
 
+#: About how many times smaller a packed block of near copies is than its texts (a careful
+#: guess): only the choice between the two ways of a large group depends on it.
+_PACKED = 8
 _LINKS = "id long, links long, low long"
 _FOUND = f"{_LINKS}, key long, mine int, blocks int, band int, block binary"
 
@@ -272,14 +275,17 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     weights = classes.select("id", "bytes")
     large = groups.where(F.col("size") > block).select(F.col("node").alias("id"), "component", "size")
     # texts sent by either way; buckets of one member send none
-    crowd = bucket.join(large, "id")
-    held = crowd.groupBy("component", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # (joined as classes and only then taken by bands: no join makes a row per band)
+    crowd = classes.select("id", "bytes", "bands").join(large, "id")
+    by_band = lambda df: df.select("id", "component", "bytes", F.posexplode("bands").alias("band", "value")).withColumn(
+        "key", F.xxhash64("band", "value"))
+    held = by_band(crowd).groupBy("component", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ways = cut_lineage(held.groupBy("component").agg(F.sum(F.col("n") * F.ceil(F.col("n") / F.lit(float(block)))).alias("apart")).join(
-        large.groupBy("component").agg(F.max(F.col("size") * F.ceil(F.col("size") / F.lit(float(wide)))).alias("whole")), "component"))
+        large.groupBy("component").agg(F.max(F.col("size") * (F.ceil(F.col("size") / F.lit(float(wide))) / _PACKED + 1)).alias("whole")), "component"))
     whole = large.join(ways.where("whole <= apart"), "component", "left_semi")
-    apart = crowd.join(ways.where("whole > apart"), "component", "left_semi").select("key", "id", "band")
+    apart = by_band(crowd.join(ways.where("whole > apart"), "component", "left_semi")).select("key", "id", "band", "bytes")
     one = lambda df, c: df.select(F.xxhash64(F.lit("component"), "component").alias("key"), F.col(c).alias("id"), F.lit(-1).alias("band"))
-    members = deal(one(groups.where(F.col("size") <= block), "node").union(apart).join(weights, "id"), block, weight="bytes")
+    members = deal(one(groups.where(F.col("size") <= block), "node").join(weights, "id").unionByName(apart), block, weight="bytes")
     members = members.unionByName(deal(one(whole, "id").join(weights, "id"), wide, weight="bytes")).drop("bytes")
     grouped = classes.join(groups.select(F.col("node").alias("id")), "id")
     texts = grouped.join(src.withColumnRenamed("id", "rep"), "rep").drop("rep", "bytes")
