@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,44 @@ def test_prefix_cost_does_not_follow_the_window(spark):
                           [Feature("s", "sum", F.col("v").cast("double"), None, 7, "DD")], strategy="prefix")
 
 
+def test_facts_outside_open_windows_are_read_once(spark, tmp_path):
+    """Two kinds of facts, one of them in open windows alone: the others are neither read nor moved again for these."""
+    base = dt.datetime(2023, 1, 1)
+    spark.createDataFrame([(i % 5, i, base + dt.timedelta(days=i % 400), i) for i in range(2000)],
+                          "e long, fid long, ts timestamp_ntz, v long").write.parquet(f"{tmp_path}/moves")
+    spark.createDataFrame([(i % 5, "F" if i % 3 else None, base + dt.timedelta(days=i % 900), i) for i in range(500)],
+                          "e long, status string, ts timestamp_ntz, b long").write.parquet(f"{tmp_path}/states")
+    facts = spark.read.parquet(f"{tmp_path}/moves").unionByName(spark.read.parquet(f"{tmp_path}/states"), allowMissingColumns=True)
+    anchors = spark.createDataFrame([(i % 6, base + dt.timedelta(days=7 * i), i) for i in range(150)], "e long, ts timestamp_ntz, k long")
+    feats = [Feature("s", "sum", "v", F.col("v") % 2 == 0, 30, "DD"), Feature("a", "avg", "v", None, 90, "TT"),
+             Feature("o", "sum", "b", F.col("status") == "F", None, "OPEN"), Feature("x", "exists", None, F.col("status") == "F", None, "OPEN")]
+    spec = (AnchorSpec("e", "ts", ("k",), unique=True, midnight=True), FactSpec("e", "ts"), feats)
+    df = trailing_features(anchors, facts, *spec)
+    direct = sorted(map(str, trailing_features(anchors, facts, *spec, strategy="direct").collect()))
+    assert sorted(map(str, df.collect())) == direct
+    assert len(re.findall(r"FileScan[^\n]*/moves", df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])) == 1
+
+
+@pytest.mark.parametrize("strategy", ["bucketed", "prefix", "direct"])
+def test_rows_with_further_columns(spark, strategy):
+    """Rows of a key that anchors share, and several rows of a key: each with the sums of all its anchors."""
+    base = dt.datetime(2023, 1, 1)
+    facts = spark.createDataFrame([(i % 4, i, base + dt.timedelta(days=i), 10 + i) for i in range(500)], "e long, fid long, ts timestamp_ntz, v long")
+    keys = [(i % 5 if i % 7 else None, base + dt.timedelta(days=9 * i) if i % 11 else None, i) for i in range(60)]
+    anchors = spark.createDataFrame(keys + keys[:10], "e long, ts timestamp_ntz, k long")
+    rows = spark.createDataFrame([(*key, tag, 2 if key[2] < 10 else 1) for key in keys for tag in ("a", "b")],
+                                 "e long, ts timestamp_ntz, k long, tag string, n long")
+    feats = [Feature("s", "sum", "v", None, 30, "DD"), Feature("c", "count", "fid", None, 90, "TT"), Feature("a", "avg", "v", None, 90, "DT"),
+             Feature("o", "sum", "v", F.col("v") % 3 == 0, None, "OPEN"), Feature("x", "exists", None, None, None, "OPEN")]
+    spec = (AnchorSpec("e", "ts", ("k",), unique=True, midnight=True), FactSpec("e", "ts"), feats)
+    want = {r.k: (r.s, r.c, r.a, r.o, r.x) for r in trailing_features(anchors, facts, *spec, strategy="direct").collect()}
+    got = trailing_features(anchors, facts, *spec, strategy=strategy, rows=rows, times="n")
+    assert got.columns == ["e", "ts", "k", "tag", "n", "s", "c", "a", "o", "x"]
+    assert sorted((r.k, r.tag) for r in got.collect()) == sorted((i, tag) for i in range(60) for tag in ("a", "b"))
+    for r in got.collect():
+        assert (r.s, r.c, r.a, r.o, r.x) == want[r.k], r.k
+
+
 def _output_rows(df):
     """'number of output rows' of every operator of the executed plan."""
     out = []

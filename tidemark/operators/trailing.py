@@ -15,20 +15,23 @@ Results follow SQL: SUM/AVG of an empty window are NULL, COUNT is 0, EXISTS is 0
 Plan:
 
 ``bucketed`` (the default)
-  1. facts are pre-aggregated per (entity, day) with one conditional sum/count per
-     feature (partial aggregation happens map-side, before the shuffle);
-  2. every anchor is exploded to the <= 2 day-buckets its widest window touches
-     (bucket width = widest window + 1 day) and joined on (entity, bucket) with a
-     day-range residual: each anchor meets at most 2*(N+1) daily rows, whatever
-     the entity size, and a hot entity is spread over many (entity, bucket) keys;
-  3. OPEN windows use per-(entity, bucket) totals for whole earlier buckets plus the
-     daily rows of the anchor's own bucket (fan-out bounded by span/bucket + bucket);
-  4. time of day matters on one day per anchor only (TT: the first day of the
+  1. facts of one entity and day that pass the same filters become one narrow row: a bit
+     per filter, the sum of each measure and the number of facts (partial aggregation
+     happens map-side, before the shuffle);
+  2. time is cut into buckets at least as long as the widest window.  A daily row goes to its
+     own (entity, bucket), and to the next one where a window may still reach it, so an anchor
+     meets all its daily rows in the one bucket it lies in, whatever the entity size,
+     and a hot entity is spread over many (entity, bucket) keys;
+  3. OPEN windows add one row per (entity, bucket) with the running totals of all earlier
+     buckets, worked out from the facts that pass an OPEN filter alone;
+  4. anchors LEFT JOIN these rows on (entity, bucket), with a day-range residual, and the
+     anchor's sums are taken where the join leaves its rows: no further shuffle;
+  5. time of day matters on one day per anchor only (TT: the first day of the
      window, for anchors not at midnight; OPEN_TS: the anchor's own day).  The facts of
      those days are reduced to distinct times, and running totals over the merged
      sequence of fact and anchor times give each anchor its part: work is linear in
-     facts + anchors of an entity-day, pairs never appear;
-  5. the branches and the anchor list are unioned and aggregated once per anchor.
+     facts + anchors of an entity-day, pairs never appear; only these parts are
+     unioned with the others and summed once more per anchor.
 
 ``prefix`` (for whole-number and decimal measures; the cost does not depend on the window length)
   Every rule is a difference C(end) - C(start) of running totals of the entity, C(x) over the
@@ -133,12 +136,17 @@ def _minus_days(ts: Column, n: int) -> Column:
 def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
                       fact: FactSpec, features: Sequence[Feature],
                       strategy: str = "bucketed", dedupe_anchors: bool = True,
-                      open_bucket_days: int = 365, as_double: bool = True) -> DataFrame:
+                      open_bucket_days: int = 365, as_double: bool = True,
+                      rows: DataFrame | None = None, times: str | None = None) -> DataFrame:
     """Anchor key columns + one column per feature, one row per distinct anchor key.
 
     ``dedupe_anchors`` drops duplicate anchor keys first (duplicates would
     otherwise multiply window sums, as in a plain join + GROUP BY); it is skipped,
-    saving a shuffle, when the spec declares its key ``unique``."""
+    saving a shuffle, when the spec declares its key ``unique``.
+
+    ``rows``: distinct rows of the anchors' keys and further columns.  They come back in place of the
+    anchors, with their features, and are moved narrow, before these exist.  ``times`` names
+    their column that tells how many anchors share the key (none: one)."""
     if not features:
         raise ValueError("no features")
     names = [f.name for f in features]
@@ -148,27 +156,43 @@ def trailing_features(anchors: DataFrame, facts: DataFrame, anchor: AnchorSpec,
     a = anchors.select(*[F.col(k) for k in keys])
     if dedupe_anchors and not anchor.unique:
         a = a.dropDuplicates(keys)
-    a = (a.withColumn("_e", F.col(anchor.entity))
-          .withColumn("_a", F.col(anchor.ts).cast("timestamp_ntz")))
-    if anchor.midnight:
-        a = a.withColumn("_a", F.when(F.col("_a") == F.date_trunc("day", "_a").cast("timestamp_ntz"), F.col("_a")).when(
-            F.col("_a").isNotNull(), F.raise_error(F.lit(f"{anchor.ts} has a time of day")).cast("timestamp_ntz")))
+    a = _timed(a, anchor)
     plan = _Plan(features)
     f = _prepare_facts(facts, fact, plan)
     if strategy == "direct":
         agg = _direct(a, f, keys, plan)
     elif strategy == "bucketed":
+        if rows is not None and not _by_time(plan, anchor.midnight):
+            agg = _bucketed(a, f, rows.columns, plan, open_bucket_days, anchor.midnight, _timed(rows, anchor))
+            return _finish(agg, rows.columns, plan, as_double, times)
         agg = _bucketed(a, f, keys, plan, open_bucket_days, anchor.midnight)
     elif strategy == "prefix":
         agg = _prefix(a, f, keys, plan, anchor.midnight)
     else:
         raise ValueError(f"unknown strategy {strategy}")
-    return _finish(agg, keys, plan, as_double)
+    out = _finish(agg, keys, plan, as_double)
+    if rows is None:
+        return out
+    r, o = rows.alias("r"), out.alias("o")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}"))
+    return r.join(o, same).select("r.*", *[F.col(f"o.{n}") for n in names])
 
 
 # ------------------------------------------------------------------------ internals
 
 
+def _timed(a: DataFrame, anchor: AnchorSpec) -> DataFrame:
+    """Anchors with their entity ``_e`` and time ``_a``."""
+    a = (a.withColumn("_e", F.col(anchor.entity))
+          .withColumn("_a", F.col(anchor.ts).cast("timestamp_ntz")))
+    if anchor.midnight:
+        a = a.withColumn("_a", F.when(F.col("_a") == F.date_trunc("day", "_a").cast("timestamp_ntz"), F.col("_a")).when(
+            F.col("_a").isNotNull(), F.raise_error(F.lit(f"{anchor.ts} has a time of day")).cast("timestamp_ntz")))
+    return a
+
+
 class _Plan:
     """Shared work: features with the same measure and filter share one value column
     (``sig``); features with the same (value, rule, days) share one aggregate slot."""
@@ -178,6 +202,8 @@ class _Plan:
         self.sigs: list[tuple[str, Column, Column | None]] = []   # (kind, value expr, where)
         self.slots: list[tuple[int, str, int | None]] = []        # (sig, rule, days)
         self.feature_slot: list[int] = []
+        self.measure: list[int | None] = []                       # per sig: number of its measure
+        measures: dict[str, int] = {}
         sig_index: dict[str, int] = {}
         slot_index: dict[tuple, int] = {}
         for ft in self.features:
@@ -192,6 +218,7 @@ class _Plan:
             if key not in sig_index:
                 sig_index[key] = len(self.sigs)
                 self.sigs.append((kind, value, cond))
+                self.measure.append(measures.setdefault(str(_col(ft.measure)), len(measures)) if kind == "sum" else None)
             sg = sig_index[key]
             days = None if ft.rule.startswith("OPEN") else ft.days
             skey = (sg, ft.rule, days)
@@ -203,6 +230,10 @@ class _Plan:
     def kind(self, slot: int) -> str:
         return self.sigs[self.slots[slot][0]][0]
 
+    def counted(self, slot: int) -> bool:
+        """Whether a feature needs the number of values beside their sum."""
+        return self.kind(slot) == "count" or any(k == slot and ft.agg == "avg" for k, ft in zip(self.feature_slot, self.features))
+
     def slots_where(self, pred) -> list[int]:
         return [k for k, (_, rule, _) in enumerate(self.slots) if pred(rule)]
 
@@ -251,162 +282,179 @@ def _direct(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan) -> DataFra
     return j.groupBy(*[F.col(f"a.{c}") for c in keys]).agg(*aggs)
 
 
-def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan,
-              open_bucket_days: int, midnight: bool) -> DataFrame:
+_BITS = 62                # filters per column of bits
+
+
+def _by_time(plan: _Plan, midnight: bool) -> bool:
+    """Whether some anchors have parts that depend on the time of day of the facts."""
+    return any(rule == "OPEN_TS" or (rule == "TT" and days and not midnight) for _, rule, days in plan.slots)
+
+
+def _daily(f: DataFrame, plan: _Plan, timed: bool) -> DataFrame:
+    """One row per entity, day, set of passed filters and, where ``timed``, whether stamped at
+    midnight: bits ``_k0``..., sum ``_m{measure}`` of each measure, number ``_n`` of facts."""
+    bits = []
+    for lo in range(0, len(plan.sigs), _BITS):
+        here = [F.when(F.col(f"_v{g}").isNotNull(), F.lit(1 << (g - lo))).otherwise(F.lit(0)).cast("long")
+                for g in range(lo, min(lo + _BITS, len(plan.sigs)))]
+        mask = here[0]
+        for b in here[1:]:
+            mask = mask + b
+        bits.append(mask.alias(f"_k{lo // _BITS}"))
+    used = sorted({j for j in plan.measure if j is not None})
+    # values of one measure are equal where they are not NULL
+    values = [F.coalesce(*[F.col(f"_v{g}") for g, m in enumerate(plan.measure) if m == j]).alias(f"_m{j}") for j in used]
+    mark = [(F.col("_t") == F.col("_d").cast("timestamp_ntz")).alias("_mn")] if timed else []
+    d = f.select("_e", _day_num(F.col("_d")).alias("_dn"), *mark, *bits, *values)
+    by = ["_e", "_dn", *(["_mn"] if timed else []), *[f"_k{i}" for i in range(len(bits))]]
+    return d.groupBy(*by).agg(*[F.sum(f"_m{j}").alias(f"_m{j}") for j in used], F.count(F.lit(1)).alias("_n"))
+
+
+def _earlier(a: DataFrame, f: DataFrame, plan: _Plan, sigs: list[int], bucket) -> DataFrame:
+    """(_e, _b, _s{sig}, _c{sig}): totals over all buckets before ``_b``, for the buckets with anchors."""
+    any_open = F.lit(False)
+    for g in sigs:
+        any_open = any_open | F.col(f"_v{g}").isNotNull()
+    parts, sums = [], []
+    for g in sigs:
+        if plan.sigs[g][0] == "sum":
+            parts.append(F.col(f"_v{g}").alias(f"_s{g}"))
+            sums.append(f"_s{g}")
+        parts.append(F.when(F.col(f"_v{g}").isNotNull(), F.lit(1).cast("long")).alias(f"_c{g}"))
+        sums.append(f"_c{g}")
+    had = f.where(any_open).select("_e", bucket(_day_num(F.col("_d"))).alias("_b"), *parts)
+    asked = a.select("_e", bucket(_day_num(F.to_date("_a"))).alias("_b"), F.lit(1).alias("_ask")).where(
+        F.col("_e").isNotNull() & F.col("_b").isNotNull())
+    both = had.unionByName(asked, allowMissingColumns=True).groupBy("_e", "_b").agg(
+        *[F.sum(c).alias(c) for c in sums], F.max("_ask").alias("_ask"))
+    before = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    out = both.select("_e", "_b", "_ask", *[F.sum(c).over(before).alias(c) for c in sums])
+    some = F.lit(False)
+    for g in sigs:
+        some = some | F.col(f"_c{g}").isNotNull()
+    return out.where((F.col("_ask") == 1) & some).drop("_ask")
+
+
+def _bucketed(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan, open_bucket_days: int, midnight: bool,
+              rows: DataFrame | None = None) -> DataFrame:
     windowed = plan.slots_where(lambda r: not r.startswith("OPEN"))
     opened = plan.slots_where(lambda r: r.startswith("OPEN"))
     open_ts = plan.slots_where(lambda r: r == "OPEN_TS")
     tt = plan.slots_where(lambda r: r == "TT")
     nslot = len(plan.slots)
-    tt_sigs = sorted({plan.slots[k][0] for k in tt})
+    osigs = sorted({plan.slots[k][0] for k in opened})
+    wsigs = sorted({plan.slots[k][0] for k in windowed})
+    n_max = max((plan.slots[k][2] for k in windowed), default=0)
+    width = max(n_max + 1, open_bucket_days if opened else 1)
+
+    def bucket(day: Column) -> Column:
+        return F.floor(day / F.lit(width))
+
+    def passed(sigs: list[int], side: str = "") -> Column:
+        """Whether the row's facts pass one of the filters."""
+        out = F.lit(False)
+        for i in sorted({g // _BITS for g in sigs}):
+            mask = sum(1 << (g - i * _BITS) for g in sigs if g // _BITS == i)
+            out = out | (F.col(f"{side}_k{i}").bitwiseAND(F.lit(mask).cast("long")) != 0)
+        return out
 
-    # 1. daily pre-aggregate: one pass over the facts, every value column at once.
-    f = f.withColumn("_dn", _day_num(F.col("_d")))
-    daily_aggs = []
-    for g, (kind, _, _) in enumerate(plan.sigs):
-        v = F.col(f"_v{g}")
-        if kind == "sum":
-            daily_aggs.append(F.sum(v).alias(f"s{g}"))
-        daily_aggs.append(F.count(v).alias(f"n{g}"))
-        if g in tt_sigs:  # facts stamped exactly at midnight (the TT upper edge)
-            vm = F.when(F.col("_t") == F.col("_d").cast("timestamp_ntz"), v)
-            if kind == "sum":
-                daily_aggs.append(F.sum(vm).alias(f"sm{g}"))
-            daily_aggs.append(F.count(vm).alias(f"nm{g}"))
-    daily = f.groupBy("_e", "_d", "_dn").agg(*daily_aggs)
-    stype = {g: (daily.schema[f"s{g}"].dataType if kind == "sum" else T.LongType())
-             for g, (kind, _, _) in enumerate(plan.sigs)}
-
-    a = (a.withColumn("_ad", F.to_date("_a"))
-          .withColumn("_adn", _day_num(F.col("_ad")))
-          .withColumn("_mid", F.col("_a") == F.col("_ad").cast("timestamp_ntz")))
+    # 1., 2. daily rows, in every bucket whose anchors they may reach
+    daily = _daily(f, plan, bool(tt))
+    own = bucket(F.col("_dn"))
+    if windowed:
+        reach = passed(wsigs) & (F.col("_dn") + F.lit(n_max) >= (own + 1) * F.lit(width))
+        daily = daily.withColumn("_b", F.explode(F.when(reach, F.array(own, own + 1)).otherwise(F.array(own))))
+    else:
+        daily = daily.withColumn("_b", own)
+    # 3. the buckets before
+    if opened:
+        daily = daily.unionByName(_earlier(a, f, plan, osigs, bucket), allowMissingColumns=True)
 
+    # 4. every bound is a number of days before the anchor's: a time of day moves DT's by one
+    at = (a if rows is None else rows).withColumn("_adn", _day_num(F.to_date("_a"))).withColumn("_b", bucket(F.col("_adn")))
+    mid = F.lit(True)
+    if not midnight:
+        at = at.withColumn("_mid", F.col("_a") == F.to_date("_a").cast("timestamp_ntz"))
+        mid = F.col("a._mid")
+    at = at.drop("_a")
+    dn, adn = F.col("d._dn"), F.col("a._adn")
+    here = bucket(dn) == F.col("a._b")
+    near = (dn >= adn - F.lit(n_max)) if windowed else F.lit(False)
+    if opened:
+        near = near | (here & passed(osigs, "d."))
+    j = at.alias("a").join(daily.alias("d"), (F.col("a._e") == F.col("d._e")) & (F.col("a._b") == F.col("d._b"))
+                           & (dn.isNull() | ((dn <= adn) & near)), "left")
+    aggs = []
+    for k, (g, rule, days) in enumerate(plan.slots):
+        if rule == "DD":
+            cond = dn >= adn - F.lit(days)
+        elif rule == "DT":
+            cond = dn >= adn - F.lit(days) + F.when(mid, 0).otherwise(1)
+        elif rule == "TT":
+            # whole days after the first day (the first day too when the anchor is at midnight);
+            # on the anchor day only midnight facts
+            lo = adn - F.lit(days)
+            cond = ((((dn > lo) | ((dn == lo) & mid)) & (dn < adn))
+                    | ((dn == adn) & F.col("d._mn") & (F.lit(days > 0) | mid)))
+        else:
+            cond = here & (dn <= adn if rule == "OPEN" else dn < adn)
+        cond = passed([g], "d.") & cond
+        if plan.kind(k) == "sum":
+            s = F.when(cond, F.col(f"d._m{plan.measure[g]}"))
+            if k in opened:
+                s = F.when(dn.isNull(), F.col(f"d._s{g}")).otherwise(s)
+            aggs.append(F.sum(s).alias(f"_s{k}"))
+        if plan.counted(k):
+            n = F.when(cond, F.col("d._n"))
+            if k in opened:
+                n = F.when(dn.isNull(), F.col(f"d._c{g}")).otherwise(n)
+            aggs.append(F.sum(n).alias(f"_n{k}"))
+    # grouped by the join's own keys beside: the rows lie as they should
+    agg = j.groupBy(F.col("a._e"), F.col("a._b"), *[F.col(f"a.`{c}`") for c in keys]).agg(*aggs)
+    agg = agg.select(*keys, *[F.col(f"_s{k}") for k in range(nslot) if plan.kind(k) == "sum"], *[
+        (F.col(f"_n{k}") if plan.counted(k) else F.when(F.col(f"_s{k}").isNotNull(), F.lit(1)).cast("long")).alias(f"_n{k}")
+        for k in range(nslot)])
+    if not _by_time(plan, midnight):
+        return agg
+
+    # 5. parts by time of day
     def contrib(parts: dict[int, tuple[Column | None, Column | None]]) -> list[Column]:
         out = []
         for k in range(nslot):
             s, n = parts.get(k, (None, None))
-            out.append((s if s is not None else F.lit(None)).cast(stype[plan.slots[k][0]])
-                       .alias(f"_s{k}"))
+            if plan.kind(k) == "sum":
+                out.append((s if s is not None else F.lit(None)).cast(agg.schema[f"_s{k}"].dataType).alias(f"_s{k}"))
             out.append((n if n is not None else F.lit(None)).cast("long").alias(f"_n{k}"))
         return out
 
-    def pair(kind: str, s: Column, n: Column, cond: Column) -> tuple[Column | None, Column]:
-        return (F.when(cond, s) if kind == "sum" else None, F.when(cond, n))
-
-    branches = []
-
-    # 2. windowed rules through the (entity, bucket) equi-join.  Every window bound is
-    #    an integer day number computed once per anchor, before the join.
-    if windowed:
-        n_max = max(plan.slots[k][2] for k in windowed)
-        width = n_max + 1
-        bounds = {}
-        ax = a.withColumn("_lo", F.col("_adn") - F.lit(n_max))
-        for rule, days in sorted({(plan.slots[k][1], plan.slots[k][2]) for k in windowed}):
-            name = f"_w_{rule}_{days}"
-            t0 = _minus_days(F.col("_a"), days)
-            if rule == "DD":
-                expr = F.col("_adn") - F.lit(days)
-            elif rule == "DT":   # first day whose midnight is >= a - N
-                expr = _day_num(F.to_date(t0)) + F.when(
-                    t0 > F.to_date(t0).cast("timestamp_ntz"), 1).otherwise(0)
-            else:                # TT: the (partial) first day
-                expr = _day_num(F.to_date(t0))
-            ax = ax.withColumn(name, expr)
-            bounds[(rule, days)] = name
-        ax = ax.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width),
-                                                      F.floor(F.col("_adn") / width))))
-        dx = daily.withColumn("_b", F.floor(F.col("_dn") / width))
-        j = ax.alias("a").join(
-            dx.alias("d"),
-            (F.col("a._e") == F.col("d._e")) & (F.col("a._b") == F.col("d._b"))
-            & F.col("d._dn").between(F.col("a._lo"), F.col("a._adn")), "inner")
-        dn, adn = F.col("d._dn"), F.col("a._adn")
+    a = a.withColumn("_mid", F.col("_a") == F.to_date("_a").cast("timestamp_ntz"))
+    branches = [agg]
+    if open_ts:  # OPEN_TS: the anchor's own day, up to its time
+        sums = _day_prefix(a.withColumn("_day", F.to_date("_a")).withColumn("_at", F.col("_a")), f, plan,
+                           sorted({plan.slots[k][0] for k in open_ts}), from_start=True)
+        branches.append(sums.select(*keys, *contrib({
+            k: (F.col(f"s{plan.slots[k][0]}") if plan.kind(k) == "sum" else None,
+                F.col(f"n{plan.slots[k][0]}")) for k in open_ts})))
+    # TT first-day facts, from the time of day on.  Only anchors with a time of day
+    # need it; a window of 0 days has no such facts (its upper end is midnight).
+    dist = sorted({plan.slots[k][2] for k in tt} - {0})
+    if dist and not midnight:
+        late = (a.where(~F.col("_mid"))
+                 .withColumn("_N", F.explode(F.array(*[F.lit(n) for n in dist])))
+                 .withColumn("_at", F.col("_a") - F.make_dt_interval(F.col("_N")))
+                 .withColumn("_day", F.to_date("_at")))
+        sums = _day_prefix(late, f, plan, sorted({plan.slots[k][0] for k in tt}), from_start=False)
         parts = {}
-        for k in windowed:
-            sg, rule, days = plan.slots[k]
-            kind = plan.kind(k)
-            lo = F.col(f"a.{bounds[(rule, days)]}")
-            s = F.col(f"d.s{sg}") if kind == "sum" else None
-            n = F.col(f"d.n{sg}")
-            if rule in ("DD", "DT"):
-                parts[k] = pair(kind, s, n, dn >= lo)
-            else:  # TT: whole days after the first day (the first day too when the
-                #        anchor is at midnight); on the anchor day only midnight facts
-                mid = F.col("a._mid")
-                full = (((dn > lo) | ((dn == lo) & mid)) & (dn < adn))
-                last = (dn == adn) & ((adn > lo) | mid)
-                sm = F.col(f"d.sm{sg}") if kind == "sum" else None
-                nm = F.col(f"d.nm{sg}")
-                parts[k] = (F.when(full, s).when(last, sm) if kind == "sum" else None,
-                            F.when(full, n).when(last, nm))
-        branches.append(j.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
-
-    # 3. OPEN: whole earlier buckets from bucket totals + the anchor's own bucket daily.
-    if opened:
-        width = max(1, open_bucket_days)
-        osigs = sorted({plan.slots[k][0] for k in opened})
-        dx = daily.withColumn("_ob", F.floor(F.col("_dn") / width))
-        tot_aggs = []
-        for g in osigs:
-            if plan.sigs[g][0] == "sum":
-                tot_aggs.append(F.sum(f"s{g}").alias(f"s{g}"))
-            tot_aggs.append(F.sum(f"n{g}").alias(f"n{g}"))
-        tot = dx.groupBy("_e", "_ob").agg(*tot_aggs)
-        ao = a.withColumn("_ob", F.floor(F.col("_adn") / width))
-        j1 = ao.alias("a").join(
-            tot.alias("t"),
-            (F.col("a._e") == F.col("t._e")) & (F.col("t._ob") < F.col("a._ob")), "inner")
-        branches.append(j1.select(*[F.col(f"a.{c}") for c in keys], *contrib({
-            k: (F.col(f"t.s{plan.slots[k][0]}") if plan.kind(k) == "sum" else None,
-                F.col(f"t.n{plan.slots[k][0]}")) for k in opened})))
-        j2 = ao.alias("a").join(
-            dx.alias("d"),
-            (F.col("a._e") == F.col("d._e")) & (F.col("a._ob") == F.col("d._ob"))
-            & (F.col("d._dn") <= F.col("a._adn")), "inner")
-        before = F.col("d._dn") < F.col("a._adn")
-        parts = {}
-        for k in opened:
-            sg, rule, _ = plan.slots[k]
-            s = F.col(f"d.s{sg}") if plan.kind(k) == "sum" else None
-            n = F.col(f"d.n{sg}")
-            parts[k] = (s, n) if rule == "OPEN" else pair(plan.kind(k), s, n, before)
-        branches.append(j2.select(*[F.col(f"a.{c}") for c in keys], *contrib(parts)))
-        if open_ts:  # the anchor's own day, up to its time
-            sums = _day_prefix(a.withColumn("_day", F.col("_ad")).withColumn("_at", F.col("_a")), f, plan,
-                               sorted({plan.slots[k][0] for k in open_ts}), from_start=True)
-            branches.append(sums.select(*keys, *contrib({
-                k: (F.col(f"s{plan.slots[k][0]}") if plan.kind(k) == "sum" else None,
-                    F.col(f"n{plan.slots[k][0]}")) for k in open_ts})))
-
-    # 4. TT first-day facts, from the time of day on.  Only anchors with a time of day
-    #    need it; a window of 0 days has no such facts (its upper end is midnight).
-    if tt and not midnight:
-        dist = sorted({plan.slots[k][2] for k in tt} - {0})
-        if dist:
-            at = (a.where(~F.col("_mid"))
-                   .withColumn("_N", F.explode(F.array(*[F.lit(n) for n in dist])))
-                   .withColumn("_at", F.col("_a") - F.make_dt_interval(F.col("_N")))
-                   .withColumn("_day", F.to_date("_at")))
-            sums = _day_prefix(at, f, plan, tt_sigs, from_start=False)
-            parts = {}
-            for k in tt:
-                sg, _, days = plan.slots[k]
-                parts[k] = pair(plan.kind(k), F.col(f"s{sg}") if plan.kind(k) == "sum" else F.lit(None),
-                                F.col(f"n{sg}"), F.col("_N") == F.lit(days))
-            branches.append(sums.select(*keys, *contrib(parts)))
-
-    # 5. anchors themselves so that empty windows still produce a row.
-    branches.append(a.select(*[F.col(c) for c in keys], *contrib({})))
+        for k in tt:
+            g, _, days = plan.slots[k]
+            it = F.col("_N") == F.lit(days)
+            parts[k] = (F.when(it, F.col(f"s{g}")) if plan.kind(k) == "sum" else None, F.when(it, F.col(f"n{g}")))
+        branches.append(sums.select(*keys, *contrib(parts)))
     u = branches[0]
     for b in branches[1:]:
         u = u.unionByName(b)
-    aggs = []
-    for k in range(nslot):
-        if plan.kind(k) == "sum":
-            aggs.append(F.sum(f"_s{k}").alias(f"_s{k}"))
-        aggs.append(F.sum(f"_n{k}").alias(f"_n{k}"))
-    return u.groupBy(*keys).agg(*aggs)
+    return u.groupBy(*keys).agg(*[F.sum(c).alias(c) for k in range(nslot) for c in (
+        (f"_s{k}", f"_n{k}") if plan.kind(k) == "sum" else (f"_n{k}",))])
 
 
 def _prefix(a: DataFrame, f: DataFrame, keys: list[str], plan: _Plan, midnight: bool) -> DataFrame:
@@ -503,12 +551,13 @@ def _day_prefix(at: DataFrame, f: DataFrame, plan: _Plan, sigs: list[int], from_
     return both.select(*cols, "_is", *out).where("_is").drop("_is")
 
 
-def _finish(agg: DataFrame, keys: list[str], plan: _Plan, as_double: bool) -> DataFrame:
+def _finish(agg: DataFrame, keys: list[str], plan: _Plan, as_double: bool, times: str | None = None) -> DataFrame:
     out = [F.col(c) for c in keys]
+    many = (lambda c: c if times is None else c * F.col(times))
     for ft, k in zip(plan.features, plan.feature_slot):
-        n = F.coalesce(F.col(f"_n{k}"), F.lit(0))
+        n = many(F.coalesce(F.col(f"_n{k}"), F.lit(0)))
         if ft.agg in ("sum", "avg"):
-            s = F.col(f"_s{k}")
+            s = many(F.col(f"_s{k}"))
             if ft.scale:
                 s = s.cast("double") / F.lit(float(ft.scale))
             if ft.agg == "sum":

@@ -81,29 +81,38 @@ def _sql_ratio_cols() -> str:
 
 # --------------------------------------------------------------------------- step 6
 
-def feature_table_df(spark, root, strategy: str = "bucketed"):
-    """Anchors + every trailing feature (transactions and balances fused into ONE join
-    and ONE aggregation), entity attributes, encodings, account age and ratios."""
-    txn = fx.transactions(spark, root)
-    bal = fx.account_balances(spark, root).withColumnRenamed("created_at", "txn_ts")
-    facts = txn.unionByName(bal, allowMissingColumns=True)
-    feats = trailing_features(fx.order_anchors(spark, root), facts, ORDER_ANCHOR,
-                              TXN,
-                              transaction_features() + balance_features(), strategy=strategy)
+def _anchor_rows(spark, root):
+    """Narrow rows that the features are added to: key, payment, label, score, entity attributes and
+    first order, with the number of orders of that key (``_times``) and of such rows (``_rows``)."""
+    keys = fx.order_anchors(spark, root).repartition("o_orderkey").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_times"))
     orders = fx.scored_orders(spark, root).select("o_orderkey", "o_totalprice", "y", "p")
     first_order = (fx.table(spark, root, "orders").groupBy("o_custkey")
                    .agg(F.min("o_orderdate").alias("first_order_date")))
     # state 0 -> 100 replacement of the source: a no-op on the text state column
     biz, _ = label_encode(replace_value(fx.businesses(spark, root), "state", 0, 100),
                           "state", "state_encoded")
-    t = (feats.join(orders, "o_orderkey")
-         .join(biz, feats.o_custkey == biz.c_custkey, "left").drop("c_custkey")
+    t = keys.join(orders, "o_orderkey")
+    t = (t.join(biz, t.o_custkey == biz.c_custkey, "left").drop("c_custkey")
          .join(first_order, "o_custkey", "left"))
-    t = t.select("*", ordinal_map("business_type", K.FX_BUSINESS_TYPE_ORDER).alias(
-        "business_type_mapped"),
-        day_diff("o_orderdate", "first_order_date").alias("days_from_first_order"),
-        *ratio_columns()).drop("first_order_date")
-    return t
+    return t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def feature_table_df(spark, root, strategy: str = "bucketed"):
+    """Anchors + every trailing feature (transactions and balances fused into ONE join
+    and ONE aggregation), entity attributes, encodings, account age and ratios.  The
+    attributes are joined to the bare keys; the wide rows are not moved again."""
+    txn = fx.transactions(spark, root)
+    bal = fx.account_balances(spark, root).withColumnRenamed("created_at", "txn_ts")
+    facts = txn.unionByName(bal, allowMissingColumns=True)
+    feats = transaction_features() + balance_features()
+    rows = _anchor_rows(spark, root)
+    t = trailing_features(fx.order_anchors(spark, root), facts, ORDER_ANCHOR, TXN, feats, strategy=strategy,
+                          rows=rows, times="_times")
+    t = t.withColumn("_one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))))
+    return t.select("o_custkey", "o_orderkey", "o_orderdate", *[f.name for f in feats], "o_totalprice", "y", "p",
+                    "state", "c_acctbal", "business_type", "email_flag", "state_encoded",
+                    ordinal_map("business_type", K.FX_BUSINESS_TYPE_ORDER).alias("business_type_mapped"),
+                    day_diff("o_orderdate", "first_order_date").alias("days_from_first_order"), *ratio_columns())
 
 
 _BAL_BODY = f"""
