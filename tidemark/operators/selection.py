@@ -9,18 +9,15 @@ aggregate over ``feature``; only k x k correlation numbers and per-feature IVs
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.binning import bin_of_literals, equal_width_edges, quantile_probs
+from tidemark.operators.forest import Forest, importances, pack
 from tidemark.operators.ranking import wide_quantiles
-from tidemark.session import cut_lineage
 
 _INF = float("inf")
 
@@ -145,85 +142,44 @@ def decide(hits: int, rounds: int, level: float) -> str:
     return "rejected" if binomial_tail(rounds - hits, rounds) < level else "tentative"
 
 
-def _blocks(df: DataFrame, features: Sequence[str], label: str, key: str, block_rows: int) -> DataFrame:
-    """Rows dealt to blocks of about ``block_rows`` by a hash of the key, sorted by key inside."""
-    base = df.where(F.col(label).isNotNull()).select(
-        F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"),
-        F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features]).alias("_x"))
-    base = cut_lineage(base)
-    n = max(1, -(-base.count() // block_rows))
-    dealt = base.withColumn("_block", F.pmod(F.xxhash64("_k", F.lit(29)), F.lit(n)).cast("int"))
-    return cut_lineage(dealt.repartition(n, "_block").sortWithinPartitions("_block", "_k"))
-
-
-def _with_shadows(seed: int, turn: int, active: list[int], copies: int):
-    """A block's active features and their shadows: each shadow is its feature permuted
-    inside the block, every one on its own."""
-    def run(block: pa.Table) -> pa.Table:
-        n, at = block.num_rows, block.column("_block")[0].as_py()
-        flat = block.column("_x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = flat.reshape(n, -1)[:, active]
-        rng = np.random.Generator(np.random.PCG64([seed, turn, at]))
-        parts = [x] + [rng.permuted(x, axis=0) for _ in range(copies)]
-        wide = np.concatenate(parts, axis=1)
-        values = pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, wide.shape[1]), pa.int32()), pa.array(wide.ravel()))
-        return pa.table({"_y": block.column("_y"), "_v": values})
-    return run
-
-
 def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: str, seed: int = 0, num_trees: int = 50,
                      max_depth: int = 5, alpha: float = 0.05, max_rounds: int = 100, batch: int = 4,
                      parallelism: int = 4, block_rows: int = 8192) -> DataFrame:
     """All-relevant selection against permuted "shadow" copies, one after the other (M6).
 
-    A round fits a random forest on the features still in play and their shadows (at least five)
+    A round grows a random forest on the features still in play and their shadows (at least five)
     and counts a hit for every feature more important than the best shadow.  Features are
     tested on both sides, P(X >= hits) and P(X <= hits) for Binomial(rounds, 1/2) against
     alpha / k: accepted ones stay in the forest as company, rejected ones leave
     with their shadows, the others are tentative and go on, until none is left or
     ``max_rounds`` are over.  The first test comes after as many rounds as can decide
-    anything, later ones every ``batch`` rounds; the rounds between two tests run side by side.
+    anything, later ones every ``batch`` rounds.
 
-    Rows lie in blocks by a hash of the key; a shadow is permuted inside its block, so a
-    round moves no row.  Rows with a NULL label are left out, NULL features count as NaN.
+    Rows lie in blocks by a hash of the row; a shadow is permuted inside its block, so a
+    round moves no row, and all rounds up to the next test grow in the same passes (``forest``).  Rows with a NULL label are left out, NULL features count as NaN.
     Returns (feature, hits, rounds, p_value, state, accepted); ``p_value`` is that of
     P(X >= hits), ``rounds`` those in which the feature was tested."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.functions import array_to_vector
-
     schema = "feature string, hits int, rounds int, p_value double, state string, accepted boolean"
     feats = list(features)
     k = len(feats)
     if not k:
         return df.sparkSession.createDataFrame([], schema)
-    blocks = _blocks(df, feats, label, key, block_rows)
+    blocks = pack(df, feats, label, key, block_rows)
     hits, rounds, state = [0] * k, [0] * k, ["tentative"] * k
-
-    def one_round(turn: int, active: list[int]) -> list[int]:
-        copies = -(-5 // len(active))
-        data = blocks.groupBy("_block").applyInArrow(_with_shadows(seed, turn, active, copies), "_y double, _v array<double>")
-        train = data.select(array_to_vector("_v").alias("_fv"), "_y").persist()
-        model = RandomForestClassifier(featuresCol="_fv", labelCol="_y", numTrees=num_trees, maxDepth=max_depth,
-                                       seed=seed * 1000 + turn).fit(train)
-        train.unpersist()
-        imp = model.featureImportances.toArray()
-        best = imp[len(active):].max()
-        return [f for f, v in zip(active, imp) if v > best]
-
     done, step = 0, min(rounds_needed(k, alpha), max_rounds)
-    any_rows = blocks.limit(1).count() > 0
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        while any_rows and done < max_rounds and "tentative" in state:
-            active = [i for i in range(k) if state[i] != "rejected"]
-            open_ = [i for i in active if state[i] == "tentative"]
-            for won in ex.map(lambda turn: one_round(turn, active), range(done, done + step)):
-                for i in won:
-                    hits[i] += i in open_
-            done += step
-            for i in open_:
-                rounds[i] = done
-                state[i] = decide(hits[i], done, alpha / k)
-            step = min(batch, max_rounds - done)
+    while blocks.rows and done < max_rounds and "tentative" in state:
+        active = tuple(i for i in range(k) if state[i] != "rejected")
+        open_ = [i for i in active if state[i] == "tentative"]
+        forests = [Forest(turn, active, -(-5 // len(active))) for turn in range(done, done + step)]
+        for imp in importances(blocks, forests, seed, num_trees, max_depth, parallelism):
+            best = imp[len(active):].max()
+            for i, v in zip(active, imp):
+                hits[i] += int(i in open_ and v > best)
+        done += step
+        for i in open_:
+            rounds[i] = done
+            state[i] = decide(hits[i], done, alpha / k)
+        step = min(batch, max_rounds - done)
     rows = [(f, hits[i], rounds[i], binomial_tail(hits[i], rounds[i]), state[i], state[i] == "accepted")
             for i, f in enumerate(feats)]
     return df.sparkSession.createDataFrame(rows, schema)
