@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import forest as fo
 from tidemark.operators.selection import shadow_selection
@@ -101,6 +102,51 @@ def test_jobs_do_not_grow_with_the_rounds(spark):
     assert jobs(6) <= jobs(1) + 2
 
 
+@pytest.mark.parametrize("classes", [1, 2, 3, 8])
+def test_masks_count_what_lookups_count(classes):
+    """A level counted by masks, with nodes that were not split, against the counts row by row."""
+    rng = np.random.default_rng(classes)
+    wide, y, copies = rng.integers(0, fo.BINS, (9, 700)).astype(np.uint8), rng.integers(0, classes, 700).astype(np.uint8), rng.poisson(1, 700)
+    for depth in range(5):
+        levels = [(rng.integers(-1, 9, 1 << d), rng.integers(4, 26, 1 << d)) for d in range(depth)]
+        for above, below in zip(levels, levels[1:]):
+            below[0][np.repeat(above[0] < 0, 2)] = -1
+        tried, weight = np.array([rng.permutation(9)[:4] for _ in range(1 << depth)]), copies.astype(np.uint8)
+        want = fo.histogram((wide.astype(np.int64) * classes + y).reshape(-1), wide, weight, levels, tried, classes)
+        got = fo.masked_histogram(list(wide * np.uint8(classes) + y), list(wide), weight, levels, tried, classes)
+        assert (want is None) == (got is None) and (want is None or (want == got).all())
+
+
+def test_copies_follow_the_table():
+    copies = fo.drawn(np.zeros(999, np.uint8), np.zeros((1, 999), np.uint8), fo.Forest(1, (0,), 2), 4, 2, 30)[1]
+    rng = np.random.Generator(np.random.PCG64([4, 1, 2]))
+    for _ in range(2):
+        rng.permuted(np.zeros((1, 999), np.uint8), axis=1)
+    assert (copies == fo._COPIES[rng.integers(0, 1 << 16, (30, 999), np.uint16)]).all()
+
+
+def test_folds_are_packed_in_the_same_passes(spark):
+    """Blocks of several folds, also of other sizes, are those of each fold alone; the jobs do not grow with the folds."""
+    df, tracker = _frame(spark, 900).withColumn("m", F.pmod(F.col("id"), F.lit(7))).cache(), spark.sparkContext.statusTracker()
+    df.count()
+    folds = [F.col("m") != 1, F.col("m") != 2, F.col("m") == 3, F.when(F.col("m") < 4, True)]
+
+    def packed(b):
+        return sorted((r["block"], r["n"], bytes(r["y"]), bytes(r["x"])) for r in b.frame.collect())
+
+    for cond, b in zip(folds, fo.pack_folds(df, ["a", "b", "c"], "y", "id", folds, block_rows=100)):
+        alone = fo.pack(df.where(cond), ["a", "b", "c"], "y", "id", block_rows=100)
+        assert packed(b) == packed(alone) and (b.rows, b.classes, b.cuts) == (alone.rows, alone.classes, alone.cuts)
+
+    def jobs(conditions):
+        before = max(tracker.getJobIdsForGroup(None))
+        fo.pack_folds(df, ["a", "b", "c"], "y", "id", conditions, block_rows=1000)
+        return max(tracker.getJobIdsForGroup(None)) - before
+
+    jobs(folds[:1])
+    assert jobs(folds[:2] * 3) <= jobs(folds[:1]) + 1
+
+
 def test_cut_points(spark):
     rng = np.random.default_rng(2)
     many = np.concatenate([rng.normal(size=3000), [math.inf, -math.inf, -0.0, math.nan]])

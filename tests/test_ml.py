@@ -359,3 +359,35 @@ def test_scores_by_cell_equal_scores_by_row(spark, monkeypatch):
     phi = tree_shap(m, df, "id").orderBy("id", "feature").collect()
     monkeypatch.setattr(boosting, "TABLE_CELLS", 0)
     assert np.array_equal(m.by_cell()(m.bins(x))[:, 0], want) and phi == tree_shap(m, df, "id").orderBy("id", "feature").collect()
+
+
+def test_splits_of_all_seeds_in_the_same_passes(spark):
+    """The parts of several groups and seeds, with keys that repeat or are NULL and NULL labels, against one split each;
+    the jobs do not grow with the seeds."""
+    from tidemark.operators import train
+    rows = [(None if i % 41 == 0 else i if i % 17 else 17 * (i // 34), None if i % 29 == 0 else i * 7 % 3 % 2, i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, label int, kind int").repartition(3).cache()
+    groups = [F.col("kind") < 3, F.coalesce(F.col("kind") == 4, F.lit(False))]
+    marked = df.select("id", "label", "kind", *[g.alias(f"_g{i}") for i, g in enumerate(groups)])
+    for share in (0.0, 0.25):
+        names = {f"_p{i}_{j}": (i, seed) for i in range(2) for j, seed in enumerate((3, 8, 11))}
+        got = train._parts(marked, "id", names, 0.2, share).collect()
+        assert len(got) == 600
+        for name, (i, seed) in names.items():
+            sp = train.stratified_split(marked.where(f"_g{i}"), "label", "id", seed, 0.2)
+            held = train.stratified_split(sp.where("is_test = 0"), "label", "id", seed + 7919, share, "_v").where("_v = 1 and id is not null")
+            valid, want = {r["id"] for r in held.collect()} if share else set(), {}
+            for r in sp.where("id is not null").collect():
+                part = "test" if r["is_test"] else "valid" if r["id"] in valid else "train"
+                want[r["id"]] = max(want.get(r["id"], ""), part)
+            assert all(r[name] == want.get(r["id"]) for r in got) and set(want.values()) == {"test", "train"} | ({"valid"} if share else set())
+
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(seeds):
+        before = max(tracker.getJobIdsForGroup(None))
+        train._parts(marked, "id", {f"_p0_{j}": (0, j) for j in range(seeds)}, 0.2, 0.0)
+        return max(tracker.getJobIdsForGroup(None)) - before
+
+    jobs(1)
+    assert jobs(6) <= jobs(1) + 1

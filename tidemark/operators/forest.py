@@ -4,7 +4,9 @@ Rows are binned once and lie in packed blocks.  A forest draws its bootstrap, it
 and the features a node may split on from seeds, so a scan draws them again rather than keep
 them: no row is moved or copied per forest or tree.  One scan per level counts the
 (tree, node, feature, bin, class) histograms of all forests in the tasks, one grouped step per
-tree adds them up and picks every node's best cut; the driver holds the trees.
+tree adds them up and picks every node's best cut; the driver holds the trees.  Of shallow levels
+a row's node and code are masked together byte by byte, whole columns at a time, in place of a lookup a row.
+Forests of several sets of rows (``folds``) have their rows dealt and binned in the same passes.
 
 A tree takes Poisson(1) copies of each row, a node the square root of the features, a split
 the largest decrease of the Gini impurity; two leaves of one split with the same class become one.
@@ -22,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import cut_lineage
@@ -30,8 +32,11 @@ from tidemark.session import cut_lineage
 BINS = 32
 #: Memory of a task for the histograms of the forests that it counts at once; bytes of blocks in a partition.
 HIST_BYTES, PART_BYTES = 48 << 20, 32 << 20
-#: Poisson(1) by 16 random bits: copies[u] of a row.
+#: Poisson(1) by 16 random bits: copies[u] of a row, and the numbers from which on it takes one more.
 _COPIES = np.searchsorted(np.cumsum([math.exp(-1) / math.factorial(i) for i in range(9)]), (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)
+_STEPS = np.searchsorted(_COPIES, np.arange(1, _COPIES[-1] + 1)).astype(np.uint16)
+#: Rows that are counted at once; levels of up to so many nodes, and codes of a byte, are counted by masks.
+CHUNK_ROWS, MASK_NODES = 16384, 16
 
 
 @dataclass(frozen=True)
@@ -73,46 +78,62 @@ def of_bits(u: np.ndarray) -> np.ndarray:
 def cut_points(df: DataFrame, names: Sequence[str], bins: int = BINS) -> list[tuple[float, ...]]:
     """Per feature the values after which a bin ends, at most ``bins`` - 2 (the last bin is NaN's): all
     but the largest of few distinct values, else its quantiles, read off all rows digit by digit."""
+    return fold_cut_points(df.select(*names, F.lit(True).alias("_f0")), names, ["_f0"], bins)[0]
+
+
+def fold_cut_points(df: DataFrame, names: Sequence[str], folds: Sequence[str], bins: int = BINS) -> list[list[tuple[float, ...]]]:
+    """``cut_points`` of the rows of every fold (a column that tells its rows), all in the same passes."""
+    pairs = [(f, i) for f in range(len(folds)) for i in range(len(names))]           # numbered as they lie here
+    width = len(names)
+
     def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[np.ndarray] = [np.zeros(0)] * len(names)
-        count = np.zeros(len(names), np.int64)
+        seen: list[np.ndarray] = [np.zeros(0)] * len(pairs)
+        count = np.zeros(len(pairs), np.int64)
         for b in batches:
-            for i in range(len(names)):
-                v = b.column(i).to_numpy(zero_copy_only=False)
-                v = v[~np.isnan(v)]
-                count[i] += len(v)
-                # the largest value and the first others
-                found = np.unique(np.concatenate([seen[i], v]))
-                seen[i] = np.concatenate([found[:bins - 1], found[-1:]]) if len(found) > bins else found
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(names)), pa.int32()), pa.array(count), pa.array([v.tolist() for v in seen], pa.list_(
+            mine = [b.column(width + f).to_numpy(zero_copy_only=False) for f in range(len(folds))]
+            for i in range(width):
+                x = b.column(i).to_numpy(zero_copy_only=False)
+                for f in range(len(folds)):
+                    v, at = x[mine[f] & ~np.isnan(x)], f * width + i
+                    count[at] += len(v)
+                    # the largest value and the first others
+                    found = np.unique(np.concatenate([seen[at], v]))
+                    seen[at] = np.concatenate([found[:bins - 1], found[-1:]]) if len(found) > bins else found
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pairs)), pa.int32()), pa.array(count), pa.array([v.tolist() for v in seen], pa.list_(
             pa.float64()))], names=["at", "n", "v"])
 
     # at most ``bins`` values a feature and task, and all of them where there are fewer
-    parts = df.select(*names).mapInArrow(few, "at int, n long, v array<double>")
+    parts = df.select(*names, *folds).mapInArrow(few, "at int, n long, v array<double>")
     found = parts.groupBy("at").agg(F.sum("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("v")))).alias("v"))
-    known = {r["at"]: r for r in found.select("at", "n", F.slice("v", 1, bins).alias("v"), F.array_max("v").alias("top")).collect()}    # a row a feature
+    known = {r["at"]: r for r in found.select("at", "n", F.slice("v", 1, bins).alias("v"), F.array_max("v").alias("top")).collect()}    # a row a feature and fold
     many = {i: r for i, r in known.items() if len(r["v"]) >= bins}
     wanted = {i: np.arange(1, bins - 1) * r["n"] // (bins - 1) for i, r in many.items()}         # ranks from 0
     prefix = {i: np.zeros(bins - 2, np.uint64) for i in many}
     for shift in (56, 48, 40, 32):
         if many:
-            for r in _next_digit(df.select(*[names[i] for i in many]), list(many), prefix, wanted, shift).collect():         # a row a feature
+            for r in _next_digit(df.select(*names, *folds), width, list(many), prefix, wanted, shift).collect():         # a row a feature and fold
                 prefix[r["at"]], wanted[r["at"]] = np.array(r["prefix"], np.int64).view(np.uint64), np.array(r["rank"])
     cuts = {i: of_bits((p << np.uint64(32)) | np.uint64((1 << 32) - 1)) for i, p in prefix.items()}
-    return [tuple(sorted({v for v in cuts[i].tolist() if v < many[i]["top"]})) if i in many else tuple(known[i]["v"][:-1]) if i in known else ()
-            for i in range(len(names))]
+    flat = [tuple(sorted({v for v in cuts[i].tolist() if v < many[i]["top"]})) if i in many else tuple(known[i]["v"][:-1]) if i in known else ()
+            for i in range(len(pairs))]
+    return [flat[f * width:(f + 1) * width] for f in range(len(folds))]
 
 
-def _next_digit(df: DataFrame, at: list[int], prefix: dict[int, np.ndarray], wanted: dict[int, np.ndarray], shift: int) -> DataFrame:
+def _next_digit(df: DataFrame, width: int, at: list[int], prefix: dict[int, np.ndarray], wanted: dict[int, np.ndarray], shift: int) -> DataFrame:
     """(at, prefix, rank): the prefixes of the wanted ranks with one more byte, and the ranks inside these."""
     starts = {i: np.unique(prefix[i]) for i in at}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {i: np.zeros((len(starts[i]), 256), np.int64) for i in at}
         for b in batches:
-            for j, i in enumerate(at):
-                v = b.column(j).to_numpy(zero_copy_only=False)
-                u = ordered_bits(v[~np.isnan(v)]) >> np.uint64(shift)
+            bits = {}
+            for i in at:
+                f, j = divmod(i, width)
+                if j not in bits:
+                    x = b.column(j).to_numpy(zero_copy_only=False)
+                    bits[j] = ~np.isnan(x), ordered_bits(x) >> np.uint64(shift)
+                known, u = bits[j]
+                u = u[known & b.column(width + f).to_numpy(zero_copy_only=False)]
                 place = np.minimum(np.searchsorted(starts[i], u >> np.uint64(8)), len(starts[i]) - 1)
                 mine = starts[i][place] == u >> np.uint64(8)
                 sums[i] += np.bincount(place[mine] * 256 + (u[mine] & np.uint64(255)).astype(np.int64), minlength=sums[i].size).reshape(-1, 256)
@@ -134,31 +155,53 @@ def _next_digit(df: DataFrame, at: list[int], prefix: dict[int, np.ndarray], wan
 def pack(df: DataFrame, features: Sequence[str], label: str, key: str, block_rows: int = 8192) -> Blocks:
     """Rows with a label dealt to blocks of about ``block_rows`` by a hash of key, label and features,
     in its order inside, so that neither repeated nor NULL keys fill one block.  NULL features count as NaN."""
-    names = [f"_x{i}" for i in range(len(features))]
+    return pack_folds(df, features, label, key, [F.lit(True)], block_rows)[0]
+
+
+def pack_folds(df: DataFrame, features: Sequence[str], label: str, key: str, folds: Sequence[Column], block_rows: int = 8192) -> list[Blocks]:
+    """``pack`` of the rows of every fold (a condition on the rows); each row is read and moved once for
+    all folds of the same number of blocks."""
+    names, marks = [f"_x{i}" for i in range(len(features))], [f"_f{i}" for i in range(len(folds))]
     base = df.where(F.col(label).isNotNull()).select(F.col(key).alias("_k"), F.col(label).cast("double").alias("_y"), *[
-        F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(n) for f, n in zip(features, names)])
-    base = cut_lineage(base.select(F.xxhash64("_k", "_y", *names, F.lit(29)).alias("_h"), "_y", *names))
-    size = base.agg(F.count(F.lit(1)).alias("n"), F.max("_y").alias("top"),
-                    F.max(((F.col("_y") < 0) | (F.col("_y") != F.floor("_y"))).cast("int")).alias("bad")).first()
-    if size["n"] and (size["bad"] or not size["top"] < 256):
-        raise ValueError(f"{label}: classes must be whole numbers from 0 to 255")
-    cuts = cut_points(base, names)
-    n = max(1, -(-size["n"] // block_rows))
-
-    def block(t: pa.Table) -> pa.Table:
-        y = t.column("_y").to_numpy().astype(np.uint8)
-        order = np.lexsort((y, t.column("_h").to_numpy()))
-        x = np.empty((len(cuts), len(y)), np.uint8)
-        for j, (name, c) in enumerate(zip(names, cuts)):
-            v = t.column(name).to_numpy()
-            x[j] = np.where(np.isnan(v), len(c) + 1, np.searchsorted(np.asarray(c, float), v, side="left"))[order]
-        return pa.table({"block": t.column("_block").slice(0, 1), "n": pa.array([len(y)], pa.int32()),
-                         "y": pa.array([y[order].tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary())})
-
-    dealt = base.withColumn("_block", F.pmod(F.xxhash64("_h", F.lit(31)), F.lit(n)).cast("int"))
-    packed = dealt.groupBy("_block").applyInArrow(block, "block int, n int, y binary, x binary")
-    parts = min(n, max(4 * df.sparkSession.sparkContext.defaultParallelism, n * block_rows * (len(cuts) + 1) // PART_BYTES))
-    return Blocks(cut_lineage(packed.repartition(parts)), size["n"], int(size["top"] or 0) + 1, cuts)
+        F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))).alias(n) for f, n in zip(features, names)],
+        *[F.coalesce(c, F.lit(False)).alias(m) for c, m in zip(folds, marks)]).where(F.greatest(*marks, F.lit(False)))
+    base = cut_lineage(base.select(F.xxhash64("_k", "_y", *names, F.lit(29)).alias("_h"), "_y", *names, *marks))
+    size = base.agg(*[x for m in marks for x in (
+        F.count(F.when(F.col(m), 1)).alias(f"n{m}"), F.max(F.when(F.col(m), F.col("_y"))).alias(f"top{m}"),
+        F.max((F.col(m) & ((F.col("_y") < 0) | (F.col("_y") != F.floor("_y")))).cast("int")).alias(f"bad{m}"))]).first()
+    rows = [size[f"n{m}"] for m in marks]
+    for n, m in zip(rows, marks):
+        if n and (size[f"bad{m}"] or not size[f"top{m}"] < 256):
+            raise ValueError(f"{label}: classes must be whole numbers from 0 to 255")
+    cuts = fold_cut_points(base, names, marks)
+
+    def packed(n: int, mine: list[int]) -> DataFrame:
+        def block(t: pa.Table) -> pa.Table:
+            y = t.column("_y").to_numpy().astype(np.uint8)
+            order = np.lexsort((y, t.column("_h").to_numpy()))
+            v = [t.column(name).to_numpy()[order] for name in names]
+            out = []
+            for f in mine:
+                use = t.column(marks[f]).to_numpy()[order]
+                if use.any():
+                    x = np.empty((len(names), np.count_nonzero(use)), np.uint8)
+                    for j, c in enumerate(cuts[f]):
+                        w = v[j][use]
+                        x[j] = np.where(np.isnan(w), len(c) + 1, np.searchsorted(np.asarray(c, float), w, side="left"))
+                    out.append((f, x.shape[1], y[order][use].tobytes(), x.tobytes()))
+            of = list(zip(*out)) if out else [(), (), (), ()]
+            return pa.table({"fold": pa.array(of[0], pa.int32()), "block": pa.array([t.column("_block")[0].as_py()] * len(out), pa.int32()),
+                             "n": pa.array(of[1], pa.int32()), "y": pa.array(of[2], pa.binary()), "x": pa.array(of[3], pa.binary())})
+
+        dealt = base.withColumn("_block", F.pmod(F.xxhash64("_h", F.lit(31)), F.lit(n)).cast("int"))
+        frame = dealt.groupBy("_block").applyInArrow(block, "fold int, block int, n int, y binary, x binary")
+        parts = min(n, max(4 * df.sparkSession.sparkContext.defaultParallelism, n * len(mine) * block_rows * (len(names) + 1) // PART_BYTES))
+        return cut_lineage(frame.repartition(parts))
+
+    blocks = [max(1, -(-n // block_rows)) for n in rows]
+    frames = {n: packed(n, [f for f, m in enumerate(blocks) if m == n]) for n in sorted(set(blocks))}
+    return [Blocks(frames[blocks[f]].where(F.col("fold") == f).drop("fold"), rows[f], int(size[f"top{m}"] or 0) + 1, cuts[f])
+            for f, m in enumerate(marks)]
 
 
 def drawn(y: np.ndarray, x: np.ndarray, forest: Forest, seed: int, block: int, trees: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +210,14 @@ def drawn(y: np.ndarray, x: np.ndarray, forest: Forest, seed: int, block: int, t
     rng = np.random.Generator(np.random.PCG64([seed, forest.turn, block]))
     own = x[list(forest.active)]
     wide = np.concatenate([own] + [rng.permuted(own, axis=1) for _ in range(forest.copies)])
-    return wide, _COPIES[rng.integers(0, 1 << 16, (trees, len(y)), np.uint16)]
+    random = rng.integers(0, 1 << 16, (trees, len(y)), np.uint16)
+    copies, some = np.zeros(random.shape, np.uint8), np.empty(len(y), bool)
+    more = some.view(np.uint8)
+    for u, out in zip(random, copies):                   # _COPIES[u], as a sum of comparisons
+        for step in _STEPS:
+            np.greater_equal(u, step, out=some)
+            np.add(out, more, out=out)
+    return wide, copies
 
 
 def subsets(forest: Forest, seed: int, trees: int, depth: int) -> list[np.ndarray]:
@@ -209,6 +259,46 @@ def histogram(codes: np.ndarray, wide: np.ndarray, weight: np.ndarray, levels: S
     return out.astype(np.int64).reshape(slots, nodes, BINS, classes).transpose(1, 0, 2, 3)
 
 
+def masked_histogram(codes: list[np.ndarray], wide: list[np.ndarray], weight: np.ndarray, levels: Sequence[tuple[np.ndarray, np.ndarray]],
+                     tried: np.ndarray, classes: int) -> np.ndarray | None:
+    """``histogram`` for few nodes and codes of a byte, ``codes`` and ``wide`` feature by feature: every live node has
+    a mask of its rows (0 or 255), and a row's code is put together from the features that its node tries."""
+    n, masks = len(weight), [np.full(len(weight), 255, np.uint8)]
+    for feature, cut in levels:
+        split = []
+        for f, c, mask in zip(feature.tolist(), cut.tolist(), masks):
+            if mask is None or f < 0:
+                split += [None, None]
+                continue
+            high = np.greater(wide[f], np.uint8(c)).view(np.uint8)
+            np.negative(high, out=high)
+            high &= mask
+            split += [np.bitwise_xor(mask, high, out=mask), high]
+        masks = split
+    live = [(v, m) for v, m in enumerate(masks) if m is not None]
+    if not live:
+        return None
+    nodes, slots = tried.shape
+    cells, choice, some = BINS * classes, tried.tolist(), np.empty(n, np.uint8)
+    if len(live) < nodes:
+        weight = weight & np.bitwise_or.reduce([m for _, m in live])
+    w, out = weight.astype(float), np.empty((slots, nodes * cells))
+    if nodes > 1:
+        node, key, at = np.zeros(n, np.uint8), np.empty(n, np.uint8), np.empty(n, np.int64)
+        for v, mask in live:
+            node |= np.bitwise_and(mask, np.uint8(v), out=some)
+        base = np.multiply(node, cells, dtype=np.int64)
+    for s in range(slots):
+        if nodes == 1:
+            out[s] = np.bincount(codes[choice[0][s]], w, cells)
+            continue
+        key.fill(0)
+        for v, mask in live:
+            key |= np.bitwise_and(codes[choice[v][s]], mask, out=some)
+        out[s] = np.bincount(np.add(base, key, out=at), w, nodes * cells)
+    return out.astype(np.int64).reshape(slots, nodes, BINS, classes).transpose(1, 0, 2, 3)
+
+
 def best_splits(hist: np.ndarray, tried: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(feature, cut, gain, counts on both sides) of every node of one tree."""
     left = hist.cumsum(axis=2)
@@ -283,22 +373,39 @@ def _level(blocks: Blocks, forests: Sequence[Forest], grown: list[list[tuple[np.
     """(forest, tree, feature, cut, gain, counts): the best split of every node of the next level."""
     classes = blocks.classes
 
+    by_masks = BINS * classes <= 256
+
+    def count(held: list[tuple[int, np.ndarray, np.ndarray]], sums: dict[tuple[int, int], np.ndarray]) -> None:
+        """Adds the histograms of some blocks (number, classes, bins), whose rows are counted together."""
+        y = np.concatenate([y for _, y, _ in held])
+        for i, forest in enumerate(forests):
+            each = [drawn(y, x, forest, seed, at, trees) for at, y, x in held]
+            wide, copies = np.concatenate([w for w, _ in each], axis=1), np.concatenate([c for _, c in each], axis=1)
+            if by_masks and len(tried[i][0]) <= MASK_NODES:
+                tree, codes, x = masked_histogram, list(wide * np.uint8(classes) + y), list(wide)
+            else:
+                tree, codes, x = histogram, (wide.astype(np.int64) * classes + y).reshape(-1), wide
+            for t in range(trees):
+                h = tree(codes, x, copies[t], [(f[t], c[t]) for f, c in grown[i]], tried[i][t], classes)
+                if h is not None:
+                    if (i, t) in sums:
+                        sums[i, t] += h
+                    else:
+                        sums[i, t] = h
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
+        held, size = [], 0
         for b in batches:
             for row in b.to_pylist():
-                y = np.frombuffer(row["y"], np.uint8).astype(np.int64)
-                x = np.frombuffer(row["x"], np.uint8).reshape(-1, len(y))
-                for i, forest in enumerate(forests):
-                    wide, copies = drawn(y, x, forest, seed, row["block"], trees)
-                    codes = (wide.astype(np.int64) * classes + y).reshape(-1)
-                    for t in range(trees):
-                        h = histogram(codes, wide, copies[t], [(f[t], c[t]) for f, c in grown[i]], tried[i][t], classes)
-                        if h is not None:
-                            if (i, t) in sums:
-                                sums[i, t] += h
-                            else:
-                                sums[i, t] = h
+                y = np.frombuffer(row["y"], np.uint8)
+                if held and size + len(y) > CHUNK_ROWS + CHUNK_ROWS // 4:
+                    count(held, sums)
+                    held, size = [], 0
+                held.append((row["block"], y, np.frombuffer(row["x"], np.uint8).reshape(-1, len(y))))
+                size += len(y)
+        if held:
+            count(held, sums)
         if sums:
             yield pa.RecordBatch.from_arrays([
                 pa.array([k[0] for k in sums], pa.int32()), pa.array([k[1] for k in sums], pa.int32()),

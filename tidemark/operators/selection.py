@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.binning import bin_of_literals, equal_width_edges, quantile_probs
-from tidemark.operators.forest import Forest, importances, pack
+from tidemark.operators.forest import Blocks, Forest, importances, pack
 from tidemark.operators.ranking import wide_quantiles
 
 _INF = float("inf")
@@ -161,10 +161,16 @@ def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: st
     P(X >= hits), ``rounds`` those in which the feature was tested."""
     schema = "feature string, hits int, rounds int, p_value double, state string, accepted boolean"
     feats = list(features)
-    k = len(feats)
-    if not k:
+    if not feats:
         return df.sparkSession.createDataFrame([], schema)
-    blocks = pack(df, feats, label, key, block_rows)
+    rows = selected(pack(df, feats, label, key, block_rows), feats, seed, num_trees, max_depth, alpha, max_rounds, batch, parallelism)
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+def selected(blocks: Blocks, feats: Sequence[str], seed: int = 0, num_trees: int = 50, max_depth: int = 5, alpha: float = 0.05,
+             max_rounds: int = 100, batch: int = 4, parallelism: int = 4) -> list[tuple]:
+    """The rows of ``shadow_selection`` from packed rows, one a feature."""
+    k = len(feats)
     hits, rounds, state = [0] * k, [0] * k, ["tentative"] * k
     done, step = 0, min(rounds_needed(k, alpha), max_rounds)
     while blocks.rows and done < max_rounds and "tentative" in state:
@@ -180,6 +186,5 @@ def shadow_selection(df: DataFrame, features: Sequence[str], label: str, key: st
             rounds[i] = done
             state[i] = decide(hits[i], done, alpha / k)
         step = min(batch, max_rounds - done)
-    rows = [(f, hits[i], rounds[i], binomial_tail(hits[i], rounds[i]), state[i], state[i] == "accepted")
+    return [(f, hits[i], rounds[i], binomial_tail(hits[i], rounds[i]), state[i], state[i] == "accepted")
             for i, f in enumerate(feats)]
-    return df.sparkSession.createDataFrame(rows, schema)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Sequence
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import boosting
 from tidemark.operators.boosting import Boosted, Spec
 from tidemark.operators.evaluate import auc_of_counts
+from tidemark.operators.forest import pack_folds
 from tidemark.operators.selection import (correlated_to_drop, correlation_matrix, information_value,
-                                          shadow_selection)
+                                          selected)
 from tidemark.session import cut_lineage
 
 
@@ -40,20 +42,41 @@ def stratified_split(df: DataFrame, label: str, key: str, seed: int,
     are found by a running sum over that table, only the rows with these digits are
     ranked, and the hash and key of the last test row decide for all."""
     h = split_key(key, seed)
-    d = df.select(F.col(label).alias("_y"), F.col(key).alias("_k"), h.alias("_h"))
-    d = d.withColumn("_pre", F.substring("_h", 1, 4))
-    counts = d.groupBy("_y", "_pre").agg(F.count(F.lit(1)).alias("_n"))
-    by = Window.partitionBy("_y")
-    counts = counts.select("_y", "_pre", "_n", F.sum("_n").over(by.orderBy("_pre")).alias("_cum"),
+    last = _last_tests(df.select(F.lit(0).alias("_s"), F.col(label).alias("_y"), F.col(key).alias("_k"), h.alias("_h")), test_share, 4).drop("_s")
+    test = F.struct(h.alias("_h"), F.col(key).alias("_k")) <= F.col("_last")
+    return df.join(last, F.col(label).eqNullSafe(F.col("_y_")), "left").withColumn(
+        out, F.coalesce(test, F.lit(False)).cast("int")).drop("_y_", "_last")
+
+
+def _last_tests(d: DataFrame, test_share: float, digits: int) -> DataFrame:
+    """(_s, _y_, _last): hash and key of the last test row of every split and class, from rows (_s, _y, _k, _h)."""
+    d = d.withColumn("_pre", F.substring("_h", 1, digits))
+    counts = d.groupBy("_s", "_y", "_pre").agg(F.count(F.lit(1)).alias("_n"))
+    by = Window.partitionBy("_s", "_y")
+    counts = counts.select("_s", "_y", "_pre", "_n", F.sum("_n").over(by.orderBy("_pre")).alias("_cum"),
                            F.round(F.sum("_n").over(by) * F.lit(test_share)).cast("long").alias("_want"))
     edge = counts.where("_cum - _n < _want and _want <= _cum").select(
-        F.col("_y").alias("_ey"), F.col("_pre").alias("_ep"), (F.expr("_want - _cum + _n")).alias("_left"))
-    near = d.join(edge, F.col("_y").eqNullSafe(F.col("_ey")) & (F.col("_pre") == F.col("_ep")))
-    near = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_y").orderBy("_h", "_k")))
-    last = near.where("_rank = _left").select(F.col("_y").alias("_ly"), F.struct("_h", "_k").alias("_last"))
-    test = F.struct(h.alias("_h"), F.col(key).alias("_k")) <= F.col("_last")
-    return df.join(last, F.col(label).eqNullSafe(F.col("_ly")), "left").withColumn(
-        out, F.coalesce(test, F.lit(False)).cast("int")).drop("_ly", "_last")
+        F.col("_s").alias("_es"), F.col("_y").alias("_ey"), F.col("_pre").alias("_ep"), (F.expr("_want - _cum + _n")).alias("_left"))
+    # one row a split and class
+    near = d.join(F.broadcast(edge), (F.col("_s") == F.col("_es")) & F.col("_y").eqNullSafe(F.col("_ey")) & (F.col("_pre") == F.col("_ep")))
+    near = near.withColumn("_rank", F.row_number().over(by.orderBy("_h", "_k")))
+    return near.where("_rank = _left").select("_s", F.col("_y").alias("_y_"), F.struct("_h", "_k").alias("_last"))
+
+
+def stratified_splits(df: DataFrame, label: str, key: str, splits: dict[str, tuple[Column, int]], test_share: float = 0.2) -> DataFrame:
+    """A column per split (a name: the condition on its rows and its seed), 1 where ``stratified_split`` of
+    these rows gives 1, 0 on the others of its rows, NULL outside.  The rows are read three times for all splits."""
+    # as many digits as give at most 65,536 counted rows a class
+    digits = max(1, 4 - math.ceil(math.log(len(splits), 16)))
+    each = F.array(*[F.when(where, F.struct(F.lit(s).alias("_s"), split_key(key, seed).alias("_h")))
+                     for s, (where, seed) in enumerate(splits.values())])
+    d = df.select(F.col(label).alias("_y"), F.col(key).alias("_k"), F.explode(each).alias("_e")).where("_e is not null").select(
+        "_e._s", "_y", "_k", "_e._h")
+    last = _last_tests(d, test_share, digits).groupBy("_y_").agg(
+        *[F.max(F.when(F.col("_s") == s, F.col("_last"))).alias(f"_last{s}") for s in range(len(splits))])
+    test = [F.struct(split_key(key, seed).alias("_h"), F.col(key).alias("_k")) <= F.col(f"_last{s}") for s, (_, seed) in enumerate(splits.values())]
+    return df.join(F.broadcast(cut_lineage(last)), F.col(label).eqNullSafe(F.col("_y_")), "left").select(
+        *df.columns, *[F.when(where, F.coalesce(t, F.lit(False)).cast("int")).alias(name) for t, (name, (where, _)) in zip(test, splits.items())])
 
 
 @dataclass
@@ -181,38 +204,25 @@ def pipelines(df: DataFrame, groups: dict[str, Column], features: Sequence[str],
     fitted in the same passes (M17, M18, M20).  Selections run side by side; ``fit`` False
     stops after them."""
     feats = list(features)
-    marked = df.select(key, F.col(label).alias("label"), *[c.alias(f"_g{i}") for i, c in enumerate(groups.values())],
-                       *feats, *[c for c in keep if c not in feats])
-    kept: dict[str, list[str]] = {}
-    marks = []
-    for i, name in enumerate(groups):
-        mine = marked.where(F.coalesce(F.col(f"_g{i}"), F.lit(False)))
-        kept[name] = feats if prefiltered else prefilter(mine, feats, "label", corr_threshold, iv_threshold, bins)
-        for j, seed in enumerate(seeds):
-            sp = stratified_split(mine.select(key, "label"), "label", key, seed, test_share)
-            part = F.when(F.col("is_test") == 1, "test").otherwise("train")
-            if validation_share:
-                held = stratified_split(sp.where("is_test = 0"), "label", key, seed + 7919, validation_share, "_v").where(
-                    "_v = 1").select(F.col(key).alias("_vk"))
-                sp = sp.join(held, F.col(key) == F.col("_vk"), "left")
-                part = F.when(F.col("is_test") == 1, "test").when(F.col("_vk").isNotNull(), "valid").otherwise("train")
-            marks.append(sp.select(F.col(key), F.lit(f"_p{i}_{j}").alias("_split"), part.alias("_part")))
-    parts = marks[0]
-    for m in marks[1:]:
-        parts = parts.unionByName(m)
-    names = [f"_p{i}_{j}" for i in range(len(groups)) for j in range(len(seeds))]
-    # one row a key: its part in every split, in one aggregate in place of a join per split
-    parts = parts.groupBy(F.col(key).alias("_key")).agg(
-        *[F.max(F.when(F.col("_split") == n, F.col("_part"))).alias(n) for n in names])
-    rows = cut_lineage(marked.join(parts, F.col(key) == F.col("_key"), "left").drop("_key"))
+    kept = {name: feats if prefiltered else prefilter(df.where(F.coalesce(c, F.lit(False))), feats, label, corr_threshold, iv_threshold, bins)
+            for name, c in groups.items()}
+    used = [f for f in feats if any(f in k for k in kept.values())]
+    marked = df.select(key, F.col(label).alias("label"), *[F.coalesce(c, F.lit(False)).alias(f"_g{i}") for i, c in enumerate(groups.values())],
+                       *used, *[c for c in keep if c not in used])
+    names = {f"_p{i}_{j}": (i, seed) for i in range(len(groups)) for j, seed in enumerate(seeds)}
+    rows = _parts(marked, key, names, test_share, validation_share)
 
     studies, searches = {}, []
     judge = "valid" if validation_share else "test"
 
+    packs = {}
+    for i, name in enumerate(groups):                    # the rows of a group are packed once for all of its seeds
+        if kept[name]:
+            packs[i] = pack_folds(rows, kept[name], "label", key, [F.col(f"_p{i}_{j}") == "train" for j in range(len(seeds))])
+
     def select(what):
         i, name, j, seed = what
-        return [tuple(r) for r in shadow_selection(rows.where(F.col(f"_p{i}_{j}") == "train"), kept[name], "label", key, seed=seed,
-                                                   num_trees=num_trees).collect()]        # one row per feature
+        return selected(packs[i][j], kept[name], seed, num_trees) if kept[name] else []             # one row per feature
 
     cases = [(i, name, j, seed) for i, name in enumerate(groups) for j, seed in enumerate(seeds)]
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
@@ -236,6 +246,28 @@ def pipelines(df: DataFrame, groups: dict[str, Column], features: Sequence[str],
     return studies
 
 
+def _parts(marked: DataFrame, key: str, names: dict[str, tuple[int, int]], test_share: float, validation_share: float) -> DataFrame:
+    """``marked`` with a column per split (a name: its group and its seed) that tells a row's part, NULL outside the
+    group.  Rows of one key are in the same part of a split, the last by name; rows without a key in none."""
+    splits = {n: (F.col(f"_g{i}"), seed) for n, (i, seed) in names.items()}
+    rows = stratified_splits(marked, "label", key, splits, test_share)
+    part = {n: F.when(F.col(n) == 1, "test").otherwise("train") for n in names}
+    if validation_share:
+        # the split of the training rows again
+        held = {f"_v{n}": (F.coalesce(F.col(n) == 0, F.lit(False)), seed + 7919) for n, (_, seed) in splits.items()}
+        rows = stratified_splits(rows, "label", key, held, validation_share)
+        part = {n: F.when(F.col(f"_v{n}") == 1, "valid").otherwise(p) for n, p in part.items()}
+    rows = cut_lineage(rows.select(*marked.columns, *[
+        F.when(F.col(n).isNotNull() & F.col(key).isNotNull(), p).alias(n) for n, p in part.items()]))
+    again = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_times"), *[F.max(n).alias(f"_q{n}") for n in names]).where("_times > 1")
+    again = cut_lineage(again)
+    if again.isEmpty():
+        return rows
+    return cut_lineage(rows.join(again, F.col(key) == F.col("_key"), "left").select(
+        *marked.columns, *[F.coalesce(f"_q{n}", n).alias(n) for n in names]))
+
+
 def prefilter(df: DataFrame, features: Sequence[str], label: str, corr_threshold: float,
               iv_threshold: float, bins: int) -> list[str]:
     """Features kept by the correlation and the information-value filters, in their order."""
