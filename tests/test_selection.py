@@ -116,3 +116,24 @@ def test_cumsum_with_a_null_group(spark):
     c = global_cumsum(spark.createDataFrame(rows, "g string, v int, one int"), ["v"], ["one"], ["g"], num_partitions=7)
     for g in (None, "a"):
         assert [r.cum_one for r in sorted((r for r in c.collect() if r.g == g), key=lambda r: r.v)] == list(range(1, 201))
+
+
+def test_quantiles_and_bins_move_no_long_rows(spark):
+    """Columns of few and many values and NULLs; what the quantiles count and what the bins group are counts of a task,
+    not a row per value."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.ranking import wide_quantiles
+    rng = np.random.default_rng(9)
+    n = 6000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 3, n) - 1.0, "c": np.where(rng.random(n) < 0.9, 0.0, rng.random(n)),
+                        "d": np.where(rng.random(n) < 0.3, -0.0, rng.normal(size=n).round(1)), "y": rng.integers(0, 2, n)})
+    pdf.loc[::7, "a"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(4).cache()
+    probs = [i / 10 for i in range(11)]
+    got = wide_quantiles(df, {c: F.when(~F.isnan(c), F.col(c)) for c in "abcd"}, probs, accuracy=50)
+    for c in "abcd":
+        assert got[c] == pytest.approx(np.nanquantile(pdf[c], probs), abs=1e-12)
+    iv = information_value(df, "y", list("abcd"))
+    assert {r.feature: r.iv for r in iv.collect()} == pytest.approx({c: _ref_iv(pdf[c], pdf["y"]) for c in "abcd"}, rel=1e-9)
+    assert "Generate" not in iv._jdf.queryExecution().optimizedPlan().toString()

@@ -13,8 +13,11 @@ ROC/KS cumulative counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,9 +120,9 @@ def wide_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[fl
     the schema width, and so is everything that reaches the driver.
 
       1. one pass of ``percentile_approx`` gives a narrow bracket for every (column, p);
-      2. one pass maps each value to its bracket or to the gap between two and counts
-         (column, place, value) with the value kept inside brackets only, so partial
-         aggregation leaves one row per gap, and only in-bracket values are shuffled;
+      2. one pass sorts each batch of a column and counts (column, place, value), place being a
+         bracket or a gap between two, with the value kept inside brackets only, so a batch gives one row
+         per gap, and only in-bracket values are shuffled;
       3. in-bracket values are ranked by distributed prefix sums over that count table.
     ``percentile_approx`` bounds its rank error, so a bracket holds its ranks; a column for
     which one did not is ranked as a whole by ``exact_quantiles``."""
@@ -131,7 +134,7 @@ def wide_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[fl
     cuts = [min(max(p + e, 0.0), 1.0) for p in probs for e in (-slack, slack)]
     row = d.agg(*[F.percentile_approx(f"_c{i}", cuts, accuracy).alias(f"_c{i}") for i in range(len(names))]).first()
     # brackets and the gaps between them, in order: odd places are brackets
-    spans: list[tuple] = []
+    brackets: dict[int, np.ndarray] = {}
     for i, c in enumerate(names):
         got, merged = row[f"_c{i}"], []
         for j in range(len(probs) if got else 0):
@@ -145,24 +148,31 @@ def wide_quantiles(df: DataFrame, columns: dict[str, Column], probs: Sequence[fl
                 joint[-1][1] = max(joint[-1][1], hi)
             else:
                 joint.append([lo, hi])
-        last = None
-        for k, (lo, hi) in enumerate(joint):
-            spans += [(i, 2 * k, False, last, lo), (i, 2 * k + 1, True, lo, hi)]
-            last = hi
         if joint:
-            spans.append((i, 2 * len(joint), False, last, None))
-    if not spans:
+            brackets[i] = np.array(joint)
+    if not brackets:
         return {c: [None] * len(probs) for c in names}
-    places = df.sparkSession.createDataFrame(spans, "_f int, place int, inside boolean, lo double, hi double")
-    pairs = ", ".join(f"{i}, _c{i}" for i in range(len(names)))
-    long = d.select(F.expr(f"stack({len(names)}, {pairs}) AS (feature, x)")).where("x is not null")
-    here = (F.col("feature") == F.col("_f")) & F.when(
-        F.col("inside"), (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))).otherwise(
-        (F.col("lo").isNull() | (F.col("x") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("x") < F.col("hi"))))
-    # columns x (2 probs + 1) rows at most: bounded by the schema width
-    counts = long.join(F.broadcast(places), here).select(
-        "feature", "place", F.when(F.col("inside"), F.col("x")).alias("value")).groupBy(
-        "feature", "place", "value").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []                       # feature, places, values, rows
+            for i, spans in brackets.items():
+                x = np.sort(b.column(i).drop_null().to_numpy(zero_copy_only=False))
+                start, end = np.searchsorted(x, spans[:, 0], "left"), np.searchsorted(x, spans[:, 1], "right")
+                gaps = np.append(start, len(x)) - np.append(0, end)
+                some = np.flatnonzero(gaps)
+                out.append((i, 2 * some, np.full(len(some), np.nan), gaps[some]))
+                for k in np.flatnonzero(end > start):
+                    v = x[start[k]:end[k]]
+                    first = np.append(0, np.flatnonzero(v[1:] != v[:-1]) + 1)
+                    out.append((i, np.full(len(first), 2 * k + 1), v[first], np.diff(np.append(first, len(v)))))
+            places, values, rows = (np.concatenate([o[k] for o in out]) for k in (1, 2, 3))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]), pa.int32()), pa.array(places, pa.int32()),
+                pa.array(values, pa.float64(), mask=places % 2 == 0), pa.array(rows, pa.int64())], names=["feature", "place", "value", "n"])
+
+    # columns x (2 probs + 1) rows at most, and the values inside brackets
+    counts = d.mapInArrow(count, "feature int, place int, value double, n long").groupBy("feature", "place", "value").agg(F.sum("n").alias("n"))
     cum = global_cumsum(counts, ["place", "value"], ["n"], ["feature"])
     totals = counts.groupBy("feature").agg(F.sum("n").alias("_total"))
     t = totals.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p"))

@@ -1,21 +1,24 @@
 """Feature selection: information value, correlation pruning, shadow selection (M1-M4, M6).
 
-All features are handled in one pass: the frame is turned into long form
-(feature, value, label) with ``stack`` and every statistic is a grouped
-aggregate over ``feature``; only k x k correlation numbers and per-feature IVs
+All features are handled in one pass: a task counts its rows per (feature, bin),
+strings in long form (feature, value, label) with ``stack``, and every statistic is a
+grouped aggregate over ``feature``; only k x k correlation numbers and per-feature IVs
 (bounded by the schema width) ever reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.binning import bin_of_literals, equal_width_edges, quantile_probs
+from tidemark.operators.binning import equal_width_edges, quantile_probs
 from tidemark.operators.forest import Blocks, Forest, importances, pack
 from tidemark.operators.ranking import wide_quantiles
 
@@ -59,23 +62,18 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
         edges = {c: sorted(set(q)) for c, q in quantiles.items() if q and q[0] is not None}
         # quantiles that leave no bin (one distinct value): bins of equal width around it
         edges = {c: e if len(e) > 1 else equal_width_edges(e[0], e[0], bins) for c, e in edges.items()}
-        wide = df.where(y.isNotNull()).select(
-            y.alias("_y"), *[bin_of_literals(F.col(c).cast("double"), edges.get(c, [])).alias(f"_b{i}")
-                             for i, c in enumerate(numeric)])
-        pairs = ", ".join(f"'{c}', CAST(_b{i} AS STRING)" for i, c in enumerate(numeric))
-        parts.append(wide.select("_y", F.expr(f"stack({len(numeric)}, {pairs}) AS (feature, bin)"))
-                     .select("feature", "bin", "_y"))
+        wide = df.where(y.isNotNull()).select(y.alias("_y"), *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(numeric)])
+        parts.append(wide.mapInArrow(_bin_counts(numeric, [edges.get(c, []) for c in numeric]), "feature string, bin string, cnt long, ev double"))
     if text:
         lt = to_long(df.withColumn("_y", y), text, ["_y"], "string").where(
             F.col("value").isNotNull() & F.col("_y").isNotNull())
-        parts.append(lt.select("feature", F.col("value").alias("bin"), "_y"))
+        parts.append(lt.groupBy("feature", F.col("value").alias("bin")).agg(F.count(F.lit(1)).alias("cnt"), F.sum("_y").alias("ev")))
     # features whose rows all dropped out still get a row (IV 0)
     names = df.sparkSession.createDataFrame([(c,) for c in features], "feature string")
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    per_bin = (u.where(F.col("bin").isNotNull()).groupBy("feature", "bin")
-               .agg(F.count(F.lit(1)).alias("cnt"), F.sum("_y").alias("ev")))
+    per_bin = u.groupBy("feature", "bin").agg(F.sum("cnt").alias("cnt"), F.sum("ev").alias("ev"))
     per_bin = per_bin.withColumn("ne", F.col("cnt") - F.col("ev"))
     tot = per_bin.groupBy("feature").agg(F.sum("ev").alias("ev_total"),
                                          F.sum("ne").alias("ne_total"))
@@ -89,6 +87,30 @@ def information_value(df: DataFrame, label: str, features: Sequence[str] | None
             .select("feature", F.coalesce(F.col("iv"), F.lit(0.0)).alias("iv")))
 
 
+def _bin_counts(names: Sequence[str], edges: Sequence[Sequence[float]]) -> Callable:
+    """(feature, bin, cnt, ev) of a task's rows (label, values...): ``binning.bin_index``'s bins, counted column by column."""
+    points = [np.asarray(e, float) for e in edges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cnt, ev = [np.zeros(len(e), np.int64) for e in points], [np.zeros(len(e)) for e in points]
+        for b in batches:
+            y = b.column(0).to_numpy(zero_copy_only=False)
+            for i, e in enumerate(points):
+                if len(e) < 2:
+                    continue
+                x = b.column(1 + i).to_numpy(zero_copy_only=False)
+                use = (x >= e[0]) & (x <= e[-1])                              # neither NULL nor NaN
+                at = np.maximum(np.searchsorted(e, x[use], side="left"), 1)
+                cnt[i] += np.bincount(at, minlength=len(e))
+                ev[i] += np.bincount(at, weights=y[use], minlength=len(e))
+        some = [(names[i], str(k), cnt[i][k], ev[i][k]) for i in range(len(names)) for k in np.flatnonzero(cnt[i])]
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (
+                pa.string(), pa.string(), pa.int64(), pa.float64()))], names=["feature", "bin", "cnt", "ev"])
+
+    return run
+
+
 def correlation_matrix(df: DataFrame, features: Sequence[str]) -> list[list[float]]:
     """k x k Pearson matrix from ONE distributed pass (Spark ML ``Correlation``, centred
     covariance).  Only the k x k numbers come back (bounded by the schema width);
